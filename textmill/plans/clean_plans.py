@@ -1 +1,206 @@
-"""placeholder"""
+"""Cleaning queries (T01-T15) over ``documents``.
+
+The driver's texts have single newlines only, so each query first derives the
+artefact it needs (CRLF, trailing spaces, hyphen breaks, blank lines, soft
+wraps) with the same regex rewrite in Spark and in the oracle.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from textmill.functions import text as tx
+from textmill.functions.sqltext import DUCK, SPARK
+from textmill.operators import clean as cl
+from textmill.plans.chunk_plans import duck_explode
+from textmill.plans.registry import register
+from textmill.session import read_table
+
+
+def _docs(spark, sf):
+    return read_table(spark, sf, "documents")
+
+
+def _x(sql):
+    return F.expr(sql)
+
+
+RAW_S = cl.pdfize(SPARK, "text")
+RAW_D = cl.pdfize(DUCK, "text")
+
+
+@register("clean_newlines", oracle=f"""
+  SELECT doc_id, {tx.norm_newlines(DUCK, "replace(text, chr(10), chr(13) || chr(10))")} = text AS restored,
+         length({tx.norm_newlines(DUCK, RAW_D)}) AS n_chars FROM documents""")
+def clean_newlines(spark, sf):
+    d = _docs(spark, sf)
+    return d.select("doc_id",
+                    (_x(tx.norm_newlines(SPARK, "replace(text, '\\n', '\\r\\n')")) == F.col("text")).alias("restored"),
+                    F.length(_x(tx.norm_newlines(SPARK, RAW_S))).alias("n_chars"))
+
+
+@register("clean_trailing", oracle=f"""
+  SELECT doc_id, {tx.strip_trailing(DUCK, "replace(text, chr(10), ' ' || chr(9) || ' ' || chr(10))")} = text AS restored,
+         md5({tx.strip_trailing(DUCK, tx.norm_newlines(DUCK, RAW_D))}) AS md5_out FROM documents""")
+def clean_trailing(spark, sf):
+    d = _docs(spark, sf)
+    return d.select("doc_id",
+                    (_x(tx.strip_trailing(SPARK, "replace(text, '\\n', ' \\t \\n')")) == F.col("text")).alias("restored"),
+                    F.md5(_x(tx.strip_trailing(SPARK, tx.norm_newlines(SPARK, RAW_S)))).alias("md5_out"))
+
+
+_HY_S = SPARK.rx_replace("text", r"(\p{L}{4})(\p{L}{5,})", "$1-\n$2")
+_HY_D = DUCK.rx_replace("text", r"(\p{L}{4})(\p{L}{5,})", "$1-\n$2")
+
+
+@register("clean_dehyphen", oracle=f"""
+  SELECT doc_id, {tx.dehyphenate(DUCK, _HY_D)} = text AS restored,
+         length({_HY_D}) - length({tx.dehyphenate(DUCK, _HY_D)}) AS removed_chars,
+         md5({tx.dehyphenate(DUCK, "text || ' a-' || chr(10) || 'b-' || chr(10) || chr(10) || ' c'")}) AS chain_md5
+  FROM documents""")
+def clean_dehyphen(spark, sf):
+    d = _docs(spark, sf)
+    chain = "concat(text, ' a-\\n', 'b-\\n\\n c')"
+    return d.select("doc_id", (_x(tx.dehyphenate(SPARK, _HY_S)) == F.col("text")).alias("restored"),
+                    (F.length(_x(_HY_S)) - F.length(_x(tx.dehyphenate(SPARK, _HY_S)))).alias("removed_chars"),
+                    F.md5(_x(tx.dehyphenate(SPARK, chain))).alias("chain_md5"))
+
+
+@register("clean_blanklines", oracle=f"""
+  SELECT doc_id, md5(p) AS md5_out, len(string_split(p, chr(10) || chr(10))) AS n_parts
+  FROM (SELECT doc_id, {tx.pre_clean(DUCK, RAW_D)} AS p FROM documents)""")
+def clean_blanklines(spark, sf):
+    d = _docs(spark, sf).select("doc_id", _x(tx.pre_clean(SPARK, RAW_S)).alias("p"))
+    return d.select("doc_id", F.md5("p").alias("md5_out"), F.size(F.split("p", "\n\n")).alias("n_parts"))
+
+
+@register("block_explode", oracle=f"""
+  SELECT doc_id, block_no, length(block) AS n_chars, md5(block) AS md5_block
+  FROM {duck_explode("documents", "doc_id", tx.blocks(DUCK, tx.pre_clean(DUCK, RAW_D)), "block_no", "block")}""")
+def block_explode(spark, sf):
+    d = _docs(spark, sf).select("doc_id", F.posexplode(_x(tx.blocks(SPARK, tx.pre_clean(SPARK, RAW_S))))
+                                .alias("pos", "block"))
+    return d.select("doc_id", (F.col("pos") + 1).cast("int").alias("block_no"),
+                    F.length("block").alias("n_chars"), F.md5("block").alias("md5_block"))
+
+
+# --- line probes: each document line plus variants that trigger each rule ------------------
+def _variants(d):
+    sub = (lambda s, a, n: f"substr({s}, {a}, {n})")
+    cast = (lambda s: f"cast({s} as string)") if d.spark else (lambda s: f"cast({s} as varchar)")
+    return {
+        "plain": "line",
+        "bullet": f"concat('- ', {sub('line', 1, 60)})",
+        "lone_bullet": "'-'",
+        "enum": f"concat(substr('abcIVX', cast(line_no % 6 AS INT) + 1, 1), ') ', {sub('line', 1, 40)})",
+        # ASCII only: Spark upper-cases 'ß' to 'SS', DuckDB to 'ẞ'.
+        "caps": f"upper({d.rx_replace(sub('line', 1, 30), '[^A-Za-z ]', '')})",
+        "numbered": f"concat({cast('line_no')}, '.', {cast('doc_id % 7')}, ' ', {sub('line', 1, '70 + cast(doc_id % 20 AS INT)')})",
+        "short": f"{sub('line', 1, '20 + cast(doc_id % 40 AS INT)')}",
+        "table": f"replace({sub('line', 1, 50)}, ' ', '    ')",
+        "code": f"concat('    ', {sub('line', 1, 30)})",
+        "colon": f"concat({sub('line', 1, 30)}, ':')",
+        "label": f"concat('Note: ', {sub('line', 1, 30)})",
+    }
+
+
+def _probe_spark(spark, sf):
+    lines = cl.explode_lines(_docs(spark, sf), "text")
+    v = _variants(SPARK)
+    stack = ", ".join(f"'{k}', {e}" for k, e in v.items())
+    return lines.select("doc_id", "line_no", F.expr(f"stack({len(v)}, {stack}) AS (variant, line)"))
+
+
+def _probe_duck():
+    v = _variants(DUCK)
+    lines = duck_explode("documents", "doc_id", tx.lines(DUCK, "text"), "line_no", "line")
+    parts = " UNION ALL ".join(f"SELECT doc_id, line_no, '{k}' AS variant, {e} AS line FROM {lines}"
+                               for k, e in v.items())
+    return f"({parts})"
+
+
+PROBE_D = _probe_duck()
+
+
+def _probe_query(name, spark_col, duck_expr):
+    @register(name, oracle=f"SELECT doc_id, line_no, variant, {duck_expr} AS {name.split('line_')[1]} FROM {PROBE_D}")
+    def q(spark, sf):
+        p = _probe_spark(spark, sf)
+        return p.select("doc_id", "line_no", "variant", spark_col.alias(name.split("line_")[1]))
+    q.__name__ = name
+    return q
+
+
+_probe_query("line_is_bullet", _x(tx.is_bullet(SPARK, tx.strip(SPARK, "line"))),
+             tx.is_bullet(DUCK, tx.strip(DUCK, "line")))
+_probe_query("line_is_caps", _x(tx.is_all_caps(SPARK, tx.strip(SPARK, "line"))),
+             tx.is_all_caps(DUCK, tx.strip(DUCK, "line")))
+_probe_query("line_is_numbered", _x(tx.is_numbered(SPARK, tx.strip(SPARK, "line"))),
+             tx.is_numbered(DUCK, tx.strip(DUCK, "line")))
+_probe_query("line_title_ratio", F.round(_x(tx.title_ratio(SPARK, tx.strip(SPARK, "line"))), 6),
+             f"round({tx.title_ratio(DUCK, tx.strip(DUCK, 'line'))}, 6)")
+_probe_query("line_is_heading", _x(tx.heading_rule(SPARK, "line")), tx.heading_rule(DUCK, "line"))
+_probe_query("line_is_table", _x(tx.is_table(SPARK, "line")), tx.is_table(DUCK, "line"))
+
+
+# --- T12 / T13 on the derived raw text -------------------------------------------------------
+_PRE_LINES_D = duck_explode(
+    duck_explode("documents", "doc_id", tx.blocks(DUCK, tx.pre_clean(DUCK, RAW_D)), "block_no", "block"),
+    "doc_id, block_no", tx.lines(DUCK, "block"), "line_no", "line")
+
+
+def _pre_lines(spark, sf):
+    b = _docs(spark, sf).select("doc_id", F.posexplode(_x(tx.blocks(SPARK, tx.pre_clean(SPARK, RAW_S))))
+                                .alias("pos", "block"))
+    b = b.select("doc_id", (F.col("pos") + 1).cast("int").alias("block_no"), "block")
+    return cl.explode_lines(b, "block", keep=("doc_id", "block_no"))
+
+
+@register("line_should_merge", oracle=f"""
+  SELECT doc_id, block_no, line_no, {tx.should_merge(DUCK, 'prev', 'line')} AS merge_with_prev
+  FROM (SELECT doc_id, block_no, line_no, line,
+               lag(line) OVER (PARTITION BY doc_id, block_no ORDER BY line_no) AS prev FROM {_PRE_LINES_D})
+  WHERE prev IS NOT NULL""")
+def line_should_merge(spark, sf):
+    from pyspark.sql import Window as W
+
+    ln = _pre_lines(spark, sf)
+    w = W.partitionBy("doc_id", "block_no").orderBy("line_no")
+    return ln.withColumn("prev", F.lag("line").over(w)).filter(F.col("prev").isNotNull()) \
+        .select("doc_id", "block_no", "line_no", cl.should_merge("prev", "line").alias("merge_with_prev"))
+
+
+@register("merge_soft_wraps", oracle=f"""
+  SELECT doc_id, block_no, cast(row_number() OVER (PARTITION BY doc_id, block_no ORDER BY para) AS INTEGER) AS para_no,
+         {tx.collapse_spaces(DUCK, "string_agg(s, ' ' ORDER BY line_no)")} AS text
+  FROM (SELECT doc_id, block_no, line_no, {tx.strip(DUCK, 'line')} AS s,
+               sum(brk) OVER (PARTITION BY doc_id, block_no ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS para
+        FROM (SELECT *, CASE WHEN prev IS NULL THEN 1
+                             WHEN {tx.should_merge(DUCK, 'prev', 'line')} THEN 0 ELSE 1 END AS brk
+              FROM (SELECT *, lag(line) OVER (PARTITION BY doc_id, block_no ORDER BY line_no) AS prev
+                    FROM {_PRE_LINES_D})))
+  WHERE s <> ''
+  GROUP BY doc_id, block_no, para""")
+def merge_soft_wraps(spark, sf):
+    return cl.merge_soft_wraps_window(_pre_lines(spark, sf), ["doc_id", "block_no"])
+
+
+@register("clean_spaces", oracle=f"""
+  SELECT doc_id, {tx.collapse_spaces(DUCK, "replace(text, ' ', ' ' || chr(9) || '  ')")} =
+                 {tx.collapse_spaces(DUCK, 'text')} AS restored,
+         length({tx.collapse_spaces(DUCK, "'  ' || text || ' ' || chr(9)")}) AS n_chars FROM documents""")
+def clean_spaces(spark, sf):
+    d = _docs(spark, sf)
+    return d.select("doc_id",
+                    (_x(tx.collapse_spaces(SPARK, "replace(text, ' ', ' \\t  ')")) ==
+                     _x(tx.collapse_spaces(SPARK, "text"))).alias("restored"),
+                    F.length(_x(tx.collapse_spaces(SPARK, "concat('  ', text, ' \\t')"))).alias("n_chars"))
+
+
+@register("clean_text", oracle=f"""
+  SELECT doc_id, c AS cleaned, length(c) AS n_chars, len(string_split(c, chr(10) || chr(10))) AS n_blocks
+  FROM (SELECT doc_id, {tx.clean_text(DUCK, RAW_D)} AS c FROM documents)""")
+def clean_text_q(spark, sf):
+    d = _docs(spark, sf).select("doc_id", _x(tx.clean_text(SPARK, RAW_S)).alias("c"))
+    return d.select("doc_id", F.col("c").alias("cleaned"), F.length("c").alias("n_chars"),
+                    F.size(F.split("c", "\n\n")).alias("n_blocks"))
