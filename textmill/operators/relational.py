@@ -95,3 +95,22 @@ def interval_join(left: DataFrame, right: DataFrame, left_key: str, right_key: s
 def top_k_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     w = W.partitionBy(*keys).orderBy(*order)
     return df.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)
+
+
+def global_row_number(spark, df: DataFrame, order_col: str, n_parts: int | None = None) -> DataFrame:
+    """Contiguous 1-based ``row_number`` in ``order_col`` order without a single-task window.
+
+    Range-partition and sort, read each row's in-partition position from
+    ``monotonically_increasing_id`` (partition id in the upper bits), cut the
+    lineage with a reliable ``checkpoint`` so positions are fixed, then add the
+    per-partition offsets (one small row per partition, broadcast)."""
+    n = n_parts or spark.sparkContext.defaultParallelism
+    ranged = (df.repartitionByRange(n, order_col).sortWithinPartitions(order_col)
+              .withColumn("_m", F.monotonically_increasing_id())).checkpoint()
+    ranged = ranged.withColumn("_pid", F.shiftright("_m", 33)) \
+        .withColumn("_ln", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
+    counts = ranged.groupBy("_pid").agg(F.count("*").alias("_n"))
+    offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(
+        W.orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_pid", "_off")
+    return ranged.join(F.broadcast(offs), "_pid") \
+        .withColumn("row_number", F.col("_off") + F.col("_ln")).drop("_m", "_pid", "_ln", "_off")

@@ -1 +1,338 @@
-"""placeholder"""
+"""Embedding and vector-search queries.
+
+Chunk contents come from the derived chunk versions of ``ingest_plans``;
+query texts from ``benchmark``; the vector store from ``embeddings``.  The
+default encoder hashes tokens into 64 buckets, the width of the driver's
+``embeddings`` table, so benchmark texts can be searched against it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from textmill.functions import vectors as vx
+from textmill.functions.sqltext import DUCK, SPARK
+from textmill.operators import embed as em
+from textmill.operators import ingest as ing
+from textmill.operators import vector as vec
+from textmill.plans import ingest_plans as ip
+from textmill.plans.chunk_plans import duck_explode
+from textmill.plans.registry import register
+from textmill.session import read_table, scratch_path
+
+CLOCK_A = "2026-01-01 00:00:00"
+CLOCK_B = "2026-02-01 00:00:00"
+K = 3
+N_CELLS = 8
+
+
+def _x(s):
+    return F.expr(s)
+
+
+# --- chunk metadata with portable vector ids ------------------------------------------------
+def _meta(spark, sf, version):
+    v = ip._v1(spark, sf) if version == 1 else ip._good_v2(spark, sf)
+    clock = CLOCK_A if version == 1 else CLOCK_B
+    return v.select(ing.vector_id_sha().alias("vector_id"), "doc_id", "page_no", "chunk_id", "content",
+                    F.lit(clock).cast("timestamp").alias("created_at"))
+
+
+_VID_D = ("sha256(concat_ws('|', doc_id, coalesce(cast(page_no AS VARCHAR), ''), cast(chunk_id AS VARCHAR), "
+          "coalesce(chunk_hash, '')))")
+META1_D = f"(SELECT {_VID_D} AS vector_id, doc_id, page_no, chunk_id, content, TIMESTAMP '{CLOCK_A}' AS created_at FROM {ip.V1_D})"
+META2_D = f"(SELECT {_VID_D} AS vector_id, doc_id, page_no, chunk_id, content, TIMESTAMP '{CLOCK_B}' AS created_at FROM {ip.DUCK_GOOD_V2})"
+E01_SQL = """SELECT vector_id, content FROM (
+      SELECT vector_id, content, ROW_NUMBER() OVER (PARTITION BY vector_id ORDER BY created_at DESC) AS rn
+      FROM {src}) t WHERE rn = 1"""
+
+
+@register("latest_content_sql", oracle=E01_SQL.format(src=f"(SELECT * FROM {META1_D} UNION ALL SELECT * FROM {META2_D})"))
+def latest_content_sql(spark, sf):
+    _meta(spark, sf, 1).unionByName(_meta(spark, sf, 2)).createOrReplaceTempView("metadata_latest_src")
+    return spark.sql(E01_SQL.format(src="metadata_latest_src"))
+
+
+EMB4_D = vx.as_float_rounded(DUCK, vx.hashing_embedding(DUCK, "content"))
+
+
+@register("embed_hashing", oracle=f"SELECT vector_id, {EMB4_D} AS embedding FROM {META1_D}")
+def embed_hashing(spark, sf):
+    m = _meta(spark, sf, 1)
+    return m.select("vector_id", _x(vx.as_float_rounded(SPARK, vx.hashing_embedding(SPARK, "content"))).alias("embedding"))
+
+
+@register("embed_pandas", oracle=f"SELECT vector_id, {EMB4_D} AS embedding, 'hashing-md5-64' AS model_name FROM {META1_D}")
+def embed_pandas(spark, sf):
+    """E02 through the plug-in path (Arrow batches, encoder once per worker, 64 per call)."""
+    e = em.encode(_meta(spark, sf, 1))
+    return e.select("vector_id", _x("transform(embedding, x -> round(cast(x as double), 4))").alias("embedding"),
+                    "model_name")
+
+
+@register("l2_normalise", oracle=f"""
+  SELECT vec_id, {vx.as_float_rounded(DUCK, vx.l2_normalise(DUCK, 'v'))} AS unit
+  FROM (SELECT vec_id, list_transform(embedding, lambda x: cast(x AS DOUBLE) * cast(vec_id % 5 AS DOUBLE)) AS v
+        FROM embeddings)""")
+def l2_normalise(spark, sf):
+    e = read_table(spark, sf, "embeddings").select(
+        "vec_id", _x("transform(embedding, x -> cast(x as double) * cast(vec_id % 5 as double))").alias("v"))
+    return e.select("vec_id", _x(vx.as_float_rounded(SPARK, vx.l2_normalise(SPARK, "v"))).alias("unit"))
+
+
+# --- upsert ------------------------------------------------------------------------------------
+def _store(spark, sf, version):
+    """Embedding rows of one version: E01 latest content -> hashing embedding (JVM path)."""
+    m = _meta(spark, sf, version)
+    latest = em.latest_content(m)
+    clock = CLOCK_A if version == 1 else CLOCK_B
+    return latest.select("vector_id", _x(vx.hashing_embedding(SPARK, "content")).cast("array<float>").alias("embedding"),
+                         F.lit(em.DEFAULT_MODEL).alias("model_name"),
+                         F.lit(clock).cast("timestamp").alias("created_at"))
+
+
+_SRC2_D = f"(SELECT DISTINCT vector_id FROM {META2_D})"
+_TGT1_D = f"(SELECT DISTINCT vector_id FROM {META1_D})"
+UPSERT_D = f"""
+  SELECT coalesce(s.vector_id, t.vector_id) AS vector_id,
+         CASE WHEN s.vector_id IS NOT NULL THEN TIMESTAMP '{CLOCK_B}' ELSE TIMESTAMP '{CLOCK_A}' END AS created_at,
+         CASE WHEN s.vector_id IS NOT NULL AND t.vector_id IS NOT NULL THEN 'updated'
+              WHEN s.vector_id IS NOT NULL THEN 'inserted' ELSE 'kept' END AS action
+  FROM {_TGT1_D} t FULL OUTER JOIN {_SRC2_D} s ON t.vector_id = s.vector_id"""
+
+
+@register("upsert_merge", oracle=UPSERT_D)
+def upsert_merge(spark, sf):
+    merged = em.upsert(_store(spark, sf, 1), _store(spark, sf, 2))
+    return merged.select("vector_id", "created_at", F.col("_action").alias("action"))
+
+
+@register("upsert_counts", oracle=f"SELECT action, count(*) AS n FROM ({UPSERT_D}) GROUP BY action")
+def upsert_counts(spark, sf):
+    merged = em.upsert(_store(spark, sf, 1), _store(spark, sf, 2))
+    return merged.groupBy(F.col("_action").alias("action")).agg(F.count("*").alias("n"))
+
+
+@register("mean_pool", oracle=f"""
+  SELECT label, pos, round(avg(cast(x AS DOUBLE)), 6) AS mean
+  FROM {duck_explode('embeddings', 'label', 'embedding', 'pos', 'x')} GROUP BY label, pos""")
+def mean_pool(spark, sf):
+    e = read_table(spark, sf, "embeddings")
+    m = vec.vector_mean(e, by=["label"])
+    return m.select("label", (F.col("pos") + 1).cast("int").alias("pos"), F.round("mean", 6).alias("mean"))
+
+
+@register("job_embed", oracle=f"""
+  SELECT u.vector_id, u.created_at, 'hashing-md5-64' AS model_name,
+         {vx.as_float_rounded(DUCK, vx.hashing_embedding(DUCK, 'c.content'))} AS embedding
+  FROM ({UPSERT_D}) u JOIN (SELECT DISTINCT vector_id, content FROM {META2_D}
+                            UNION SELECT DISTINCT vector_id, content FROM {META1_D}
+                              WHERE vector_id NOT IN (SELECT vector_id FROM {META2_D})) c
+    ON u.vector_id = c.vector_id""")
+def job_embed(spark, sf):
+    """Metadata -> latest content -> mapInPandas encoder -> upsert into a bucketed table (twice)."""
+    path = scratch_path(spark, "embeddings") + "/table"
+    for version, clock in ((1, CLOCK_A), (2, CLOCK_B)):
+        latest = em.latest_content(_meta(spark, sf, version))
+        batch = em.encode(latest).withColumn("created_at", F.lit(clock).cast("timestamp"))
+        em.upsert_table(spark, path, batch)
+    t = spark.read.parquet(path)  # S07 read-back
+    return t.select("vector_id", "created_at", "model_name",
+                    _x("transform(embedding, x -> round(cast(x as double), 4))").alias("embedding"))
+
+
+@register("src_embeddings", oracle="SELECT vec_id, label, len(embedding) AS dim FROM embeddings")
+def src_embeddings(spark, sf):
+    e = read_table(spark, sf, "embeddings")
+    return e.select("vec_id", "label", F.size("embedding").alias("dim"))
+
+
+# --- search -------------------------------------------------------------------------------------
+def _dot_d(a, b):
+    return vx.dot(DUCK, a, b)
+
+
+@register("knn_exact", oracle=f"""
+  SELECT cast(row_number() OVER (ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, round(score, 6) AS score
+  FROM (SELECT e.vec_id, {_dot_d('e.embedding', 'q.embedding')} AS score
+        FROM embeddings e, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) q)
+  ORDER BY score DESC, vec_id LIMIT 5""")
+def knn_exact(spark, sf):
+    e = read_table(spark, sf, "embeddings")
+    q = e.orderBy("vec_id").select("embedding").first()[0]  # the one query vector (1 row)
+    top = vec.knn_exact(e, list(q), 5, id_col="vec_id")
+    return top.select(F.col("rank").cast("int").alias("rank"), "vec_id", F.round("score", 6).alias("score"))
+
+
+def _queries(spark, sf):
+    b = read_table(spark, sf, "benchmark")
+    return b.select(F.col("item_id").alias("query_id"), _x(vx.hashing_embedding(SPARK, "text")).alias("embedding"))
+
+
+Q_D = f"(SELECT item_id, {vx.hashing_embedding(DUCK, 'text')} AS q FROM benchmark)"
+KNN_BATCH_D = f"""
+  SELECT item_id, cast(rank AS INTEGER) AS rank, vec_id, round(score, 6) AS score FROM (
+    SELECT item_id, vec_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, vec_id) AS rank
+    FROM (SELECT b.item_id, e.vec_id, {_dot_d('e.embedding', 'b.q')} AS score FROM {Q_D} b, embeddings e))
+  WHERE rank <= {K}"""
+
+
+def _knn_out(df):
+    return df.select(F.col("query_id").alias("item_id"), F.col("rank").cast("int").alias("rank"), "vec_id",
+                     F.round("score", 6).alias("score"))
+
+
+@register("knn_batch", oracle=KNN_BATCH_D)
+def knn_batch(spark, sf):
+    e = read_table(spark, sf, "embeddings")
+    return _knn_out(vec.knn_batch(spark, e, _queries(spark, sf), K, id_col="vec_id"))
+
+
+def _ivf(spark, sf, centroids="sample"):
+    e = read_table(spark, sf, "embeddings")
+    c = (vec.sample_centroids(e, N_CELLS, id_col="vec_id") if centroids == "sample"
+         else vec.kmeans_centroids(e, N_CELLS))
+    return vec.assign_cells(spark, e, c), c
+
+
+@register("knn_ivf", oracle=KNN_BATCH_D)
+def knn_ivf(spark, sf):
+    """V03 probing every cell: must equal the exact search."""
+    idx, c = _ivf(spark, sf)
+    q = _queries(spark, sf)
+    probes = vec.probe_cells_for(q, c, nprobe=N_CELLS)
+    return _knn_out(vec.knn_batch(spark, idx, q, K, id_col="vec_id", probe_cells=probes))
+
+
+@register("knn_ivf_approx")
+def knn_ivf_approx(spark, sf):
+    """V03 with k-means cells and 2 probes (approximate: rows only)."""
+    idx, c = _ivf(spark, sf, "kmeans")
+    q = _queries(spark, sf)
+    probes = vec.probe_cells_for(q, c, nprobe=2)
+    return _knn_out(vec.knn_batch(spark, idx, q, K, id_col="vec_id", probe_cells=probes))
+
+
+@register("knn_recall")
+def knn_recall(spark, sf):
+    """Per query, share of the exact top-k found by the 2-probe IVF search."""
+    e = read_table(spark, sf, "embeddings")
+    q = _queries(spark, sf)
+    exact = vec.knn_batch(spark, e, q, K, id_col="vec_id").select("query_id", "vec_id")
+    idx, c = _ivf(spark, sf, "kmeans")
+    approx = vec.knn_batch(spark, idx, q, K, id_col="vec_id",
+                           probe_cells=vec.probe_cells_for(q, c, nprobe=2)).select("query_id", "vec_id")
+    hits = exact.join(approx, ["query_id", "vec_id"], "left_semi").groupBy("query_id").count()
+    return exact.select("query_id").distinct().join(hits, "query_id", "left") \
+        .select(F.col("query_id").alias("item_id"), (F.coalesce("count", F.lit(0)) / K).alias("recall"))
+
+
+SAMPLE_D = """(SELECT vec_id, embedding, cast(row_number() OVER (ORDER BY md5(cast(vec_id AS VARCHAR) || ':42'), vec_id) AS INTEGER) AS sample_rank
+               FROM embeddings ORDER BY md5(cast(vec_id AS VARCHAR) || ':42'), vec_id LIMIT {m})"""
+CELLS_D = f"""(SELECT vec_id, cast(cell AS INTEGER) AS cell FROM (
+    SELECT e.vec_id, c.sample_rank - 1 AS cell,
+           row_number() OVER (PARTITION BY e.vec_id ORDER BY
+             list_reduce(list_transform(list_zip(e.embedding, c.embedding),
+                         lambda p_: (cast(p_[1] AS DOUBLE) - cast(p_[2] AS DOUBLE)) ^ 2), lambda s_, v_: s_ + v_, 0::DOUBLE),
+             c.sample_rank) AS rn
+    FROM embeddings e, {SAMPLE_D.format(m=N_CELLS)} c) WHERE rn = 1)"""
+
+
+@register("index_append", oracle=f"SELECT vec_id, cell FROM {CELLS_D}")
+def index_append(spark, sf):
+    """Index the even ids first, then append the whole table (ids present are skipped)."""
+    e = read_table(spark, sf, "embeddings")
+    c = vec.sample_centroids(e, N_CELLS, id_col="vec_id")
+    first = vec.assign_cells(spark, e.filter(F.col("vec_id") % 2 == 0), c)
+    idx = vec.index_append(first, e, spark, c, id_col="vec_id")
+    return idx.select("vec_id", "cell")
+
+
+@register("index_stats", oracle=f"""
+  SELECT cell, count(*) AS n_vectors, sum(count(*)) OVER () AS total_vectors, 64 AS dimension
+  FROM {CELLS_D} GROUP BY cell""")
+def index_stats(spark, sf):
+    idx, _ = _ivf(spark, sf)
+    return vec.index_stats(idx).select("cell", "n_vectors", "total_vectors", F.col("dimension").cast("int"))
+
+
+# --- retrieval ---------------------------------------------------------------------------------------
+RETR_D = f"""
+  SELECT item_id, cast(rank AS INTEGER) AS rank, vector_id, round(score, 6) AS score, content FROM (
+    SELECT item_id, vector_id, score, content,
+           row_number() OVER (PARTITION BY item_id ORDER BY score DESC, vector_id) AS rank
+    FROM (SELECT b.item_id, s.vector_id, s.content, {_dot_d('s.e', 'b.q')} AS score
+          FROM {Q_D} b, (SELECT vector_id, content, {vx.hashing_embedding(DUCK, 'content')} AS e FROM {META1_D}) s))
+  WHERE rank <= 2"""
+
+
+def _retrieve(spark, sf):
+    m = _meta(spark, sf, 1)
+    store = m.select("vector_id", "content", _x(vx.hashing_embedding(SPARK, "content")).alias("embedding"))
+    top = vec.knn_batch(spark, store.select("vector_id", "embedding"), _queries(spark, sf), 2, id_col="vector_id")
+    # P03 fixed: ids carry their rank; contents joined back by key, order kept
+    return top.join(store.select("vector_id", "content"), "vector_id")
+
+
+@register("retrieve_context", oracle=RETR_D)
+def retrieve_context(spark, sf):
+    r = _retrieve(spark, sf)
+    return r.select(F.col("query_id").alias("item_id"), F.col("rank").cast("int").alias("rank"), "vector_id",
+                    F.round("score", 6).alias("score"), "content")
+
+
+@register("context_prompt", oracle=f"""
+  SELECT b.item_id, 'Question: ' || b.text || chr(10) || 'Context:' || chr(10) ||
+         string_agg('[' || r.rank || '] ' || r.content, chr(10) ORDER BY r.rank) AS prompt
+  FROM benchmark b JOIN ({RETR_D}) r ON b.item_id = r.item_id GROUP BY b.item_id, b.text""")
+def context_prompt(spark, sf):
+    r = _retrieve(spark, sf).select(F.col("query_id").alias("item_id"), "rank", "content")
+    b = read_table(spark, sf, "benchmark")
+    g = r.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("rank", "content"))).alias("ctx"))
+    parts = F.transform("ctx", lambda c: F.concat(F.lit("["), c["rank"].cast("string"), F.lit("] "), c["content"]))
+    return b.join(g, "item_id").select(
+        "item_id", F.concat(F.lit("Question: "), F.col("text"), F.lit("\nContext:\n"),
+                            F.array_join(parts, "\n")).alias("prompt"))
+
+
+# --- statistics ---------------------------------------------------------------------------------------
+@register("sample_seeded", oracle=f"SELECT sample_rank, vec_id FROM {SAMPLE_D.format(m=10)}")
+def sample_seeded(spark, sf):
+    return vec.seeded_sample(read_table(spark, sf, "embeddings"), 10, id_col="vec_id") \
+        .select(F.col("sample_rank").cast("int").alias("sample_rank"), "vec_id")
+
+
+@register("vector_mean", oracle=f"""
+  SELECT pos, round(avg(cast(x AS DOUBLE)), 6) AS mean
+  FROM {duck_explode('embeddings', 'vec_id', 'embedding', 'pos', 'x')} GROUP BY pos""")
+def vector_mean(spark, sf):
+    m = vec.vector_mean(read_table(spark, sf, "embeddings"))
+    return m.select((F.col("pos") + 1).cast("int").alias("pos"), F.round("mean", 6).alias("mean"))
+
+
+@register("pca_2d")
+def pca_2d(spark, sf):
+    """MLlib PCA on centred vectors (sign-fixed); rows only."""
+    return vec.pca_2d(read_table(spark, sf, "embeddings"), id_col="vec_id")
+
+
+@register("pca_cov", oracle=f"""
+  SELECT a.pos - 1 AS i, b.pos - 1 AS j, round(covar_samp(cast(a.x AS DOUBLE), cast(b.x AS DOUBLE)), 6) AS cov
+  FROM {duck_explode('embeddings', 'vec_id', 'embedding', 'pos', 'x')} a
+  JOIN {duck_explode('embeddings', 'vec_id', 'embedding', 'pos', 'x')} b ON a.vec_id = b.vec_id
+  GROUP BY a.pos, b.pos""")
+def pca_cov(spark, sf):
+    c = vec.covariance(read_table(spark, sf, "embeddings"))
+    return c.select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.round("cov", 6).alias("cov"))
+
+
+@register("batch_assign", oracle="""
+  SELECT vec_id, cast((row_number() OVER (ORDER BY vec_id) - 1) // 5 AS BIGINT) AS batch_no FROM embeddings""")
+def batch_assign(spark, sf):
+    """Feed batches of 5 in id order, numbered without a single-partition window."""
+    from textmill.operators.relational import global_row_number
+
+    e = read_table(spark, sf, "embeddings").select("vec_id")
+    r = global_row_number(spark, e, "vec_id")
+    return r.select("vec_id", F.floor((F.col("row_number") - 1) / 5).cast("long").alias("batch_no"))
