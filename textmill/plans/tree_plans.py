@@ -1 +1,179 @@
-"""placeholder"""
+"""Heading tree and structure-aware chunking queries (D01-D12) over ``pages``.
+
+Spark builds the tree with the row-local stack fold of ``operators.tree``; the
+oracle derives parents independently with one window per (size, bold) level
+(previous-greater element) and paths with a recursive CTE.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from textmill.functions import packer
+from textmill.functions import text as tx
+from textmill.functions.sqltext import DUCK
+from textmill.operators import tree as tr
+from textmill.plans.chunk_plans import FIXED_RUN_ID, duck_explode
+from textmill.plans.registry import register
+from textmill.session import read_table
+
+LEVELS = [(s, b) for s in (10.0, 12.0, 14.0, 16.0, 18.0) for b in (0, 1)]
+
+
+def _spans(spark, sf):
+    return tr.span_rows(read_table(spark, sf, "pages"))
+
+
+def _spans_c(spark, sf):
+    return tr.with_children(_spans(spark, sf))
+
+
+# --- oracle pieces ------------------------------------------------------------------------------
+_ITEMS_D = ("list_filter(list_transform(regexp_extract_all(html, '<(?:h1|p|li|b)>[^<]*'), "
+            f"lambda m_: {{'tag': regexp_extract(m_, '^<([a-z0-9]+)>', 1), "
+            f"'text': {tx.strip(DUCK, "regexp_replace(m_, '^<[a-z0-9]+>', '')")}}}), lambda s_: s_.text <> '')")
+SPANS_D = f"""(SELECT doc, span_idx, page, tag, text, size,
+       CASE WHEN tag IN ('h1', 'b') THEN 'Sans-Bold' ELSE 'Sans' END AS font,
+       CASE WHEN tag IN ('h1', 'b') THEN 1 ELSE 0 END AS bold
+  FROM (SELECT doc, pos - 1 AS span_idx, cast((pos - 1) // {tr.SPANS_PER_PAGE} + 1 AS INTEGER) AS page,
+               s.tag AS tag, s.text AS text,
+               cast({tr.span_size_sql('s.tag', 's.text', DUCK)} AS DOUBLE) AS size
+        FROM {duck_explode("(SELECT page_id AS doc, html FROM pages)", "doc", _ITEMS_D, "pos", "s")}))"""
+
+
+def _prev_greater_cols():
+    cols, cases = [], []
+    for i, (s, b) in enumerate(LEVELS):
+        cols.append(f"max(CASE WHEN span_idx >= 1 AND (size > {s} OR (size = {s} AND bold > {b})) THEN span_idx END) "
+                    f"OVER (PARTITION BY doc ORDER BY span_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS g{i}")
+        cases.append(f"WHEN size = {s} AND bold = {b} THEN g{i}")
+    return ", ".join(cols), " ".join(cases)
+
+
+_COLS, _CASES = _prev_greater_cols()
+PARENT_D = f"""(SELECT doc, span_idx, page, tag, text, size, font, bold,
+       CASE WHEN span_idx = 0 THEN NULL WHEN size >= root_size THEN 0
+            ELSE coalesce(CASE {_CASES} END, 0) END AS parent_idx
+  FROM (SELECT *, first_value(size) OVER (PARTITION BY doc ORDER BY span_idx) AS root_size, {_COLS}
+        FROM {SPANS_D}))"""
+TREE_D = f"""(WITH RECURSIVE p AS (SELECT * FROM {PARENT_D}),
+  t(doc, span_idx, depth, path) AS (
+    SELECT doc, span_idx, 0, text || '->' FROM p WHERE span_idx = 0
+    UNION ALL
+    SELECT c.doc, c.span_idx, t.depth + 1, t.path || c.text || '->' FROM p c JOIN t
+      ON c.doc = t.doc AND c.parent_idx = t.span_idx)
+  SELECT p.*, t.depth, t.path,
+         (SELECT count(*) FROM p k WHERE k.doc = p.doc AND k.parent_idx = p.span_idx) AS out_degree
+  FROM p JOIN t USING (doc, span_idx))"""
+TREEC_D = f"""(SELECT x.*, CASE WHEN out_degree > 0 THEN 1 ELSE 0 END AS has_children,
+       CASE WHEN EXISTS (SELECT 1 FROM {TREE_D} g WHERE g.doc = x.doc AND g.parent_idx = x.span_idx
+                         AND g.out_degree > 0) THEN 1 ELSE 0 END AS splittable
+  FROM {TREE_D} x)"""
+
+
+@register("span_extract", oracle=f"SELECT doc, span_idx, page, tag, text, size FROM {SPANS_D}")
+def span_extract(spark, sf):
+    return _spans(spark, sf).select("doc", "span_idx", "page", "tag", "text", "size")
+
+
+@register("span_bold", oracle=f"SELECT doc, span_idx, font, bold FROM {SPANS_D}")
+def span_bold(spark, sf):
+    return _spans(spark, sf).select("doc", "span_idx", "font", "bold")
+
+
+@register("tree_parent", oracle=f"SELECT doc, span_idx, parent_idx FROM {PARENT_D}")
+def tree_parent(spark, sf):
+    return _spans(spark, sf).select("doc", "span_idx", "parent_idx")
+
+
+@register("breadcrumb", oracle=f"SELECT doc, span_idx, depth, path FROM {TREE_D}")
+def breadcrumb(spark, sf):
+    return _spans(spark, sf).select("doc", "span_idx", "depth", "path")
+
+
+@register("tree_edges", oracle=f"""
+  SELECT doc, parent_idx, span_idx AS child_idx, has_children AS flag FROM {TREEC_D} WHERE parent_idx IS NOT NULL""")
+def tree_edges(spark, sf):
+    return tr.edges(_spans_c(spark, sf))
+
+
+@register("tree_stats", oracle=f"SELECT doc, span_idx, size, depth, out_degree, splittable FROM {TREEC_D}")
+def tree_stats(spark, sf):
+    return _spans_c(spark, sf).select("doc", "span_idx", "size", "depth", "out_degree", "splittable")
+
+
+@register("internal_paths", oracle=f"SELECT doc, span_idx, path FROM {TREEC_D} WHERE splittable = 1 AND parent_idx IS NOT NULL")
+def internal_paths(spark, sf):
+    return tr.internal_paths(_spans_c(spark, sf))
+
+
+RUNS_D = f"""(SELECT r.doc, r.root_idx, r.run_start, r.text, h.path, h.page,
+        CASE WHEN g.text IS NULL THEN h.text ELSE g.text || '->' || h.text END AS section
+  FROM (SELECT doc, parent_idx AS root_idx, min(span_idx) AS run_start,
+               string_agg(text, ' ' ORDER BY span_idx) AS text
+        FROM (SELECT *, sum(has_children) OVER (PARTITION BY doc, parent_idx ORDER BY span_idx
+                                                ROWS UNBOUNDED PRECEDING) AS run
+              FROM {TREEC_D} WHERE parent_idx IS NOT NULL)
+        WHERE has_children = 0 GROUP BY doc, parent_idx, run) r
+  JOIN {TREEC_D} h ON h.doc = r.doc AND h.span_idx = r.root_idx
+  LEFT JOIN {TREEC_D} g ON g.doc = h.doc AND g.span_idx = h.parent_idx)"""
+
+
+@register("section_runs", oracle=f"SELECT doc, root_idx, run_start, text FROM {RUNS_D}")
+def section_runs(spark, sf):
+    return tr.section_runs(_spans_c(spark, sf)).select("doc", "root_idx", "run_start", "text")
+
+
+@register("section_prefix", oracle=f"SELECT doc, root_idx, run_start, section, path FROM {RUNS_D}")
+def section_prefix(spark, sf):
+    return tr.section_runs(_spans_c(spark, sf)).select("doc", "root_idx", "run_start", "section", "path")
+
+
+def _duck_section_pack():
+    d = DUCK
+    one = d.arr(packer._sent(d, "text", tx.tokens(d, "text")))
+    return packer.pack(d, d.filter(one, "q_", "len(q_.toks) > 0"))
+
+
+PARTS_D = f"""(SELECT doc, page, run_start, part, '[Section: ' || section || '] ' || body AS content
+  FROM {duck_explode(f"(SELECT doc, page, run_start, section, {_duck_section_pack()} AS c FROM {RUNS_D})",
+                     "doc, page, run_start, section", "c", "part", "body")})"""
+SECTION_ROWS_D = f"""(SELECT doc, cast(page AS INTEGER) AS page_no,
+       cast(row_number() OVER (PARTITION BY doc, page ORDER BY run_start, part) AS INTEGER) AS chunk_id,
+       run_start, content FROM {PARTS_D})"""
+
+
+@register("section_chunk_rows", oracle=f"SELECT doc, page_no, chunk_id, run_start FROM {SECTION_ROWS_D}")
+def section_chunk_rows(spark, sf):
+    rows = _job(spark, sf, with_doc=True)
+    return rows.select("doc", "page_no", "chunk_id", "run_start")
+
+
+_URL_D = "(SELECT page_id AS doc, url FROM pages)"
+JOB_D = f"""
+  SELECT doc_id, chunk_id, pdf_path, page_no, content,
+         sha256(doc_id || '::' || cast(page_no AS VARCHAR) || '::' || cast(chunk_id AS VARCHAR) || '::' || content) AS chunk_hash,
+         '{FIXED_RUN_ID}' AS run_id
+  FROM (SELECT 'doc_' || substr(sha256(lower(replace(u.url, '\\', '/'))), 1, 16) AS doc_id, s.chunk_id,
+               u.url AS pdf_path, s.page_no, s.content
+        FROM {SECTION_ROWS_D} s JOIN {_URL_D} u ON s.doc = u.doc)"""
+
+
+def _job(spark, sf, with_doc=False):
+    pages = read_table(spark, sf, "pages")
+    runs = tr.section_runs(_spans_c(spark, sf))
+    runs = runs.join(pages.select(F.col("page_id").alias("doc"), "url"), "doc")
+    out = tr.section_chunks(runs, F.lit(FIXED_RUN_ID), F.col("url"), keep_doc=with_doc)
+    return out
+
+
+@register("job_section_chunks", oracle=JOB_D)
+def job_section_chunks(spark, sf):
+    return _job(spark, sf)
+
+
+@register("hash_distinct_check", oracle=f"""
+  SELECT count(*) AS n_rows, count(DISTINCT chunk_hash) AS n_distinct_hashes FROM ({JOB_D})""")
+def hash_distinct_check(spark, sf):
+    j = _job(spark, sf)
+    return j.agg(F.count("*").alias("n_rows"), F.count_distinct("chunk_hash").alias("n_distinct_hashes"))
