@@ -73,7 +73,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder under the shared checkpoint folder for written tables."""
+    """A fresh, not yet existing path under the shared checkpoint folder for a written table."""
     base = checkpoint_dir(spark)
     if base.startswith("file:"):
         base = base[len("file:"):]
@@ -82,7 +82,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
         return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     os.makedirs(base, exist_ok=True)
-    return tempfile.mkdtemp(prefix=f"{name}-", dir=base)
+    return os.path.join(tempfile.mkdtemp(prefix=f"{name}-", dir=base), "d")
 
 
 def table_path(sf_dir: str, name: str) -> str:
