@@ -174,30 +174,56 @@ def lines(d: Dialect, s: str) -> str:
 
 
 # --- T13 fold: merge soft wraps of one block exactly as the reference loop -------------
-def merge_block(d: Dialect, block: str) -> str:
-    """Fold over the block's lines with state (out: array<string>, buf: string|null).
+def _endswith(d: Dialect, s: str, suffix: str) -> str:
+    return f"endswith({s}, '{suffix}')" if d.spark else f"ends_with({s}, '{suffix}')"
+
+
+def _heading_stripped(d: Dialect, s: str) -> str:
+    """T10 on an already stripped, non-empty string; cheap anchored tests first and the
+    length guards before the word-level ones (a long buffer is never numbered/title)."""
+    return (f"({_endswith(d, s, ':')} or {is_bullet(d, s)} or {is_all_caps(d, s)} "
+            f"or ({length(d, s)} <= {NUMBERED_MAX_LEN} and {d.rx_like(s, NUMBERED_RE)}) "
+            f"or ({length(d, s)} <= {TITLE_MAX_LEN} and {is_title_like(d, s)}))")
+
 
-    The merge test compares the *accumulated buffer* with the next line, which is
-    what the reference does; the window form in ``operators.clean`` compares
-    neighbouring lines and differs after a lone bullet / number / enumerator.
+def _line_attrs(d: Dialect, line: str) -> str:
+    """Per-line facts computed once, outside the fold: stripped text, heading, bullet,
+    table, label start and sentence end."""
+    c = "c__"
+    head = f"({c} <> '' and {_heading_stripped(d, c)})"
+    body = d.struct(s=c, head=head, bul=is_bullet(d, c), tab=is_table(d, c),
+                    lab=d.rx_like(c, LABEL_START_RE), sent=d.rx_like(c, r"[.!?]$"))
+    return d.let(strip(d, rstrip(d, line)), c, body)
+
+
+def merge_block(d: Dialect, block: str) -> str:
+    """Fold over the block's lines with state (out, buf, bsent).
+
+    The merge test compares the *accumulated buffer* with the next line, as the
+    reference does; the window form in ``operators.clean`` compares neighbouring
+    lines and differs after a lone bullet / number / enumerator.  A buffer is
+    built from stripped, non-table lines joined by one space, so it is never a
+    table line itself, and it ends the way its last line ends (``bsent``); only
+    the heading and bullet tests must look at the buffer text.
     """
     empty_out = d.empty("string", "VARCHAR")
-    st = lambda out, buf: d.struct(out=out, buf=buf)
     null_s = "cast(null as string)" if d.spark else "cast(null as varchar)"
-    cur = "c__"
-    fresh = (f"case when {cur} = '' then {st('a.out', null_s)} "
-             f"when {protected(d, cur)} then {st(d.append('a.out', collapse_spaces(d, cur)), null_s)} "
-             f"else {st('a.out', cur)} end")
-    # fresh handling when the buffer was just flushed into out2
-    fresh_after = (f"case when {protected(d, cur)} then "
-                   f"{st(d.append('o2__', collapse_spaces(d, cur)), null_s)} "
-                   f"else {st('o2__', cur)} end")
+    st = lambda out, buf, sent="false": d.struct(out=out, buf=buf, bsent=sent)
+    x = "x__"
+    prot = f"({x}.head or {x}.bul or {x}.tab)"
+    fresh = (f"case when {x}.s = '' then {st('a.out', null_s)} "
+             f"when {prot} then {st(d.append('a.out', collapse_spaces(d, f'{x}.s')), null_s)} "
+             f"else {st('a.out', f'{x}.s', f'{x}.sent')} end")
+    fresh_after = (f"case when {prot} then {st(d.append('o2__', collapse_spaces(d, f'{x}.s')), null_s)} "
+                   f"else {st('o2__', f'{x}.s', f'{x}.sent')} end")
+    merge = (f"(not {x}.head and not {x}.bul and not {x}.tab and not a.bsent and not {x}.lab "
+             f"and not {_heading_stripped(d, 'a.buf')} and not {is_bullet(d, 'a.buf')})")
     body = (f"case when a.buf is null then {fresh} "
-            f"when {cur} = '' then {st(d.append('a.out', collapse_spaces(d, 'a.buf')), null_s)} "
-            f"when {should_merge(d, 'a.buf', cur)} then {st('a.out', "concat(a.buf, ' ', " + cur + ')')} "
+            f"when {x}.s = '' then {st(d.append('a.out', collapse_spaces(d, 'a.buf')), null_s)} "
+            f"when {merge} then {st('a.out', f'concat(a.buf, {chr(39)} {chr(39)}, {x}.s)', f'{x}.sent')} "
             f"else {d.let(d.append('a.out', collapse_spaces(d, 'a.buf')), 'o2__', fresh_after)} end")
-    step = d.let(strip(d, rstrip(d, "l")), cur, body)
-    folded = d.reduce(lines(d, block), st(empty_out, null_s), "a", "l", step)
+    attrs = d.transform(lines(d, block), "l", _line_attrs(d, "l"))
+    folded = d.reduce(attrs, st(empty_out, null_s), "a", x, body)
     final = d.let(folded, "f__", f"if(f__.buf is null, f__.out, {d.append('f__.out', collapse_spaces(d, 'f__.buf'))})")
     return strip(d, d.join(final, "'\\n'" if d.spark else "chr(10)"))
 

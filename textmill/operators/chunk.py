@@ -22,6 +22,14 @@ def _e(sql: str) -> Column:
     return F.expr(sql)
 
 
+def posexplode_keep(df: DataFrame, keep, arr: Column | str, pos: str = "pos", val: str = "val") -> DataFrame:
+    """``posexplode`` without the ``size(arr) > 0`` filter Spark infers for an inner
+    generator: that filter is pushed below the projection and would evaluate an
+    expensive array expression (a fold) twice.  The outer form plus a filter on the
+    generated position keeps one evaluation and drops the empty-array row."""
+    return df.select(*keep, F.posexplode_outer(arr).alias(pos, val)).filter(F.col(pos).isNotNull())
+
+
 # --- S02 -----------------------------------------------------------------------------------
 def pages_sql(d: Dialect, text: str, lines_per_page: int = LINES_PER_PAGE) -> str:
     """Stand-in page extractor for text documents: every ``lines_per_page`` lines form a page."""
@@ -35,8 +43,7 @@ def pages_sql(d: Dialect, text: str, lines_per_page: int = LINES_PER_PAGE) -> st
 def explode_pages(df: DataFrame, text_col: str = "text", keep=("doc_id",),
                   lines_per_page: int = LINES_PER_PAGE) -> DataFrame:
     """One row per page with a 1-based ``page_no`` (narrow: generate, no shuffle)."""
-    return df.select(*keep, F.posexplode(_e(pages_sql(SPARK, text_col, lines_per_page)))
-                     .alias("pos", "content")) \
+    return posexplode_keep(df, keep, _e(pages_sql(SPARK, text_col, lines_per_page)), "pos", "content") \
         .select(*keep, (F.col("pos") + 1).cast("int").alias("page_no"), "content")
 
 
@@ -54,7 +61,7 @@ def token_count(c: str) -> Column:
 
 
 def explode_sentences(df: DataFrame, text_col: str, keep=("doc_id",)) -> DataFrame:
-    return df.select(*keep, F.posexplode(sentences(text_col)).alias("pos", "sentence")) \
+    return posexplode_keep(df, keep, sentences(text_col), "pos", "sentence") \
         .select(*keep, (F.col("pos") + 1).cast("int").alias("sent_no"), "sentence")
 
 
@@ -100,8 +107,7 @@ def chunk_hash(doc_id: Column, page_no: Column, chunk_id: Column, content: Colum
 
 def chunk_rows(df: DataFrame, chunks_col: str, run_id: Column, path_col: str = "pdf_path") -> DataFrame:
     """One row per chunk, ``chunk_id`` 1-based within the page, hash and run id attached."""
-    out = df.select("doc_id", path_col, "page_no",
-                    F.posexplode(chunks_col).alias("pos", "content"))
+    out = posexplode_keep(df, ["doc_id", path_col, "page_no"], F.col(chunks_col), "pos", "content")
     return out.select(
         "doc_id",
         (F.col("pos") + 1).cast("int").alias("chunk_id"),

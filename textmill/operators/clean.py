@@ -49,7 +49,9 @@ def pdfize(d: Dialect, s: str) -> str:
 
 
 def explode_lines(df: DataFrame, text_col: str, keep=("doc_id",)) -> DataFrame:
-    return df.select(*keep, F.posexplode(_e(tx.lines(SPARK, text_col))).alias("pos", "line")) \
+    from textmill.operators.chunk import posexplode_keep
+
+    return posexplode_keep(df, keep, _e(tx.lines(SPARK, text_col)), "pos", "line") \
         .select(*keep, (F.col("pos") + 1).cast("int").alias("line_no"), "line")
 
 

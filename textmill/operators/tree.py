@@ -77,7 +77,9 @@ def span_rows(pages: DataFrame, doc_col: str = "page_id", html_col: str = "html"
     """Spans with tree columns: (doc, span_idx, page, tag, text, size, font, bold, parent_idx, depth, path)."""
     s = pages.select(F.col(doc_col).alias("doc"), spans_array(html_col).alias("spans"))
     s = s.select("doc", "spans", tree_fold("spans").alias("tree"))
-    z = s.select("doc", F.explode(F.arrays_zip("spans", "tree")).alias("z"))
+    from textmill.operators.chunk import posexplode_keep
+
+    z = posexplode_keep(s, ["doc"], F.arrays_zip("spans", "tree"), "_p", "z")
     return z.select("doc", F.col("z.spans.idx").alias("span_idx"), F.col("z.spans.page").alias("page"),
                     F.col("z.spans.tag").alias("tag"), F.col("z.spans.text").alias("text"),
                     F.col("z.spans.size").alias("size"), F.col("z.spans.font").alias("font"),
@@ -136,8 +138,10 @@ def section_chunks(runs: DataFrame, run_id: Column, path_col: Column, keep_doc:
     d = SPARK
     one = d.arr(packer._sent(d, "text", tx.tokens(d, "text")))
     packed = runs.withColumn("_c", F.expr(packer.pack(d, f"filter({one}, q_ -> size(q_.toks) > 0)")))
-    parts = packed.select("doc", "page", "run_start", "section", "url" if "url" in runs.columns else F.lit(None).alias("url"),
-                          F.posexplode("_c").alias("part", "body"))
+    from textmill.operators.chunk import posexplode_keep
+
+    keep = ["doc", "page", "run_start", "section"] + (["url"] if "url" in runs.columns else [])
+    parts = posexplode_keep(packed, keep, F.col("_c"), "part", "body")
     parts = parts.withColumn("content", F.concat(F.lit("[Section: "), F.col("section"), F.lit("] "), F.col("body")))
     w = W.partitionBy("doc", "page").orderBy("run_start", "part")
     out = parts.withColumn("chunk_id", F.row_number().over(w).cast("int"))

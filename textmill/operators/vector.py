@@ -219,7 +219,9 @@ def covariance(df: DataFrame, vec_col: str = "embedding") -> DataFrame:
                    f"k_ -> named_struct('i', k_ div size({vec_col}), 'j', k_ % size({vec_col}), "
                    f"'p', cast({vec_col}[k_ div size({vec_col})] as double) * cast({vec_col}[k_ % size({vec_col})] as double)))")
     means = vector_mean(df, vec_col)
-    prods = df.select(F.explode(outer).alias("e")).groupBy("e.i", "e.j") \
+    from textmill.operators.chunk import posexplode_keep
+
+    prods = posexplode_keep(df, [], outer, "_k", "e").groupBy("e.i", "e.j") \
         .agg(F.sum("e.p").alias("sxy"), F.count("*").alias("n"))
     mi = means.select(F.col("pos").alias("i"), F.col("mean").alias("mi"))
     mj = means.select(F.col("pos").alias("j"), F.col("mean").alias("mj"))

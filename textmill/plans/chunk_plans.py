@@ -87,7 +87,7 @@ def token_tail(spark, sf):
   FROM {duck_explode("documents", "doc_id", tx.token_split(DUCK, tx.tokens(DUCK, 'text'), '50'), "piece_no", "p")}""")
 def token_split(spark, sf):
     d = _docs(spark, sf).select("doc_id", ch.tokens("text").alias("t"))
-    return d.select("doc_id", F.posexplode(ch.token_split("t", 50)).alias("pos", "p")) \
+    return ch.posexplode_keep(d, ["doc_id"], ch.token_split("t", 50), "pos", "p") \
         .select("doc_id", (F.col("pos") + 1).cast("int").alias("piece_no"),
                 F.array_join("p", " ").alias("piece"), F.size("p").alias("n_tokens"))
 
@@ -120,7 +120,7 @@ def _duck_pack(sents: str) -> str:
   FROM {duck_explode("documents", "doc_id", _duck_pack(tx.sentences(DUCK, 'text')), "chunk_no", "content")}""")
 def chunk_pack(spark, sf):
     d = _docs(spark, sf).select("doc_id", ch.sentences("text").alias("s"))
-    return d.select("doc_id", F.posexplode(ch.pack_sentences("s")).alias("pos", "content")) \
+    return ch.posexplode_keep(d, ["doc_id"], ch.pack_sentences("s"), "pos", "content") \
         .select("doc_id", (F.col("pos") + 1).cast("int").alias("chunk_no"), "content",
                 ch.token_count("content").alias("n_tokens"))
 
@@ -178,7 +178,7 @@ def job_flat_chunks(spark, sf):
   FROM {duck_explode("documents", "doc_id", ch.fixed_windows_sql(DUCK, tx.tokens(DUCK, 'text'), 100, 20), "window_no", "content")}""")
 def chunk_fixed(spark, sf):
     d = _docs(spark, sf).select("doc_id", ch.tokens("text").alias("t"))
-    return d.select("doc_id", F.posexplode(ch.fixed_windows("t", 100, 20)).alias("pos", "content")) \
+    return ch.posexplode_keep(d, ["doc_id"], ch.fixed_windows("t", 100, 20), "pos", "content") \
         .select("doc_id", (F.col("pos") + 1).cast("int").alias("window_no"), "content")
 
 

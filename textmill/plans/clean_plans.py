@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from textmill.functions import text as tx
 from textmill.functions.sqltext import DUCK, SPARK
 from textmill.operators import clean as cl
+from textmill.operators.chunk import posexplode_keep
 from textmill.plans.chunk_plans import duck_explode
 from textmill.plans.registry import register
 from textmill.session import read_table
@@ -78,8 +79,7 @@ def clean_blanklines(spark, sf):
   SELECT doc_id, block_no, length(block) AS n_chars, md5(block) AS md5_block
   FROM {duck_explode("documents", "doc_id", tx.blocks(DUCK, tx.pre_clean(DUCK, RAW_D)), "block_no", "block")}""")
 def block_explode(spark, sf):
-    d = _docs(spark, sf).select("doc_id", F.posexplode(_x(tx.blocks(SPARK, tx.pre_clean(SPARK, RAW_S))))
-                                .alias("pos", "block"))
+    d = posexplode_keep(_docs(spark, sf), ["doc_id"], _x(tx.blocks(SPARK, tx.pre_clean(SPARK, RAW_S))), "pos", "block")
     return d.select("doc_id", (F.col("pos") + 1).cast("int").alias("block_no"),
                     F.length("block").alias("n_chars"), F.md5("block").alias("md5_block"))
 
@@ -150,8 +150,7 @@ _PRE_LINES_D = duck_explode(
 
 
 def _pre_lines(spark, sf):
-    b = _docs(spark, sf).select("doc_id", F.posexplode(_x(tx.blocks(SPARK, tx.pre_clean(SPARK, RAW_S))))
-                                .alias("pos", "block"))
+    b = posexplode_keep(_docs(spark, sf), ["doc_id"], _x(tx.blocks(SPARK, tx.pre_clean(SPARK, RAW_S))), "pos", "block")
     b = b.select("doc_id", (F.col("pos") + 1).cast("int").alias("block_no"), "block")
     return cl.explode_lines(b, "block", keep=("doc_id", "block_no"))
 

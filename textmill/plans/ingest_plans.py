@@ -44,7 +44,7 @@ def _spark_version(spark, sf, version):
     p60 = F.expr(_pieces_sql(SPARK, "content", 60))
     pieces = pages.select("doc_num", "doc_id", "pdf_path", "page_no",
                           F.when(size == 70, p70).otherwise(p60).alias("c"))
-    rows = pieces.select("doc_num", "doc_id", "pdf_path", "page_no", F.posexplode("c").alias("pos", "content")) \
+    rows = ch.posexplode_keep(pieces, ["doc_num", "doc_id", "pdf_path", "page_no"], F.col("c"), "pos", "content") \
         .withColumn("chunk_id", (F.col("pos") + 1).cast("int"))
     rows = rows.withColumn("chunk_hash", ch.chunk_hash(F.col("doc_id"), F.col("page_no"),
                                                        F.col("chunk_id"), F.col("content")))
