@@ -96,8 +96,11 @@ def query_source(spark: SparkSession, sql: str, max_len: int = SOURCE_SQL_MAX) -
     """Read-only SQL.  The keyword screen runs first; then the plan is explained
     (never executed) and any command node refuses the query."""
     screen(sql, max_len)
-    plan = spark.sql("EXPLAIN " + sql.strip().rstrip(";")).first()[0]
-    if re.search(r"Execute |Command|InsertInto|CreateTable|DropTable", plan):
+    try:
+        plan = "\n".join(r[0] for r in spark.sql("EXPLAIN " + sql.strip().rstrip(";")).collect())
+    except Exception as e:  # noqa: BLE001 - a query that cannot be planned is refused
+        raise GuardError(f"query refused: {str(e).splitlines()[0][:300]}") from None
+    if re.search(r"(?i)error occurred|exception|execute |command|insertinto|createtable|droptable", plan):
         raise GuardError("statement would modify data")
     return spark.sql(sql.strip().rstrip(";"))
 
