@@ -230,10 +230,9 @@ def merge_block(d: Dialect, block: str) -> str:
 
 def clean_text(d: Dialect, s: str) -> str:
     """Full clean; null or empty -> ''."""
-    pre = pre_clean(d, s)
-    merged = d.transform(blocks(d, pre), "b", merge_block(d, "b"))
+    merged = d.transform(blocks(d, pre_clean(d, "ct__")), "b", merge_block(d, "b"))
     sep = "'\\n\\n'" if d.spark else "chr(10) || chr(10)"
-    return f"if({s} is null or {s} = '', '', {d.join(merged, sep)})"
+    return d.let(s, "ct__", f"if(ct__ is null or ct__ = '', '', {d.join(merged, sep)})")
 
 
 # --- C01-C04 sentences and tokens ----------------------------------------------------------
@@ -258,9 +257,11 @@ def token_tail(d: Dialect, toks: str, n: str) -> str:
 
 def token_split(d: Dialect, toks: str, n: str) -> str:
     """Pieces of at most n tokens (array of token arrays); [] when n <= 0."""
-    k = f"{d.idiv(f'{d.size(toks)} + ({n}) - 1', n)}"
-    body = d.slice(toks, f"i * ({n}) + 1", n)
-    return f"if(({n}) <= 0, {d.empty('array<string>', 'VARCHAR[]')}, {d.transform(d.seq('0', f'{k} - 1'), 'i', body)})"
+    k = f"{d.idiv(f'{d.size("tk__")} + ({n}) - 1', n)}"
+    body = d.slice("tk__", f"i * ({n}) + 1", n)
+    # the token array is bound once: inside a lambda Spark would re-tokenise per piece
+    pieces = d.let(toks, "tk__", d.transform(d.seq('0', f'{k} - 1'), 'i', body))
+    return f"if(({n}) <= 0, {d.empty('array<string>', 'VARCHAR[]')}, {pieces})"
 
 
 # --- Spark Column wrappers ---------------------------------------------------------------------

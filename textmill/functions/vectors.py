@@ -21,11 +21,12 @@ def dot(d: Dialect, a: str, b: str) -> str:
 
 
 def l2_normalise(d: Dialect, v: str) -> str:
-    """V / ||v||; a zero vector stays zero."""
-    sq = dot(d, v, v)
-    return d.let(sq, "n_", d.transform(v, "x_", f"if(n_ = 0, 0D, cast(x_ as double) / sqrt(n_))")
-                 if d.spark else
-                 d.transform(v, "x_", "if(n_ = 0, 0::DOUBLE, cast(x_ AS DOUBLE) / sqrt(n_))"))
+    """V / ||v||; a zero vector stays zero.  ``v`` is bound once (it is often an
+    expensive expression such as the hashing encoder)."""
+    zero = "0D" if d.spark else "0::DOUBLE"
+    dbl = "double" if d.spark else "DOUBLE"
+    body = d.let(dot(d, "v__", "v__"), "n_", d.transform("v__", "x_", f"if(n_ = 0, {zero}, cast(x_ as {dbl}) / sqrt(n_))"))
+    return d.let(v, "v__", body)
 
 
 def token_bucket(d: Dialect, tok: str, dim: int = DIM) -> str:
@@ -37,10 +38,13 @@ def token_bucket(d: Dialect, tok: str, dim: int = DIM) -> str:
 
 def hashing_counts(d: Dialect, text: str, dim: int = DIM) -> str:
     """E02 default encoder, before normalisation: token counts per hash bucket."""
-    b = d.transform(tokens(d, text), "t_", token_bucket(d, "t_", dim))
-    cnt = d.size(d.filter("bs_", "c_", "c_ = i_"))
+    # each token becomes one character (U+00C0 + bucket); a bucket's count is how much
+    # shorter the code string gets when that character is removed (native replace, no
+    # per-token lambda per bucket)
+    codes = d.join(d.transform(tokens(d, text), "t_", f"chr({d.cast_int('192 + ' + token_bucket(d, 't_', dim))})"), "''")
+    cnt = f"length(bs_) - length(replace(bs_, chr({d.cast_int('192 + i_')}), ''))"
     vec = d.transform(d.seq("0", str(dim - 1)), "i_", f"cast({cnt} as double)" if d.spark else f"cast({cnt} AS DOUBLE)")
-    return d.let(b, "bs_", vec)
+    return d.let(codes, "bs_", vec)
 
 
 def hashing_embedding(d: Dialect, text: str, dim: int = DIM) -> str:

@@ -33,11 +33,10 @@ def posexplode_keep(df: DataFrame, keep, arr: Column | str, pos: str = "pos", va
 # --- S02 -----------------------------------------------------------------------------------
 def pages_sql(d: Dialect, text: str, lines_per_page: int = LINES_PER_PAGE) -> str:
     """Stand-in page extractor for text documents: every ``lines_per_page`` lines form a page."""
-    ln = tx.lines(d, text)
-    k = d.idiv(f"{d.size(ln)} + {lines_per_page - 1}", str(lines_per_page))
-    body = d.join(d.slice(ln, f"i * {lines_per_page} + 1", str(lines_per_page)),
+    k = d.idiv(f"{d.size('ln__')} + {lines_per_page - 1}", str(lines_per_page))
+    body = d.join(d.slice("ln__", f"i * {lines_per_page} + 1", str(lines_per_page)),
                   "'\\n'" if d.spark else "chr(10)")
-    return d.transform(d.seq("0", f"{k} - 1"), "i", body)
+    return d.let(tx.lines(d, text), "ln__", d.transform(d.seq("0", f"{k} - 1"), "i", body))
 
 
 def explode_pages(df: DataFrame, text_col: str = "text", keep=("doc_id",),
@@ -133,9 +132,10 @@ def fixed_windows_sql(d: Dialect, toks: str, size: int, overlap: int) -> str:
     """Token windows of ``size`` starting every ``size - overlap`` tokens; the last window
     is the one reaching the end."""
     step = size - overlap
-    n = d.size(toks)
+    n = d.size("fw__")
     k = f"greatest({d.idiv(f'{n} - {overlap} + {step} - 1', str(step))}, if({n} > 0, 1, 0))"
-    return d.transform(d.seq("0", f"{k} - 1"), "i", d.join(d.slice(toks, f"i * {step} + 1", str(size))))
+    return d.let(toks, "fw__", d.transform(d.seq("0", f"{k} - 1"), "i",
+                                           d.join(d.slice("fw__", f"i * {step} + 1", str(size)))))
 
 
 def fixed_windows(toks: str, size: int, overlap: int) -> Column:

@@ -33,13 +33,24 @@ class HashingEncoder:
         self.dim = dim
         self.name = f"hashing-md5-{dim}"
         self._tok = regex.compile(TOKEN_RE)
+        # token -> bucket, bounded like the reference's per-process token caches
+        self.cache_size = 200_000
+        self._cache: dict[str, int] = {}
+
+    def _bucket(self, tok: str) -> int:
+        b = self._cache.get(tok)
+        if b is None:
+            b = int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:8], 16) % self.dim
+            if len(self._cache) < self.cache_size:
+                self._cache[tok] = b
+        return b
 
     def encode(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim), dtype=np.float64)
         for i, t in enumerate(texts):
-            for tok in self._tok.findall(t or ""):
-                b = int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:8], 16) % self.dim
-                out[i, b] += 1.0
+            bs = [self._bucket(tok) for tok in self._tok.findall(t or "")]
+            if bs:
+                out[i] = np.bincount(bs, minlength=self.dim)
         n = np.sqrt((out * out).sum(axis=1, keepdims=True))
         return np.divide(out, n, out=np.zeros_like(out), where=n > 0)
 
@@ -61,12 +72,13 @@ def latest_content(df: DataFrame, key: str = "vector_id", ts: str = "created_at"
 
 
 def encode(df: DataFrame, text_col: str = "content", key: str = "vector_id",
-           factory: Callable[[], object] = HashingEncoder, batch_size: int = 64) -> DataFrame:
+           factory: Callable[[], object] = HashingEncoder, batch_size: int = 64,
+           keep: tuple[str, ...] = ()) -> DataFrame:
     """``key, embedding array<float>, model_name`` via ``mapInPandas``.
 
     Only the key and text cross into Python (column pruning stops at the
     Python boundary, so project first)."""
-    src = df.select(F.col(key).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))  # P05
+    src = df.select(F.col(key).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), *keep)  # P05
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = _encoder(factory)
@@ -74,11 +86,15 @@ def encode(df: DataFrame, text_col: str = "content", key: str = "vector_id",
             texts = pdf["t"].tolist()
             vecs = [enc.encode(texts[i:i + batch_size]) for i in range(0, len(texts), batch_size)]
             mat = np.vstack(vecs) if vecs else np.zeros((0, 0))
-            yield pd.DataFrame({"k": pdf["k"], "embedding": [row.astype(np.float32) for row in mat],
+            out = pd.DataFrame({"k": pdf["k"], "embedding": [row.astype(np.float32) for row in mat],
                                 "model_name": enc.name})
+            for c in keep:
+                out[c] = pdf[c].to_numpy()
+            yield out
 
     key_type = df.schema[key].dataType.simpleString()
-    out = src.mapInPandas(run, f"k {key_type}, embedding array<float>, model_name string")
+    extra = "".join(f", {c} {df.schema[c].dataType.simpleString()}" for c in keep)
+    out = src.mapInPandas(run, f"k {key_type}, embedding array<float>, model_name string{extra}")
     return out.withColumnRenamed("k", key)
 
 
@@ -123,6 +139,7 @@ def upsert_table(spark: SparkSession, path: str, source: DataFrame, key: str = "
     obs = Observation("upsert")
     merged = merged.observe(obs, *[F.count(F.when(F.col("_action") == a, 1)).alias(a)
                                    for a in ("inserted", "updated", "kept")])
-    (merged.drop("_action").withColumn("_bucket", bucket).write.mode("overwrite")
+    # one writer per bucket: a bounded number of files per rewritten partition
+    (merged.drop("_action").withColumn("_bucket", bucket).repartition("_bucket").write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(path))
     return obs.get

@@ -203,8 +203,10 @@ def ingest(spark: SparkSession, incoming: DataFrame, metadata_path: str,
     obs_in, obs_out = Observation("ingest_in"), Observation("ingest_out")
     to_write = plan_ingest(spark, incoming, existing, clock, obs_in, replace_document, buckets)
     to_write = to_write.observe(obs_out, F.count(F.lit(1)).alias("written"))
-    (to_write.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("doc_bucket" if buckets else "doc_id").parquet(metadata_path))
+    part = "doc_bucket" if buckets else "doc_id"
+    # one writer per storage partition: files per partition stay bounded
+    (to_write.repartition(part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(part).parquet(metadata_path))
     return {**obs_in.get, **obs_out.get}
 
 

@@ -135,7 +135,8 @@ def job_embed(spark, sf):
     path = scratch_path(spark, "embeddings") + "/table"
     for version, clock in ((1, CLOCK_A), (2, CLOCK_B)):
         latest = em.latest_content(_meta(spark, sf, version))
-        batch = em.encode(latest).withColumn("created_at", F.lit(clock).cast("timestamp"))
+        # encoded once and materialised: the uniqueness check and the merge both read it
+        batch = em.encode(latest).withColumn("created_at", F.lit(clock).cast("timestamp")).checkpoint()
         em.upsert_table(spark, path, batch)
     t = spark.read.parquet(path)  # S07 read-back
     return t.select("vector_id", "created_at", "model_name",
@@ -269,8 +270,12 @@ RETR_D = f"""
 
 def _retrieve(spark, sf):
     m = _meta(spark, sf, 1)
-    store = m.select("vector_id", "content", _x(vx.hashing_embedding(SPARK, "content")).alias("embedding"))
-    top = vec.knn_batch(spark, store.select("vector_id", "embedding"), _queries(spark, sf), 2, id_col="vector_id")
+    # the chunk store is encoded once through the encoder plug-in and materialised
+    # (reliable checkpoint): the search and the content lookup both read it
+    store = em.encode(m, keep=("content",)).checkpoint()
+    q = em.encode(read_table(spark, sf, "benchmark"), text_col="text", key="item_id") \
+        .select(F.col("item_id").alias("query_id"), "embedding")
+    top = vec.knn_batch(spark, store.select("vector_id", "embedding"), q, 2, id_col="vector_id")
     # P03 fixed: ids carry their rank; contents joined back by key, order kept
     return top.join(store.select("vector_id", "content"), "vector_id")
 
