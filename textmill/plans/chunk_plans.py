@@ -9,7 +9,7 @@ from textmill.functions import text as tx
 from textmill.functions.sqltext import DUCK, SPARK
 from textmill.operators import chunk as ch
 from textmill.plans.registry import register
-from textmill.session import read_table
+from textmill.session import read_table, read_text_table
 
 FIXED_RUN_ID = "20260101T000000Z"
 
@@ -18,7 +18,7 @@ PATH_SQL = "concat('Docs/', source, '/Doc_', cast(doc_id as varchar), '.PDF')"
 
 
 def _docs(spark, sf):
-    return read_table(spark, sf, "documents")
+    return read_text_table(spark, sf, "documents")
 
 
 def _pages(spark, sf):

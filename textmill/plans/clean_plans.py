@@ -15,11 +15,11 @@ from textmill.operators import clean as cl
 from textmill.operators.chunk import posexplode_keep
 from textmill.plans.chunk_plans import duck_explode
 from textmill.plans.registry import register
-from textmill.session import read_table
+from textmill.session import read_table, read_text_table
 
 
 def _docs(spark, sf):
-    return read_table(spark, sf, "documents")
+    return read_text_table(spark, sf, "documents")
 
 
 def _x(sql):

@@ -20,7 +20,7 @@ from textmill.operators import chunk as ch
 from textmill.operators import ingest as ing
 from textmill.plans.chunk_plans import PATH_SQL, _duck_doc_id, duck_explode
 from textmill.plans.registry import register
-from textmill.session import read_table, scratch_path
+from textmill.session import read_table, read_text_table, scratch_path
 
 RUN_A = "20260101T000000Z"
 RUN_B = "2026-02-01 00:00:00.000"
@@ -32,7 +32,7 @@ def _pieces_sql(d, text, n):
 
 
 def _spark_version(spark, sf, version):
-    docs = read_table(spark, sf, "documents")
+    docs = read_text_table(spark, sf, "documents")
     path = F.expr(PATH_SQL.replace("varchar", "string"))
     if version == 2:
         docs = docs.filter(F.col("doc_id") % 4 == 0)

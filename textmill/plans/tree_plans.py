@@ -15,13 +15,13 @@ from textmill.functions.sqltext import DUCK
 from textmill.operators import tree as tr
 from textmill.plans.chunk_plans import FIXED_RUN_ID, duck_explode
 from textmill.plans.registry import register
-from textmill.session import read_table
+from textmill.session import read_table, read_text_table
 
 LEVELS = [(s, b) for s in (10.0, 12.0, 14.0, 16.0, 18.0) for b in (0, 1)]
 
 
 def _spans(spark, sf):
-    return tr.span_rows(read_table(spark, sf, "pages"))
+    return tr.span_rows(read_text_table(spark, sf, "pages"))
 
 
 def _spans_c(spark, sf):

@@ -91,3 +91,27 @@ def table_path(sf_dir: str, name: str) -> str:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(table_path(sf_dir, name))
+
+
+def _path_bytes(spark: SparkSession, path: str) -> int:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return int(fs.getContentSummary(p).getLength())
+
+
+def spread(spark: SparkSession, df, input_bytes: int, bytes_per_task: int = 32 << 20):
+    """Give CPU-heavy row-local work (text folds, regexes) every core when the input is
+    too small to be split that many ways by the scan (a single row group becomes one
+    task).  Large inputs already scan as many splits as there are row groups, so they
+    are left alone: the round-robin shuffle only happens when it is cheap."""
+    cores = spark.sparkContext.defaultParallelism
+    if input_bytes < cores * bytes_per_task:
+        return df.repartition(cores)
+    return df
+
+
+def read_text_table(spark: SparkSession, sf_dir: str, name: str):
+    """``read_table`` for the text tables whose per-row work dominates (documents, pages)."""
+    path = table_path(sf_dir, name)
+    return spread(spark, spark.read.parquet(path), _path_bytes(spark, path))
