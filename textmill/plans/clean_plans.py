@@ -122,25 +122,27 @@ def _probe_duck():
 PROBE_D = _probe_duck()
 
 
-def _probe_query(name, spark_col, duck_expr):
-    @register(name, oracle=f"SELECT doc_id, line_no, variant, {duck_expr} AS {name.split('line_')[1]} FROM {PROBE_D}")
+def _probe_query(name, spark_sql, duck_expr):
+    col = name.split("line_")[1]
+
+    @register(name, oracle=f"SELECT doc_id, line_no, variant, {duck_expr} AS {col} FROM {PROBE_D}")
     def q(spark, sf):
         p = _probe_spark(spark, sf)
-        return p.select("doc_id", "line_no", "variant", spark_col.alias(name.split("line_")[1]))
+        return p.select("doc_id", "line_no", "variant", F.expr(spark_sql).alias(col))
     q.__name__ = name
     return q
 
 
-_probe_query("line_is_bullet", _x(tx.is_bullet(SPARK, tx.strip(SPARK, "line"))),
+_probe_query("line_is_bullet", tx.is_bullet(SPARK, tx.strip(SPARK, "line")),
              tx.is_bullet(DUCK, tx.strip(DUCK, "line")))
-_probe_query("line_is_caps", _x(tx.is_all_caps(SPARK, tx.strip(SPARK, "line"))),
+_probe_query("line_is_caps", tx.is_all_caps(SPARK, tx.strip(SPARK, "line")),
              tx.is_all_caps(DUCK, tx.strip(DUCK, "line")))
-_probe_query("line_is_numbered", _x(tx.is_numbered(SPARK, tx.strip(SPARK, "line"))),
+_probe_query("line_is_numbered", tx.is_numbered(SPARK, tx.strip(SPARK, "line")),
              tx.is_numbered(DUCK, tx.strip(DUCK, "line")))
-_probe_query("line_title_ratio", F.round(_x(tx.title_ratio(SPARK, tx.strip(SPARK, "line"))), 6),
+_probe_query("line_title_ratio", f"round({tx.title_ratio(SPARK, tx.strip(SPARK, 'line'))}, 6)",
              f"round({tx.title_ratio(DUCK, tx.strip(DUCK, 'line'))}, 6)")
-_probe_query("line_is_heading", _x(tx.heading_rule(SPARK, "line")), tx.heading_rule(DUCK, "line"))
-_probe_query("line_is_table", _x(tx.is_table(SPARK, "line")), tx.is_table(DUCK, "line"))
+_probe_query("line_is_heading", tx.heading_rule(SPARK, "line"), tx.heading_rule(DUCK, "line"))
+_probe_query("line_is_table", tx.is_table(SPARK, "line"), tx.is_table(DUCK, "line"))
 
 
 # --- T12 / T13 on the derived raw text -------------------------------------------------------
