@@ -78,3 +78,15 @@ def test_global_row_number_is_contiguous(spark):
     df = spark.range(0, 1000, 3).withColumnRenamed("id", "k").repartition(7)
     rows = sorted((r.k, r.row_number) for r in rel.global_row_number(spark, df, "k", n_parts=5).collect())
     assert [n for _, n in rows] == list(range(1, len(rows) + 1))
+
+
+def test_keyed_row_number_matches_window_on_a_hot_key(spark):
+    from pyspark.sql import Window as W
+
+    rnd = random.Random(4)
+    rows = [(0 if rnd.random() < 0.6 else rnd.randint(1, 20), rnd.randint(0, 10 ** 6), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k int, t long, id long")
+    got = {r.id: r.rn for r in rel.keyed_row_number(spark, df, ["k"], ["t", "id"], n_parts=6, name="rn").collect()}
+    w = W.partitionBy("k").orderBy("t", "id")
+    exp = {r.id: r.rn for r in df.withColumn("rn", F.row_number().over(w)).collect()}
+    assert got == exp

@@ -71,9 +71,16 @@ def truncate(c: Column, limit: int = OBS_LIMIT, suffix: str = TRUNC_SUFFIX) -> C
     return F.when(F.length(c) > limit, F.concat(F.substring(c, 1, limit), F.lit(suffix))).otherwise(c)
 
 
-def runs(events: DataFrame, user: str = "user_id", ts: str = "ts", order: str = "event_id") -> DataFrame:
-    """Steps numbered 1.. within each run (user, day)."""
+def runs(events: DataFrame, user: str = "user_id", ts: str = "ts", order: str = "event_id",
+         skew_safe: bool = False) -> DataFrame:
+    """Steps numbered 1.. within each run (user, day).  ``skew_safe`` numbers a run
+    that holds a large share of all events across many tasks
+    (``relational.keyed_row_number``) instead of one window partition."""
     ev = events.withColumn("run_day", F.to_date(ts))
+    if skew_safe:
+        from textmill.operators.relational import keyed_row_number
+
+        return keyed_row_number(ev.sparkSession, ev, [user, "run_day"], [ts, order], name="step_no")
     w = W.partitionBy(user, "run_day").orderBy(ts, order)
     return ev.withColumn("step_no", F.row_number().over(w).cast("int"))
 

@@ -114,3 +114,26 @@ def global_row_number(spark, df: DataFrame, order_col: str, n_parts: int | None
         W.orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_pid", "_off")
     return ranged.join(F.broadcast(offs), "_pid") \
         .withColumn("row_number", F.col("_off") + F.col("_ln")).drop("_m", "_pid", "_ln", "_off")
+
+
+def keyed_row_number(spark, df: DataFrame, keys: list[str], order: list[str],
+                     n_parts: int | None = None, name: str = "row_number") -> DataFrame:
+    """``row_number() over (partition by keys order by order)`` without putting a hot
+    key into one task.
+
+    Rows are range-partitioned on (keys, order), so a key holding a third of the
+    data spans many partitions; each row's position inside its (key, partition)
+    slice comes from ``monotonically_increasing_id`` (lineage cut with a reliable
+    checkpoint so ids are stable), and the slice offsets come from a small table of
+    one row per (key, partition).  Ties in ``order`` are numbered arbitrarily, as
+    with ``row_number``."""
+    n = n_parts or spark.sparkContext.defaultParallelism
+    ranged = (df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order)
+              .withColumn("_m", F.monotonically_increasing_id())).checkpoint()
+    ranged = ranged.withColumn("_pid", F.shiftright("_m", 33))
+    slices = ranged.groupBy(*keys, "_pid").agg(F.min("_m").alias("_m0"), F.count(F.lit(1)).alias("_n"))
+    w = W.partitionBy(*keys).orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
+    slices = slices.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    out = ranged.join(slices.select(*keys, "_pid", "_m0", "_off"), [*keys, "_pid"])
+    return out.withColumn(name, (F.col("_off") + F.col("_m") - F.col("_m0") + 1).cast("int")) \
+        .drop("_m", "_pid", "_m0", "_off")

@@ -139,7 +139,9 @@ def audit_runs(spark, sf):
   SELECT user_id, run_day, step_no, event_type AS tool, json_extract_string(props, '$.k') AS input,
          substr('value=' || printf('%.2f', value), 1, 500) AS observation FROM {_STEPS_D}""")
 def audit_steps(spark, sf):
-    s = _steps(spark, sf)
+    """Every step numbered; a run holding a large share of events is split over tasks."""
+    s = lg.runs(_ev(spark, sf), skew_safe=True).withColumn("input", F.get_json_object("props", "$.k")) \
+        .withColumn("obs", F.concat(F.lit("value="), F.format_number("value", 2)))
     return s.select("user_id", "run_day", "step_no", F.col("event_type").alias("tool"), "input",
                     F.substring("obs", 1, lg.STEP_LOG_LIMIT).alias("observation"))
 
