@@ -47,3 +47,17 @@ def test_dedup_aggregates_partially_before_the_shuffle(spark, qs):
 def test_top_k_per_group_limits_before_shuffle(spark, qs):
     plan = _plan(qs["sql_topk_group"](spark, SF001))
     assert "WindowGroupLimit" in plan
+
+
+def test_ingest_prunes_existing_partitions_at_run_time(spark):
+    from pyspark.sql import functions as F
+
+    from textmill.operators import ingest as ing
+    from textmill.plans import ingest_plans as ip
+    from textmill.session import scratch_path
+
+    path = scratch_path(spark, "m") + "/table"
+    clock = F.lit(ip.CLOCK).cast("timestamp")
+    ing.ingest(spark, ip._v1(spark, SF001), path, clock)
+    plan = _plan(ing.plan_ingest(spark, ip._v2(spark, SF001), ing.read_existing(spark, path), clock, buckets=64))
+    assert "dynamicpruningexpression(doc_bucket" in plan

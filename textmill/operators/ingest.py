@@ -192,13 +192,18 @@ def plan_ingest(spark: SparkSession, incoming: DataFrame, existing: DataFrame |
 
 def ingest(spark: SparkSession, incoming: DataFrame, metadata_path: str,
            clock: Column | None = None, replace_document: bool = False,
-           buckets: int | None = 64) -> dict:
+           buckets: int | None = 64, materialize_incoming: bool = False) -> dict:
     """Run one batch and overwrite only the impacted storage partitions.
 
     ``buckets=None`` reproduces the reference layout (one folder per doc_id);
     the default partitions by a hash bucket of doc_id so a table of millions of
     documents has a bounded number of folders and a batch rewrites only the
-    buckets it touches."""
+    buckets it touches.  The incoming batch is read three times by the plan (its
+    rows, the impacted keys, the dynamic-pruning subquery); when it is expensive to
+    recompute (not a plain file read) pass ``materialize_incoming=True`` to write it
+    once with a reliable checkpoint."""
+    if materialize_incoming:
+        incoming = incoming.checkpoint()
     existing = read_existing(spark, metadata_path)
     obs_in, obs_out = Observation("ingest_in"), Observation("ingest_out")
     to_write = plan_ingest(spark, incoming, existing, clock, obs_in, replace_document, buckets)
