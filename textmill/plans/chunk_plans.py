@@ -183,8 +183,8 @@ def chunk_fixed(spark, sf):
 
 
 @register("lang_chunk_summary", oracle=f"""
-  SELECT lang, count(*) AS n_docs, sum(len(s)) AS n_sentences, sum(len(t)) AS n_tokens,
-         sum(len(p)) AS n_pieces, count(DISTINCT sha256(text)) AS n_distinct_text
+  SELECT lang, count(*) AS n_docs, cast(sum(len(s)) AS BIGINT) AS n_sentences, cast(sum(len(t)) AS BIGINT) AS n_tokens,
+         cast(sum(len(p)) AS BIGINT) AS n_pieces, count(DISTINCT sha256(text)) AS n_distinct_text
   FROM (SELECT lang, text, {tx.sentences(DUCK, 'text')} AS s, {tx.tokens(DUCK, 'text')} AS t,
                {tx.token_split(DUCK, tx.tokens(DUCK, 'text'), '380')} AS p FROM documents)
   GROUP BY lang""")

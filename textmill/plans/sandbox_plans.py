@@ -15,8 +15,8 @@ from textmill.streaming import staging as st
 
 
 @register("src_binary_docs", oracle="""
-  SELECT source, sum(strlen(text) + 1) AS total_bytes,
-         sum(length(text) - length(replace(text, chr(10), '')) + 1) AS n_newlines
+  SELECT source, cast(sum(strlen(text) + 1) AS BIGINT) AS total_bytes,
+         cast(sum(length(text) - length(replace(text, chr(10), '')) + 1) AS BIGINT) AS n_newlines
   FROM documents GROUP BY source""")
 def src_binary_docs(spark, sf):
     """Documents written as text files (one folder per source), read back as binary."""

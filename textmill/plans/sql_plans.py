@@ -514,7 +514,7 @@ def fn_map(spark, sf):
 
 
 @register("fn_json", oracle="""
-  SELECT event_type, sum(cast(json_extract_string(props, '$.k') AS BIGINT)) AS sum_k,
+  SELECT event_type, cast(sum(cast(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS sum_k,
          max(cast(json_extract(props, '$.k') AS INTEGER)) AS max_k, count(*) AS n
   FROM events GROUP BY event_type""")
 def fn_json(spark, sf):

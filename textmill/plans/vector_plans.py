@@ -251,7 +251,7 @@ def index_append(spark, sf):
 
 
 @register("index_stats", oracle=f"""
-  SELECT cell, count(*) AS n_vectors, sum(count(*)) OVER () AS total_vectors, 64 AS dimension
+  SELECT cell, count(*) AS n_vectors, cast(sum(count(*)) OVER () AS BIGINT) AS total_vectors, 64 AS dimension
   FROM {CELLS_D} GROUP BY cell""")
 def index_stats(spark, sf):
     idx, _ = _ivf(spark, sf)
