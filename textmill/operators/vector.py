@@ -214,21 +214,37 @@ def vector_mean(df: DataFrame, vec_col: str = "embedding", by: list[str] | None
 
 
 def covariance(df: DataFrame, vec_col: str = "embedding") -> DataFrame:
-    """Sample covariance matrix as (i, j, cov): D x D groups, summed map-side."""
-    outer = F.expr(f"transform(sequence(0, size({vec_col}) * size({vec_col}) - 1), "
-                   f"k_ -> named_struct('i', k_ div size({vec_col}), 'j', k_ % size({vec_col}), "
-                   f"'p', cast({vec_col}[k_ div size({vec_col})] as double) * cast({vec_col}[k_ % size({vec_col})] as double)))")
-    means = vector_mean(df, vec_col)
-    from textmill.operators.chunk import posexplode_keep
-
-    prods = posexplode_keep(df, [], outer, "_k", "e").groupBy("e.i", "e.j") \
-        .agg(F.sum("e.p").alias("sxy"), F.count("*").alias("n"))
-    mi = means.select(F.col("pos").alias("i"), F.col("mean").alias("mi"))
-    mj = means.select(F.col("pos").alias("j"), F.col("mean").alias("mj"))
-    # means are D rows: a fixed-size side, broadcast
-    j = prods.join(F.broadcast(mi), "i").join(F.broadcast(mj), "j")
-    return j.select("i", "j", ((F.col("sxy") - F.col("n") * F.col("mi") * F.col("mj")) /
-                               (F.col("n") - 1)).alias("cov"))
+    """Sample covariance matrix as (i, j, cov).
+
+    Each task folds its Arrow batches into one partial (n, sum x, X^T X) with numpy
+    and emits D x D + D rows once; the partials are summed per (i, j).  Work grows
+    with rows x D^2 inside tasks, but only tasks x D^2 rows are shuffled (no row is
+    exploded into D^2 rows)."""
+
+    def partial(batches):
+        n, sx, g = 0, None, None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            X = np.stack(pdf[vec_col].map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
+            if g is None:
+                sx, g = np.zeros(X.shape[1]), np.zeros((X.shape[1], X.shape[1]))
+            n += X.shape[0]
+            sx += X.sum(axis=0)
+            g += X.T @ X
+        if g is None:
+            return
+        d = g.shape[0]
+        ii, jj = np.meshgrid(np.arange(d), np.arange(d), indexing="ij")
+        yield pd.DataFrame({"i": ii.ravel(), "j": jj.ravel(), "sxy": g.ravel(),
+                            "si": np.repeat(sx, d), "sj": np.tile(sx, d), "n": n})
+
+    parts = df.select(vec_col).mapInPandas(partial, "i int, j int, sxy double, si double, sj double, n long")
+    # per task the row sums are the same for every (i, j); sum the partials over tasks
+    tot = parts.groupBy("i", "j").agg(F.sum("sxy").alias("sxy"), F.sum("si").alias("si"),
+                                      F.sum("sj").alias("sj"), F.sum("n").alias("n"))
+    return tot.select("i", "j", ((F.col("sxy") - F.col("si") * F.col("sj") / F.col("n")) /
+                                 (F.col("n") - 1)).alias("cov"))
 
 
 def pca_2d(df: DataFrame, vec_col: str = "embedding", id_col: str = "id") -> DataFrame:
