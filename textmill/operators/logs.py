@@ -101,9 +101,14 @@ def scratchpad(steps: DataFrame, keys: list[str], tool: str, inp: str, obs: str)
 
 
 def once_policy(steps: DataFrame, keys: list[str], tool: str) -> DataFrame:
-    """A10: a tool used a second time in the same run is a violation."""
-    w = W.partitionBy(*keys, tool).orderBy("step_no")
-    return steps.withColumn("violation", F.row_number().over(w) > 1)
+    """A10: a tool used a second time in the same run is a violation.
+
+    The first use per (run, tool) is a partial-aggregating ``min`` rather than a
+    window over the group, so a run with a huge number of steps is pre-combined
+    map-side; the join back is an equi-join AQE can split if one key is hot."""
+    first = steps.groupBy(*keys, tool).agg(F.min("step_no").alias("_first"))
+    return steps.join(first, [*keys, tool]).withColumn("violation", F.col("step_no") > F.col("_first")) \
+        .drop("_first")
 
 
 def intent_clamp(label: Column) -> Column:

@@ -189,7 +189,7 @@ def intent_clamp(spark, sf):
          row_number() OVER (PARTITION BY user_id, run_day, event_type ORDER BY step_no) > 1 AS violation
   FROM {_STEPS_D}""")
 def policy_once(spark, sf):
-    s = lg.once_policy(_steps(spark, sf), ["user_id", "run_day"], "event_type")
+    s = lg.once_policy(lg.runs(_ev(spark, sf), skew_safe=True), ["user_id", "run_day"], "event_type")
     return s.select("user_id", "run_day", "step_no", "event_type", "violation")
 
 
