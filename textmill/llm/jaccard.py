@@ -12,7 +12,9 @@ Two documents link when the Jaccard similarity of their sets of word shingles is
    probes the long ones by bisection; members that reach the required overlap are kept and
    their Jaccard similarity is taken in whole numbers.
 4. Long lists that the links so far leave in several components go on to blocks of members,
-   every pair of blocks a task of its own: no cap, and no list in one task.
+   every pair of blocks a cell of its own: no cap, and no list in one task.  Lists that
+   share members form a family; where comparing its members once costs less than comparing
+   them list by list, the family takes the place of its lists.
 
 Class identities are 64-bit content hashes.  Null or wordless texts have an empty set and
 link with nothing; a row without id takes no part.  Repeated rows are one document.
@@ -34,7 +36,7 @@ from textmill.llm.graph import cells, components, stored
 
 CELLS = 1 << 20
 _PART = 1 << 12
-SHORT = 24
+SHORT = 32
 BLOCK = 256
 CHUNK = 256
 
@@ -299,10 +301,10 @@ def _verify(percent: int):
 
 
 def _block_links(percent: int):
-    """Runs of (mark, cell): links that join two components of what the run has linked so far."""
+    """Runs of one cell: links that join two components of what the run has linked so far."""
 
     def run(batches):
-        for t in textops.sorted_runs(batches, ["mark", "cell"]):
+        for t in textops.sorted_runs(batches, ["by_list", "group", "cell"]):
             ids, roots, sets = t.column("class").to_pylist(), t.column("root").to_pylist(), _sets(t)
             place = {}
             forest = textops.Forest(len(ids))
@@ -356,15 +358,31 @@ def jaccard_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
         .withColumn("root", F.coalesce("root", "class"))
     open_lists = members.groupBy("mark").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")) \
         .filter("_lo < _hi").select("mark")
-    members = cells(members.join(open_lists, "mark", "left_semi"), ["mark"], "class", BLOCK)
-    more = stored(spark, members.select("mark", "cell", "class", "root").join(sets, "class")
-                  .repartition("mark", "cell").sortWithinPartitions("mark", "cell")
+    members = stored(spark, members.join(open_lists, "mark", "left_semi"), "openlists")
+    groups = cells(_cheapest_groups(spark, members), ["by_list", "group"], "class", BLOCK)
+    more = stored(spark, groups.join(sets, "class")
+                  .repartition("by_list", "group", "cell").sortWithinPartitions("by_list", "group", "cell")
                   .mapInArrow(_block_links(percent), "a long, b long"), "blocklinks")
     if not more.isEmpty():
         roots = components(spark, links.unionByName(more))
     return _labelled(digests, classes, roots)
 
 
+def _cheapest_groups(spark: SparkSession, members: DataFrame) -> DataFrame:
+    """(by_list, group, class, root): per family of lists that share members, either the
+    family once or each of its lists, whichever has the smaller sum of squared sizes."""
+    first = members.groupBy("mark").agg(F.min("class").alias("a"), F.count("*").alias("n"))
+    families = components(spark, members.join(first, "mark").select("a", F.col("class").alias("b")))
+    families = families.withColumnRenamed("root", "family").withColumnRenamed("node", "class")
+    lists = first.join(families.withColumnRenamed("class", "a"), "a").select("mark", "n", "family")
+    by_list = lists.groupBy("family").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("cost"))
+    chosen = families.groupBy("family").count().join(by_list, "family") \
+        .select("family", (F.col("cost") < F.col("count").cast("double") * F.col("count")).alias("by_list"))
+    return members.join(families, "class").join(chosen, "family") \
+        .select("by_list", F.when(F.col("by_list"), F.col("mark")).otherwise(F.col("family")).alias("group"),
+                "class", "root").distinct()
+
+
 def _linked_pairs(spark: SparkSession, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     pairs = pairs.withColumn("chunk", F.pmod(F.xxhash64("b"), F.lit(2**40)))
     fan = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("_chunks"))
