@@ -28,9 +28,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Pieces and states kept per task before the tables start afresh (bounds the memory only).
-CACHE_PIECES = 200_000
-CACHE_STATES = 60_000
+#: Strings kept with their ids before the table starts afresh, and states made before the
+#: transducer runs on without keeping new ones.  Both bound the memory; ids never change.
+CACHE_STRINGS = 150_000
+CACHE_STATES = 150_000
 
 #: Fixed value: white space as the Unicode property, which the rank files' pattern means.
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -55,14 +56,15 @@ class Merges:
         self.ranks = ranks
         self.tokens = {v: k for k, v in ranks.items()}
         self._pairs: dict[tuple[int, int], bool] = {}
+        self._halves: dict[int, tuple[int, int]] = {}
 
-    def merged(self, piece: bytes) -> list[int]:
+    def merged(self, piece: bytes, below: int | None = None) -> list[int]:
         parts = [piece[i:i + 1] for i in range(len(piece))]
         while len(parts) > 1:
             best, at = None, -1
             for i in range(len(parts) - 1):
                 r = self.ranks.get(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r < best):
+                if r is not None and (best is None or r < best) and (below is None or r < below):
                     best, at = r, i
             if best is None:
                 break
@@ -76,9 +78,33 @@ class Merges:
         if known is None:
             if len(self._pairs) > 1_000_000:
                 self._pairs.clear()
-            known = self._pairs[key] = self.merged(self.tokens[a] + self.tokens[b]) == [a, b]
+            known = self._pairs[key] = self._apart(a, b)
         return known
 
+    def halves(self, token: int) -> tuple[int, int]:
+        """The two tokens whose merge makes this one; a single byte is its own half."""
+        found = self._halves.get(token)
+        if found is None:
+            parts = self.merged(self.tokens[token], below=token)
+            found = self._halves[token] = (parts[0], parts[-1])
+        return found
+
+    def _apart(self, a: int, b: int) -> bool:
+        """Undoes the later merge of the two sides again and again.  If, before it is made,
+        what faces each other at the border would merge earlier, the border does not hold."""
+        earliest = len(self.ranks) + 1
+        while True:
+            joint = self.ranks.get(self.tokens[a] + self.tokens[b])
+            if joint is not None and joint < earliest:
+                return False
+            left, right = self.halves(a)[1], self.halves(b)[0]
+            if left == a and right == b:
+                return True
+            if right == b or (left != a and a > b):
+                earliest, a = a, left
+            else:
+                earliest, b = b + 1, right
+
 
 class Transducer:
     """Bytes in, ranks out.  A state is (open bytes, per open prefix the tokens since the
@@ -88,9 +114,6 @@ class Transducer:
         self.merges = Merges(ranks)
         self.ranks = ranks
         self.prefixes = {t[:i] for t in ranks for i in range(1, len(t))}
-        self.reset()
-
-    def reset(self) -> None:
         self.state_ids = {}
         self.states: list[tuple] = []
         self.arcs: list[dict[int, tuple[int, tuple[int, ...]]]] = []
@@ -136,12 +159,42 @@ class Transducer:
         self.arcs[state][byte] = arc
         return arc
 
+    def _unkept(self, piece: bytes) -> list[int]:
+        """The same run without states: the last token of every prefix, then back from the end."""
+        ranks, prefixes, pairs, neighbours = self.ranks, self.prefixes, self.merges._pairs, self.merges.neighbours
+        last: list[tuple[int, int]] = [(-1, 0)]
+        open_at = [0]
+        for end in range(1, len(piece) + 1):
+            found, still = None, []
+            for begin in open_at:
+                run = piece[begin:end]
+                if found is None:
+                    rank = ranks.get(run)
+                    if rank is not None and (begin == 0 or pairs.get((last[begin][0], rank))
+                                             or neighbours(last[begin][0], rank)):
+                        found = (rank, begin)
+                if run in prefixes:
+                    still.append(begin)
+            if found is None:
+                raise ValueError("a byte is not in the vocabulary")
+            last.append(found)
+            still.append(end)
+            open_at = still
+        out, at = [], len(piece)
+        while at:
+            rank, at = last[at]
+            out.append(rank)
+        return out[::-1]
+
     def encode(self, piece: bytes) -> list[int]:
-        if len(self.states) > CACHE_STATES:
-            self.reset()
         arcs, state, out = self.arcs, self.start, []
+        full = len(self.states) >= CACHE_STATES
         for byte in piece:
-            arc = arcs[state].get(byte) or self._arc(state, byte)
+            arc = arcs[state].get(byte)
+            if arc is None:
+                if full:
+                    return self._unkept(piece)
+                arc = self._arc(state, byte)
             state = arc[0]
             if arc[1]:
                 out += arc[1]
@@ -156,17 +209,26 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.fst = Transducer(ranks)
         self.split = splitter(pattern)
-        self.cache: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.odd = regex.compile(f" (?=[{_WS}]|$)")
 
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            out = self.fst.encode(piece.encode())
+            ids = struct.pack(f"<{len(out)}I", *out)
+            if len(piece) < 64:
+                if len(self.pieces) > CACHE_STRINGS:
+                    self.pieces.clear()
+                self.pieces[piece] = ids
+        return ids
+
     def _chunk(self, chunk: str) -> bytes:
-        out: list[int] = []
-        for m in self.split.finditer(chunk):
-            out += self.fst.encode(m[0].encode())
-        return struct.pack(f"<{len(out)}I", *out)
+        return b"".join(map(self._piece, self.split.findall(chunk)))
 
     def encode(self, text: str) -> bytes:
-        return cut_and_join(text, self.odd, self.cache, self._chunk)
+        return cut_and_join(text, self.odd, self.chunks, self._chunk)
 
 
 def cut_and_join(text: str, odd, cache: dict[str, bytes], encode_chunk) -> bytes:
@@ -182,7 +244,7 @@ def cut_and_join(text: str, odd, cache: dict[str, bytes], encode_chunk) -> bytes
                 merged.append(p)
         parts = merged
     first = encode_chunk(parts[0]) if parts[0] else b""
-    if len(cache) > CACHE_PIECES:
+    if len(cache) > CACHE_STRINGS:
         cache.clear()
     out = [first]
     get = cache.get

@@ -4,10 +4,54 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from textmill.llm.bpe import encode_digests
 from textmill.llm.jaccard import jaccard_groups
-from textmill.session import read_table
+from textmill.llm.langid import identify_languages
+from textmill.llm.packing import pack_documents
+from textmill.llm.quality import quality_verdicts
+from textmill.llm.sharding import shard_by_bytes
+from textmill.session import read_table, scratch_path
+
+
+def held_out(id_col: str = "doc_id") -> Column:
+    """Whether a row's labels are kept from learning."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def op4_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule counts and the isolation forest's verdict of every document."""
+    return quality_verdicts(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")) \
+        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+                "anomaly")
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in token sequences of at most 2048 ids."""
+    return pack_documents(spark, read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in 40 shards of nearly equal bytes through a stored map of virtual slots."""
+    out = shard_by_bytes(spark, read_table(spark, sf_dir, "documents"), 40, scratch_path(spark, "slotmap"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                      F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+
+
+def op7_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every text's ids and of the text decoded from them."""
+    return encode_digests(spark, read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                          public_tokenizers.PATTERN)
+
+
+def op8_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from the rows that are not held out."""
+    docs = read_table(spark, sf_dir, "documents")
+    out = identify_languages(spark, docs, docs.filter(~held_out()))
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +62,7 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
+        op4_quality_forest, op5_best_fit_packing, op6_virtual_slots, op7_bpe_transducer, op8_cross_parsing,
         op9_ngram_jaccard,
     )}
 

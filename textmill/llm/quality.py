@@ -155,7 +155,7 @@ class IsolationForest:
     def __init__(self, rows: np.ndarray, trees: int = TREES, sample: int = TREE_ROWS, seed: int = 7):
         rng = np.random.Generator(np.random.PCG64(seed))
         sample = min(sample, len(rows))
-        self.depth = int(np.ceil(np.log2(max(sample, 2)))) + 4
+        self.depth = int(np.ceil(np.log2(max(sample, 2)))) * 4
         self.norm = self._expected(np.array([max(sample, 2)]))[0]
         self.trees = [self._grow(rows[rng.choice(len(rows), sample, replace=False)], rng) for _ in range(trees)]
 
@@ -174,7 +174,7 @@ class IsolationForest:
                 (high if right else low)[parent] = me
             # Splits reach past the data's range, so that rows outside it part early.
             span_lo, span_hi = part.min(0), part.max(0)
-            margin = 0.5 * (span_hi - span_lo) + 0.02
+            margin = 1.5 * (span_hi - span_lo) + 0.1
             if len(part) <= 1 or depth >= self.depth:
                 f, c = -1, 0.0
             else:
