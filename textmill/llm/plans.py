@@ -9,19 +9,35 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.llm.bpe import encode_digests
+from textmill.llm.embed_dedup import near_duplicates
 from textmill.llm.jaccard import jaccard_groups
 from textmill.llm.langid import identify_languages
 from textmill.llm.packing import pack_documents
 from textmill.llm.quality import quality_verdicts
 from textmill.llm.sharding import shard_by_bytes
+from textmill.llm.url_markov import judge
 from textmill.session import read_table, scratch_path
 
 
+#: Host and path, verdict.
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Whether a row's labels are kept from learning."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def op1_url_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url judged by the rules, or else by the two Markov models."""
+    return judge(spark, read_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of one label linked at a cosine of 0.98."""
+    return near_duplicates(spark, read_table(spark, sf_dir, "embeddings"))
+
+
 def op4_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule counts and the isolation forest's verdict of every document."""
     return quality_verdicts(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")) \
@@ -31,7 +47,8 @@ def op4_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in token sequences of at most 2048 ids."""
-    return pack_documents(spark, read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack_documents(spark, read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                          public_tokenizers.PATTERN)
 
 
 def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +79,8 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op4_quality_forest, op5_best_fit_packing, op6_virtual_slots, op7_bpe_transducer, op8_cross_parsing,
+        op1_url_markov, op2_embedding_dedup, op4_quality_forest, op5_best_fit_packing,
+        op6_virtual_slots, op7_bpe_transducer, op8_cross_parsing,
         op9_ngram_jaccard,
     )}
 
