@@ -12,6 +12,7 @@ from textmill.llm.bpe import encode_digests
 from textmill.llm.embed_dedup import near_duplicates
 from textmill.llm.jaccard import jaccard_groups
 from textmill.llm.langid import identify_languages
+from textmill.llm.line_dedup import without_duplicate_lines
 from textmill.llm.packing import pack_documents
 from textmill.llm.quality import quality_verdicts
 from textmill.llm.sharding import shard_by_bytes
@@ -77,11 +78,17 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("doc_id", "n_shingles", "component_id")
 
 
+def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without the lines that repeat an earlier one, exactly or nearly."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return without_duplicate_lines(spark, docs, percent=80)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_url_markov, op2_embedding_dedup, op4_quality_forest, op5_best_fit_packing,
         op6_virtual_slots, op7_bpe_transducer, op8_cross_parsing,
-        op9_ngram_jaccard,
+        op9_ngram_jaccard, op10_fuzzy_lines,
     )}
 
 
