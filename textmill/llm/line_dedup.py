@@ -1,16 +1,16 @@
 """Fuzzy line dedup: SimHash, pigeonhole blocks, edit verification, one line per group.
 
 Lines are normalised (A-Z lower-cased, runs of white space one space).  Equal normalised
-lines are one line from the start.  Longer lines get a 64-bit SimHash of their words; two
-hashes that differ in at most ``RADIUS`` bits agree on two of ``RADIUS + 2`` blocks, so
-lines meet under every pair of blocks.  A short bucket gives its pairs within the radius,
+lines are one line from the start.  Longer lines get a 64-bit SimHash of their distinct
+words; two hashes that differ in at most ``RADIUS`` bits agree on two of ``RADIUS + 2``
+blocks, so lines meet under every pair of blocks.  A short bucket gives its pairs within the radius,
 each in the first bucket that holds it; a long one gives links to pivots first and, where
 these leave several groups, all pairs of blocks of its members.  A link needs an edit
 similarity of ``percent`` / 100, where a word is a unit of edit: 1 - distance / longer length.
 
 In every connected group the occurrence of least (doc_id, line number) stays and all others
-go; repeated rows (equal id and text) are one document and stay alike.  Lines of fewer than ``MIN_WORDS`` words are never
-removed, those of fewer than ``FUZZY_WORDS`` only as equal lines.  A null text stays null and
+go; repeated rows (equal id and text) are one document and stay alike.  Lines of fewer
+than ``MIN_WORDS`` words are never removed, those of fewer than ``FUZZY_WORDS`` only as equal lines.  A null text stays null and
 an empty one empty; a row without id keeps its text and takes no part; extra columns stay.
 """
 
@@ -86,7 +86,12 @@ class Lines:
         powers = textops._powers(int(self.words.max(initial=1)))
         self.hash = textops.mix(np.add.reduceat(hashes * powers[at], head) + self.words.astype(np.uint64)) \
             if len(head) else np.zeros(0, np.uint64)
-        self.sim = simhash(hashes, head)
+        # each word of a line counts once, or a mark between all words would be the whole hash
+        lane = np.repeat(np.arange(len(head), dtype=np.uint64), self.words) << np.uint64(40)
+        kinds = np.sort(lane | (hashes >> np.uint64(24)))
+        kinds = kinds[np.diff(kinds, prepend=np.uint64(2**64 - 1)) != 0]
+        low = np.uint64(2**40 - 1)
+        self.sim = simhash(textops.mix(kinds & low), np.searchsorted(kinds >> np.uint64(40), np.arange(len(head), dtype=np.uint64)))
 
 
 def _line_rows(batches):

@@ -16,6 +16,7 @@ from textmill.llm.line_dedup import without_duplicate_lines
 from textmill.llm.packing import pack_documents
 from textmill.llm.quality import quality_verdicts
 from textmill.llm.sharding import shard_by_bytes
+from textmill.llm.toxicity import toxicity_scores, trained
 from textmill.llm.url_markov import judge
 from textmill.session import read_table, scratch_path
 
@@ -39,6 +40,14 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, read_table(spark, sf_dir, "embeddings"))
 
 
+def op3_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learnt from the labels that are not held out."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    model = trained(spark, docs, labels.filter(~held_out()))
+    return toxicity_scores(spark, docs, model).select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op4_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule counts and the isolation forest's verdict of every document."""
     return quality_verdicts(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")) \
@@ -86,8 +95,8 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_url_markov, op2_embedding_dedup, op4_quality_forest, op5_best_fit_packing,
-        op6_virtual_slots, op7_bpe_transducer, op8_cross_parsing,
+        op1_url_markov, op2_embedding_dedup, op3_compression_toxicity, op4_quality_forest,
+        op5_best_fit_packing, op6_virtual_slots, op7_bpe_transducer, op8_cross_parsing,
         op9_ngram_jaccard, op10_fuzzy_lines,
     )}
 
