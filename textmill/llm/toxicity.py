@@ -212,22 +212,28 @@ def _least(rows: DataFrame, limit: int) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= limit).drop("_r")
 
 
+def _texts_of(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    return texts.join(F.broadcast(rows), "doc_id").filter(F.xxhash64("text") == F.col("h"))
+
+
 def trained(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
     """(Dictionaries, Calibration) from the documents that ``labels`` (doc_id, toxic) mark;
     None unless both classes are there.  Equal texts go to the same side of the division."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")) \
         .filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")) \
-        .filter("text is not null").join(marks, "doc_id").withColumn("h", F.xxhash64("text"))
-    picked = stored(spark, _least(known.filter("pmod(h, 2) = 0").withColumn("text", F.substring("text", 1, DOC_CHARS)), TRAIN_DOCS),
-                    "toxtrain")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null")
+    known = stored(spark, texts.select("doc_id", F.xxhash64("text").alias("h")).join(marks, "doc_id").distinct(), "toxknown")
+    # a few thousand rows of ids at most, whatever the input, so they may be sent to all tasks
+    fit_rows = _least(known.filter("pmod(h, 2) <> 0"), FIT_DOCS)
+    train_rows = _least(known.filter("pmod(h, 2) = 0"), TRAIN_DOCS)
+    picked = _texts_of(texts, train_rows).withColumn("text", F.substring("text", 1, DOC_CHARS))
     rows = picked.orderBy("toxic", "h", "doc_id").collect()
     toxic, ordinary = ([r.text for r in rows if r.toxic == k] for k in (1, 0))
     if not toxic or not ordinary:
         return None
     dictionaries = Dictionaries(toxic, ordinary)
     shared = spark.sparkContext.broadcast(dictionaries)
-    fit = _least(known.filter("pmod(h, 2) <> 0"), FIT_DOCS).select("text", "toxic") \
+    fit = _texts_of(texts, fit_rows).select("text", "toxic") \
         .mapInArrow(_counts(shared), "toxic int, counts array<double>").collect()
     flags = np.array([r.toxic == 1 for r in fit], bool)
     if not flags.any() or flags.all():
