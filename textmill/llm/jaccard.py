@@ -36,7 +36,7 @@ from textmill.llm.graph import cells, components, stored
 
 CELLS = 1 << 20
 _PART = 1 << 12
-SHORT = 32
+SHORT = 8
 BLOCK = 256
 CHUNK = 256
 
@@ -349,8 +349,7 @@ def jaccard_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
         .unionByName(found.filter("b is null").select("a")).distinct()
     wanted = classes.join(wanted.withColumnRenamed("a", "class"), "class", "left_semi")
     sets = stored(spark, texts.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id")
-                  .select("class", "text").mapInArrow(_full_sets(width), "class long, marks binary")
-                  .dropDuplicates(["class"]), "sets")
+                  .select("class", "text").mapInArrow(_full_sets(width), "class long, marks binary"), "sets")
     links = _linked_pairs(spark, pairs, sets, percent)
     roots = components(spark, links)
     members = found.filter("b is null").select("mark", F.col("a").alias("class")).distinct() \
