@@ -53,7 +53,8 @@ def hashing_embedding(d: Dialect, text: str, dim: int = DIM) -> str:
 
 
 def as_float_rounded(d: Dialect, v: str, places: int = 4) -> str:
-    """Round each element after the float32 cast, the way a stored embedding is read back."""
+    """Round each element after the float32 cast, the way a stored embedding is read back;
+    adding zero makes a negative zero a plain one."""
     if d.spark:
-        return d.transform(v, "x_", f"round(cast(cast(x_ as float) as double), {places})")
-    return d.transform(v, "x_", f"round(cast(cast(x_ AS FLOAT) AS DOUBLE), {places})")
+        return d.transform(v, "x_", f"round(cast(cast(x_ as float) as double), {places}) + 0.0D")
+    return d.transform(v, "x_", f"round(cast(cast(x_ AS FLOAT) AS DOUBLE), {places}) + CAST(0 AS DOUBLE)")

@@ -131,14 +131,21 @@ def screen_sql(sql: Column, max_len: int = SOURCE_SQL_MAX) -> Column:
             .otherwise(F.concat(F.lit("blocked:"), kw)))
 
 
+def _one_per_key(rows: DataFrame, key: str, cols: list[str]) -> DataFrame:
+    """One row per key: of several the greatest in ``cols``, nulls least."""
+    return rows.groupBy(key).agg(F.max(F.struct(*cols)).alias("_m")).select(key, *[F.col("_m")[c].alias(c) for c in cols])
+
+
 def insert_if_absent(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """Put rows only for keys not present (left_anti + union)."""
-    return table.unionByName(rows.join(table.select(key), key, "left_anti"))
+    """Put rows only for keys not present, one row for each new key."""
+    new = rows.join(table.select(key), key, "left_anti")
+    return table.unionByName(_one_per_key(new, key, [c for c in table.columns if c != key]))
 
 
 def keyed_update(table: DataFrame, updates: DataFrame, key: str, cols: list[str]) -> DataFrame:
-    """Per-column update from the matching update row (left join + coalesce)."""
-    u = updates.select(key, *[F.col(c).alias("_u_" + c) for c in cols])
+    """Per-column update from the matching update row (left join + coalesce); several
+    updates of one key count as one, so that no row of the table is doubled."""
+    u = _one_per_key(updates, key, cols).select(key, *[F.col(c).alias("_u_" + c) for c in cols])
     j = table.join(u, key, "left")
     return j.select(*[F.coalesce(F.col("_u_" + c), F.col(c)).alias(c) if c in cols else F.col(c)
                       for c in table.columns])
