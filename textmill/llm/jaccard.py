@@ -3,7 +3,7 @@
 Two documents link when the Jaccard similarity of their sets of word shingles is at least
 ``percent`` / 100.  Texts with equal sets form one class and are searched once.
 
-1. A fixed-size count of all shingles (2^20 cells, summed over all documents) gives one
+1. A fixed-size count of all shingles (2^22 cells, summed over all documents) gives one
    total order of shingles, frequent ones last.  It only steers the work: any order is right.
 2. Sets of sizes a, b that link share at least ceil(percent * max(a, b) / 100) shingles, so
    they share one among the first ``size - that + 1`` in this order.  Classes are dealt by
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from textmill.llm import textops
 from textmill.llm.graph import cells, components, stored
 
-CELLS = 1 << 20
+CELLS = 1 << 22
 _PART = 1 << 12
 SHORT = 8
 BLOCK = 256
@@ -97,7 +97,7 @@ def _total(batches):
 
 
 def frequency_levels(docs: DataFrame, width: int) -> np.ndarray:
-    """One byte per cell of the shingle count, rising with the count (1 MB, whatever the input)."""
+    """One byte per cell of the shingle count, rising with the count (4 MB, whatever the input)."""
     rows = docs.select("text").mapInArrow(_count(width), "part int, counts binary") \
         .repartition("part").sortWithinPartitions("part").mapInArrow(_total, "part int, counts binary").collect()
     total = np.zeros(CELLS, np.int64)
