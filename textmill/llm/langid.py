@@ -134,6 +134,8 @@ class CrossParser:
 
     def __init__(self, samples: dict[str, list[str]]):
         self.langs = sorted(samples)
+        if not self.langs:
+            return
         points = {x: np.concatenate([code_points(" " + t + " ") for t in samples[x]])[:SAMPLE_CHARS] for x in self.langs}
         self.alphabet = Alphabet(list(points.values()))
         self.tables, self.scale = [], []
