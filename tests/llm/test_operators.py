@@ -455,6 +455,22 @@ def test_jaccard_odd_tables(spark):
     assert jaccard.jaccard_groups(spark, docs.limit(0)).count() == 0
 
 
+def test_parities_never_part_sets_that_link():
+    rng = np.random.default_rng(5)
+    parted = 0
+    for _ in range(300):
+        x = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 700)), dtype=np.uint64))
+        keep = x[rng.random(len(x)) < rng.choice([0.3, 0.9, 0.99])]
+        y = np.unique(np.concatenate([keep, rng.integers(0, 2**63, int(rng.integers(0, 60)), dtype=np.uint64)]))
+        if not len(y):
+            continue
+        both = len(np.intersect1d(x, y))
+        may = jaccard.may_link(80, len(x), jaccard.parities(x), len(y), jaccard.parities(y))
+        assert may or 100 * both < 80 * (len(x) + len(y) - both)
+        parted += not may
+    assert parted
+
+
 def test_divide_skip_finds_every_frequent_member():
     rng = random.Random(12)
     for _ in range(300):

@@ -8,6 +8,8 @@ Two documents link when the Jaccard similarity of their sets of word shingles is
 2. Sets of sizes a, b that link share at least ceil(percent * max(a, b) / 100) shingles, so
    they share one among the first ``size - that + 1`` in this order.  Classes are dealt by
    these few shingles.  A short list gives its pairs, a long one its links to a pivot.
+   Pairs whose sets must differ in too many members are left out: each set has a bitmap of
+   parities, and bitmaps never differ in more places than their sets have members apart.
 3. Candidates meet as full sets.  Each query merges its short inverted lists on a heap and
    probes the long ones by bisection; members that reach the required overlap are kept and
    their Jaccard similarity is taken in whole numbers.
@@ -62,6 +64,25 @@ def _class_id(s: np.ndarray) -> int:
                                                     np.uint64)))[0])
 
 
+def parities(s: np.ndarray) -> bytes:
+    """One bit per cell, at least as many cells as members: whether it holds an odd number."""
+    bits = 1 << max(8, (len(s) - 1).bit_length())
+    held = np.bincount(((s >> np.uint64(24)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((held & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_link(percent: int, a: int, bits_a: bytes, b: int, bits_b: bytes) -> bool:
+    """False only where sets of sizes a and b with these parities cannot link."""
+    x, y = int.from_bytes(bits_a, "little"), int.from_bytes(bits_b, "little")
+    wide_x, wide_y = 8 * len(bits_a), 8 * len(bits_b)
+    while wide_x != wide_y:
+        if wide_x < wide_y:
+            x, y, wide_x, wide_y = y, x, wide_y, wide_x
+        wide_x //= 2
+        x = (x & ((1 << wide_x) - 1)) ^ (x >> wide_x)
+    return (x ^ y).bit_count() <= a + b - 2 * need(percent, a, b)
+
+
 def _count(width: int):
     def run(batches):
         total = np.zeros(CELLS, np.int64)
@@ -114,11 +135,13 @@ def _digest(width: int, percent: int, levels):
             ids = b.column(0)
             sizes, classes, rows = [], [], []
             marks: list[np.ndarray] = []
+            bits = []
             for i, s in text_sets(b.column(1), width):
                 n = len(s)
                 sizes.append(n)
                 known = n and ids[i].is_valid
                 classes.append(_class_id(s) if known else None)
+                bits.append(parities(s) if known else None)
                 if not known:
                     rows.append(0)
                     continue
@@ -131,8 +154,8 @@ def _digest(width: int, percent: int, levels):
             flat = textops.as_long(np.concatenate(marks)) if marks else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [ids.cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int64()))],
-                ["doc_id", "n_shingles", "class", "marks"])
+                 pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int64())), pa.array(bits, pa.binary())],
+                ["doc_id", "n_shingles", "class", "marks", "bits"])
 
     return run
 
@@ -204,6 +227,18 @@ def _candidates(percent: int):
     return run
 
 
+def _possible(percent: int):
+    """Keeps the pairs (a, b) whose sizes and parities allow a link."""
+
+    def run(batches):
+        for b in batches:
+            cols = [b.column(i).to_pylist() for i in range(2, 6)]
+            keep = [may_link(percent, *x) for x in zip(*cols, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 class InvertedIndex:
     """Sorted posting lists over the sets of one task's members."""
 
@@ -324,8 +359,14 @@ def _block_links(percent: int):
 def _full_sets(width: int):
     def run(batches):
         for b in batches:
-            sets = [s.tobytes() for _, s in text_sets(b.column(1), width)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["class", "marks"])
+            ids, classes, sets = b.column(0).to_pylist(), [], []
+            for i, s in text_sets(b.column(1), width):
+                # an id that repeats with another text brings that text too
+                if _class_id(s) == ids[i]:
+                    classes.append(ids[i])
+                    sets.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(sets, pa.binary())],
+                                             ["class", "marks"])
 
     return run
 
@@ -337,14 +378,14 @@ def jaccard_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     levels = spark.sparkContext.broadcast(frequency_levels(texts, width))
     digests = stored(spark, texts.mapInArrow(_digest(width, percent, levels),
-                                             "doc_id long, n_shingles long, class long, marks array<long>"), "digests")
+                                             "doc_id long, n_shingles long, class long, marks array<long>, bits binary"), "digests")
     classes = stored(spark, digests.filter("class is not null").groupBy("class")
                      .agg(F.min("doc_id").alias("rep")), "classes")
     reps = digests.join(classes.select("class", F.col("rep").alias("doc_id")), ["doc_id", "class"], "left_semi")
     postings = reps.select(F.explode("marks").alias("mark"), F.col("n_shingles").alias("n"), "class")
     found = stored(spark, postings.repartition("mark").sortWithinPartitions("mark", "n", "class")
                    .mapInArrow(_candidates(percent), "mark long, a long, b long"), "candidates")
-    pairs = found.filter("b is not null").select("a", "b").distinct()
+    pairs = _possible_pairs(spark, found.filter("b is not null").select("a", "b").distinct(), reps, percent)
     wanted = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))) \
         .unionByName(found.filter("b is null").select("a")).distinct()
     wanted = classes.join(wanted.withColumnRenamed("a", "class"), "class", "left_semi")
@@ -359,14 +400,24 @@ def jaccard_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
         .filter("_lo < _hi").select("mark")
     members = stored(spark, members.join(open_lists, "mark", "left_semi"), "openlists")
     groups = cells(_cheapest_groups(spark, members), ["by_list", "group"], "class", BLOCK)
+    # the number is given, as cells of few bytes may be long work
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     more = stored(spark, groups.join(sets, "class")
-                  .repartition("by_list", "group", "cell").sortWithinPartitions("by_list", "group", "cell")
+                  .repartition(tasks, "by_list", "group", "cell").sortWithinPartitions("by_list", "group", "cell")
                   .mapInArrow(_block_links(percent), "a long, b long"), "blocklinks")
     if not more.isEmpty():
         roots = components(spark, links.unionByName(more))
     return _labelled(digests, classes, roots)
 
 
+def _possible_pairs(spark: SparkSession, pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    marked = reps.select("class", "n_shingles", "bits").dropDuplicates(["class"])
+    for side in ("a", "b"):
+        pairs = pairs.join(marked.toDF(side, f"n_{side}", f"bits_{side}"), side)
+    return stored(spark, pairs.select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
+                  .mapInArrow(_possible(percent), "a long, b long"), "pairs")
+
+
 def _cheapest_groups(spark: SparkSession, members: DataFrame) -> DataFrame:
     """(by_list, group, class, root): per family of lists that share members, either the
     family once or each of its lists, whichever has the smaller sum of squared sizes."""
@@ -398,5 +449,5 @@ def _labelled(digests: DataFrame, classes: DataFrame, roots: DataFrame) -> DataF
         .withColumn("root", F.coalesce("root", "class"))
     least = known.groupBy("root").agg(F.min("rep").alias("component_id"))
     labels = known.join(least, "root").select("class", "component_id")
-    return digests.drop("marks").join(labels, "class", "left") \
+    return digests.drop("marks", "bits").join(labels, "class", "left") \
         .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "class")
