@@ -88,3 +88,15 @@ def test_validation_rejects_required_nulls(spark):
                                "doc_id string, chunk_id int, pdf_path string, page_no int, content string, "
                                "chunk_hash string, run_id string")
     assert [r.reject_reason for r in ing.validate(df).collect()] == ["null pdf_path", "null content"]
+
+
+def test_stream_reads_run_ids_of_the_sink(spark):
+    from textmill.session import scratch_path
+    from textmill.streaming import staging
+
+    rows = [_row("doc_a", 1, 1, "one", "20260101T000000Z", "h1"), _row("doc_a", 1, 1, "two", "20260201T000000Z", "h2")]
+    df = spark.createDataFrame(rows, ing.CHUNK_SCHEMA.simpleString().replace("struct<", "").rstrip(">"))
+    stage, table = scratch_path(spark, "stage"), scratch_path(spark, "t") + "/table"
+    ing.write_chunks_json(df, stage)
+    staging.stream_ingest(spark, stage, table, scratch_path(spark, "ckpt"))
+    assert [(r.content, r.run_id) for r in spark.read.parquet(table).collect()] == [("two", "20260201T000000Z")]

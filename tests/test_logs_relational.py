@@ -27,6 +27,15 @@ def _py_decision(raw):
     return None if d is None else d.get("type")
 
 
+def test_parse_decision_of_a_long_and_a_deep_answer(spark):
+    answer = 'x\\"' * 300_000
+    deep = '{"type": "final", "answer": ' + "[" * 200 + "]" * 200 + "}"
+    df = spark.createDataFrame([(1, '{"type": "final", "answer": "' + answer + '"}'), (2, deep)], "i int, raw string")
+    got = df.select("i", lg.parse_decision("raw").alias("d")).select("i", "d.type", F.length("d.answer").alias("n")) \
+        .orderBy("i").collect()
+    assert [(r.type, r.n) for r in got] == [("final", 600_000), ("final", 400)]
+
+
 def test_parse_decision_shapes(spark):
     raws = ['{"type": "action", "tool": "view", "input": "1"}', 'Sure. {"type": "final", "answer": "42"} bye',
             '{"type": "a"} {"type": "b"}', "no braces", None, '[1, 2]', '{"type": 5}', '  {"type": "final"}  ']

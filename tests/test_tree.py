@@ -1,10 +1,9 @@
-"""Stack-fold parents vs the recursive descent; runs and prefixes on inline spans."""
+"""Stack-fold parents against their definition; runs and prefixes on inline spans."""
 
 import random
 
 from pyspark.sql import functions as F
 
-import brute
 from textmill.operators import tree as tr
 
 
@@ -21,14 +20,23 @@ def _fold_parents(spark, docs):
     return [[e.parent for e in r.t] for r in out]
 
 
-def test_parents_match_recursive_descent(spark):
+def _nearest_above(spans, n):
+    """The latest earlier span of greater (size, bold); the root, where the size reaches its."""
+    if n == 0:
+        return None
+    if spans[n][0] >= spans[0][0]:
+        return 0
+    return max(i for i in range(n) if spans[i] > spans[n])
+
+
+def test_parents_are_the_nearest_greater_spans(spark):
     rnd = random.Random(11)
     docs = [[(rnd.choice([10, 12, 14, 16, 18]), rnd.randint(0, 1)) for _ in range(rnd.randint(0, 25))]
             for _ in range(200)]
     docs += [[], [(12, 0)], [(12, 0), (12, 1), (12, 0)], [(14, 0), (14, 1), (12, 0), (14, 0)]]
     got = _fold_parents(spark, docs)
     for spans, g in zip(docs, got):
-        assert g == brute.tree_parents(spans), spans
+        assert g == [_nearest_above(spans, n) for n in range(len(spans))], spans
         assert all(p is None or p < i for i, p in enumerate(g))
 
 

@@ -216,14 +216,15 @@ def ingest(spark: SparkSession, incoming: DataFrame, metadata_path: str,
 
 
 def write_chunks_json(df: DataFrame, path: str) -> None:
-    """One folder per run (``run_id=<id>``) of JSON lines."""
-    df.write.mode("append").partitionBy("run_id").json(path)
+    """One folder per run (``run=<id>``) of JSON lines.  The rows keep their run_id, so
+    a reader that ignores folder names, as the stream does, has it too."""
+    df.withColumn("run", F.col("run_id")).write.mode("append").partitionBy("run").json(path)
 
 
 def read_chunks_json(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """All staged chunk files under ``path`` with the fixed schema (no inference).
     ``multiline`` reads files that hold one JSON array each, as the staged files do."""
-    reader = spark.read.schema(CHUNK_SCHEMA).option("multiLine", multiline)
+    reader = spark.read.schema(CHUNK_SCHEMA).option("multiLine", multiline).option("recursiveFileLookup", "true")
     df = reader.json(path)
     return df
 

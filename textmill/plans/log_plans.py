@@ -197,10 +197,9 @@ def policy_once(spark, sf):
   SELECT user_id, run_day, count(*) FILTER (WHERE step_no <= 8) AS kept_steps,
          max(step_no) > 8 AS hit_max_steps FROM {_STEPS_D} GROUP BY user_id, run_day""")
 def step_cap(spark, sf):
-    s = lg.runs(_ev(spark, sf))
-    return s.groupBy("user_id", "run_day").agg(
-        F.count(F.when(F.col("step_no") <= lg.MAX_STEPS, 1)).alias("kept_steps"),
-        (F.max("step_no") > lg.MAX_STEPS).alias("hit_max_steps"))
+    n = F.count("*")
+    return _ev(spark, sf).groupBy("user_id", F.to_date("ts").alias("run_day")).agg(
+        F.least(n, F.lit(lg.MAX_STEPS).cast("long")).alias("kept_steps"), (n > lg.MAX_STEPS).alias("hit_max_steps"))
 
 
 _SQL_SPARK = """CASE event_type

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from textmill.operators import ingest as ing
 from textmill.plans import ingest_plans as ip
 from textmill.plans.registry import register
 from textmill.session import read_table, scratch_path
@@ -174,8 +175,8 @@ def sandbox_dml(spark, sf):
 
 def _stage(spark, sf):
     staging = scratch_path(spark, "staging")
-    ip._v1(spark, sf).write.json(staging + "/run1")
-    ip._v2(spark, sf).write.json(staging + "/run2")
+    ing.write_chunks_json(ip._v1(spark, sf), staging)
+    ing.write_chunks_json(ip._v2(spark, sf), staging)
     return staging
 
 
