@@ -150,12 +150,19 @@ class Transducer:
         live = [(run, toks) for run, toks in grown if run in self.prefixes]
         live.append((b"", new))
         # what all open prefixes agree on is settled
-        agreed = 0
-        shortest = min(len(t) for _, t in live)
-        while agreed < shortest and all(t[agreed] == live[-1][1][agreed] for _, t in live):
-            agreed += 1
-        out = live[-1][1][:agreed]
-        arc = (self._state(tuple((r, t[agreed:]) for r, t in live), out[-1] if out else before), out)
+        if len(live) == 1:
+            out, live = new, [(b"", ())]
+        else:
+            # the first and the last in order share what all of them share
+            tails = [t for _, t in live]
+            low, high = min(tails), max(tails)
+            agreed = 0
+            while agreed < len(low) and low[agreed] == high[agreed]:
+                agreed += 1
+            out = new[:agreed]
+            if agreed:
+                live = [(r, t[agreed:]) for r, t in live]
+        arc = (self._state(tuple(live), out[-1] if out else before), out)
         self.arcs[state][byte] = arc
         return arc
 
