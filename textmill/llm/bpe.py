@@ -5,8 +5,8 @@ if and only if every two neighbouring tokens, joined and merged again, come back
 two.  So each prefix of a piece has one last token, the longest vocabulary entry that ends
 there and is compatible with the last token before it.  The transducer reads bytes.  Its
 state is what the future can still see: the last token of every prefix from which a longer
-token may yet run on.  States and arcs are made when first met and kept; an arc emits the
-tokens on which all those prefixes agree, so its lookahead is bounded by the longest token.
+token may yet run on.  States and arcs are made when first met and kept.  A token goes out
+once all those prefixes build on it; they begin at most one token's length back.
 
 Texts are cut before a space that a solid character follows, which is always a piece
 border, so repeated strings between spaces are looked up before the pattern is run.
@@ -18,6 +18,8 @@ repeated rows and extra columns change nothing; an empty table gives an empty re
 from __future__ import annotations
 
 import base64
+import contextlib
+import gc
 import hashlib
 import struct
 from collections.abc import Iterable, Iterator
@@ -28,10 +30,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Strings kept with their ids before the table starts afresh, and states made before the
-#: transducer runs on without keeping new ones.  Both bound the memory; ids never change.
-CACHE_STRINGS = 150_000
-CACHE_STATES = 150_000
+#: Strings kept with their ids, and states made, before the tables start afresh.  Both bound
+#: the memory; ids never change.
+CACHE_STRINGS = 250_000
+CACHE_STATES = 250_000
+
+#: Bytes of one piece read between two emissions.
+STRIDE = 1024
 
 #: Fixed value: white space as the Unicode property, which the rank files' pattern means.
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -107,106 +112,82 @@ class Merges:
 
 
 class Transducer:
-    """Bytes in, ranks out.  A state is (open bytes, per open prefix the tokens since the
-    last emitted one, last emitted token); equal states are one state."""
+    """Bytes in, ranks out.  A state holds each open prefix, as the bytes read since it and
+    the last token before them; equal states are one state.  An arc gives the last token of
+    the prefix it completes.  Tokens are emitted once every open prefix builds on them."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.merges = Merges(ranks)
         self.ranks = ranks
+        self.lengths = {r: len(t) for t, r in ranks.items()}
         self.prefixes = {t[:i] for t in ranks for i in range(1, len(t))}
-        self.state_ids = {}
-        self.states: list[tuple] = []
-        self.arcs: list[dict[int, tuple[int, tuple[int, ...]]]] = []
-        self.ends: list[tuple[int, ...]] = []
-        self.start = self._state(((b"", ()),), -1)
-
-    def _state(self, fronts: tuple, before: int) -> int:
-        """fronts: (bytes read since that prefix, its tokens since ``before``), newest last."""
-        key = (fronts, before)
-        at = self.state_ids.get(key)
+        self._afresh()
+
+    def _afresh(self) -> None:
+        """Only the start state, whose number is 0; the number of a state is 256 times its place."""
+        start = ((b"", -1),)
+        self.state_ids = {start: 0}
+        self.states = [start]
+        self.arcs: dict[int, tuple[int, int]] = {}
+
+    def _state(self, fronts: tuple) -> int:
+        at = self.state_ids.get(fronts)
         if at is None:
-            at = self.state_ids[key] = len(self.states)
-            self.states.append(key)
-            self.arcs.append({})
-            self.ends.append(fronts[-1][1])
+            at = self.state_ids[fronts] = len(self.states) << 8
+            self.states.append(fronts)
         return at
 
-    def _arc(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        fronts, before = self.states[state]
-        one = bytes([byte])
-        grown = [(run + one, toks) for run, toks in fronts]
-        new = None
-        # the longest token that may follow the last token of the prefix where it begins
-        for run, toks in grown:
-            rank = self.ranks.get(run)
-            if rank is None:
-                continue
-            last = toks[-1] if toks else before
-            if last < 0 or self.merges.neighbours(last, rank):
-                new = (*toks, rank)
-                break
-        if new is None:
+    def _arc(self, state: int, byte: int) -> tuple[int, int]:
+        one, ranks, prefixes = bytes((byte,)), self.ranks, self.prefixes
+        new, live = -1, []
+        for run, last in self.states[state >> 8]:
+            run += one
+            if new < 0:
+                # the longest token that may follow the last token of the prefix where it begins
+                rank = ranks.get(run)
+                if rank is not None and (last < 0 or self.merges.neighbours(last, rank)):
+                    new = rank
+            if run in prefixes:
+                live.append((run, last))
+        if new < 0:
             raise ValueError(f"byte {byte} is not in the vocabulary")
-        live = [(run, toks) for run, toks in grown if run in self.prefixes]
         live.append((b"", new))
-        # what all open prefixes agree on is settled
-        if len(live) == 1:
-            out, live = new, [(b"", ())]
-        else:
-            # the first and the last in order share what all of them share
-            tails = [t for _, t in live]
-            low, high = min(tails), max(tails)
-            agreed = 0
-            while agreed < len(low) and low[agreed] == high[agreed]:
-                agreed += 1
-            out = new[:agreed]
-            if agreed:
-                live = [(r, t[agreed:]) for r, t in live]
-        arc = (self._state(tuple(live), out[-1] if out else before), out)
-        self.arcs[state][byte] = arc
+        arc = self.arcs[state + byte] = (self._state(tuple(live)), new)
         return arc
 
-    def _unkept(self, piece: bytes) -> list[int]:
-        """The same run without states: the last token of every prefix, then back from the end."""
-        ranks, prefixes, pairs, neighbours = self.ranks, self.prefixes, self.merges._pairs, self.merges.neighbours
-        last: list[tuple[int, int]] = [(-1, 0)]
-        open_at = [0]
-        for end in range(1, len(piece) + 1):
-            found, still = None, []
-            for begin in open_at:
-                run = piece[begin:end]
-                if found is None:
-                    rank = ranks.get(run)
-                    if rank is not None and (begin == 0 or pairs.get((last[begin][0], rank))
-                                             or neighbours(last[begin][0], rank)):
-                        found = (rank, begin)
-                if run in prefixes:
-                    still.append(begin)
-            if found is None:
-                raise ValueError("a byte is not in the vocabulary")
-            last.append(found)
-            still.append(end)
-            open_at = still
-        out, at = [], len(piece)
+    def _back(self, lasts: list[int], at: int) -> list[int]:
+        """The tokens of the first ``at`` bytes, from the last token of each prefix."""
+        lengths, out = self.lengths, []
         while at:
-            rank, at = last[at]
-            out.append(rank)
-        return out[::-1]
+            token = lasts[at - 1]
+            out.append(token)
+            at -= lengths[token]
+        out.reverse()
+        return out
+
+    def _settled(self, lasts: list[int], state: int) -> int:
+        """The last border on which all open prefixes agree."""
+        at = {len(lasts) - len(run) for run, _ in self.states[state >> 8]}
+        while len(at) > 1:
+            end = max(at)
+            at.remove(end)
+            at.add(end - self.lengths[lasts[end - 1]])
+        return at.pop()
 
     def encode(self, piece: bytes) -> list[int]:
-        arcs, state, out = self.arcs, self.start, []
-        full = len(self.states) >= CACHE_STATES
-        for byte in piece:
-            arc = arcs[state].get(byte)
-            if arc is None:
-                if full:
-                    return self._unkept(piece)
-                arc = self._arc(state, byte)
-            state = arc[0]
-            if arc[1]:
-                out += arc[1]
-        out += self.ends[state]
-        return out
+        if len(self.states) >= CACHE_STATES:
+            self._afresh()
+        arcs, state, out, lasts = self.arcs.get, 0, [], []
+        add = lasts.append
+        for begin in range(0, len(piece), STRIDE):
+            for byte in piece[begin:begin + STRIDE]:
+                state, last = arcs(state + byte) or self._arc(state, byte)
+                add(last)
+            if begin + STRIDE < len(piece):
+                border = self._settled(lasts, state)
+                out += self._back(lasts, border)
+                del lasts[:border]
+        return out + self._back(lasts, len(lasts))
 
 
 class Encoder:
@@ -220,11 +201,14 @@ class Encoder:
         self.pieces: dict[str, bytes] = {}
         self.odd = regex.compile(f" (?=[{_WS}]|$)")
 
+    def _fresh(self, piece: str) -> bytes:
+        out = self.fst.encode(piece.encode())
+        return struct.pack(f"<{len(out)}I", *out)
+
     def _piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
-            out = self.fst.encode(piece.encode())
-            ids = struct.pack(f"<{len(out)}I", *out)
+            ids = self._fresh(piece)
             if len(piece) < 64:
                 if len(self.pieces) > CACHE_STRINGS:
                     self.pieces.clear()
@@ -232,7 +216,9 @@ class Encoder:
         return ids
 
     def _chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self._piece, self.split.findall(chunk)))
+        found = self.split.findall(chunk)
+        # a chunk that is one piece is kept as a chunk
+        return self._fresh(found[0]) if len(found) == 1 else b"".join(map(self._piece, found))
 
     def encode(self, text: str) -> bytes:
         return cut_and_join(text, self.odd, self.chunks, self._chunk)
@@ -315,8 +301,24 @@ def _encoder(path: str, pattern: str) -> Encoder:
     return _ENCODERS[path, pattern]
 
 
+@contextlib.contextmanager
+def _without_collection():
+    """The tables hold many objects and no cycles: searching them for cycles finds nothing."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def _digests(path: str, pattern: str):
     def run(batches):
+        with _without_collection():
+            yield from digests(batches)
+
+    def digests(batches):
         enc = _encoder(path, pattern)
         tokens = enc.fst.merges.tokens
         for b in batches:
@@ -338,6 +340,10 @@ def _digests(path: str, pattern: str):
 
 def _ids(path: str, pattern: str):
     def run(batches):
+        with _without_collection():
+            yield from ids(batches)
+
+    def ids(batches):
         enc = _encoder(path, pattern)
         for b in batches:
             lists = [np.frombuffer(enc.encode(v.as_py() or ""), "<u4").astype(np.int32) for v in b.column(1)]
