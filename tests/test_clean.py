@@ -44,10 +44,29 @@ TEXTS = [
     ("A | B\nc d\n\n\n\nNext   block\twith   tabs", "A | B\nc d\n\nNext block with tabs"),
     ("Title Case Heading\nbody text that wraps\nacross lines", "Title Case Heading\nbody text that wraps across lines"),
     ("\r\nline one  \r\nline two\t\r\n", "line one line two"),
+    # white space beyond ASCII
+    ("first line wraps\n\xa0\nsecond block", "first line wraps\nsecond block"),
+    ("\u2003- item one\nplain text goes on", "- item one\nplain text goes on"),
+    ("word-\xa0\n\u3000next part goes on", "wordnext part goes on"),
+    ("kept block of words\n\n\xa0\x85\n\nother block of words", "kept block of words\n\nother block of words"),
     ("", ""),
 ]
 
 
+def test_white_space_is_that_of_str(spark):
+    import regex
+
+    from textmill.operators import embed
+
+    every = [chr(c) for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000]
+    df = spark.createDataFrame([(c,) for c in every], "c string").select(
+        "c", F.expr(tx.strip(SPARK, "c")).alias("s"), F.size(tx.tokens_col("c")).alias("n"))
+    rows = df.collect()
+    assert [r.c for r in rows if r.s == ""] == [c for c in every if c.isspace()]
+    tokens = regex.compile(tx.TOKEN_RE)
+    assert [r.c for r in rows if r.n != len(tokens.findall(r.c))] == [] and embed.TOKEN_RE == tx.TOKEN_RE
+
+
 def test_full_clean_of_worked_texts(spark):
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(TEXTS)], "i int, t string")
     out = df.select("i", "t", cl.clean_text("t").alias("c")).orderBy("i").collect()

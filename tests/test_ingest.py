@@ -100,3 +100,21 @@ def test_stream_reads_run_ids_of_the_sink(spark):
     ing.write_chunks_json(df, stage)
     staging.stream_ingest(spark, stage, table, scratch_path(spark, "ckpt"))
     assert [(r.content, r.run_id) for r in spark.read.parquet(table).collect()] == [("two", "20260201T000000Z")]
+
+
+def test_stream_dedup_whatever_the_batches(spark):
+    from textmill.session import scratch_path
+    from textmill.streaming import staging
+
+    schema = ing.CHUNK_SCHEMA.simpleString().replace("struct<", "").rstrip(">")
+    stage = scratch_path(spark, "stage")
+    for run in ("20260101T000000Z", "20250101T000000Z", "20260301T000000Z"):
+        rows = [_row("doc_a", 1, i, f"text {i}", run, f"h{i}" if i else None) for i in range(5)] + \
+            [_row("doc_b", 1, 1, "of run " + run, run, "b" + run)]
+        ing.write_chunks_json(spark.createDataFrame(rows, schema), stage)
+    found = []
+    for files in (1, 2, 100):
+        out = scratch_path(spark, "dedup") + "/out"
+        staging.stream_dedup(spark, stage, out, scratch_path(spark, "ckpt"), files_per_batch=files)
+        found.append(sorted(tuple(r) for r in spark.read.parquet(out).select("doc_id", "chunk_id", "chunk_hash").collect()))
+    assert found[0] == found[1] == found[2] and len(found[0]) == 8 and all(h for _, _, h in found[0])

@@ -54,6 +54,42 @@ def test_guarded_sql_refuses_writes(spark):
             fs.query_source(spark, bad)
 
 
+def test_guarded_sql_reads_words_not_literals(spark):
+    spark.createDataFrame([("a;b", 1)], "event string, command int").createOrReplaceTempView("data")
+    for good in ["(SELECT 1 AS n)", "-- note; more\nSELECT command FROM data", "SELECT command FROM data WHERE event = 'a;b';",
+                 "EXPLAIN SELECT command FROM data", "WITH t AS (SELECT 'insert into x' AS s) SELECT s FROM t"]:
+        assert fs.query_source(spark, good).count() == 1
+    for bad in ["SELECT nothing FROM data", "EXPLAIN DROP TABLE data", "/* x */", "SELECT 1; SELECT 2",
+                "WITH t AS (SELECT r'\\') INSERT INTO data SELECT 'x', 1 --'"]:
+        with pytest.raises(fs.GuardError):
+            fs.query_source(spark, bad)
+
+
+def test_sql_log_screen(spark):
+    cases = [("SELECT 1; DROP TABLE data", "blocked:drop"), ("(SELECT 1)", "allowed"), ("", "empty"), (" ; -- x", "empty"),
+             ("WITH t AS (SELECT 1) INSERT INTO d SELECT * FROM t", "blocked:insert"), ("SELECT 'x; DROP TABLE d'", "allowed"),
+             ("EXPLAIN DELETE FROM d", "blocked:delete"), ("/* a; */ select 1; select 2;", "allowed"), ("x" * 3001, "too_long"),
+             ("SELECT 'it\\'s; DROP'", "allowed"), (None, None), ("1 + 1", "blocked:")]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, q string")
+    assert [r.v for r in df.select("i", lg.screen_sql(F.col("q")).alias("v")).orderBy("i").collect()] == [c[1] for c in cases]
+
+
+def test_sandbox_sql_stays_in_its_database(spark):
+    one, two = fs.Sandbox(spark, "sqlone"), fs.Sandbox(spark, "sqltwo")
+    try:
+        one.sql("CREATE TABLE t AS SELECT 7 AS x")
+        assert [r.table_name for r in one.tables().collect()] == ["t"] and two.tables().count() == 0
+        assert one.sql("SELECT x FROM t").first().x == 7
+        for bad in [f"SELECT * FROM {one.db}.t", f"DROP DATABASE {one.db} CASCADE", f"USE {one.db}", "CREATE TABLE default.leak (x int)",
+                    f"INSERT INTO `{one.db}`.`t` VALUES (1)", "SELECT * FROM parquet.`/tmp/x`", "x" * 5001]:
+            with pytest.raises(fs.GuardError):
+                two.sql(bad)
+        assert spark.catalog.currentDatabase() == "default"
+    finally:
+        one.drop()
+        two.drop()
+
+
 def _ts(s):
     return dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
 

@@ -4,6 +4,7 @@ Every function takes a ``Dialect`` and SQL fragments and returns a SQL
 fragment, so the same rule runs in Catalyst and in the oracle.  Regexes use
 explicit Unicode classes (``[\\p{L}\\p{N}_]`` for a word character) because
 Java's ``\\w`` is ASCII unless ``(?U)`` is set and DuckDB's is always ASCII.
+White space is the class ``WS`` for the same reason.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from textmill.functions.sqltext import SPARK, Dialect
 # ---------------------------------------------------------------------------
 # These patterns and thresholds must equal the reference's
 # cleaning and chunking rules for results to match.
+#   white space: what str.isspace() holds, as a class body for Java, RE2 and Python
 #   bullets / enumerators: - * • ● ◦ , "1." "1)", "a." "a)", roman "IV." then whitespace
 #   all-caps heading: ^\s*[A-Z0-9][A-Z0-9 \-–—,:;()/]{3,}\s*$
 #   numbered heading: ^\s*\d+(\.\d+)*\s+.+$ and at most 80 characters
@@ -26,34 +28,36 @@ from textmill.functions.sqltext import SPARK, Dialect
 #   de-hyphenate: word-char '-' whitespace* newline whitespace* word-char
 #   chunk budget: target 280, max 380, overlap 60, min overlap 20 tokens
 # ---------------------------------------------------------------------------
-BULLET_RE = r"^\s*([-*•●◦]|[0-9]+[.)]|[A-Za-z][.)]|[IVXLCDM]+[.)])\s+"
-ALL_CAPS_RE = r"^\s*[A-Z0-9][A-Z0-9 \-–—,:;()/]{3,}\s*$"
-NUMBERED_RE = r"^\s*[0-9]+(\.[0-9]+)*\s+.+$"
+_WS = "\\t-\\r\\x1c-\\x20\\x85\\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WS, NOT_WS = f"[{_WS}]", f"[^{_WS}]"
+BULLET_RE = rf"^{WS}*([-*•●◦]|[0-9]+[.)]|[A-Za-z][.)]|[IVXLCDM]+[.)]){WS}+"
+ALL_CAPS_RE = rf"^{WS}*[A-Z0-9][A-Z0-9 \-–—,:;()/]{{3,}}{WS}*$"
+NUMBERED_RE = rf"^{WS}*[0-9]+(\.[0-9]+)*{WS}+[^\n]+$"
 NUMBERED_MAX_LEN = 80
 TITLE_MAX_WORDS = 10
 TITLE_MAX_LEN = 80
 TITLE_RATIO = 0.6
-TABLE_GAP_RE = r"\S\s{3,}\S"
-CODE_INDENT_RE = r"^\s{4,}\S"
-SENTENCE_END_RE = r"[.!?]\s*$"
-LABEL_START_RE = r"^[A-Z][A-Za-z0-9 _-]{0,25}:\s+"
+TABLE_GAP_RE = rf"{NOT_WS}{WS}{{3,}}{NOT_WS}"
+CODE_INDENT_RE = rf"^{WS}{{4,}}{NOT_WS}"
+SENTENCE_END_RE = rf"[.!?]{WS}*$"
+LABEL_START_RE = rf"^[A-Z][A-Za-z0-9 _-]{{0,25}}:{WS}+"
 TARGET_TOKENS, MAX_TOKENS, OVERLAP_TOKENS, MIN_OVERLAP_TOKENS = 280, 380, 60, 20
 
 WORD = r"[\p{L}\p{N}_]"
 # Default tokenizer: a run of word characters, or any one other non-space character.
-TOKEN_RE = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
+TOKEN_RE = rf"[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{_WS}]"
 # Sentence boundary: after . ! ? and whitespace, or at a newline.
 SENT_MARK = "\u0001"
 
 
 # --- small string helpers -------------------------------------------------------
 def strip(d: Dialect, s: str) -> str:
-    """Python ``str.strip()``: trim all (ASCII) whitespace, not only spaces."""
-    return d.rx_replace(s, r"^\s+|\s+$", "")
+    """Python ``str.strip()``: trim all white space, not only spaces."""
+    return d.rx_replace(s, rf"^{WS}+|{WS}+$", "")
 
 
 def rstrip(d: Dialect, s: str) -> str:
-    return d.rx_replace(s, r"\s+$", "")
+    return d.rx_replace(s, rf"{WS}+$", "")
 
 
 def collapse_spaces(d: Dialect, s: str) -> str:
@@ -80,7 +84,7 @@ def is_numbered(d: Dialect, s: str) -> str:
 
 def title_ratio(d: Dialect, s: str) -> str:
     """Capitalised words / words containing a letter (null when no word has a letter)."""
-    words = f"split({s}, '\\\\s+')" if d.spark else f"string_split_regex({s}, '\\s+')"
+    words = f"split({s}, {d.lit(WS + '+')})" if d.spark else f"string_split_regex({s}, {d.lit(WS + '+')})"
     cap = d.transform(words, "w_", f"if({d.rx_like('w_', r'^\p{Lu}')}, 1, 0)")
     alpha = d.transform(words, "w_", f"if({d.rx_like('w_', r'\p{L}')}, 1, 0)")
     n_cap = d.reduce(cap, "0", "ta_", "tx_", "ta_ + tx_")
@@ -89,7 +93,7 @@ def title_ratio(d: Dialect, s: str) -> str:
 
 
 def n_words(d: Dialect, s: str) -> str:
-    return d.size(d.rx_all(s, r"\S+"))
+    return d.size(d.rx_all(s, NOT_WS + "+"))
 
 
 def is_title_like(d: Dialect, s: str) -> str:
@@ -149,9 +153,9 @@ def dehyphenate(d: Dialect, s: str) -> str:
     """T03.  Spark uses the lookaround form; DuckDB (no lookbehind) consumes the
     neighbours, which needs a second pass for chains such as ``a-\\nb-\\nc``."""
     if d.spark:
-        return d.rx_replace(s, rf"(?<={WORD})-\s*\n\s*(?={WORD})", "")
-    once = d.rx_replace(s, rf"({WORD})-\s*\n\s*({WORD})", "$1$2")
-    return d.rx_replace(once, rf"({WORD})-\s*\n\s*({WORD})", "$1$2")
+        return d.rx_replace(s, rf"(?<={WORD})-{WS}*\n{WS}*(?={WORD})", "")
+    once = d.rx_replace(s, rf"({WORD})-{WS}*\n{WS}*({WORD})", "$1$2")
+    return d.rx_replace(once, rf"({WORD})-{WS}*\n{WS}*({WORD})", "$1$2")
 
 
 def collapse_blank_lines(d: Dialect, s: str) -> str:
@@ -239,7 +243,7 @@ def clean_text(d: Dialect, s: str) -> str:
 def sentences(d: Dialect, s: str) -> str:
     """Rule segmenter -> array of stripped, non-blank sentences."""
     mark = "'\\u0001'" if d.spark else "chr(1)"
-    marked = d.rx_replace(d.rx_replace(s, r"([.!?])\s+", "$1" + SENT_MARK), r"\n", SENT_MARK)
+    marked = d.rx_replace(d.rx_replace(s, rf"([.!?]){WS}+", "$1" + SENT_MARK), r"\n", SENT_MARK)
     parts = f"split({marked}, {mark})" if d.spark else f"string_split({marked}, {mark})"
     trimmed = d.transform(parts, "x", strip(d, "x"))
     return d.filter(trimmed, "x", "x <> ''")

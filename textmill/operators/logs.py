@@ -123,13 +123,29 @@ def attach_to_last_run(df: DataFrame, session: str, order: str, run_col: str) ->
     return df.withColumn("last_run", F.last(run_col, ignorenulls=True).over(w))
 
 
+#: What a statement's words do not include: comments, string literals, quoted names.
+QUOTED_RE = r"""--[^\n]*|/\*(?s:.*?)\*/|'(?:[^'\\]++|\\.)*+'|"(?:[^"\\]++|\\.)*+"|`[^`]*`"""
+#: A write behind a common table expression or an EXPLAIN.
+INNER_WRITE_RE = (r"(?i)(?:\)|^\s*explain(?:\s+(?:analyze|extended|formatted|codegen|cost))?)\s*"
+                  r"(insert\s+(?:into|overwrite)|delete\s+from|merge\s+into|update\s+[\w.]+\s+set"
+                  r"|drop|alter|truncate|create|grant|revoke)\b")
+
+
 def screen_sql(sql: Column, max_len: int = SOURCE_SQL_MAX) -> Column:
-    """too_long / allowed / blocked:<first keyword> / empty."""
-    kw = F.lower(F.regexp_extract(sql, r"^\s*([A-Za-z]+)", 1))
+    """too_long / allowed / blocked:<word> / empty.  Every statement of the text must read
+    only; the first that does not gives the word.  Null stays null."""
+    def offence(statement):
+        first = F.lower(F.regexp_extract(statement, r"^[\s(]*([A-Za-z]*)", 1))
+        inner = F.lower(F.regexp_extract(statement, INNER_WRITE_RE, 1))
+        return F.when(~first.isin(*READ_ONLY_KEYWORDS), first) \
+            .when(inner != "", F.regexp_extract(inner, r"^[a-z]+", 0))
+
+    statements = F.filter(F.split(F.regexp_replace(sql, QUOTED_RE, " "), ";"), lambda x: x.rlike(r"\S"))
+    offences = F.filter(F.transform(statements, offence), lambda x: x.isNotNull())
     return (F.when(F.length(sql) > max_len, "too_long")
-            .when(kw == "", "empty")
-            .when(kw.isin(*READ_ONLY_KEYWORDS), "allowed")
-            .otherwise(F.concat(F.lit("blocked:"), kw)))
+            .when(F.size(statements) == 0, "empty")
+            .when(F.size(offences) == 0, "allowed")
+            .when(sql.isNotNull(), F.concat(F.lit("blocked:"), F.try_element_at(offences, F.lit(1)))))
 
 
 def _one_per_key(rows: DataFrame, key: str, cols: list[str]) -> DataFrame:

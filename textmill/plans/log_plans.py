@@ -121,18 +121,23 @@ def conversation_messages(spark, sf):
 
 
 @register("audit_runs", oracle=f"""
-  SELECT user_id, run_day, count(*) AS steps_count, list_sort(list_distinct(list(event_type))) AS tools_used,
-         CASE WHEN arg_max(event_type, (ts, event_id)) = 'purchase' THEN 'final'
+  SELECT user_id, run_day, count(*) AS steps_count, list(event_type ORDER BY step_no) FILTER (step_no <= 8) AS tools_used,
+         CASE WHEN arg_max(event_type, step_no) = 'purchase' THEN 'final'
               WHEN count(*) > 8 THEN 'max_steps' ELSE 'open' END AS terminated
-  FROM (SELECT *, cast(ts AS DATE) AS run_day FROM events) GROUP BY user_id, run_day""")
+  FROM {_STEPS_D} GROUP BY user_id, run_day""")
 def audit_runs(spark, sf):
+    """The tool of each kept step in order, repeats included, beside the counts of the whole run."""
     ev = _ev(spark, sf).withColumn("run_day", F.to_date("ts"))
-    g = ev.groupBy("user_id", "run_day").agg(
-        F.count("*").alias("steps_count"), F.array_sort(F.collect_set("event_type")).alias("tools_used"),
-        F.max_by("event_type", F.struct("ts", "event_id")).alias("_last"))
-    return g.select("user_id", "run_day", "steps_count", "tools_used",
-                    F.when(F.col("_last") == "purchase", "final").when(F.col("steps_count") > lg.MAX_STEPS, "max_steps")
-                    .otherwise("open").alias("terminated"))
+    keys = ["user_id", "run_day"]
+    g = ev.groupBy(*keys).agg(F.count("*").alias("steps_count"),
+                              F.max_by("event_type", F.struct("ts", "event_id")).alias("_last"))
+    kept = ev.withColumn("_no", F.row_number().over(W.partitionBy(*keys).orderBy("ts", "event_id"))) \
+        .filter(F.col("_no") <= lg.MAX_STEPS).groupBy(*keys) \
+        .agg(F.array_sort(F.collect_list(F.struct("_no", "event_type"))).alias("_steps"))
+    return g.join(kept, keys).select(
+        *keys, "steps_count", F.col("_steps.event_type").alias("tools_used"),
+        F.when(F.col("_last") == "purchase", "final").when(F.col("steps_count") > lg.MAX_STEPS, "max_steps")
+        .otherwise("open").alias("terminated"))
 
 
 @register("audit_steps", oracle=f"""
@@ -204,19 +209,24 @@ def step_cap(spark, sf):
 
 _SQL_SPARK = """CASE event_type
   WHEN 'click' THEN concat('SELECT * FROM data WHERE k = ', get_json_object(props, '$.k'))
-  WHEN 'view' THEN '  with t AS (SELECT 1 AS x) SELECT x FROM t'
+  WHEN 'view' THEN CASE event_id % 4 WHEN 0 THEN '  with t AS (SELECT 1 AS x) SELECT x FROM t'
+    WHEN 1 THEN '(SELECT "a;b" AS x)' WHEN 2 THEN '/* two; */ SELECT 1 ; SELECT 2;'
+    ELSE 'WITH t AS (SELECT 1) INSERT INTO data SELECT * FROM t' END
   WHEN 'purchase' THEN concat('INSERT INTO data VALUES (', get_json_object(props, '$.k'), ')')
-  WHEN 'error' THEN 'DROP TABLE data'
+  WHEN 'error' THEN CASE event_id % 3 WHEN 0 THEN 'DROP TABLE data' WHEN 1 THEN 'SELECT 1; DROP TABLE data'
+    ELSE ' ; /* nothing */' END
   ELSE repeat('SELECT 1 UNION ALL ', cast(100 + event_id % 200 AS INT)) END"""
+_SQL_DUCK = _SQL_SPARK.replace("get_json_object(", "json_extract_string(").replace("AS INT)", "AS INTEGER)")
 
 
 @register("screen_sql_log", oracle=f"""
   SELECT event_id, length(q) AS n_chars,
          CASE WHEN length(q) > 3000 THEN 'too_long'
-              WHEN lower(regexp_extract(q, '^\\s*([A-Za-z]+)', 1)) = '' THEN 'empty'
-              WHEN lower(regexp_extract(q, '^\\s*([A-Za-z]+)', 1)) IN ('select', 'with', 'explain') THEN 'allowed'
-              ELSE 'blocked:' || lower(regexp_extract(q, '^\\s*([A-Za-z]+)', 1)) END AS verdict
-  FROM (SELECT event_id, {_SQL_SPARK.replace("concat('SELECT * FROM data WHERE k = ', get_json_object(props, '$.k'))", "'SELECT * FROM data WHERE k = ' || json_extract_string(props, '$.k')").replace("concat('INSERT INTO data VALUES (', get_json_object(props, '$.k'), ')')", "'INSERT INTO data VALUES (' || json_extract_string(props, '$.k') || ')'").replace("cast(100 + event_id % 200 AS INT)", "cast(100 + event_id % 200 AS INTEGER)")} AS q FROM events)""")
+              WHEN event_type = 'purchase' THEN 'blocked:insert'
+              WHEN event_type = 'view' AND event_id % 4 = 3 THEN 'blocked:insert'
+              WHEN event_type = 'error' THEN CASE WHEN event_id % 3 = 2 THEN 'empty' ELSE 'blocked:drop' END
+              ELSE 'allowed' END AS verdict
+  FROM (SELECT event_id, event_type, {_SQL_DUCK} AS q FROM events)""")
 def screen_sql_log(spark, sf):
     e = _ev(spark, sf).select("event_id", F.expr(_SQL_SPARK).alias("q"))
     return e.select("event_id", F.length("q").alias("n_chars"), lg.screen_sql(F.col("q")).alias("verdict"))

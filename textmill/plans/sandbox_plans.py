@@ -115,15 +115,18 @@ def sandbox_ctas(spark, sf):
         n1 = sb.load("orders", o)
         n2 = sb.load("orders", o.limit(0))  # exists already: no-op, still the full table
         assert n1 == n2
-        n3 = sb.load("lineitem_r", read_table(spark, sf, "lineitem").filter(F.col("l_returnflag") == "R"))
+        read_table(spark, sf, "lineitem").createOrReplaceTempView("sandbox_lineitem")
+        sb.sql("CREATE TABLE lineitem_r AS SELECT * FROM sandbox_lineitem WHERE l_returnflag = 'R'")
+        n3 = spark.table(sb.table("lineitem_r")).count()
         return spark.createDataFrame([("orders", n1), ("lineitem_r", n3)], "table_name string, n_rows long")
     finally:
         sb.drop()
 
 
-@register("sandbox_list")
+@register("sandbox_list", oracle="""
+  SELECT table_name FROM information_schema.tables WHERE table_name IN ('orders', 'customer')""")
 def sandbox_list(spark, sf):
-    """The session's tables (rows only)."""
+    """The session's tables."""
     sb = fs.Sandbox(spark, uuid.uuid4().hex[:12])
     try:
         sb.load("orders", read_table(spark, sf, "orders"))
@@ -134,9 +137,11 @@ def sandbox_list(spark, sf):
         sb.drop()
 
 
-@register("sandbox_cleanup")
+@register("sandbox_cleanup", oracle="""
+  SELECT true AS named_by_session, count(*) AS n_rows, cast(1 AS BIGINT) AS tables_before, cast(0 AS BIGINT) AS databases_after
+  FROM orders""")
 def sandbox_cleanup(spark, sf):
-    """Dropping the session database removes its tables (rows only)."""
+    """Dropping the session database removes its tables."""
     sb = fs.Sandbox(spark, uuid.uuid4().hex[:12])
     n = sb.load("orders", read_table(spark, sf, "orders"))
     before = sb.tables().count()
@@ -192,11 +197,11 @@ def stream_ingest(spark, sf):
 
 
 @register("stream_dedup", oracle=f"""
-  SELECT DISTINCT doc_id, page_no, chunk_id, chunk_hash FROM
-  (SELECT * FROM {ip.V1_D} UNION ALL SELECT * FROM {ip.V2_D}) WHERE chunk_hash IS NOT NULL""")
+  SELECT DISTINCT doc_id, page_no, chunk_id, {ip.DUCK_HKEY} AS chunk_hash FROM
+  (SELECT * FROM {ip.V1_D} UNION ALL SELECT * FROM {ip.V2_D})""")
 def stream_dedup(spark, sf):
-    """ST2: re-staged chunks dropped by hash within the watermark."""
+    """ST2: re-staged chunks dropped by hash, chunks without one by their computed hash."""
     staging = _stage(spark, sf)
     out = scratch_path(spark, "dedup") + "/out"
-    st.stream_dedup(spark, staging, out, scratch_path(spark, "ckpt"), delay="1 hour", files_per_batch=4)
+    st.stream_dedup(spark, staging, out, scratch_path(spark, "ckpt"), files_per_batch=4)
     return spark.read.parquet(out).select("doc_id", "page_no", "chunk_id", "chunk_hash")

@@ -7,8 +7,8 @@
 * ``Sandbox`` — one Spark database per session, stored under the shared
   scratch folder; load-if-absent, list, DML as new table versions, drop.
 * ``query_source`` — read-only SQL over a view, screened before it runs:
-  only SELECT / WITH / EXPLAIN, a length limit, and a plan check (EXPLAIN
-  never executes) that refuses command plans; results are previewed capped.
+  only SELECT / WITH / EXPLAIN, a length limit, and a check of the plan's root
+  (EXPLAIN never executes) that refuses commands; results are previewed capped.
 """
 
 from __future__ import annotations
@@ -17,10 +17,11 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.operators.logs import READ_ONLY_KEYWORDS, SANDBOX_SQL_MAX, SOURCE_SQL_MAX
+from textmill.operators.logs import INNER_WRITE_RE, QUOTED_RE, READ_ONLY_KEYWORDS, SANDBOX_SQL_MAX, SOURCE_SQL_MAX
 from textmill.session import scratch_path
 
 PREVIEW_ROWS = 50
@@ -75,34 +76,48 @@ def preview(df: DataFrame, order: list, n: int = PREVIEW_ROWS) -> DataFrame:
     return head.withColumn("total_rows", total).withColumn("truncated", F.col("total_rows") > n)
 
 
+#: First words refused in a sandbox: they leave its database or its tables.
+SANDBOX_REFUSED = ("use", "set", "reset", "add", "load")
+
+
 class GuardError(ValueError):
     pass
 
 
 def screen(sql: str, max_len: int) -> None:
-    s = sql.strip().rstrip(";").strip()
-    if not s:
-        raise GuardError("empty query")
+    """One read-only statement: comments, literals and quoted names do not count as words."""
     if len(sql) > max_len:
         raise GuardError(f"query longer than {max_len} characters")
-    if ";" in s:
+    statements = [x.strip() for x in _words(sql).split(";") if x.strip()]
+    if not statements:
+        raise GuardError("empty query")
+    if len(statements) > 1:
         raise GuardError("one statement only")
-    kw = re.match(r"[A-Za-z]+", s)
-    if not kw or kw.group(0).lower() not in READ_ONLY_KEYWORDS:
-        raise GuardError(f"only SELECT / WITH / EXPLAIN allowed, got {kw.group(0) if kw else s[:10]!r}")
+    first = re.match(r"[\s(]*([A-Za-z]*)", statements[0]).group(1)
+    if first.lower() not in READ_ONLY_KEYWORDS:
+        raise GuardError(f"only SELECT / WITH / EXPLAIN allowed, got {first or statements[0][:10]!r}")
+    if re.search(INNER_WRITE_RE, statements[0]):
+        raise GuardError("statement would modify data")
+
+
+def _words(sql: str) -> str:
+    return re.sub(QUOTED_RE, " ", sql)
 
 
 def query_source(spark: SparkSession, sql: str, max_len: int = SOURCE_SQL_MAX) -> DataFrame:
-    """Read-only SQL.  The keyword screen runs first; then the plan is explained
-    (never executed) and any command node refuses the query."""
+    """Read-only SQL.  What the screen lets through is explained, which never runs it; a
+    plan whose root is a command, or that cannot be made, refuses the query."""
     screen(sql, max_len)
+    sql = re.sub(r"[\s;]+$", "", sql)
     try:
-        plan = "\n".join(r[0] for r in spark.sql("EXPLAIN " + sql.strip().rstrip(";")).collect())
-    except Exception as e:  # noqa: BLE001 - a query that cannot be planned is refused
+        if not re.match(r"(?i)explain\b", _words(sql).strip()):
+            plan = spark.sql("EXPLAIN " + sql).first()[0]
+            root = plan.split("== Physical Plan ==", 1)[-1].strip()
+            if re.match(r"(?i)error occurred|execute |command|appenddata|overwrite|create|drop|delete|update|merge|replace", root):
+                raise GuardError("statement would modify data")
+        return spark.sql(sql)
+    except PySparkException as e:
         raise GuardError(f"query refused: {str(e).splitlines()[0][:300]}") from None
-    if re.search(r"(?i)error occurred|exception|execute |command|insertinto|createtable|droptable", plan):
-        raise GuardError("statement would modify data")
-    return spark.sql(sql.strip().rstrip(";"))
 
 
 class Sandbox:
@@ -129,10 +144,29 @@ class Sandbox:
             .select(F.col("tableName").alias("table_name"))
 
     def sql(self, sql: str) -> DataFrame:
-        """Any SQL inside the sandbox, length-capped."""
+        """Any SQL inside the sandbox, length-capped.  Plain names are the sandbox's own; other
+        databases cannot be created, changed, switched to or written, nor other sessions read."""
         if len(sql) > SANDBOX_SQL_MAX:
             raise GuardError(f"query longer than {SANDBOX_SQL_MAX} characters")
-        return self.spark.sql(sql)
+        words = re.sub(QUOTED_RE.rpartition("|")[0], " ", sql).replace("`", "").lower()
+        first = (re.match(r"[\s(]*([a-z]*)", words) or [""])[1]
+        if first in SANDBOX_REFUSED or re.search(r"\b(create|drop|alter)\s+(database|schema|namespace|catalog)\b", words):
+            raise GuardError("the sandbox has one database")
+        if re.search(r"\blocation\s", words) or re.search(r"\b(parquet|csv|json|orc|text|avro|binaryfile)\s*\.", words):
+            raise GuardError("the sandbox has no paths")
+        foreign = {q for q in re.findall(r"\b(session_\w+)\s*\.", words) if q != self.db.lower()}
+        target = re.search(r"\b(?:table|view|into|overwrite|update|delete\s+from)\s+(?:table\s+)?"
+                           r"(?:if\s+(?:not\s+)?exists\s+)?(\w+)\s*\.", words)
+        if target and target[1] != self.db.lower():
+            foreign.add(target[1])
+        if foreign:
+            raise GuardError(f"outside the sandbox: {', '.join(sorted(foreign))}")
+        before = self.spark.catalog.currentDatabase()
+        self.spark.catalog.setCurrentDatabase(self.db)
+        try:
+            return self.spark.sql(sql)
+        finally:
+            self.spark.catalog.setCurrentDatabase(before)
 
     def save_version(self, name: str, df: DataFrame) -> str:
         """DML lands as a new table version (name_vN), never an in-place rewrite of

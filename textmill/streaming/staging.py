@@ -7,8 +7,8 @@ run timestamp), so any split of files into micro-batches gives the same
 table; ``availableNow`` drains what is there and stops, and the stream's
 checkpoint makes a restart resume after the last committed batch.
 
-ST2 drops re-staged duplicates of a chunk hash with
-``dropDuplicatesWithinWatermark`` on the run timestamp.
+ST2 drops re-staged duplicates of a chunk hash by an anti-join of each
+micro-batch with the hashes written before.
 """
 
 from __future__ import annotations
@@ -35,12 +35,19 @@ def stream_ingest(spark: SparkSession, staging: str, table_path: str, checkpoint
     q.awaitTermination()
 
 
-def stream_dedup(spark: SparkSession, staging: str, out_path: str, checkpoint: str,
-                 delay: str = "1 hour", files_per_batch: int = 1) -> None:
-    """ST2: first arrival of each chunk hash, kept while within the watermark."""
-    s = chunk_stream(spark, staging, files_per_batch).filter(F.col("chunk_hash").isNotNull()) \
-        .withColumn("run_ts", ing.run_ts())
-    d = s.withWatermark("run_ts", delay).dropDuplicatesWithinWatermark(["chunk_hash"])
-    q = (d.writeStream.format("parquet").option("path", out_path).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
+def stream_dedup(spark: SparkSession, staging: str, out_path: str, checkpoint: str, files_per_batch: int = 1) -> None:
+    """ST2: one row per chunk hash, however the files fall into micro-batches and however late
+    they come.  A null hash is filled with the computed one.  Each batch writes only hashes that
+    no earlier batch wrote, into a folder of its own, so that a repeated batch replaces itself."""
+    spark.createDataFrame([], ing.CHUNK_SCHEMA).write.mode("ignore").parquet(f"{out_path}/epoch=-1")
+
+    def batch(df: DataFrame, epoch_id: int) -> None:
+        rows = df.withColumn("chunk_hash", ing.dedup_key(df))
+        cols = rows.columns
+        one = rows.groupBy("chunk_hash").agg(F.min(F.struct(*cols)).alias("_r")).select("_r.*")
+        seen = spark.read.parquet(out_path).filter(F.col("epoch") < epoch_id).select("chunk_hash")
+        one.join(seen, "chunk_hash", "left_anti").select(*cols).write.mode("overwrite").parquet(f"{out_path}/epoch={epoch_id}")
+
+    q = (chunk_stream(spark, staging, files_per_batch).writeStream.foreachBatch(batch)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
