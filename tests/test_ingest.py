@@ -118,3 +118,22 @@ def test_stream_dedup_whatever_the_batches(spark):
         staging.stream_dedup(spark, stage, out, scratch_path(spark, "ckpt"), files_per_batch=files)
         found.append(sorted(tuple(r) for r in spark.read.parquet(out).select("doc_id", "chunk_id", "chunk_hash").collect()))
     assert found[0] == found[1] == found[2] and len(found[0]) == 8 and all(h for _, _, h in found[0])
+
+
+def test_rejected_rows_are_kept_and_counted(spark):
+    from textmill.session import scratch_path
+
+    path = scratch_path(spark, "t") + "/table"
+    cols = "doc_id string, chunk_id string, pdf_path string, page_no string, content string, chunk_hash string, run_id string"
+    old = [("a", "1", "/a", "1", "old", "h0", "20250101T000000Z"), ("z", "1", "/z", "1", "other", "hz", "20250101T000000Z")]
+    new = [("a", "1", "/a", "1", "one", "h1", "20260101T000000Z"), ("a", "1", "/a", "1", "one", "h1", "20260201T000000Z"),
+           ("a", "no", "/a", "1", "bad number", "h2", "20260101T000000Z"), ("b", "1", None, "1", "no path", "h3", "r"),
+           ("b", "2", "/b", "1", "two", "h4", "20260101T000000Z")]
+    first = ing.ingest(spark, spark.createDataFrame(old, cols), path, buckets=None, batch_id="0")
+    assert first == {"incoming": 2, "rejected": 0, "combined": 2, "after_dedup": 2, "written": 2}
+    for _ in range(2):
+        got = ing.ingest(spark, spark.createDataFrame(new, cols), path, buckets=None, batch_id="1")
+    assert got == {"incoming": 5, "rejected": 2, "combined": 5, "after_dedup": 2, "written": 2}
+    rejects = spark.read.parquet(ing.rejects_path(path)).orderBy("content").collect()
+    assert [(r.content, r.reject_reason) for r in rejects] == [("bad number", "bad chunk_id"), ("no path", "null pdf_path")]
+    assert sorted(r.content for r in spark.read.parquet(path).collect()) == ["one", "other", "two"]

@@ -18,7 +18,7 @@ map-side and a document holding a third of all rows is not one task.
 
 from __future__ import annotations
 
-import os
+import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -58,11 +58,23 @@ def validate(df: DataFrame) -> DataFrame:
 
 
 def conform(df: DataFrame) -> DataFrame:
-    """Cast to the chunk schema's types (json readers and older files may differ)."""
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in df.columns
+    """Cast to the chunk schema's types (json readers and older files may differ); a value that
+    does not fit becomes null."""
+    return df.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) if f.name in df.columns
                        else F.lit(None).cast(f.dataType).alias(f.name) for f in CHUNK_SCHEMA.fields])
 
 
+def checked(df: DataFrame) -> DataFrame:
+    """The rows in the chunk schema with their ``reject_reason``: the first value that does not
+    fit its type, else the first null required field, else null."""
+    unfit = [F.when(F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull(), f"bad {f.name}")
+             for f in CHUNK_SCHEMA.fields if f.name in df.columns]
+    kept = df.withColumn("_unfit", F.coalesce(*unfit, F.lit(None).cast("string")))
+    rows = kept.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) if f.name in df.columns
+                         else F.lit(None).cast(f.dataType).alias(f.name) for f in CHUNK_SCHEMA.fields], "_unfit")
+    return validate(rows).withColumn("reject_reason", F.coalesce("_unfit", "reject_reason")).drop("_unfit")
+
+
 def dedup_key(df: DataFrame) -> Column:
     """Hash key for M07: the stored hash, else the computed one (never one shared null group)."""
     return F.coalesce(F.col("chunk_hash"),
@@ -166,14 +178,12 @@ def finalize(latest: DataFrame, clock: Column | None = None) -> DataFrame:
 
 
 def plan_ingest(spark: SparkSession, incoming: DataFrame, existing: DataFrame | None,
-                clock: Column | None = None, observation: Observation | None = None,
+                clock: Column | None = None, observe=lambda rows, name: rows,
                 replace_document: bool = False, buckets: int | None = None) -> DataFrame:
     """The batch's rows to write (valid incoming only).  With ``replace_document`` the
-    incoming batch replaces each impacted document outright (no stale tail chunks)."""
-    checked = validate(conform(incoming))
-    good = checked.filter(F.col("reject_reason").isNull()).drop("reject_reason")
-    if observation is not None:
-        good = good.observe(observation, F.count(F.lit(1)).alias("incoming"))
+    incoming batch replaces each impacted document outright (no stale tail chunks).
+    ``observe(rows, name)`` may count the rows of a stage as they pass."""
+    good = checked(incoming).filter(F.col("reject_reason").isNull()).drop("reject_reason")
     if replace_document and existing is not None:
         # impacted documents are replaced outright; their bucket-mates are rewritten unchanged
         keep = existing
@@ -184,35 +194,54 @@ def plan_ingest(spark: SparkSession, incoming: DataFrame, existing: DataFrame |
         combined = keep.unionByName(conform(good).withColumn("run_ts", run_ts()), allowMissingColumns=True)
     else:
         combined = combine(spark, good, existing, buckets=buckets)
-    deduped = dedup_hash_latest(combined)
-    latest = latest_per_position(deduped)
-    out = finalize(latest, clock)
+    deduped = observe(dedup_hash_latest(observe(combined, "combined")), "after_dedup")
+    out = finalize(observe(latest_per_position(deduped), "written"), clock)
     return out.withColumn("doc_bucket", doc_bucket(buckets)) if buckets else out
 
 
 def ingest(spark: SparkSession, incoming: DataFrame, metadata_path: str,
            clock: Column | None = None, replace_document: bool = False,
-           buckets: int | None = 64, materialize_incoming: bool = False) -> dict:
+           buckets: int | None = 64, materialize_incoming: bool = False, batch_id: str | None = None) -> dict:
     """Run one batch and overwrite only the impacted storage partitions.
 
     ``buckets=None`` reproduces the reference layout (one folder per doc_id);
     the default partitions by a hash bucket of doc_id so a table of millions of
     documents has a bounded number of folders and a batch rewrites only the
-    buckets it touches.  The incoming batch is read three times by the plan (its
-    rows, the impacted keys, the dynamic-pruning subquery); when it is expensive to
-    recompute (not a plain file read) pass ``materialize_incoming=True`` to write it
-    once with a reliable checkpoint."""
+    buckets it touches.  The incoming batch is read four times by the plans (its
+    rejects, its rows, the impacted keys, the dynamic-pruning subquery); when it is
+    expensive to recompute (not a plain file read) pass ``materialize_incoming=True``
+    to write it once with a reliable checkpoint.
+
+    Rows that cannot be ingested go with their reason to ``rejects_path``, in a folder
+    of this batch (a repeated ``batch_id`` replaces its own).  Returns the counts
+    incoming, rejected, combined, after_dedup and written."""
     if materialize_incoming:
         incoming = incoming.checkpoint()
+    seen = Observation("ingest_incoming")
+    (checked(incoming).observe(seen, F.count(F.lit(1)).alias("incoming"), F.count("reject_reason").alias("rejected"))
+     .filter(F.col("reject_reason").isNotNull())
+     .write.mode("overwrite").parquet(f"{rejects_path(metadata_path)}/batch={batch_id or uuid.uuid4().hex}"))
+    counts = []
+
+    def observe(rows: DataFrame, name: str) -> DataFrame:
+        counts.append(Observation("ingest_" + name))
+        return rows.observe(counts[-1], F.count(F.lit(1)).alias(name))
+
     existing = read_existing(spark, metadata_path)
-    obs_in, obs_out = Observation("ingest_in"), Observation("ingest_out")
-    to_write = plan_ingest(spark, incoming, existing, clock, obs_in, replace_document, buckets)
-    to_write = to_write.observe(obs_out, F.count(F.lit(1)).alias("written"))
+    to_write = plan_ingest(spark, incoming, existing, clock, observe, replace_document, buckets)
     part = "doc_bucket" if buckets else "doc_id"
     # one writer per storage partition: files per partition stay bounded
     (to_write.repartition(part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(part).parquet(metadata_path))
-    return {**obs_in.get, **obs_out.get}
+    found = dict(seen.get)
+    for o in counts:
+        found |= o.get
+    return found
+
+
+def rejects_path(metadata_path: str) -> str:
+    """Beside the table, so that reading the table does not meet them."""
+    return metadata_path.rstrip("/") + "_rejects"
 
 
 def write_chunks_json(df: DataFrame, path: str) -> None:
@@ -227,12 +256,3 @@ def read_chunks_json(spark: SparkSession, path: str, multiline: bool = False) ->
     reader = spark.read.schema(CHUNK_SCHEMA).option("multiLine", multiline).option("recursiveFileLookup", "true")
     df = reader.json(path)
     return df
-
-
-def local_path(p: str) -> str:
-    return p[len("file:"):] if p.startswith("file:") else p
-
-
-def ensure_dir(p: str) -> None:
-    if "://" not in p:
-        os.makedirs(local_path(p), exist_ok=True)

@@ -28,7 +28,7 @@ def stream_ingest(spark: SparkSession, staging: str, table_path: str, checkpoint
                   clock=None, files_per_batch: int = 1) -> None:
     """ST1: ingest every staged file exactly once into the metadata table."""
     def batch(df: DataFrame, epoch_id: int) -> None:
-        ing.ingest(spark, df, table_path, clock)
+        ing.ingest(spark, df, table_path, clock, batch_id=str(epoch_id))
 
     q = (chunk_stream(spark, staging, files_per_batch).writeStream.foreachBatch(batch)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
