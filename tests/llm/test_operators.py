@@ -191,6 +191,32 @@ def test_toxicity_finds_marked_documents(spark):
     assert toxicity.trained(spark, docs.limit(0), marks) is None
 
 
+def syllables(rng, n):
+    return [f"{rng.choice('abcdefgh')}{rng.choice('aeiou')}{rng.choice('lmnr')}{rng.choice('aeiou')}" for _ in range(n)]
+
+
+def test_toxicity_keeps_a_rarer_vocabulary_beside_a_frequent_one():
+    rng = random.Random(5)
+    texts, kinds = [], []
+    for i in range(900):
+        words = syllables(rng, 120)
+        kind = "frequent" if i % 5 == 0 else "rare" if i % 25 == 1 else ""
+        for _ in range(6 if kind else 0):
+            # the rare kind is told by a stem with changing ends
+            words[rng.randrange(120)] = rng.choice(["vilename", "foulword"]) if kind == "frequent" else "zwertz" + syllables(rng, 1)[0]
+        texts.append(" ".join(words))
+        kinds.append(kind)
+    made = toxicity.Dictionaries([t for t, k in zip(texts[:400], kinds[:400], strict=True) if k],
+                                 [t for t, k in zip(texts[:400], kinds[:400], strict=True) if not k])
+    differ = toxicity.Differ(made)
+    counts = np.array([differ.counts(t) for t in texts[400:]])
+    toxic = np.array([bool(k) for k in kinds[400:]])
+    score = toxicity.Calibration(counts[:250], toxic[:250]).score(counts[250:])
+    for kind, least, most in (("frequent", 0.9, 1), ("rare", 0.8, 1), ("", 0, 0.05)):
+        found = [s >= 0.3 for s, k in zip(score, kinds[650:], strict=True) if k == kind]
+        assert least <= np.mean(found) <= most, (kind, np.mean(found))
+
+
 def plain_counts(t):
     t = t or ""
     w = re.findall(WORD, t)

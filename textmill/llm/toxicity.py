@@ -7,8 +7,8 @@ thresholds: how much more often each difference occurs in toxic texts is that wi
 weight, and a logistic fit on the weights of a text gives its score.
 
 The dictionaries see a bounded sample of labelled rows (``TRAIN_DOCS`` a class, ``DOC_CHARS``
-of each).  Toxic training text is where it differs from ordinary text: around the words that
-are significantly more frequent in toxic documents.  Labels, language, source and ids are
+of each).  Toxic training text is where it differs from ordinary text: the words that begin
+with a stem significantly more frequent in toxic documents.  Labels, language, source and ids are
 never inputs of a score.  A null or empty text gets the score of a text without windows; with
 labels of one class only, all scores are 0.  Repeated rows get equal scores; extra columns
 are ignored; an empty table gives an empty result.
@@ -31,38 +31,72 @@ TRAIN_DOCS = 1500
 DOC_CHARS = 6000
 #: Documents of each class that calibrate the scores.
 FIT_DOCS = 6000
-DICT_BYTES = 16_384
+DICT_BYTES = 112_640
 WINDOW_WORDS = 12
 LEVEL = 3
 #: Differences in bytes are told apart up to this size on either side.
 SPAN = 16
-#: G squared by which a word must be more frequent in toxic documents, at least and as a
-#: share of the most significant word's.
-G2, G2_SHARE = 15.0, 0.2
-CORE_BYTES = 2048
-FAR_BYTES = 512
+#: G squared by which a stem must be more frequent in toxic text, whatever other stems have.
+G2 = 15.0
+#: Bytes of the beginnings of words that are counted besides whole words.
+STEM = 4, 24
+#: The toxic dictionary's words with a marked stem; the rarest go first if they are more.
+FAR_BYTES = 8192
+MARKS = b".,;:!?\"'()"
+
 
 
 def windows(text: str, words: int = WINDOW_WORDS) -> list[bytes]:
     """The whole text in runs of ``words`` words, lower-cased (A-Z), without outer punctuation."""
-    w = [x.strip(b".,;:!?\"'()") for x in text.encode().lower().split()]
+    w = [x.strip(MARKS) for x in text.encode().lower().split()]
     return [b" " + b" ".join(w[i:i + words]) + b" " for i in range(0, len(w), words)]
 
 
-def marked_words(toxic: list[str], ordinary: list[str]) -> dict[bytes, float]:
-    """Words found in significantly more toxic than ordinary documents, with their G squared."""
-    def documents_with(texts):
-        return Counter(w for t in texts for w in {x.strip(b".,;:!?\"'()") for x in t.encode().lower().split()})
+def stems(word: bytes) -> list[bytes]:
+    """The word, and its beginnings of ``STEM`` bytes that end with a whole character."""
+    ends = [i for i in range(STEM[0], min(len(word), STEM[1] + 1)) if word[i] & 0xC0 != 0x80]
+    return [word[:i] for i in ends] + [word]
+
+
+def marked_stems(toxic: list[str], ordinary: list[str]) -> dict[bytes, float]:
+    """Words and beginnings of words that are significantly more frequent in toxic texts, both by
+    documents and by occurrences, with the G squared of the occurrences; equal texts count once.
+    Each is held to the bound by itself, whatever others there are; of two of which one begins
+    with the other, the more significant one is given."""
+    def counted(texts, only=None):
+        documents, times, n = Counter(), Counter(), 0
+        for t in texts:
+            seen: Counter = Counter()
+            for w, k in Counter(x.strip(MARKS) for x in t.encode().lower().split()).items():
+                n += k
+                for u in stems(w) if w else ():
+                    if only is None or u in only:
+                        seen[u] += k
+            documents.update(seen.keys())
+            times.update(seen)
+        return documents, times, n
+
+    def more_frequent(a, na, b, nb):
+        out = {}
+        for w, n in a.items():
+            m = b.get(w, 0)
+            if n * nb > 2 * m * na and (g := likelihood_ratio(n, na, m, nb)) >= G2:
+                out[w] = g
+        return out
 
-    a, b = documents_with(toxic), documents_with(ordinary)
-    na, nb = len(toxic), len(ordinary)
-    out = {}
-    for w, n in a.items():
-        m = b.get(w, 0)
-        if w and n * nb > 2 * m * na:
-            out[w] = likelihood_ratio(n, na, m, nb)
-    least = max(G2, G2_SHARE * max(out.values(), default=0))
-    return {w: g for w, g in out.items() if g >= least}
+    toxic, ordinary = set(toxic), set(ordinary)
+    a, a_times, a_words = counted(toxic)
+    b, b_times, b_words = counted(ordinary, a)
+    found = more_frequent(a, len(toxic), b, len(ordinary))
+    found = more_frequent({w: a_times[w] for w in found}, a_words, b_times, b_words)
+    begun: set[bytes] = set()
+    out: dict[bytes, float] = {}
+    for w in sorted(found, key=lambda w: (-found[w], -len(w), w)):
+        mine = stems(w)
+        if w not in begun and not any(u in out for u in mine):
+            out[w] = found[w]
+            begun.update(mine)
+    return out
 
 
 def likelihood_ratio(n: int, na: int, m: int, nb: int) -> float:
@@ -76,19 +110,17 @@ def likelihood_ratio(n: int, na: int, m: int, nb: int) -> float:
 
 
 class Dictionaries:
-    """The two trained dictionaries.  The ordinary one is trained on windows of ordinary text
-    (after blanks, so that its offsets are those of the other); the toxic one has this same
-    text in the near part, which makes common language cost both alike, and in the far part
-    what is trained on the passages that mark toxic text."""
+    """The two dictionaries.  The ordinary one is trained on windows of ordinary text without
+    marked stems (after blanks, so that its offsets are those of the other); the toxic one has
+    this same text in the near part, which makes common language cost both alike, and in the
+    far part the words of toxic text that begin with a marked stem, the most frequent last."""
 
     def __init__(self, toxic: list[str], ordinary: list[str]):
-        marked = marked_words(toxic, ordinary)
-        plain = [x for t in ordinary for x in windows(t)][::2]
-        # of a toxic text's windows, what sets it apart
-        odd = [b" " + w + b" " for t in toxic for x in windows(t) for w in x.split() if w in marked]
-        core = b" ".join(w for w, _ in sorted(marked.items(), key=lambda x: (x[1], x[0])))[-CORE_BYTES:]
-        common = self._train(plain, DICT_BYTES // 2)
-        far = self._train(odd, FAR_BYTES)[-FAR_BYTES:] + b" " + core + b" "
+        marked = marked_stems(toxic, ordinary)
+        plain = [x for t in ordinary for x in windows(t) if not any(u in marked for w in x.split() for u in stems(w))][::2]
+        odd = Counter(w for t in toxic for x in windows(t) for w in set(x.split()) if any(u in marked for u in stems(w)))
+        common = self._train(plain, DICT_BYTES)
+        far = b" " + b" ".join(w for w, _ in sorted(odd.items(), key=lambda x: (x[1], x[0])))[-FAR_BYTES:] + b" "
         self.toxic = far + common
         self.ordinary = b" " * len(far) + common
 
@@ -107,7 +139,7 @@ class Dictionaries:
         import zstandard
 
         params = zstandard.ZstdCompressionParameters.from_level(
-            LEVEL, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0, window_log=15,
+            LEVEL, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0, window_log=17,
             min_match=4, strategy=zstandard.STRATEGY_LAZY2, search_log=6)
         made = []
         for data in (self.ordinary, self.toxic):
