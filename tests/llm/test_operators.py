@@ -217,6 +217,27 @@ def test_toxicity_keeps_a_rarer_vocabulary_beside_a_frequent_one():
         assert least <= np.mean(found) <= most, (kind, np.mean(found))
 
 
+def test_toxicity_scores_do_not_depend_on_the_cap(spark, monkeypatch):
+    rng = random.Random(6)
+    rows, labels = [], []
+    for i in range(800):
+        words = syllables(rng, 60)
+        toxic = i % 10 == 0
+        # a mark that only half of the toxic rows hold, so that scores are far from 0 and 1
+        if i % 20 == 0 or (not toxic and i % 9 == 0):
+            words[rng.randrange(60)] = "vilename"
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    mean = []
+    for cap in (6000, 35):
+        monkeypatch.setattr(toxicity, "FIT_DOCS", cap)
+        scores = toxicity.toxicity_scores(spark, docs, toxicity.trained(spark, docs, marks))
+        mean.append(scores.agg(F.avg("score")).first()[0])
+    assert abs(mean[0] - 0.1) < 0.05 and abs(mean[1] - 0.1) < 0.1, mean
+
+
 def plain_counts(t):
     t = t or ""
     w = re.findall(WORD, t)

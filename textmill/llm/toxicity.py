@@ -174,16 +174,21 @@ class Differ:
 
 
 class Calibration:
-    """Window weights from the differences of labelled texts, and a logistic fit on them."""
+    """Window weights from the differences of labelled texts, and a logistic fit on them.
+    ``rate`` is the share of toxic rows among all that could be drawn; each class counts by it,
+    so that a score does not depend on how many of each class were drawn."""
 
-    def __init__(self, counts: np.ndarray, toxic: np.ndarray):
+    def __init__(self, counts: np.ndarray, toxic: np.ndarray, rate: float | None = None):
         rates = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
         p = rates[toxic].sum(axis=0) + 0.5 / (2 * SPAN + 1)
         q = rates[~toxic].sum(axis=0) + 0.5 / (2 * SPAN + 1)
         self.weights = np.clip(np.log(p / p.sum()) - np.log(q / q.sum()), -4, 4)
-        x = self.features(counts)
-        self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
-        self.fit = self._logistic((x - self.mean) / self.scale, toxic.astype(float))
+        x, drawn = self.features(counts), toxic.mean()
+        rate = drawn if rate is None else rate
+        share = np.where(toxic, rate / drawn, (1 - rate) / (1 - drawn))
+        self.mean = np.average(x, axis=0, weights=share)
+        self.scale = np.sqrt(np.average((x - self.mean) ** 2, axis=0, weights=share)) + 1e-6
+        self.fit = self._logistic((x - self.mean) / self.scale, toxic.astype(float), share)
 
     def features(self, counts: np.ndarray) -> np.ndarray:
         n = np.maximum(counts.sum(axis=1), 1)
@@ -196,13 +201,13 @@ class Calibration:
         return np.stack(cols, axis=1)
 
     @staticmethod
-    def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1e-2) -> np.ndarray:
+    def _logistic(x: np.ndarray, y: np.ndarray, share: np.ndarray, steps: int = 60, ridge: float = 1e-2) -> np.ndarray:
         x = np.hstack([x, np.ones((len(x), 1))])
         w = np.zeros(x.shape[1])
         for _ in range(steps):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-            step = np.linalg.solve(h, x.T @ (y - p) - ridge * w)
+            h = (x * (share * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+            step = np.linalg.solve(h, x.T @ (share * (y - p)) - ridge * w)
             w += step
             if np.abs(step).max() < 1e-8:
                 break
@@ -256,7 +261,8 @@ def trained(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null")
     known = stored(spark, texts.select("doc_id", F.xxhash64("text").alias("h")).join(marks, "doc_id").distinct(), "toxknown")
     # a few thousand rows of ids at most, whatever the input, so they may be sent to all tasks
-    fit_rows = _least(known.filter("pmod(h, 2) <> 0"), FIT_DOCS)
+    fitting = known.filter("pmod(h, 2) <> 0")
+    fit_rows = _least(fitting, FIT_DOCS)
     train_rows = _least(known.filter("pmod(h, 2) = 0"), TRAIN_DOCS)
     picked = _texts_of(texts, train_rows).withColumn("text", F.substring("text", 1, DOC_CHARS))
     rows = picked.orderBy("toxic", "h", "doc_id").collect()
@@ -270,7 +276,8 @@ def trained(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str
     flags = np.array([r.toxic == 1 for r in fit], bool)
     if not flags.any() or flags.all():
         return None
-    return dictionaries, Calibration(np.array([r.counts for r in fit]), flags)
+    rate = fitting.agg(F.avg("toxic")).first()[0]
+    return dictionaries, Calibration(np.array([r.counts for r in fit]), flags, rate)
 
 
 def toxicity_scores(spark: SparkSession, docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
