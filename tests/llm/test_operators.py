@@ -238,6 +238,16 @@ def test_toxicity_scores_do_not_depend_on_the_cap(spark, monkeypatch):
     assert abs(mean[0] - 0.1) < 0.05 and abs(mean[1] - 0.1) < 0.1, mean
 
 
+def test_training_rows_are_the_least_of_each_class_by_task(spark):
+    rows = spark.range(9000).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("h"), (F.col("id") % 3 == 0).cast("int").alias("toxic"))
+    least = toxicity._least(rows, 1500)
+    want = {k: sorted((r.h, r.doc_id) for r in rows.collect() if r.toxic == k)[:1500] for k in (0, 1)}
+    got = least.collect()
+    assert {k: sorted((r.h, r.doc_id) for r in got if r.toxic == k) for k in (0, 1)} == want
+    plan = least._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("TakeOrderedAndProject") == 2 and "Window" not in plan
+
+
 def plain_counts(t):
     t = t or ""
     w = re.findall(WORD, t)
