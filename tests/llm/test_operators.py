@@ -248,6 +248,28 @@ def test_training_rows_are_the_least_of_each_class_by_task(spark):
     assert plan.count("TakeOrderedAndProject") == 2 and "Window" not in plan
 
 
+def test_toxicity_learns_from_the_end_of_long_texts(spark):
+    rng = random.Random(7)
+    rows, labels = [], []
+    for i in range(60):
+        words = syllables(rng, 1500)
+        if i % 3 == 0:
+            words[1400:] = [w if k % 5 else "vilename" for k, w in enumerate(words[1400:])]
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 3 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made, _ = toxicity.trained(spark, docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert b" vilename " in made.toxic and b"vilename" not in made.ordinary
+
+
+def test_toxicity_dictionary_sees_every_window(monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity.Dictionaries, "_train", staticmethod(lambda samples, size: seen.extend(samples) or b"x"))
+    text = " ".join(syllables(random.Random(8), 240))
+    toxicity.Dictionaries(["vilename"], [text])
+    assert seen == toxicity.windows(text)
+
+
 def plain_counts(t):
     t = t or ""
     w = re.findall(WORD, t)

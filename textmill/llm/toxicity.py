@@ -6,8 +6,7 @@ says which text it is more like.  Labelled documents that trained no dictionary
 thresholds: how much more often each difference occurs in toxic texts is that window's
 weight, and a logistic fit on the weights of a text gives its score.
 
-The dictionaries see a bounded sample of labelled rows (``TRAIN_DOCS`` a class, ``DOC_CHARS``
-of each).  Toxic training text is where it differs from ordinary text: the words that begin
+The dictionaries see a bounded sample of labelled rows (``TRAIN_DOCS`` a class) in full.  Toxic training text is where it differs from ordinary text: the words that begin
 with a stem significantly more frequent in toxic documents.  Labels, language, source and ids are
 never inputs of a score.  A null or empty text gets the score of a text without windows; with
 labels of one class only, all scores are 0.  Repeated rows get equal scores; extra columns
@@ -27,7 +26,6 @@ from pyspark.sql import functions as F
 from textmill.llm.graph import stored
 
 TRAIN_DOCS = 1500
-DOC_CHARS = 6000
 #: Documents of each class that calibrate the scores.
 FIT_DOCS = 6000
 DICT_BYTES = 112_640
@@ -44,7 +42,6 @@ FAR_BYTES = 8192
 MARKS = b".,;:!?\"'()"
 
 
-
 def windows(text: str, words: int = WINDOW_WORDS) -> list[bytes]:
     """The whole text in runs of ``words`` words, lower-cased (A-Z), without outer punctuation."""
     w = [x.strip(MARKS) for x in text.encode().lower().split()]
@@ -116,7 +113,7 @@ class Dictionaries:
 
     def __init__(self, toxic: list[str], ordinary: list[str]):
         marked = marked_stems(toxic, ordinary)
-        plain = [x for t in ordinary for x in windows(t) if not any(u in marked for w in x.split() for u in stems(w))][::2]
+        plain = [x for t in ordinary for x in windows(t) if not any(u in marked for w in x.split() for u in stems(w))]
         odd = Counter(w for t in toxic for x in windows(t) for w in set(x.split()) if any(u in marked for u in stems(w)))
         common = self._train(plain, DICT_BYTES)
         far = b" " + b" ".join(w for w, _ in sorted(odd.items(), key=lambda x: (x[1], x[0])))[-FAR_BYTES:] + b" "
@@ -127,7 +124,6 @@ class Dictionaries:
     def _train(samples: list[bytes], size: int) -> bytes:
         import zstandard
 
-        samples = samples[:60_000]
         try:
             return zstandard.train_dictionary(size, samples, level=LEVEL).as_bytes()
         except zstandard.ZstdError:
@@ -263,8 +259,7 @@ def trained(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str
     fitting = known.filter("pmod(h, 2) <> 0")
     fit_rows = _least(fitting, FIT_DOCS)
     train_rows = _least(known.filter("pmod(h, 2) = 0"), TRAIN_DOCS)
-    picked = _texts_of(texts, train_rows).withColumn("text", F.substring("text", 1, DOC_CHARS))
-    rows = picked.orderBy("toxic", "h", "doc_id").collect()
+    rows = _texts_of(texts, train_rows).orderBy("toxic", "h", "doc_id").collect()
     toxic, ordinary = ([r.text for r in rows if r.toxic == k] for k in (1, 0))
     if not toxic or not ordinary:
         return None
