@@ -615,6 +615,26 @@ def test_lines_against_all_pairs(spark, monkeypatch, short, block):
     assert line_dedup.without_duplicate_lines(spark, docs.limit(0)).count() == 0
 
 
+def test_short_lines_go_too(spark):
+    rng = random.Random(15)
+    # exact repeats of lines of one to four words, by plain splitting
+    pool = [" ".join(f"s{rng.randrange(40)}" for _ in range(k)) for k in (1, 2, 3, 4) for _ in range(20)]
+    texts = ["\n".join([*(rng.choice(pool) for _ in range(6)), "", " "]) for _ in range(40)]
+    seen, want = set(), []
+    for t in texts:
+        kept = []
+        for line in t.split("\n"):
+            if not line.split() or line not in seen:
+                kept.append(line)
+            seen.add(line)
+        want.append("\n".join(kept))
+    # of 5 to 7 words, one edit apart: the same words, one of them twice
+    fuzzy = [w + "\n" + w + " " + w.split()[-1] for w in (" ".join(f"f{k}x{i}" for i in range(k)) for k in (5, 6))]
+    got = {r.doc_id: r.text for r in line_dedup.without_duplicate_lines(spark, frame(spark, texts + fuzzy)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert [got[len(texts) + i] for i in range(2)] == [t.split("\n")[0] for t in fuzzy]
+
+
 def test_edit_distance_is_the_plain_one():
     rng = random.Random(14)
     for _ in range(400):

@@ -1,7 +1,7 @@
 """Fuzzy line dedup: SimHash, pigeonhole blocks, edit verification, one line per group.
 
 Lines are normalised (A-Z lower-cased, runs of white space one space).  Equal normalised
-lines are one line from the start.  Longer lines get a 64-bit SimHash of their distinct
+lines are one line from the start.  Lines that allow an edit get a 64-bit SimHash of their distinct
 words; two hashes that differ in at most ``RADIUS`` bits agree on two of ``RADIUS + 2``
 blocks, so lines meet under every pair of blocks.  A short bucket gives its pairs within the radius,
 each in the first bucket that holds it; a long one gives links to pivots first and, where
@@ -9,8 +9,9 @@ these leave several groups, all pairs of blocks of its members.  A link needs an
 similarity of ``percent`` / 100, where a word is a unit of edit: 1 - distance / longer length.
 
 In every connected group the occurrence of least (doc_id, line number) stays and all others
-go; repeated rows (equal id and text) are one document and stay alike.  Lines of fewer
-than ``MIN_WORDS`` words are never removed, those of fewer than ``FUZZY_WORDS`` only as equal lines.  A null text stays null and
+go; repeated rows (equal id and text) are one document and stay alike.  Blank lines stay; lines
+so short that one edit is too much (fewer than ``FUZZY_WORDS`` words at 80 percent) go as equal
+lines only.  A null text stays null and
 an empty one empty; a row without id keeps its text and takes no part; extra columns stay.
 """
 
@@ -25,8 +26,10 @@ from textmill.llm import textops
 from textmill.llm.graph import cells, components, stored
 
 RADIUS = 3
-MIN_WORDS = 5
-FUZZY_WORDS = 8
+#: Every line with a word takes part.
+MIN_WORDS = 1
+#: Words from which a line can be 0.8 similar to another without being equal: one edit in five.
+FUZZY_WORDS = 5
 SHORT = 32
 BLOCK = 512
 CHUNK = 512
@@ -289,7 +292,8 @@ def duplicate_lines(spark: SparkSession, docs: DataFrame, percent: int = 80) ->
     first = F.min(F.struct("doc_id", "place", "row")).alias("first")
     distinct = stored(spark, lines.groupBy("line").agg(first, F.first("sim").alias("sim"), F.first("words").alias("words"),
                                                        F.count("*").alias("copies")), "distinct")
-    fuzzy = distinct.filter(F.col("words") >= FUZZY_WORDS)
+    # shorter lines allow no edit, so only equal lines are similar
+    fuzzy = distinct.filter(F.col("words") * (100 - percent) >= 100)
     keys = fuzzy.select("line", "sim").mapInArrow(_keys, "key long, mask int, line long, sim long")
     found = stored(spark, keys.repartition("key").sortWithinPartitions("key").mapInArrow(
         _candidates, "key long, a long, b long, sim long"), "linecandidates")
