@@ -560,6 +560,21 @@ def test_divide_skip_finds_every_frequent_member():
         assert sorted(jaccard.divide_skip(lists, least, rng.choice([0.01, 0.3, 5]))) == want
 
 
+def test_jaccard_candidates_do_not_depend_on_batches():
+    rows = [(1, 5, 10), (2, 5, 20), (2, 5, 21), (3, 5, 30), (3, 5, 31)]
+
+    def found(sizes):
+        batches, at = [], 0
+        for n in sizes:
+            cols = zip(*rows[at:at + n], strict=True) if n else [[], [], []]
+            batches.append(pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["mark", "n", "class"]))
+            at += n
+        return sorted((r["a"], r["b"]) for b in jaccard._candidates(80)(iter(batches)) for r in b.to_pylist())
+
+    for sizes in ([5], [4, 1], [2, 1, 2], [1] * 5, [0, 2, 0, 3]):
+        assert found(sizes) == [(20, 21), (30, 31)], sizes
+
+
 # ---- 10 --------------------------------------------------------------------------------
 
 def plain_lines(texts, percent=80):

@@ -196,13 +196,14 @@ def _candidates(percent: int):
 
         for b in batches:
             marks = b.column(0).to_numpy()
+            if not len(marks):
+                continue
             single = np.ones(len(marks), bool)
-            if len(marks) > 1:
-                same = marks[1:] == marks[:-1]
-                single[1:] &= ~same
-                single[:-1] &= ~same
-                single[0] &= marks[0] != mark
-                single[-1] = False
+            same = marks[1:] == marks[:-1]
+            single[1:] &= ~same
+            single[:-1] &= ~same
+            single[0] &= marks[0] != mark
+            single[-1] = False
             keep = np.flatnonzero(~single)
             for m, n, c in zip(marks[keep].tolist(), b.column(1).to_numpy()[keep].tolist(),
                                b.column(2).to_numpy()[keep].tolist(), strict=True):
