@@ -1,16 +1,18 @@
 """Toxicity by compression distance: two zstandard dictionaries, windows, calibrated scores.
 
-One dictionary is trained on toxic, one on ordinary text.  A text is cut into windows of
-whole words; each window is compressed with both, and the difference of the two lengths
-says which text it is more like.  Labelled documents that trained no dictionary give the
-thresholds: how much more often each difference occurs in toxic texts is that window's
-weight, and a logistic fit on the weights of a text gives its score.
-
-The dictionaries see a bounded sample of labelled rows (``TRAIN_DOCS`` a class) in full.  Toxic training text is where it differs from ordinary text: the words that begin
-with a stem significantly more frequent in toxic documents.  Labels, language, source and ids are
-never inputs of a score.  A null or empty text gets the score of a text without windows; with
-labels of one class only, all scores are 0.  Repeated rows get equal scores; extra columns
-are ignored; an empty table gives an empty result.
+The ordinary dictionary is trained on ordinary text.  The toxic one is not trained on windows of
+toxic text, which finds too little here (see the README): it is the ordinary one and a lexicon,
+the words of toxic texts that begin with a stem significantly more frequent in them by G squared.
+Context and phrases of toxic text are not learnt.  A text is cut into windows of whole words; each
+window is compressed with both, and the difference of the two lengths says how much of it is in
+the lexicon.  Labelled documents that trained no dictionary give the thresholds: how much more
+often each difference occurs in toxic texts is that window's weight, and a logistic fit on the
+weights of a text gives its score.
+
+The dictionaries see a bounded sample of labelled rows (``TRAIN_DOCS`` a class) in full.  Labels,
+language, source and ids are never inputs of a score.  A null or empty text gets the score of a
+text without windows; with labels of one class only, all scores are 0.  Repeated rows get equal
+scores; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
