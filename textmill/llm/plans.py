@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from textmill.llm.bpe import encode_digests
 from textmill.llm.embed_dedup import near_duplicates
+from textmill.llm.importance import importance_sample
 from textmill.llm.jaccard import jaccard_groups
 from textmill.llm.langid import identify_languages
 from textmill.llm.line_dedup import without_duplicate_lines
@@ -93,13 +94,69 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_duplicate_lines(spark, docs, percent=80)
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn towards the words of the benchmark texts."""
+    out = importance_sample(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"),
+                            lo=1, hi=1, percent=10)
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+#: Unsigned crc32 of a blob in SQL: the register folded over the bytes by a table made from its rule.
+CRC32_MACROS = r"""
+WITH RECURSIVE crc_bits AS (
+  SELECT i::BIGINT AS i, 0 AS k, i::BIGINT AS r FROM range(256) t(i)
+  UNION ALL
+  SELECT i, k + 1, CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END FROM crc_bits WHERE k < 8
+), crc_table AS (SELECT list(r ORDER BY i) AS t FROM crc_bits WHERE k = 8),
+"""
+
+OP12_SQL = CRC32_MACROS + r"""
+doc AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), occ AS (SELECT rid, unnest(words) AS w FROM doc),
+goal AS (
+  SELECT unnest(regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark
+), vocabulary AS (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM occ UNION SELECT w FROM goal)),
+hashed AS (
+  SELECT w, xor(list_reduce(
+           list_prepend(4294967295::BIGINT,
+                        list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+           lambda reg, b: xor(reg >> 8, t[(xor(reg, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM vocabulary, crc_table
+), s AS (SELECT bucket, count(*) AS s FROM occ JOIN hashed USING (w) GROUP BY 1),
+t AS (SELECT bucket, count(*) AS t FROM goal JOIN hashed USING (w) GROUP BY 1),
+totals AS (SELECT (SELECT count(*) FROM occ) AS s_all, (SELECT count(*) FROM goal) AS t_all),
+gains AS (
+  SELECT b AS bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (s_all + 10000)
+                                      / ((coalesce(s, 0) + 1)::DOUBLE * (t_all + 10000))))::BIGINT AS gain
+  FROM range(10000) r(b) LEFT JOIN s ON s.bucket = b LEFT JOIN t ON t.bucket = b, totals
+), weights AS (SELECT rid, sum(gain)::BIGINT AS weight FROM occ JOIN hashed USING (w) JOIN gains USING (bucket) GROUP BY 1),
+scored AS (
+  SELECT doc_id, len(words)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE)
+                                                    / 4294967296)))::BIGINT AS score
+  FROM doc LEFT JOIN weights USING (rid)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place,
+         count(*) OVER (PARTITION BY n_features >= 20) AS able FROM scored
+)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN n_features >= 20 AND place <= 10 * able // 100 THEN place END AS rank
+FROM placed
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_url_markov, op2_embedding_dedup, op3_compression_toxicity, op4_quality_forest,
         op5_best_fit_packing, op6_virtual_slots, op7_bpe_transducer, op8_cross_parsing,
-        op9_ngram_jaccard, op10_fuzzy_lines,
+        op9_ngram_jaccard, op10_fuzzy_lines, op12_importance_resampling,
     )}
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op12_importance_resampling": OP12_SQL}
