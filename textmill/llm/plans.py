@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.llm.bpe import encode_digests
+from textmill.llm.collocations import collocations
 from textmill.llm.embed_dedup import near_duplicates
 from textmill.llm.importance import importance_sample
 from textmill.llm.jaccard import jaccard_groups
@@ -19,6 +20,7 @@ from textmill.llm.quality import quality_verdicts
 from textmill.llm.sharding import shard_by_bytes
 from textmill.llm.toxicity import toxicity_scores, trained
 from textmill.llm.url_markov import judge
+from textmill.llm.warc import archived
 from textmill.session import read_table, scratch_path
 
 
@@ -94,6 +96,27 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_duplicate_lines(spark, docs, percent=80)
 
 
+def op11_dictionary_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record as read back from the archives it was written to."""
+    out = archived(spark, read_table(spark, sf_dir, "pages"), min_bytes=0)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP11_SQL = r"""
+WITH held AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h,
+         min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id FROM pages
+)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                ((('0x' || substr(h, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM held
+"""
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents drawn towards the words of the benchmark texts."""
     out = importance_sample(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"),
@@ -101,6 +124,47 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of two to four words of each language."""
+    return collocations(spark, read_table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH piece AS (
+  SELECT lang, row_number() OVER () AS pid, words FROM (
+    SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex(
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS words FROM documents)
+  WHERE len(words) > 0
+), begun AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM piece),
+f AS (
+  SELECT lang, n AS words, array_to_string(words[i:i + n - 1], ' ') AS phrase, count(*) AS f
+  FROM begun, range(1, 5) r(n) WHERE i + n - 1 <= len(words) GROUP BY ALL
+), totals AS (SELECT lang, sum(len(words)) AS n FROM piece GROUP BY 1),
+cand AS (SELECT lang, words, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE words > 1 AND f >= 30),
+around AS (
+  SELECT lang, phrase, max(a) AS longer FROM (
+    SELECT lang, a, array_to_string(w[i:i + n - 1], ' ') AS phrase
+    FROM cand, range(2, 4) s(n), range(1, 4) t(i) WHERE n < words AND i + n - 1 <= words)
+  GROUP BY 1, 2
+), kept AS (
+  SELECT c.* FROM cand c LEFT JOIN around USING (lang, phrase) WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a
+), cuts AS (
+  SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS rest
+  FROM kept, range(1, 4) r(k) WHERE k < words
+), scored AS (
+  SELECT c.lang, c.phrase, a, k, h.f AS l, t.f AS r, (2000000::HUGEINT * a) // (h.f + t.f) AS score
+  FROM cuts c JOIN f h ON h.lang = c.lang AND h.phrase = head JOIN f t ON t.lang = c.lang AND t.phrase = rest
+), least AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM least
+)
+SELECT lang, rank::BIGINT AS rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+FROM placed JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
 #: Unsigned crc32 of a blob in SQL: the register folded over the bytes by a table made from its rule.
 CRC32_MACROS = r"""
 WITH RECURSIVE crc_bits AS (
@@ -154,9 +218,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_url_markov, op2_embedding_dedup, op3_compression_toxicity, op4_quality_forest,
         op5_best_fit_packing, op6_virtual_slots, op7_bpe_transducer, op8_cross_parsing,
-        op9_ngram_jaccard, op10_fuzzy_lines, op12_importance_resampling,
+        op9_ngram_jaccard, op10_fuzzy_lines, op11_dictionary_warc, op12_importance_resampling,
+        op13_phrase_collocations,
     )}
 
 
 def oracles() -> dict[str, str]:
-    return {"op12_importance_resampling": OP12_SQL}
+    return {"op11_dictionary_warc": OP11_SQL, "op12_importance_resampling": OP12_SQL,
+            "op13_phrase_collocations": OP13_SQL}
