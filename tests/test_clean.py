@@ -93,3 +93,43 @@ def test_fold_and_window_part_after_lone_marker(spark):
     window = [r.text for r in cl.merge_soft_wraps_window(lines, ["doc_id"]).orderBy("para_no").collect()]
     assert fold == "12 some prose here\nmore prose"
     assert window == ["12 some prose here more prose"]
+
+
+def test_marks_are_those_of_the_fold(spark):
+    """Random lines of every kind the rules tell apart: the marks of one pass against the fold over
+    the accumulated text, which DuckDB runs as the rule is stated."""
+    import random
+
+    import duckdb
+
+    from textmill.functions.sqltext import DUCK
+
+    rng = random.Random(5)
+    kinds = ["-", "*", "1.", "a)", "IV.", "12", "1.2", "A", "AB", "B-", "(C", "X1", "AB CD", "plain words go on", "it ends here.",
+             "Is it?", "Note: this", "Title Case Line", "a | b", "a    b", "- item", "12 Overview", "ends with:", "", "  ", "\xa0", "é è",
+             "\u2003in dented", "x" * 79, "word " * 15, "Foo bar", "1,234", ". . .", "7", "A1 ", "\ttab\tline"]
+    texts = ["\n".join(rng.choice(kinds) for _ in range(rng.randrange(1, 14))) for _ in range(3000)]
+    texts += ["\n".join(rng.choice(kinds) for _ in range(700)) for _ in range(5)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t AS SELECT unnest($1) AS i, unnest($2) AS t", [list(range(len(texts))), texts])
+    want = dict(con.execute(f"SELECT i, {tx.clean_text(DUCK, 't')} FROM t").fetchall())
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(8)
+    got = {r.i: r.c for r in df.select("i", cl.clean_text("t").alias("c")).collect()}
+    assert [texts[i] for i in got if got[i] != want[i]][:3] == [] and len(got) == len(texts)
+
+
+def test_time_grows_with_the_lines_of_a_block(spark):
+    import time
+
+    def seconds(n):
+        rows = [(i, "\n".join(f"line {j} of some words, which" for j in range(n))) for i in range(8)]
+        df = spark.createDataFrame(rows, "i int, t string").coalesce(1).select(cl.clean_text("t"))
+        best = []
+        for _ in range(4):
+            begun = time.perf_counter()
+            df.write.format("noop").mode("overwrite").save()
+            best.append(time.perf_counter() - begun)
+        return min(best)
+
+    seconds(2000)
+    assert seconds(16000) <= 2.3 * seconds(8000)

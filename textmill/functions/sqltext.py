@@ -11,6 +11,13 @@ from __future__ import annotations
 
 import re
 
+# The white space of Python's str.isspace(), as a class body for RE2 and Python, as the
+# same class for Java (which tests a property faster than a dozen ranges), and as characters.
+WS_BODY = "\\t-\\r\\x1c-\\x20\\x85\\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WS_JAVA = r"\p{IsWhite_Space}\x1c-\x1f"
+WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+            "\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
 
 class Dialect:
     def __init__(self, name: str):
@@ -115,21 +122,32 @@ class Dialect:
             return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
         return "'" + s.replace("'", "''") + "'"
 
+    def rx(self, pattern: str) -> str:
+        """A pattern literal, its white space written for the engine."""
+        return self.lit(pattern.replace(WS_BODY, WS_JAVA) if self.spark else pattern)
+
     def rx_replace(self, s: str, pattern: str, repl: str) -> str:
         """Global replace; ``repl`` uses ``$1`` style groups (translated for DuckDB)."""
         if self.spark:
-            return f"regexp_replace({s}, {self.lit(pattern)}, {self.lit(repl)})"
+            return f"regexp_replace({s}, {self.rx(pattern)}, {self.lit(repl)})"
         return (f"regexp_replace({s}, {self.lit(pattern)}, "
                 f"{self.lit(re.sub(r'[$](\d)', lambda m: chr(92) + m.group(1), repl))}, 'g')")
 
     def rx_like(self, s: str, pattern: str) -> str:
         if self.spark:
-            return f"({s} rlike {self.lit(pattern)})"
+            return f"({s} rlike {self.rx(pattern)})"
         return f"regexp_matches({s}, {self.lit(pattern)})"
 
+    def trim(self, s: str, side: str = "both") -> str:
+        """Without white space at both ends, or at the trailing one."""
+        chars = self.lit(WS_CHARS)
+        if self.spark:
+            return f"btrim({s}, {chars})" if side == "both" else f"trim(trailing {chars} from {s})"
+        return f"{'trim' if side == 'both' else 'rtrim'}({s}, {chars})"
+
     def rx_all(self, s: str, pattern: str) -> str:
         if self.spark:
-            return f"regexp_extract_all({s}, {self.lit(pattern)}, 0)"
+            return f"regexp_extract_all({s}, {self.rx(pattern)}, 0)"
         return f"regexp_extract_all({s}, {self.lit(pattern)})"
 
 

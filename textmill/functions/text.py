@@ -12,12 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textmill.functions.sqltext import SPARK, Dialect
+from textmill.functions.sqltext import SPARK, WS_BODY, WS_JAVA, Dialect
 
 # ---------------------------------------------------------------------------
 # These patterns and thresholds must equal the reference's
 # cleaning and chunking rules for results to match.
-#   white space: what str.isspace() holds, as a class body for Java, RE2 and Python
+#   white space: what str.isspace() holds (sqltext.WS_BODY)
 #   bullets / enumerators: - * • ● ◦ , "1." "1)", "a." "a)", roman "IV." then whitespace
 #   all-caps heading: ^\s*[A-Z0-9][A-Z0-9 \-–—,:;()/]{3,}\s*$
 #   numbered heading: ^\s*\d+(\.\d+)*\s+.+$ and at most 80 characters
@@ -28,8 +28,7 @@ from textmill.functions.sqltext import SPARK, Dialect
 #   de-hyphenate: word-char '-' whitespace* newline whitespace* word-char
 #   chunk budget: target 280, max 380, overlap 60, min overlap 20 tokens
 # ---------------------------------------------------------------------------
-_WS = "\\t-\\r\\x1c-\\x20\\x85\\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-WS, NOT_WS = f"[{_WS}]", f"[^{_WS}]"
+WS, NOT_WS = f"[{WS_BODY}]", f"[^{WS_BODY}]"
 BULLET_RE = rf"^{WS}*([-*•●◦]|[0-9]+[.)]|[A-Za-z][.)]|[IVXLCDM]+[.)]){WS}+"
 ALL_CAPS_RE = rf"^{WS}*[A-Z0-9][A-Z0-9 \-–—,:;()/]{{3,}}{WS}*$"
 NUMBERED_RE = rf"^{WS}*[0-9]+(\.[0-9]+)*{WS}+[^\n]+$"
@@ -45,7 +44,7 @@ TARGET_TOKENS, MAX_TOKENS, OVERLAP_TOKENS, MIN_OVERLAP_TOKENS = 280, 380, 60, 20
 
 WORD = r"[\p{L}\p{N}_]"
 # Default tokenizer: a run of word characters, or any one other non-space character.
-TOKEN_RE = rf"[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{_WS}]"
+TOKEN_RE = rf"[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{WS_BODY}]"
 # Sentence boundary: after . ! ? and whitespace, or at a newline.
 SENT_MARK = "\u0001"
 
@@ -53,11 +52,11 @@ SENT_MARK = "\u0001"
 # --- small string helpers -------------------------------------------------------
 def strip(d: Dialect, s: str) -> str:
     """Python ``str.strip()``: trim all white space, not only spaces."""
-    return d.rx_replace(s, rf"^{WS}+|{WS}+$", "")
+    return d.trim(s)
 
 
 def rstrip(d: Dialect, s: str) -> str:
-    return d.rx_replace(s, rf"{WS}+$", "")
+    return d.trim(s, "trailing")
 
 
 def collapse_spaces(d: Dialect, s: str) -> str:
@@ -84,7 +83,7 @@ def is_numbered(d: Dialect, s: str) -> str:
 
 def title_ratio(d: Dialect, s: str) -> str:
     """Capitalised words / words containing a letter (null when no word has a letter)."""
-    words = f"split({s}, {d.lit(WS + '+')})" if d.spark else f"string_split_regex({s}, {d.lit(WS + '+')})"
+    words = f"split({s}, {d.rx(WS + '+')})" if d.spark else f"string_split_regex({s}, {d.lit(WS + '+')})"
     cap = d.transform(words, "w_", f"if({d.rx_like('w_', r'^\p{Lu}')}, 1, 0)")
     alpha = d.transform(words, "w_", f"if({d.rx_like('w_', r'\p{L}')}, 1, 0)")
     n_cap = d.reduce(cap, "0", "ta_", "tx_", "ta_ + tx_")
@@ -152,8 +151,8 @@ def strip_trailing(d: Dialect, s: str) -> str:
 def dehyphenate(d: Dialect, s: str) -> str:
     """T03.  Spark uses the lookaround form; DuckDB (no lookbehind) consumes the
     neighbours, which needs a second pass for chains such as ``a-\\nb-\\nc``."""
-    if d.spark:
-        return d.rx_replace(s, rf"(?<={WORD})-{WS}*\n{WS}*(?={WORD})", "")
+    if d.spark:  # the hyphen first: a lookbehind alone would be tried at every character
+        return d.rx_replace(s, rf"-(?<={WORD}-){WS}*\n{WS}*(?={WORD})", "")
     once = d.rx_replace(s, rf"({WORD})-{WS}*\n{WS}*({WORD})", "$1$2")
     return d.rx_replace(once, rf"({WORD})-{WS}*\n{WS}*({WORD})", "$1$2")
 
@@ -232,11 +231,94 @@ def merge_block(d: Dialect, block: str) -> str:
     return strip(d, d.join(final, "'\\n'" if d.spark else "chr(10)"))
 
 
+# --- T13 for Spark: break marks in one pass, then one cut and join ---------------------------
+# A paragraph is decided by what its lines add up to, never by its text: of the heading tests
+# on the accumulated text only three can hold where no line of it is a heading itself -
+#   a lone enumerator or bullet and more text is a bullet;
+#   a lone number and more text, 80 characters in all, is a numbered heading;
+#   lines of capitals and marks, too short or begun by a mark, add up to a line of capitals
+# (a title needs a line that is title-like already).  Each closes the paragraph.
+LONE_ENUM_RE = r"^([-*•●◦]|[0-9]+[.)]|[A-Za-z][.)]|[IVXLCDM]+[.)])$"
+LONE_NUMBER_RE = r"^[0-9]+(\.[0-9]+)*$"
+CAPS_LINE_RE = r"^[A-Z0-9 \-–—,:;()/]+$"
+CAPS_LEAST = 4
+FOLD_LINES = 256
+
+
+def _title_line(s: str) -> str:
+    """T09/T10 on a stripped line (Spark): words by counting matches, not by a lambda a word."""
+    ws = WS_JAVA
+    count = lambda p: f"regexp_count({s}, {SPARK.lit(p)})"
+    return (f"(length({s}) <= {TITLE_MAX_LEN} and not endswith({s}, '.') and {SPARK.rx_like(s, chr(92) + 'p{Lu}')} "
+            f"and {count(f'[^{ws}]+')} <= {TITLE_MAX_WORDS} "
+            f"and cast({count(f'(?<![^{ws}])' + chr(92) + 'p{Lu}')} as double) / "
+            f"{count(chr(92) + f'p{{L}}[^{ws}]*')} >= {TITLE_RATIO})")
+
+
+def _line_fact(c: str) -> str:
+    """What a stripped line is, as one number: -1 empty before stripping, 0 blank, else bits -
+    1 any line, 2 stands alone, 4 never joins the line before it, 8 ends a sentence,
+    16 lone enumerator, 32 lone number, 64 capitals and marks only, 128 begins with one of A-Z0-9."""
+    d = SPARK
+    stands = (f"(endswith({c}, ':') or {is_bullet(d, c)} or {is_all_caps(d, c)} "
+              f"or (length({c}) <= {NUMBERED_MAX_LEN} and {d.rx_like(c, NUMBERED_RE)}) or {_title_line(c)} "
+              f"or instr({c}, '|') > 0 or {d.rx_like(c, TABLE_GAP_RE)})")
+    # only short lines of few kinds of characters can be special
+    special = (f"if({d.rx_like(c, '^[A-Z0-9 ' + chr(92) + '-–—,:;()/*•●◦.a-z]{1,2}$|' + '^[A-Z0-9 .' + chr(92) + '-–—,:;()/]+$')}, "
+               f"if({d.rx_like(c, LONE_ENUM_RE)}, 16, 0) + if({d.rx_like(c, LONE_NUMBER_RE)}, 32, 0) "
+               f"+ if({d.rx_like(c, CAPS_LINE_RE)}, 64, 0) + if({d.rx_like(c, '^[A-Z0-9]')}, 128, 0), 0)")
+    return (f"if({c} = '', 0, if({stands}, 3, 1 + if({d.rx_like(c, LABEL_START_RE)}, 4, 0) "
+            f"+ if({d.rx_like(c, r'[.!?]$')}, 8, 0) + {special}))")
+
+
+def _mark_step() -> str:
+    """One line's mark and the state after it.  State: ``q`` 0 no open paragraph, 1 open, 2 open and
+    might close early; ``n`` its length, ``f`` the bits of its lines that still matter, ``blk``
+    whether an empty line went by, ``out`` the marks.  Marks: x no line, f first, b new block,
+    n new line, s joined by a space."""
+    joins = "(a.q > 0 and x.f & 6 = 0 and not a.blk)"
+    n = "(a.n + 1 + x.n)"
+    f = "if(a.f & 64 > 0 and x.f & 64 > 0, a.f, a.f & 48)"
+    closed = (f"(a.f & 16 > 0 or (a.f & 32 > 0 and {n} <= {NUMBERED_MAX_LEN}) "
+              f"or (a.f & 192 = 192 and x.f & 64 > 0 and {n} >= {CAPS_LEAST}))")
+    after = (f"case when x.f & 8 > 0 then 0 when a.q = 1 then 1 when {closed} then 0 "
+             f"when a.f & 192 = 192 and x.f & 64 > 0 then 2 else 1 end")
+    begun = "case when x.f & 10 > 0 then 0 when x.f & 48 > 0 or x.f & 192 = 192 then 2 else 1 end"
+    state = lambda q, n, f, blk, mark: (f"named_struct('q', {q}, 'n', {n}, 'f', {f}, 'blk', {blk}, "
+                                        f"'had', a.had or {mark} <> 'x', 'out', concat(a.out, {mark}))")
+    new = "if(a.had, if(a.blk, 'b', 'n'), 'f')"
+    return (f"case when x.f <= 0 then {state('0', '0', '0', 'a.blk or x.f < 0', chr(39) + 'x' + chr(39))} "
+            f"when {joins} then {state(after, n, f, 'false', chr(39) + 's' + chr(39))} "
+            f"else {state(begun, 'x.n', 'x.f', 'false', new)} end")
+
+
+def merged_lines(s: str) -> str:
+    """T05 + T13 + T14 on pre-cleaned text (Spark): blocks stay apart by an empty line, soft-wrapped lines join.
+
+    The marks are gathered ``FOLD_LINES`` lines at a time, so that a text of many lines is not
+    copied line by line; lines and marks are then joined once."""
+    facts = (f"transform(ln__, l -> element_at(transform(array({SPARK.trim('l')}), c -> "
+             f"named_struct('f', if(l = '', -1, {_line_fact('c')}), 'n', length(c))), 1))")
+    chunks = (f"transform(sequence(0, (size(fa__) - 1) div {FOLD_LINES}), "
+              f"i -> slice(fa__, i * {FOLD_LINES} + 1, {FOLD_LINES}))")
+    init = "named_struct('q', 0, 'n', 0, 'f', 0, 'blk', false, 'had', false, 'out', '')"
+    fresh = "named_struct('q', o.q, 'n', o.n, 'f', o.f, 'blk', o.blk, 'had', o.had, 'out', '')"
+    inner = (f"aggregate(ch, {fresh}, (a, x) -> {_mark_step()}, "
+             f"a -> named_struct('q', a.q, 'n', a.n, 'f', a.f, 'blk', a.blk, 'had', a.had, 'out', concat(o.out, a.out)))")
+    marks = f"aggregate({chunks}, {init}, (o, ch) -> {inner}, o -> split(o.out, ''))"
+    joined = (f"array_join(zip_with(ln__, {SPARK.let(facts, 'fa__', marks)}, (l, m) -> case m when 's' then concat(' ', {SPARK.trim('l')}) "
+              f"when 'n' then concat('\\n', {SPARK.trim('l')}) when 'b' then concat('\\n\\n', {SPARK.trim('l')}) "
+              f"when 'f' then {SPARK.trim('l')} else '' end), '')")
+    return f"regexp_replace({SPARK.let(lines(SPARK, s), 'ln__', joined)}, '[ \\t]+', ' ')"
+
+
 def clean_text(d: Dialect, s: str) -> str:
-    """Full clean; null or empty -> ''."""
+    """Full clean; null or empty -> ''.  Spark marks breaks in one pass; the fold over the
+    accumulated text, as the rule is stated, is what the oracle runs."""
+    if d.spark:
+        return d.let(s, "ct__", f"if(ct__ is null or ct__ = '', '', {merged_lines(pre_clean(d, 'ct__'))})")
     merged = d.transform(blocks(d, pre_clean(d, "ct__")), "b", merge_block(d, "b"))
-    sep = "'\\n\\n'" if d.spark else "chr(10) || chr(10)"
-    return d.let(s, "ct__", f"if(ct__ is null or ct__ = '', '', {d.join(merged, sep)})")
+    return d.let(s, "ct__", f"if(ct__ is null or ct__ = '', '', {d.join(merged, 'chr(10) || chr(10)')})")
 
 
 # --- C01-C04 sentences and tokens ----------------------------------------------------------
