@@ -1,8 +1,8 @@
 """Heading tree and structure-aware chunking queries (D01-D12) over ``pages``.
 
-Spark builds the tree with the row-local stack fold of ``operators.tree``; the
-oracle derives parents independently with one window per (size, bold) level
-(previous-greater element) and paths with a recursive CTE.
+Spark cuts spans by splitting marked text and builds the tree in the linear pass of
+``operators.tree``; the oracle derives spans from tokens with windows over the open tags, parents
+with one window per (size, bold) level (previous-greater element) and paths with a recursive CTE.
 """
 
 from __future__ import annotations
@@ -15,30 +15,48 @@ from textmill.functions.sqltext import DUCK
 from textmill.operators import tree as tr
 from textmill.plans.chunk_plans import FIXED_RUN_ID, duck_explode
 from textmill.plans.registry import register
-from textmill.session import read_table, read_text_table
+from textmill.session import read_text_table
 
 LEVELS = [(s, b) for s in (10.0, 12.0, 14.0, 16.0, 18.0) for b in (0, 1)]
 
 
-def _spans(spark, sf):
-    return tr.span_rows(read_text_table(spark, sf, "pages"))
+def _documents(spark, sf, keep=()):
+    return tr.documents(read_text_table(spark, sf, "pages"), keep=keep)
 
 
-def _spans_c(spark, sf):
-    return tr.with_children(_spans(spark, sf))
+def _spans(spark, sf):
+    return tr.span_rows(_documents(spark, sf))
 
 
 # --- oracle pieces ------------------------------------------------------------------------------
-_ITEMS_D = ("list_filter(list_transform(regexp_extract_all(html, '<(?:h1|p|li|b)>[^<]*'), "
-            f"lambda m_: {{'tag': regexp_extract(m_, '^<([a-z0-9]+)>', 1), "
-            f"'text': {tx.strip(DUCK, "regexp_replace(m_, '^<[a-z0-9]+>', '')")}}}), lambda s_: s_.text <> '')")
-SPANS_D = f"""(SELECT doc, span_idx, page, tag, text, size,
-       CASE WHEN tag IN ('h1', 'b') THEN 'Sans-Bold' ELSE 'Sans' END AS font,
-       CASE WHEN tag IN ('h1', 'b') THEN 1 ELSE 0 END AS bold
-  FROM (SELECT doc, pos - 1 AS span_idx, cast((pos - 1) // {tr.SPANS_PER_PAGE} + 1 AS INTEGER) AS page,
-               s.tag AS tag, s.text AS text,
-               cast({tr.span_size_sql('s.tag', 's.text', DUCK)} AS DOUBLE) AS size
-        FROM {duck_explode("(SELECT page_id AS doc, html FROM pages)", "doc", _ITEMS_D, "pos", "s")}))"""
+def _whole(pattern: str) -> str:
+    """A pattern with flags in front, for a whole token."""
+    return DUCK.lit("(?i)^" + pattern.removeprefix("(?i)") + "$")
+
+
+_TOKENS_D = duck_explode(
+    f"""(SELECT page_id AS doc, regexp_extract_all(regexp_replace(regexp_replace(
+           translate(coalesce(html, ''), chr(1) || chr(2) || chr(3) || chr(4), ''), {DUCK.lit(tr.UNREAD_RE)}, '', 'g'),
+         {DUCK.lit(tr.FRONT_RE)}, '\\1'), {DUCK.lit(tr.TAG_RE + '|[^<]+|<')}) AS toks FROM pages)""", "doc", "toks", "pos", "tok")
+#: Every token with the block and boldness it opens (a closing block opens plain text), and its text.
+_OPENED_D = f"""(SELECT doc, pos, CASE WHEN regexp_matches(tok, {_whole(tr.tag_re(tr.BLOCK_TAGS))})
+         THEN if(starts_with(tok, '</'), '{tr.PLAIN_TAG}', lower(regexp_extract(tok, '^<([A-Za-z0-9]+)', 1))) END AS block,
+       CASE WHEN regexp_matches(tok, {_whole(tr.tag_re(tr.BLOCK_TAGS))}) THEN 0
+            WHEN regexp_matches(tok, {_whole(tr.tag_re(tr.BOLD_TAGS))}) THEN if(starts_with(tok, '</'), 0, 1) END AS strong,
+       CASE WHEN regexp_matches(tok, {_whole(tr.BREAK_RE)}) THEN ' '
+            WHEN regexp_matches(tok, {DUCK.lit('^' + tr.TAG_RE + '$')}) THEN '' ELSE tok END AS shown
+  FROM {_TOKENS_D})"""
+_RUNS_OF_TEXT_D = f"""(SELECT doc, run, any_value(block) AS block, any_value(strong) AS strong, string_agg(shown, '' ORDER BY pos) AS raw
+  FROM (SELECT doc, pos, shown, last_value(block IGNORE NULLS) OVER w AS block, last_value(strong IGNORE NULLS) OVER w AS strong,
+               count(strong) OVER w AS run
+        FROM {_OPENED_D} WINDOW w AS (PARTITION BY doc ORDER BY pos ROWS UNBOUNDED PRECEDING))
+  GROUP BY doc, run)"""
+_ITEMS_D = f"""(SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY run) - 1 AS span_idx, text,
+       CASE WHEN strong = 1 AND NOT regexp_matches(coalesce(block, ''), '^h[1-6]$') THEN 'b' ELSE coalesce(block, '{tr.PLAIN_TAG}') END AS tag
+  FROM (SELECT *, {tx.strip(DUCK, tr.decoded(DUCK, 'raw'))} AS text FROM {_RUNS_OF_TEXT_D}) WHERE text <> '')"""
+SPANS_D = f"""(SELECT doc, span_idx, cast(span_idx // {tr.SPANS_PER_PAGE} + 1 AS INTEGER) AS page, tag, text,
+       cast({tr.span_size_sql('tag', 'text', DUCK)} AS DOUBLE) AS size, {tr.span_font_sql('tag', DUCK)} AS font,
+       CASE WHEN {tr.span_font_sql('tag', DUCK)} = 'Sans-Bold' THEN 1 ELSE 0 END AS bold FROM {_ITEMS_D})"""
 
 
 def _prev_greater_cols():
@@ -88,23 +106,23 @@ def tree_parent(spark, sf):
 
 @register("breadcrumb", oracle=f"SELECT doc, span_idx, depth, path FROM {TREE_D}")
 def breadcrumb(spark, sf):
-    return _spans(spark, sf).select("doc", "span_idx", "depth", "path")
+    return tr.span_rows(tr.paths(_documents(spark, sf))).select("doc", "span_idx", "depth", "path")
 
 
 @register("tree_edges", oracle=f"""
   SELECT doc, parent_idx, span_idx AS child_idx, has_children AS flag FROM {TREEC_D} WHERE parent_idx IS NOT NULL""")
 def tree_edges(spark, sf):
-    return tr.edges(_spans_c(spark, sf))
+    return tr.edges(_spans(spark, sf))
 
 
 @register("tree_stats", oracle=f"SELECT doc, span_idx, size, depth, out_degree, splittable FROM {TREEC_D}")
 def tree_stats(spark, sf):
-    return _spans_c(spark, sf).select("doc", "span_idx", "size", "depth", "out_degree", "splittable")
+    return _spans(spark, sf).select("doc", "span_idx", "size", "depth", "out_degree", "splittable")
 
 
 @register("internal_paths", oracle=f"SELECT doc, span_idx, path FROM {TREEC_D} WHERE splittable = 1 AND parent_idx IS NOT NULL")
 def internal_paths(spark, sf):
-    return tr.internal_paths(_spans_c(spark, sf))
+    return tr.internal_paths(tr.span_rows(tr.paths(_documents(spark, sf))))
 
 
 RUNS_D = f"""(SELECT r.doc, r.root_idx, r.run_start, r.text, h.path, h.page,
@@ -121,12 +139,12 @@ RUNS_D = f"""(SELECT r.doc, r.root_idx, r.run_start, r.text, h.path, h.page,
 
 @register("section_runs", oracle=f"SELECT doc, root_idx, run_start, text FROM {RUNS_D}")
 def section_runs(spark, sf):
-    return tr.section_runs(_spans_c(spark, sf)).select("doc", "root_idx", "run_start", "text")
+    return tr.section_runs(_documents(spark, sf)).select("doc", "root_idx", "run_start", "text")
 
 
 @register("section_prefix", oracle=f"SELECT doc, root_idx, run_start, section, path FROM {RUNS_D}")
 def section_prefix(spark, sf):
-    return tr.section_runs(_spans_c(spark, sf)).select("doc", "root_idx", "run_start", "section", "path")
+    return tr.section_runs(tr.paths(_documents(spark, sf))).select("doc", "root_idx", "run_start", "section", "path")
 
 
 def _duck_section_pack():
@@ -160,9 +178,7 @@ JOB_D = f"""
 
 
 def _job(spark, sf, with_doc=False):
-    pages = read_table(spark, sf, "pages")
-    runs = tr.section_runs(_spans_c(spark, sf))
-    runs = runs.join(pages.select(F.col("page_id").alias("doc"), "url"), "doc")
+    runs = tr.section_runs(_documents(spark, sf, keep=("url",)), keep=("url",))
     out = tr.section_chunks(runs, F.lit(FIXED_RUN_ID), F.col("url"), keep_doc=with_doc)
     return out
 
