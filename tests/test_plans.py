@@ -39,9 +39,19 @@ def test_text_pipeline_has_no_key_shuffle(spark, qs):
     assert "hashpartitioning" not in plan.lower()
 
 
+def test_section_job_scans_once_and_shuffles_once(spark, qs):
+    plan = _plan(qs["job_section_chunks"](spark, SF001))
+    plan = plan.split("== Initial Plan ==")[-1]
+    assert plan.count("FileScan parquet") == 1 and plan.count("hashpartitioning") == 1 and "Join" not in plan
+
+
 def test_dedup_aggregates_partially_before_the_shuffle(spark, qs):
     plan = _plan(qs["latest_per_position"](spark, SF001))
-    assert "partial_max_by" in plan
+    aggregates = [x for x in plan.split("\n") if "Aggregate(" in x]
+    assert any("partial_max(struct(" in x for x in aggregates)
+    # keys, hashes and places are ranked; content is fetched afterwards, by a hash join that sorts nothing
+    assert aggregates and not any("content" in x for x in aggregates)
+    assert "ShuffledHashJoin" in plan and not any("content" in x for x in plan.split("\n") if "- Sort [" in x)
 
 
 def test_top_k_per_group_limits_before_shuffle(spark, qs):

@@ -15,11 +15,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.functions import vectors as vx
 from textmill.functions.text import TOKEN_RE
+from textmill.session import scratch_path
 
 DEFAULT_MODEL = "hashing-md5-64"
 
@@ -58,8 +60,7 @@ class HashingEncoder:
 _ENCODER_CACHE: dict = {}
 
 
-def _encoder(factory: Callable[[], object]):
-    key = id(factory)
+def _encoder(key: str, factory: Callable[[], object]):
     if key not in _ENCODER_CACHE:
         _ENCODER_CACHE[key] = factory()
     return _ENCODER_CACHE[key]
@@ -80,8 +81,11 @@ def encode(df: DataFrame, text_col: str = "content", key: str = "vector_id",
     Python boundary, so project first)."""
     src = df.select(F.col(key).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), *keep)  # P05
 
+    # the same code and arguments give the same encoder in a reused worker, others another
+    identity = hashlib.sha256(cloudpickle.dumps(factory)).hexdigest()
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = _encoder(factory)
+        enc = _encoder(identity, factory)
         for pdf in batches:
             texts = pdf["t"].tolist()
             vecs = [enc.encode(texts[i:i + batch_size]) for i in range(0, len(texts), batch_size)]
@@ -121,25 +125,27 @@ def upsert(target: DataFrame | None, source: DataFrame, key: str = "vector_id")
                       for c in cols], action.alias("_action"))
 
 
-def upsert_table(spark: SparkSession, path: str, source: DataFrame, key: str = "vector_id",
-                 buckets: int = 64) -> dict:
+def upsert_table(spark: SparkSession, path: str, source: DataFrame, key: str = "vector_id") -> dict:
     """Upsert into a Parquet table partitioned by a hash bucket of the key: only the
-    buckets the source touches are read, merged and rewritten (dynamic overwrite)."""
+    buckets the source touches are read, merged and rewritten (dynamic overwrite), and their
+    number follows the table's size (``operators.buckets``).  ``source`` is computed once."""
+    from pyspark.sql import Observation
+
+    from textmill.operators import buckets as bk
     from textmill.operators.ingest import read_existing
-    from textmill.operators.relational import broadcast_if_small
 
-    bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
+    held = scratch_path(spark, "upsert")
+    source.write.parquet(held)
+    source = spark.read.schema(source.schema).parquet(held)
+    count = bk.prepared(spark, path, "_bucket", key, bk.path_bytes(spark, held), lambda rows: rows.dropDuplicates([key]))
     existing = read_existing(spark, path)
     if existing is not None:
-        touched = source.select(bucket.alias("_bucket")).distinct()
-        existing = existing.join(broadcast_if_small(touched), "_bucket", "left_semi").drop("_bucket")
-    merged = upsert(existing, source, key)
-    from pyspark.sql import Observation
-
+        # one row a bucket at most, which bounds the broadcast
+        touched = source.select(bk.bucket_of(key, count).alias("_bucket")).filter("_bucket >= 0").distinct()
+        existing = existing.join(F.broadcast(touched), "_bucket", "left_semi").drop("_bucket")
     obs = Observation("upsert")
+    merged = upsert(existing, source, key)
     merged = merged.observe(obs, *[F.count(F.when(F.col("_action") == a, 1)).alias(a)
                                    for a in ("inserted", "updated", "kept")])
-    # one writer per bucket: a bounded number of files per rewritten partition
-    (merged.drop("_action").withColumn("_bucket", bucket).repartition("_bucket").write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(path))
+    bk.write_buckets(merged.drop("_action"), path, "_bucket", key, count)
     return obs.get

@@ -2,18 +2,16 @@
 
 Plan shape for one batch::
 
-    incoming ─┬─ validate (M01) ── run_ts (M02) ───────────────────────────┐
-              └─ impacted doc_ids (M03) ──semi-join──> existing table scan ─┴─ unionByName (M06)
-                 (partition pruning on doc_id: static list not needed, DPP)
-        ─> latest per hash (M07, max_by: partial aggregation before the shuffle)
-        ─> latest per position (M08, same)
-        ─> vector_id, created_at (M09, P06) ─> curated columns (P01)
-        ─> write partitionBy(doc_id), dynamic overwrite (S06)
-
-Stage counts (M10) are collected with ``DataFrame.observe`` during the single
-write, not with separate ``count()`` jobs.  Dedup uses ``max_by`` over a
-struct ordering instead of ``row_number`` windows so hot keys are combined
-map-side and a document holding a third of all rows is not one task.
+    incoming -> checked (M01), written once: rejects | good rows
+    good rows + rows of the impacted buckets (M03-M05, dynamic partition pruning) by name (M06)
+        -> keys, hashes, recency and locators only: latest per hash (M07), latest per position (M08)
+        -> content joined back by locator -> vector_id, created_at (M09, P06) -> curated columns (P01)
+        -> write partitionBy(doc_bucket), dynamic overwrite (S06), writers rebalanced
+
+A row's locator is its file and place in it, so ranking moves no content, and content moves
+to its bucket once it has won.  Ranking aggregates with partial maxima, so a document that
+holds a third of all rows is combined in every task before the shuffle.  Stage counts (M10) are
+observed while the rows pass.
 """
 
 from __future__ import annotations
@@ -24,8 +22,9 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textmill.operators import buckets as bk
 from textmill.operators.chunk import chunk_hash as chunk_hash_col
-from textmill.operators.relational import broadcast_if_small
+from textmill.session import scratch_path
 
 # The chunk schema and the two run_id formats of the reference.
 CHUNK_SCHEMA = T.StructType([
@@ -57,13 +56,6 @@ def validate(df: DataFrame) -> DataFrame:
     return df.withColumn("reject_reason", reason)
 
 
-def conform(df: DataFrame) -> DataFrame:
-    """Cast to the chunk schema's types (json readers and older files may differ); a value that
-    does not fit becomes null."""
-    return df.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) if f.name in df.columns
-                       else F.lit(None).cast(f.dataType).alias(f.name) for f in CHUNK_SCHEMA.fields])
-
-
 def checked(df: DataFrame) -> DataFrame:
     """The rows in the chunk schema with their ``reject_reason``: the first value that does not
     fit its type, else the first null required field, else null."""
@@ -81,26 +73,74 @@ def dedup_key(df: DataFrame) -> Column:
                       chunk_hash_col(F.col("doc_id"), F.col("page_no"), F.col("chunk_id"), F.col("content")))
 
 
+def filled(df: DataFrame) -> DataFrame:
+    """Rows whose stored hash is null get the computed one, so that ids do not depend on who wrote them."""
+    return df.withColumn("chunk_hash", dedup_key(df))
+
+
 def _recency() -> Column:
-    """Order key: run_ts desc nulls last, run_id desc nulls last, then chunk_hash, pdf_path."""
-    return F.struct(F.col("run_ts").isNotNull(), F.col("run_ts"), F.col("run_id").isNotNull(),
-                    F.col("run_id"), F.coalesce(F.col("chunk_hash"), F.lit("")),
-                    F.coalesce(F.col("pdf_path"), F.lit("")))
+    """Order key: run_ts desc nulls last, run_id desc nulls last, then chunk_hash, pdf_path, place."""
+    return F.struct(F.col("run_ts").isNotNull().alias("_t"), F.col("run_ts"), F.col("run_id").isNotNull().alias("_i"),
+                    F.col("run_id"), F.col("chunk_hash"), F.coalesce(F.col("pdf_path"), F.lit("")).alias("_p"), "_file", "_at")
+
+
+def at_rest(df: DataFrame) -> DataFrame:
+    """The rows of a DataFrame that reads files, with their locator: the file's hash and the row's place."""
+    return df.select("*", F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+
+
+def staged(spark: SparkSession, df: DataFrame, name: str = "staged") -> DataFrame:
+    """``df`` written once under the shared scratch folder and read back with locators."""
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return at_rest(spark.read.schema(df.schema).parquet(path))
+
+
+def _unobserved(rows: DataFrame, name: str) -> DataFrame:
+    return rows
+
+
+def latest_hashes(rows: DataFrame) -> DataFrame:
+    """M07 on located rows: the locator and key columns of the most recent row of each (doc_id, hash)."""
+    thin = rows.select("doc_id", "page_no", "chunk_id", _recency().alias("_rank"))
+    best = thin.groupBy("doc_id", F.col("_rank.chunk_hash").alias("chunk_hash")) \
+        .agg(F.max(F.struct("_rank", "page_no", "chunk_id")).alias("_r"))
+    return best.select("doc_id", "_r.page_no", "_r.chunk_id", "_r._rank")
+
 
+def latest_positions(hashes: DataFrame) -> DataFrame:
+    """M08 on the result of ``latest_hashes``: the most recent of each (doc_id, page_no, chunk_id)."""
+    return hashes.groupBy("doc_id", "page_no", "chunk_id").agg(F.max("_rank").alias("_rank"))
 
-def latest_by(df: DataFrame, keys: list[Column | str]) -> DataFrame:
-    """Keep the most recent row per key (M07/M08) with a partial-aggregating ``max_by``."""
-    cols = df.columns
-    g = df.groupBy(*keys).agg(F.max_by(F.struct(*cols), _recency()).alias("_r"))
-    return g.select(*[F.col("_r." + c).alias(c) for c in cols])
+
+def fetched(rows: DataFrame, winners: DataFrame) -> DataFrame:
+    """The located rows that won, with all their columns; winners are hashed, so content is not sorted."""
+    places = winners.select("_rank._file", "_rank._at").hint("shuffle_hash")
+    return rows.join(places, ["_file", "_at"], "left_semi")
+
+
+def _located(df: DataFrame) -> DataFrame:
+    rows = df if "_file" in df.columns else staged(df.sparkSession, df)
+    return filled(rows)
 
 
 def dedup_hash_latest(df: DataFrame) -> DataFrame:
-    return latest_by(df.withColumn("_hk", dedup_key(df)), ["doc_id", "_hk"]).drop("_hk")
+    """The most recent row of each (doc_id, hash), with its locator; rows without one are written first."""
+    rows = _located(df)
+    return fetched(rows, latest_hashes(rows))
 
 
 def latest_per_position(df: DataFrame) -> DataFrame:
-    return latest_by(df, ["doc_id", "page_no", "chunk_id"])
+    """The most recent row of each (doc_id, page_no, chunk_id)."""
+    rows = _located(df)
+    thin = rows.select("doc_id", "page_no", "chunk_id", _recency().alias("_rank"))
+    return fetched(rows, latest_positions(thin)).drop("_file", "_at")
+
+
+def newest(rows: DataFrame, observe=_unobserved) -> DataFrame:
+    """M07 + M08: of located rows, the most recent per position among the most recent of each hash."""
+    hashes = observe(latest_hashes(observe(rows, "combined")), "after_dedup")
+    return fetched(rows, observe(latest_positions(hashes), "written")).drop("_file", "_at")
 
 
 def vector_id(doc_id="doc_id", page_no="page_no", chunk_id="chunk_id", chunk_hash="chunk_hash") -> Column:
@@ -115,15 +155,9 @@ def vector_id_sha(doc_id="doc_id", page_no="page_no", chunk_id="chunk_id", chunk
                               F.col(chunk_id).cast("string"), F.coalesce(F.col(chunk_hash), F.lit(""))), 256)
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def read_existing(spark: SparkSession, path: str) -> DataFrame | None:
     """The metadata table with schema merge; ``None`` when it does not exist yet."""
-    if not path_exists(spark, path):
+    if not bk.path_exists(spark, path):
         return None
     from pyspark.errors import AnalysisException
 
@@ -136,38 +170,43 @@ def read_existing(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def align_existing(existing: DataFrame) -> DataFrame:
-    """Bring an older table to the chunk columns plus run_ts (null when run_id is absent)."""
+    """Bring an older table to the chunk columns plus run_ts (null when run_id is absent);
+    locators stay."""
     if "run_id" not in existing.columns:
         existing = existing.withColumn("run_id", F.lit(None).cast("string"))
-    out = existing.select(*[F.col(c) for c in CHUNK_SCHEMA.fieldNames()])
-    return conform(out).withColumn("run_ts", run_ts())
+    return _typed(existing)
+
+
+def _typed(df: DataFrame) -> DataFrame:
+    """The chunk columns, the parsed run time, and locators where there are any."""
+    cols = [F.col(f.name).try_cast(f.dataType).alias(f.name) if f.name in df.columns
+            else F.lit(None).cast(f.dataType).alias(f.name) for f in CHUNK_SCHEMA.fields]
+    return df.select(*cols, *[c for c in ("_file", "_at") if c in df.columns]).withColumn("run_ts", run_ts())
 
 
 def doc_bucket(buckets: int, doc_id: str = "doc_id") -> Column:
     """Storage partition of a document: a hash bucket, so the table has a bounded
     number of folders however many documents it holds."""
-    return F.pmod(F.xxhash64(F.col(doc_id)), F.lit(buckets)).cast("int")
+    return bk.bucket_of(doc_id, buckets)
 
 
-def combine(spark: SparkSession, incoming: DataFrame, existing: DataFrame | None,
-            impacted_max_broadcast: int = 1_000_000, buckets: int | None = None) -> DataFrame:
-    """Impacted rows of the existing table ∪ incoming (by name).
+def combine(spark: SparkSession, incoming: DataFrame, existing: DataFrame | None, buckets: int | None = None) -> DataFrame:
+    """Impacted rows of the existing table ∪ incoming (by name), null hashes filled.
 
     With ``buckets`` the existing side is cut to the impacted *buckets* (the
     storage partitions that will be rewritten): the semi-join on the partition
     column lets Spark prune partitions at run time (DPP)."""
-    inc = conform(incoming).withColumn("run_ts", run_ts())
+    inc = _typed(incoming)
     if existing is None:
-        return inc
+        return filled(inc)
     if buckets and "doc_bucket" in existing.columns:
-        impacted = inc.select(doc_bucket(buckets).alias("doc_bucket")).distinct()
-        old = existing.join(broadcast_if_small(impacted, impacted_max_broadcast), "doc_bucket", "left_semi")
-        old = align_existing(old)
+        # one row a bucket at most, which bounds the broadcast; Spark prunes at run time by a side
+        # that a comparison filters
+        impacted = inc.select(doc_bucket(buckets).alias("doc_bucket")).filter("doc_bucket >= 0").distinct()
+        old = align_existing(existing.join(F.broadcast(impacted), "doc_bucket", "left_semi"))
     else:
-        impacted = inc.select("doc_id").distinct()
-        old = align_existing(existing).join(broadcast_if_small(impacted, impacted_max_broadcast),
-                                            "doc_id", "left_semi")
-    return old.unionByName(inc, allowMissingColumns=True)
+        old = align_existing(existing).join(inc.select("doc_id").distinct(), "doc_id", "left_semi")
+    return filled(old.unionByName(inc, allowMissingColumns=True))
 
 
 def finalize(latest: DataFrame, clock: Column | None = None) -> DataFrame:
@@ -178,61 +217,66 @@ def finalize(latest: DataFrame, clock: Column | None = None) -> DataFrame:
 
 
 def plan_ingest(spark: SparkSession, incoming: DataFrame, existing: DataFrame | None,
-                clock: Column | None = None, observe=lambda rows, name: rows,
+                clock: Column | None = None, observe=_unobserved,
                 replace_document: bool = False, buckets: int | None = None) -> DataFrame:
     """The batch's rows to write (valid incoming only).  With ``replace_document`` the
     incoming batch replaces each impacted document outright (no stale tail chunks).
-    ``observe(rows, name)`` may count the rows of a stage as they pass."""
-    good = checked(incoming).filter(F.col("reject_reason").isNull()).drop("reject_reason")
-    if replace_document and existing is not None:
-        # impacted documents are replaced outright; their bucket-mates are rewritten unchanged
-        keep = existing
-        if buckets and "doc_bucket" in existing.columns:
-            imp_b = good.select(doc_bucket(buckets).alias("doc_bucket")).distinct()
-            keep = keep.join(broadcast_if_small(imp_b), "doc_bucket", "left_semi")
-        keep = align_existing(keep.join(good.select("doc_id").distinct(), "doc_id", "left_anti"))
-        combined = keep.unionByName(conform(good).withColumn("run_ts", run_ts()), allowMissingColumns=True)
-    else:
-        combined = combine(spark, good, existing, buckets=buckets)
-    deduped = observe(dedup_hash_latest(observe(combined, "combined")), "after_dedup")
-    out = finalize(observe(latest_per_position(deduped), "written"), clock)
+    ``observe(rows, name)`` may count the rows of a stage as they pass.  ``incoming`` is written once
+    unless its rows have locators."""
+    if "_file" not in incoming.columns:
+        incoming = staged(spark, checked(incoming), "incoming").filter("reject_reason is null")
+    if existing is not None:
+        existing = at_rest(existing)
+        if replace_document:
+            # impacted documents are replaced outright; their bucket-mates are rewritten unchanged
+            existing = existing.join(incoming.select("doc_id").distinct(), "doc_id", "left_anti")
+            if not buckets:
+                existing = None
+    out = finalize(newest(combine(spark, incoming, existing, buckets), observe), clock)
     return out.withColumn("doc_bucket", doc_bucket(buckets)) if buckets else out
 
 
+def _one_a_position(table: DataFrame) -> DataFrame:
+    """Of rows that a broken growth left in two buckets, one; content of equal rows is equal."""
+    return table.dropDuplicates(["doc_id", "page_no", "chunk_id"])
+
+
 def ingest(spark: SparkSession, incoming: DataFrame, metadata_path: str,
            clock: Column | None = None, replace_document: bool = False,
-           buckets: int | None = 64, materialize_incoming: bool = False, batch_id: str | None = None) -> dict:
+           buckets: int | str | None = "auto", batch_id: str | None = None) -> dict:
     """Run one batch and overwrite only the impacted storage partitions.
 
-    ``buckets=None`` reproduces the reference layout (one folder per doc_id);
-    the default partitions by a hash bucket of doc_id so a table of millions of
-    documents has a bounded number of folders and a batch rewrites only the
-    buckets it touches.  The incoming batch is read four times by the plans (its
-    rejects, its rows, the impacted keys, the dynamic-pruning subquery); when it is
-    expensive to recompute (not a plain file read) pass ``materialize_incoming=True``
-    to write it once with a reliable checkpoint.
+    The table is partitioned by a hash bucket of doc_id, as many as its size asks for
+    (``operators.buckets``; an integer is the least count); ``buckets=None`` reproduces the
+    reference layout, one folder per doc_id.  The incoming batch is read once and written to the
+    scratch folder, from where everything else reads it.
 
     Rows that cannot be ingested go with their reason to ``rejects_path``, in a folder
     of this batch (a repeated ``batch_id`` replaces its own).  Returns the counts
     incoming, rejected, combined, after_dedup and written."""
-    if materialize_incoming:
-        incoming = incoming.checkpoint()
     seen = Observation("ingest_incoming")
-    (checked(incoming).observe(seen, F.count(F.lit(1)).alias("incoming"), F.count("reject_reason").alias("rejected"))
-     .filter(F.col("reject_reason").isNotNull())
-     .write.mode("overwrite").parquet(f"{rejects_path(metadata_path)}/batch={batch_id or uuid.uuid4().hex}"))
+    path = scratch_path(spark, "incoming")
+    rows = checked(incoming).observe(seen, F.count(F.lit(1)).alias("incoming"), F.count("reject_reason").alias("rejected"))
+    rows.write.parquet(path)
+    rows = at_rest(spark.read.schema(rows.schema).parquet(path))
+    rows.filter("reject_reason is not null").drop("_file", "_at").write.mode("overwrite") \
+        .parquet(f"{rejects_path(metadata_path)}/batch={batch_id or uuid.uuid4().hex}")
     counts = []
 
-    def observe(rows: DataFrame, name: str) -> DataFrame:
+    def observe(stage: DataFrame, name: str) -> DataFrame:
         counts.append(Observation("ingest_" + name))
-        return rows.observe(counts[-1], F.count(F.lit(1)).alias(name))
-
-    existing = read_existing(spark, metadata_path)
-    to_write = plan_ingest(spark, incoming, existing, clock, observe, replace_document, buckets)
-    part = "doc_bucket" if buckets else "doc_id"
-    # one writer per storage partition: files per partition stay bounded
-    (to_write.repartition(part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(part).parquet(metadata_path))
+        return stage.observe(counts[-1], F.count(F.lit(1)).alias(name))
+
+    if buckets:
+        buckets = bk.prepared(spark, metadata_path, "doc_bucket", "doc_id", bk.path_bytes(spark, path), _one_a_position,
+                              0 if buckets == "auto" else buckets)
+    to_write = plan_ingest(spark, rows.filter("reject_reason is null"), read_existing(spark, metadata_path), clock,
+                           observe, replace_document, buckets)
+    if buckets:
+        bk.write_buckets(to_write.drop("doc_bucket"), metadata_path, "doc_bucket", "doc_id", buckets)
+    else:
+        to_write.hint("rebalance", "doc_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+            .partitionBy("doc_id").parquet(metadata_path)
     found = dict(seen.get)
     for o in counts:
         found |= o.get

@@ -1,6 +1,5 @@
 """Relational building blocks Spark has no single operator for.
 
-* ``broadcast_if_small`` — broadcast a side only after proving its row count is bounded.
 * ``asof_join`` — latest right row at or before each left row, skew-safe: the
   heavy window runs per (key, time bucket); only one summary row per
   (key, bucket) goes through the per-key carry-forward window.
@@ -8,6 +7,9 @@
   sides so a hot key is spread across buckets and the fan-out stays bounded.
 * ``top_k_per_group`` — ``row_number() <= k`` (Spark plans a partial
   WindowGroupLimit before the shuffle).
+* ``keyed_row_number``, ``keyed_lead``, ``exact_quantiles`` — numbering, the next row and order
+  statistics per key by range-partitioned slices, so that a key with a large share of the rows spans
+  many tasks.
 """
 
 from __future__ import annotations
@@ -17,16 +19,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def bounded_rows(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (reads at most max_rows + 1)."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast hint only for a side whose row count is checked; else leave it to the planner."""
-    return F.broadcast(df) if bounded_rows(df, max_rows) else df
-
-
 def _micros(ts: str) -> Column:
     """Microseconds since the epoch for TIMESTAMP or TIMESTAMP_NTZ (read as UTC)."""
     return F.unix_micros(F.col(ts).cast("timestamp"))
@@ -137,3 +129,53 @@ def keyed_row_number(spark, df: DataFrame, keys: list[str], order: list[str],
     out = ranged.join(slices.select(*keys, "_pid", "_m0", "_off"), [*keys, "_pid"])
     return out.withColumn(name, (F.col("_off") + F.col("_m") - F.col("_m0") + 1).cast("int")) \
         .drop("_m", "_pid", "_m0", "_off")
+
+
+def keyed_lead(df: DataFrame, keys: list[str], order: list[str], value: str, name: str,
+               n_parts: int | None = None) -> DataFrame:
+    """``lead(value) over (partition by keys order by order)`` without a hot key in one task.
+
+    Rows are range-partitioned on (keys, order), so a key spans as many slices as its rows
+    fill.  Inside a slice the next row is near; the last row of a slice takes the first value of
+    the key's next slice, from a table of one row a slice."""
+    n = n_parts or df.sparkSession.sparkContext.defaultParallelism
+    ranged = df.repartitionByRange(n, *keys, *order).withColumn("_slice", F.spark_partition_id()).checkpoint()
+    place = W.partitionBy(*keys, "_slice").orderBy(*order)
+    inside = ranged.withColumn(name, F.lead(value).over(place)).withColumn("_left", F.lead(F.lit(1)).over(place))
+    first = ranged.groupBy(*keys, "_slice").agg(F.min_by(value, F.struct(*order)).alias("_first"))
+    carried = first.withColumn("_carry", F.lead("_first").over(W.partitionBy(*keys).orderBy("_slice")))
+    joined = inside.join(carried.drop("_first"), [*keys, "_slice"])
+    return joined.withColumn(name, F.when(F.col("_left").isNull(), F.col("_carry")).otherwise(F.col(name))) \
+        .select(*df.columns, name)
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], n_parts: int | None = None) -> DataFrame:
+    """(keys..., prob, quantile): continuous quantiles (linear between the two nearest ranks) of the
+    non-null values of each key, by rank selection.
+
+    Equal values are counted together, the counts range-partitioned on (keys, value), and the slices'
+    sums say in which slice each wanted rank lies; only those slices are looked through.  No
+    task holds the values of a key."""
+    n = n_parts or df.sparkSession.sparkContext.defaultParallelism
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")) \
+        .agg(F.count("*").alias("_n"))
+    ranged = counted.repartitionByRange(n, *keys, "_v").withColumn("_slice", F.spark_partition_id()).checkpoint()
+    # one row a key and slice
+    per_key = W.partitionBy(*keys)
+    slices = ranged.groupBy(*keys, "_slice").agg(F.sum("_n").alias("_n"))
+    slices = slices.withColumn("_all", F.sum("_n").over(per_key)).withColumn(
+        "_before", F.coalesce(F.sum("_n").over(per_key.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    at = F.col("prob") * (F.col("_all") - 1)
+    wanted = slices.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs]))) \
+        .withColumn("_part", at - F.floor(at)) \
+        .withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor(at), F.ceil(at))))) \
+        .filter((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_n"))) \
+        .withColumn("_high", F.col("_rank") > at)
+    wanted = wanted.select(*keys, "_slice", "prob", "_part", "_high", (F.col("_rank") - F.col("_before")).alias("_local"))
+    upto = F.sum("_n").over(W.partitionBy(*keys, "_slice").orderBy("_v").rowsBetween(W.unboundedPreceding, 0))
+    looked = ranged.join(wanted.select(*keys, "_slice").distinct(), [*keys, "_slice"], "left_semi").withColumn("_upto", upto)
+    hit = looked.join(wanted, [*keys, "_slice"]).filter((F.col("_upto") > F.col("_local"))
+                                                        & (F.col("_upto") - F.col("_n") <= F.col("_local")))
+    low, high = (F.max(F.when(F.col("_high") == h, F.col("_v"))) for h in (False, True))
+    return hit.groupBy(*keys, "prob").agg(low.alias("_lo"), high.alias("_hi"), F.max("_part").alias("_part")) \
+        .select(*keys, "prob", (F.col("_lo") + F.coalesce((F.col("_hi") - F.col("_lo")) * F.col("_part"), F.lit(0.0))).alias("quantile"))

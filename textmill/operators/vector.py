@@ -1,14 +1,13 @@
 """Vector search and statistics (V01-V11) on an embedding table.
 
-Exact and IVF top-k never materialise (query, vector) pairs as rows: the
-query matrix (row count checked before it is broadcast) is scored against
-each Arrow batch of vectors with numpy inside ``mapInPandas``; every task
-keeps a running top-k per query and emits at most k rows per query; a final
-``row_number`` over the query key merges the per-task candidates
-(k x tasks rows per query).  The IVF index is the embedding table with a
-``cell`` column (nearest centroid); a search skips vectors outside the cells a
-query probes, and a table stored partitioned by ``cell`` prunes whole
-partitions at the scan.
+No (query, vector) pair is ever a row.  A search deals the vectors into parts of at most
+``PART_ROWS`` and the queries into blocks of at most ``QUERY_ROWS``; every part meets every block of
+its group in one run of a sorted partition, where the part is held as a matrix and
+the queries pass by: one matrix product, ``argpartition`` for the k best, whose scores are then
+summed in column order so that equal vectors tie exactly.  A task hands on k rows per query;
+``row_number`` over the query merges them.  Nothing is collected, and the number of queries is
+not limited.  The stored inverted-file index is ``operators.ivf``, which
+searches by the same blocks with the cell as the group.
 """
 
 from __future__ import annotations
@@ -17,16 +16,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textmill.functions import vectors as vx
 from textmill.functions.sqltext import SPARK
-from textmill.operators.relational import bounded_rows
 
-MAX_BROADCAST_QUERIES = 100_000
-MAX_CENTROIDS = 1_000_000
+#: Vectors one task holds as a matrix, and queries that pass by it.
+PART_ROWS = 1 << 16
+QUERY_ROWS = 1 << 16
+#: Scores held at once.
+SCORES = 1 << 22
 
 
 def dot(a: str, b: str) -> Column:
@@ -46,155 +48,115 @@ def knn_exact(vectors: DataFrame, query: list[float], k: int, id_col: str = "id"
     return top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), F.col(id_col))))
 
 
-def _bounded_collect(df: DataFrame, max_rows: int, what: str):
-    if not bounded_rows(df, max_rows):
-        raise ValueError(f"{what} exceeds {max_rows} rows; split it before broadcasting")
-    return df.collect()
-
-
-def _matrix(rows, col) -> np.ndarray:
-    return np.array([np.asarray(r[col], dtype=np.float64) for r in rows], dtype=np.float64)
-
-
-def _topk_partition_fn(qids: np.ndarray, Q: np.ndarray, k: int, id_col: str, vec_col: str,
-                       probe: np.ndarray | None):
-    """Build the per-partition scorer: a running top-k per query over all batches
-    (ties broken by the smaller id), emitted once at the end of the partition."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = len(qids)
-        best_s, best_ids = None, None
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            E = np.stack(pdf[vec_col].map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
-            raw = pdf[id_col].to_numpy()
-            ids = raw.astype(np.int64) if np.issubdtype(raw.dtype, np.integer) else raw.astype(str)
-            S = np.einsum("nd,md->mn", E, Q)  # (queries, vectors), row-wise sums
-            if probe is not None:
-                S = np.where(probe[:, pdf["cell"].to_numpy()], S, -np.inf)
-            ids2 = np.broadcast_to(ids, S.shape)
-            if best_s is not None:
-                S = np.concatenate([best_s, S], axis=1)
-                ids2 = np.concatenate([best_ids, ids2], axis=1)
-            keep = min(k, S.shape[1])
-            rows = np.arange(m)[:, None]
-            order = np.stack([np.lexsort((ids2[j], -S[j]))[:keep] for j in range(m)]) if m else \
-                np.zeros((0, keep), dtype=np.int64)
-            best_s, best_ids = S[rows, order], ids2[rows, order]
-        if best_s is None:
-            return
-        out = [(qids[j], best_ids[j][t], float(best_s[j][t]))
-               for j in range(m) for t in range(best_s.shape[1]) if np.isfinite(best_s[j][t])]
-        if out:
-            yield pd.DataFrame(out, columns=["query_id", "id", "score"])
+def matrix(column: pa.Array) -> np.ndarray:
+    """A list column without nulls as float64 rows; vectors of different lengths are an error."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    width = len(flat) // max(len(column), 1)
+    lens = np.diff(column.offsets.to_numpy())
+    if (lens != width).any():
+        raise ValueError(f"vectors of {lens.min()} and {lens.max()} components")
+    return flat.reshape(len(column), width)
+
+
+def best_pairs(queries: np.ndarray, vectors: np.ndarray, order: np.ndarray, k: int, l2: bool):
+    """(query, vector, score) of the ``k`` best of each query by inner product, or by least squared
+    distance with its negative as the score; ties by ``order``, the rank of each vector's id."""
+    n = len(vectors)
+    rough = queries @ vectors.T
+    if l2:
+        rough = 2 * rough - np.einsum("ij,ij->i", vectors, vectors)
+    least = np.partition(rough, n - k, axis=1)[:, n - k] if k < n else rough.min(axis=1)
+    # The product may round equal vectors apart: take what is as good but for that, and score it exactly.
+    size = 1 + np.abs(queries).max(initial=0) * np.abs(vectors).max(initial=0) * vectors.shape[1]
+    q, v = np.nonzero(rough >= (least - 1e-9 * size)[:, None])
+    score = np.zeros(len(q))
+    for at in range(0, len(q), SCORES):
+        part = slice(at, at + SCORES)
+        for d in range(vectors.shape[1]):
+            x, y = queries[q[part], d], vectors[v[part], d]
+            score[part] += -((x - y) ** 2) if l2 else x * y
+    best = np.lexsort((order[v], -score, q))
+    first = np.searchsorted(q[best], np.arange(len(queries)))
+    best = best[np.arange(len(best)) - first[q[best]] < k]
+    return q[best], v[best], score[best]
+
+
+def _scorer(k: int, l2: bool):
+    """Over rows sorted by (grp, part, block, side): the part's vectors first, then its queries."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, ids, vectors, order = None, [], None, None, None
+        for b in batches:
+            side = np.stack([b.column(i).to_numpy() for i in range(4)])
+            starts = np.flatnonzero(np.append(True, (side[:, 1:] != side[:, :-1]).any(axis=0))) if b.num_rows else []
+            for s, e in zip(starts, [*starts[1:], b.num_rows], strict=True):
+                rows, now = b.slice(s, e - s), tuple(side[:3, s])
+                if now != key:
+                    key, held, vectors = now, [], None
+                if side[3, s] == 0:
+                    held.append((rows.column(4), matrix(rows.column(6))))
+                    continue
+                if vectors is None and held:
+                    ids = pa.concat_arrays([i for i, _ in held])
+                    vectors = np.concatenate([m for _, m in held])
+                    order = np.empty(len(ids), np.int64)
+                    order[np.argsort(np.array(ids.to_pylist()), kind="stable")] = np.arange(len(ids))
+                    held = []
+                if vectors is not None:
+                    yield from _scored(rows, ids, vectors, order, k, l2)
 
     return run
 
 
-def knn_batch(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int,
-              id_col: str = "id", vec_col: str = "embedding", qid_col: str = "query_id",
-              qvec_col: str = "embedding", probe_cells: dict | None = None,
-              max_queries: int = MAX_BROADCAST_QUERIES) -> DataFrame:
-    """V02 (and V03 with ``probe_cells``): top-k vectors per query.
-
-    ``probe_cells`` maps query id -> list of cells to search; the vectors must
-    then carry a ``cell`` column."""
-    qrows = _bounded_collect(queries.select(qid_col, qvec_col), max_queries, "query set")
-    qids = np.array([r[qid_col] for r in qrows])
-    Q = _matrix(qrows, qvec_col)
-    probe = None
-    cols = [id_col, vec_col]
-    if probe_cells is not None:
-        n_cells = 1 + max([c for cs in probe_cells.values() for c in cs] + [0])
-        n_cells = max(n_cells, 1 + (vectors.agg(F.max("cell")).first()[0] or 0))
-        probe = np.zeros((len(qids), n_cells), dtype=bool)
-        for j, q in enumerate(qids):
-            probe[j, list(probe_cells.get(q, []))] = True
-        wanted = sorted({c for cs in probe_cells.values() for c in cs})
-        vectors = vectors.filter(F.col("cell").isin(wanted))  # partition pruning when stored by cell
-        cols.append("cell")
-    id_type = vectors.schema[id_col].dataType.simpleString()
-    qid_type = queries.schema[qid_col].dataType.simpleString()
-    bq = spark.sparkContext.broadcast((qids, Q, probe))
-
-    def scorer(batches):
-        qi, qm, pr = bq.value
-        return _topk_partition_fn(qi, qm, k, id_col, vec_col, pr)(batches)
-
-    cand = vectors.select(*cols).mapInPandas(scorer, f"query_id {qid_type}, id {id_type}, score double")
-    w = W.partitionBy("query_id").orderBy(F.desc("score"), F.col("id"))
-    return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k) \
-        .withColumnRenamed("query_id", qid_col).withColumnRenamed("id", id_col)
-
-
-# --- IVF index (V03, V05, V06) -----------------------------------------------------------------
-def kmeans_centroids(vectors: DataFrame, n_cells: int, seed: int = 42, vec_col: str = "embedding",
-                     max_iter: int = 20) -> np.ndarray:
-    """Distributed k-means (MLlib); only the n_cells x D centroid matrix returns to the driver."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    feats = vectors.select(array_to_vector(F.col(vec_col).cast("array<double>")).alias("features"))
-    model = KMeans(k=n_cells, seed=seed, maxIter=max_iter).fit(feats)
-    return np.array([np.asarray(c, dtype=np.float64) for c in model.clusterCenters()])
-
-
-def sample_centroids(vectors: DataFrame, n_cells: int, seed: int = 42, id_col: str = "id",
-                     vec_col: str = "embedding") -> np.ndarray:
-    """Centroids = a seeded sample of the vectors (V09 order), reproducible in SQL."""
-    rows = seeded_sample(vectors, n_cells, seed, id_col).select(id_col, vec_col, "sample_rank") \
-        .orderBy("sample_rank").collect()
-    return _matrix(rows, vec_col)
+def _scored(rows, ids, vectors, order, k, l2):
+    queries = matrix(rows.column(6))
+    step = max(1, SCORES // len(vectors))
+    for at in range(0, len(queries), step):
+        q, v, score = best_pairs(queries[at:at + step], vectors, order, k, l2)
+        yield pa.RecordBatch.from_arrays(
+            [rows.column(5).take(pa.array(q + at)), ids.take(pa.array(v)), pa.array(score)], ["query_id", "id", "score"])
 
 
-def assign_cells(spark: SparkSession, vectors: DataFrame, centroids: np.ndarray,
-                 vec_col: str = "embedding") -> DataFrame:
-    """Nearest centroid (L2; ties -> lower cell) as an ``int`` column ``cell``."""
-    if len(centroids) > MAX_CENTROIDS:
-        raise ValueError("too many centroids to broadcast")
-    bc = spark.sparkContext.broadcast(centroids)
-    from pyspark.sql.types import IntegerType, StructField, StructType
+def blocked_topk(vectors: DataFrame, queries: DataFrame, k: int, parts: Column, blocks: Column,
+                 l2: bool = False) -> DataFrame:
+    """(query_id, id, score, rank) of the ``k`` best vectors (grp, id, vec) of each query (grp, query_id,
+    vec) within its groups; a query may be in many.  ``parts`` and ``blocks`` say into how many a
+    group's vectors and queries are dealt."""
+    kinds = {d.schema["vec"].dataType for d in (vectors, queries)}
+    vec = F.col("vec") if len(kinds) == 1 else F.col("vec").cast("array<double>")
+    id_type, q_type = vectors.schema["id"].dataType, queries.schema["query_id"].dataType
 
-    out_schema = StructType(list(vectors.schema.fields) + [StructField("cell", IntegerType())])
+    def dealt(key: str, n: Column) -> Column:
+        return F.pmod(F.xxhash64(key), n).cast("int")
 
-    def run(batches):
-        C = bc.value
-        c2 = (C * C).sum(axis=1)
-        for pdf in batches:
-            if pdf.empty:
-                yield pdf.assign(cell=pd.Series([], dtype="int32"))
-                continue
-            E = np.stack(pdf[vec_col].map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
-            d2 = (E * E).sum(axis=1)[:, None] - 2 * np.einsum("nd,cd->nc", E, C) + c2[None, :]
-            yield pdf.assign(cell=np.argmin(d2, axis=1).astype("int32"))
+    def every(n: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0), n.cast("int") - 1))
 
-    return vectors.mapInPandas(run, out_schema)
+    v = vectors.filter(F.col("vec").isNotNull()).withColumn("part", dealt("id", parts)).withColumn("block", every(blocks))
+    q = queries.filter(F.col("vec").isNotNull()).withColumn("block", dealt("query_id", blocks)).withColumn("part", every(parts))
+    keys = [F.col("grp").cast("long").alias("grp"), F.col("part").cast("long").alias("part"), F.col("block").cast("long").alias("block")]
+    v = v.select(*keys, F.lit(0).cast("long").alias("side"), "id", F.lit(None).cast(q_type).alias("query_id"), vec.alias("vec"))
+    q = q.select(*keys, F.lit(1).cast("long").alias("side"), F.lit(None).cast(id_type).alias("id"), "query_id", vec.alias("vec"))
+    met = v.unionByName(q).repartition("grp", "part", "block").sortWithinPartitions("grp", "part", "block", "side")
+    found = met.mapInArrow(_scorer(k, l2), f"query_id {q_type.simpleString()}, id {id_type.simpleString()}, score double")
+    best = W.partitionBy("query_id").orderBy(F.desc("score"), F.col("id"))
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def probe_cells_for(queries: DataFrame, centroids: np.ndarray, nprobe: int, qid_col: str = "query_id",
-                    qvec_col: str = "embedding", max_queries: int = MAX_BROADCAST_QUERIES) -> dict:
-    """The ``nprobe`` nearest cells of each query (queries and centroids are both bounded)."""
-    rows = _bounded_collect(queries.select(qid_col, qvec_col), max_queries, "query set")
-    Q = _matrix(rows, qvec_col)
-    d2 = (Q * Q).sum(axis=1)[:, None] - 2 * Q @ centroids.T + (centroids * centroids).sum(axis=1)[None, :]
-    order = np.argsort(d2, axis=1, kind="stable")[:, :nprobe]
-    return {r[qid_col]: [int(c) for c in order[j]] for j, r in enumerate(rows)}
+def deals(n: int, rows: int, cores: int = 1, least: int = 1024) -> int:
+    """Into how many parts ``n`` rows go: at most ``rows`` each, and one a core if they have ``least``."""
+    return max(1, -(-n // rows), min(cores, n // least))
 
 
-def index_append(index: DataFrame, batch: DataFrame, spark: SparkSession, centroids: np.ndarray,
-                 id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
-    """Add vectors whose id is not in the index yet, with their cell."""
-    new = batch.join(index.select(id_col), id_col, "left_anti")
-    return index.unionByName(assign_cells(spark, new, centroids, vec_col))
-
-
-def index_stats(index: DataFrame, vec_col: str = "embedding") -> DataFrame:
-    """Total vectors, dimension and vectors per cell in one aggregate."""
-    per = index.groupBy("cell").agg(F.count("*").alias("n_vectors"), F.max(F.size(vec_col)).alias("dim"))
-    tot = W.partitionBy()
-    return per.withColumn("total_vectors", F.sum("n_vectors").over(tot)) \
-        .withColumn("dimension", F.max("dim").over(tot)).drop("dim")
+def knn_batch(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int,
+              id_col: str = "id", vec_col: str = "embedding", qid_col: str = "query_id",
+              qvec_col: str = "embedding") -> DataFrame:
+    """The ``k`` best vectors of each query by inner product, with score and rank (ties by id)."""
+    parts = deals(vectors.count(), PART_ROWS, spark.sparkContext.defaultParallelism)
+    blocks = deals(queries.count(), QUERY_ROWS)
+    v = vectors.select(F.lit(0).alias("grp"), F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
+    q = queries.select(F.lit(0).alias("grp"), F.col(qid_col).alias("query_id"), F.col(qvec_col).alias("vec"))
+    return blocked_topk(v, q, k, F.lit(parts), F.lit(blocks)) \
+        .withColumnRenamed("query_id", qid_col).withColumnRenamed("id", id_col)
 
 
 # --- statistics (V09-V11) -------------------------------------------------------------------------
@@ -213,50 +175,75 @@ def vector_mean(df: DataFrame, vec_col: str = "embedding", by: list[str] | None
     return per
 
 
-def covariance(df: DataFrame, vec_col: str = "embedding") -> DataFrame:
-    """Sample covariance matrix as (i, j, cov).
-
-    Each task folds its Arrow batches into one partial (n, sum x, X^T X) with numpy
-    and emits D x D + D rows once; the partials are summed per (i, j).  Work grows
-    with rows x D^2 inside tasks, but only tasks x D^2 rows are shuffled (no row is
-    exploded into D^2 rows)."""
-
-    def partial(batches):
-        n, sx, g = 0, None, None
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            X = np.stack(pdf[vec_col].map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
-            if g is None:
-                sx, g = np.zeros(X.shape[1]), np.zeros((X.shape[1], X.shape[1]))
-            n += X.shape[0]
-            sx += X.sum(axis=0)
-            g += X.T @ X
-        if g is None:
-            return
-        d = g.shape[0]
-        ii, jj = np.meshgrid(np.arange(d), np.arange(d), indexing="ij")
-        yield pd.DataFrame({"i": ii.ravel(), "j": jj.ravel(), "sxy": g.ravel(),
-                            "si": np.repeat(sx, d), "sj": np.tile(sx, d), "n": n})
-
-    parts = df.select(vec_col).mapInPandas(partial, "i int, j int, sxy double, si double, sj double, n long")
-    # per task the row sums are the same for every (i, j); sum the partials over tasks
-    tot = parts.groupBy("i", "j").agg(F.sum("sxy").alias("sxy"), F.sum("si").alias("si"),
-                                      F.sum("sj").alias("sj"), F.sum("n").alias("n"))
-    return tot.select("i", "j", ((F.col("sxy") - F.col("si") * F.col("sj") / F.col("n")) /
-                                 (F.col("n") - 1)).alias("cov"))
+def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a task: its count, mean and centred cross products, batches merged pairwise."""
+    n, mean, cross = 0, None, None
+    for b in batches:
+        x = matrix(b.column(0))
+        if len(x):
+            m = x.mean(axis=0)
+            here = (len(x), m, (x - m).T @ (x - m))
+            n, mean, cross = here if mean is None else merged_moments((n, mean, cross), here)
+    if n:
+        yield pa.RecordBatch.from_pydict({"n": [n], "mean": [mean.tolist()], "cross": [cross.ravel().tolist()]})
+
+
+def merged_moments(a: tuple, b: tuple) -> tuple:
+    """Moments of two sets from those of each, without loss for a mean far from zero."""
+    n = a[0] + b[0]
+    gap = b[1] - a[1]
+    return n, a[1] + gap * (b[0] / n), a[2] + b[2] + np.outer(gap, gap) * (a[0] * b[0] / n)
+
+
+def moments(df: DataFrame, vec_col: str = "embedding", fan_in: int = 16) -> tuple[int, np.ndarray, np.ndarray]:
+    """Count, mean and centred cross products of all vectors.  Each task folds its batches, then
+    ``fan_in`` results at a time are merged until one is left, so no task sees more than that many."""
+    schema = "n long, mean array<double>, cross array<double>"
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = None
+        for n, mean, cross in zip(pdf["n"], pdf["mean"], pdf["cross"], strict=True):
+            here = (n, np.asarray(mean), np.asarray(cross).reshape(len(mean), len(mean)))
+            found = here if found is None else merged_moments(found, here)
+        return pd.DataFrame({"n": [found[0]], "mean": [found[1].tolist()], "cross": [found[2].ravel().tolist()]})
+
+    level = df.select(vec_col).filter(F.col(vec_col).isNotNull()).mapInArrow(_moments, schema)
+    level = level.withColumn("at", F.spark_partition_id().cast("long")).checkpoint()
+    left = 1 + (level.agg(F.max("at")).first()[0] or 0)
+    while left > 1:
+        left = -(-left // fan_in)
+        level = level.groupBy(F.floor(F.col("at") / fan_in).alias("at")).applyInPandas(
+            lambda key, pdf: merge(pdf).assign(at=key[0]), schema + ", at long")
+    row = level.first()
+    if row is None:
+        return 0, np.zeros(0), np.zeros((0, 0))
+    return row.n, np.array(row["mean"]), np.array(row.cross).reshape(len(row["mean"]), -1)
+
+
+def covariance(spark: SparkSession, df: DataFrame, vec_col: str = "embedding") -> DataFrame:
+    """Sample covariance matrix as (i, j, cov): D x D rows."""
+    n, _, cross = moments(df, vec_col)
+    rows = [(i, j, float(c) / (n - 1) if n > 1 else None) for (i, j), c in np.ndenumerate(cross)]
+    return spark.createDataFrame(rows, "i int, j int, cov double")
+
+
+def principal_axes(df: DataFrame, k: int = 2, vec_col: str = "embedding") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mean, axes as rows, variances): the ``k`` directions of greatest variance, each signed so that
+    its largest absolute entry is positive."""
+    n, mean, cross = moments(df, vec_col)
+    values, vectors = np.linalg.eigh(cross / max(n - 1, 1))
+    axes = vectors[:, ::-1].T[:k]
+    signs = np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(axis=1)]) if len(axes) else np.zeros(0)
+    return mean, axes * signs[:, None], values[::-1][:k]
 
 
 def pca_2d(df: DataFrame, vec_col: str = "embedding", id_col: str = "id") -> DataFrame:
-    """Centre (StandardScaler withMean), MLlib PCA(k=2), sign fixed so the largest
-    absolute loading of each component is positive."""
-    from pyspark.ml.feature import PCA, StandardScaler
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    feats = df.select(id_col, array_to_vector(F.col(vec_col).cast("array<double>")).alias("v"))
-    centred = StandardScaler(withMean=True, withStd=False, inputCol="v", outputCol="c").fit(feats).transform(feats)
-    model = PCA(k=2, inputCol="c", outputCol="p").fit(centred)
-    pc = model.pc.toArray()  # D x 2, small
-    signs = [1.0 if pc[np.argmax(np.abs(pc[:, j])), j] >= 0 else -1.0 for j in range(2)]
-    out = model.transform(centred).select(id_col, vector_to_array("p").alias("p"))
-    return out.select(id_col, (F.col("p")[0] * signs[0]).alias("x"), (F.col("p")[1] * signs[1]).alias("y"))
+    """The centred vectors on their two principal axes; projected in the JVM."""
+    mean, axes, _ = principal_axes(df, 2, vec_col)
+    centred = F.zip_with(F.col(vec_col), F.array(*map(F.lit, mean.tolist())), lambda x, m: x.cast("double") - m)
+
+    def along(axis: np.ndarray) -> Column:
+        parts = F.zip_with("_c", F.array(*map(F.lit, axis.tolist())), lambda x, a: x * a)
+        return F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)
+
+    return df.select(id_col, centred.alias("_c")).select(id_col, along(axes[0]).alias("x"), along(axes[1]).alias("y"))

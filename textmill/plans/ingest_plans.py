@@ -12,6 +12,7 @@ incoming rows carry a null hash, null page or null path to exercise M01/M07.
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from textmill.functions import text as tx
@@ -90,14 +91,15 @@ DUCK_REASON = ("CASE WHEN doc_id IS NULL THEN 'null doc_id' WHEN chunk_id IS NUL
 DUCK_GOOD_V2 = f"(SELECT * FROM {V2_D} WHERE {DUCK_REASON} IS NULL)"
 DUCK_HKEY = ("coalesce(chunk_hash, sha256(doc_id || '::' || coalesce(cast(page_no AS VARCHAR), 'None') || '::' || "
              "cast(chunk_id AS VARCHAR) || '::' || content))")
-DUCK_ORDER = ("run_ts DESC NULLS LAST, run_id DESC NULLS LAST, coalesce(chunk_hash, '') DESC, "
+DUCK_ORDER = ("run_ts DESC NULLS LAST, run_id DESC NULLS LAST, chunk_hash DESC, "
               "coalesce(pdf_path, '') DESC")
-DUCK_COMBINED = f"""(
+#: Null hashes are filled with the computed one.
+DUCK_COMBINED = f"""(SELECT * REPLACE ({DUCK_HKEY} AS chunk_hash) FROM (
   SELECT *, {DUCK_RUN_TS} AS run_ts FROM {V1_D} WHERE doc_id IN (SELECT doc_id FROM {DUCK_GOOD_V2})
   UNION ALL BY NAME
-  SELECT *, {DUCK_RUN_TS} AS run_ts FROM {DUCK_GOOD_V2})"""
+  SELECT *, {DUCK_RUN_TS} AS run_ts FROM {DUCK_GOOD_V2}))"""
 DUCK_DEDUP = f"""(SELECT * EXCLUDE (rn) FROM (
-  SELECT *, row_number() OVER (PARTITION BY doc_id, {DUCK_HKEY} ORDER BY {DUCK_ORDER}) AS rn
+  SELECT *, row_number() OVER (PARTITION BY doc_id, chunk_hash ORDER BY {DUCK_ORDER}) AS rn
   FROM {DUCK_COMBINED}) WHERE rn = 1)"""
 DUCK_LATEST = f"""(SELECT * EXCLUDE (rn) FROM (
   SELECT *, row_number() OVER (PARTITION BY doc_id, page_no, chunk_id ORDER BY {DUCK_ORDER}) AS rn
@@ -151,7 +153,7 @@ def impacted_docs(spark, sf):
   WHERE doc_id IN (SELECT doc_id FROM {DUCK_GOOD_V2}) GROUP BY doc_id""")
 def filter_impacted(spark, sf):
     keys = _good_v2(spark, sf).select("doc_id").distinct()
-    old = _v1(spark, sf).join(ing.broadcast_if_small(keys), "doc_id", "left_semi")
+    old = _v1(spark, sf).join(keys, "doc_id", "left_semi")
     return old.groupBy("doc_id").agg(F.count("*").alias("n_existing"))
 
 
@@ -175,8 +177,7 @@ def dedup_hash_latest(spark, sf):
 
 @register("latest_per_position", oracle=f"SELECT doc_id, page_no, chunk_id, chunk_hash, run_id, content FROM {DUCK_LATEST}")
 def latest_per_position(spark, sf):
-    latest = ing.latest_per_position(ing.dedup_hash_latest(_combined(spark, sf)))
-    return latest.select("doc_id", "page_no", "chunk_id", "chunk_hash", "run_id", "content")
+    return ing.newest(ing.staged(spark, _combined(spark, sf))).select("doc_id", "page_no", "chunk_id", "chunk_hash", "run_id", "content")
 
 
 @register("vector_id")
@@ -185,6 +186,16 @@ def vector_id_q(spark, sf):
     return _v1(spark, sf).select("doc_id", "page_no", "chunk_id", ing.vector_id().alias("vector_id"))
 
 
+@register("vector_id_unique", oracle=f"""
+  SELECT count(*) AS n_rows, count(DISTINCT (doc_id, page_no, chunk_id, chunk_hash)) AS n_ids,
+         count(*) = count(DISTINCT (doc_id, page_no, chunk_id)) AS one_a_position FROM {V1_D}""")
+def vector_id_unique(spark, sf):
+    """As many ids as rows and as positions."""
+    v = _v1(spark, sf).select("doc_id", "page_no", "chunk_id", ing.vector_id().alias("vector_id"))
+    return v.agg(F.count("*").alias("n_rows"), F.count_distinct("vector_id").alias("n_ids"),
+                 (F.count("*") == F.count_distinct("doc_id", "page_no", "chunk_id")).alias("one_a_position"))
+
+
 @register("vector_id_sha", oracle=f"""
   SELECT doc_id, page_no, chunk_id,
          sha256(concat_ws('|', doc_id, coalesce(cast(page_no AS VARCHAR), ''), cast(chunk_id AS VARCHAR),
@@ -201,23 +212,20 @@ def vector_id_sha(spark, sf):
          (SELECT count(*) FROM {DUCK_LATEST}) AS latest,
          (SELECT count(DISTINCT doc_id) FROM {DUCK_GOOD_V2}) AS impacted""")
 def ingest_counts(spark, sf):
-    """M10 as one job: every stage count is a conditional count over one tagged union."""
-    v2 = ing.validate(_v2(spark, sf))
-    good = v2.filter(F.col("reject_reason").isNull()).drop("reject_reason")
-    comb = ing.combine(spark, good, _v1(spark, sf))
-    dedup = ing.dedup_hash_latest(comb)
-    latest = ing.latest_per_position(dedup)
-    parts = [v2.select(F.lit("incoming").alias("s"), F.lit(None).cast("string").alias("d")),
-             good.select(F.lit("valid").alias("s"), F.col("doc_id").alias("d")),
-             comb.select(F.lit("combined").alias("s"), F.lit(None).cast("string").alias("d")),
-             dedup.select(F.lit("after_dedup").alias("s"), F.lit(None).cast("string").alias("d")),
-             latest.select(F.lit("latest").alias("s"), F.lit(None).cast("string").alias("d"))]
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    return u.agg(*[F.count(F.when(F.col("s") == k, 1)).alias(k)
-                   for k in ("incoming", "valid", "combined", "after_dedup", "latest")],
-                 F.count_distinct("d").alias("impacted"))
+    """Both versions are written once; the stage counts are observed in one pass over keys and hashes."""
+    v2 = ing.staged(spark, ing.checked(_v2(spark, sf)))
+    rows = ing.combine(spark, v2.filter("reject_reason is null"), ing.staged(spark, _v1(spark, sf)))
+    seen = {k: Observation(k) for k in ("combined", "after_dedup")}
+
+    def observe(stage, name):
+        return stage.observe(seen[name], F.count(F.lit(1)).alias("n")) if name in seen else stage
+
+    hashes = observe(ing.latest_hashes(observe(rows, "combined")), "after_dedup")
+    latest = ing.latest_positions(hashes).count()
+    found = v2.agg(F.count(F.lit(1)).alias("incoming"), F.count(F.when(F.col("reject_reason").isNull(), 1)).alias("valid"),
+                   F.count_distinct(F.when(F.col("reject_reason").isNull(), F.col("doc_id"))).alias("impacted"))
+    return found.select("incoming", "valid", F.lit(seen["combined"].get["n"]).alias("combined"),
+                        F.lit(seen["after_dedup"].get["n"]).alias("after_dedup"), F.lit(latest).alias("latest"), "impacted")
 
 
 JOB_INGEST_D = f"""
@@ -285,16 +293,22 @@ def sink_chunk_json_roundtrip(spark, sf):
                                       F.count_distinct("chunk_hash").alias("n_hashes"))
 
 
-@register("sink_truncate", oracle="""
-  SELECT 0 AS n_rows, 9 AS n_columns""")
+@register("sink_truncate", oracle=f"""
+  SELECT column_index - 1 AS pos, column_name AS name, data_type AS type, n_rows
+  FROM (SELECT unnest(['vector_id', 'doc_id', 'chunk_id', 'pdf_path', 'page_no', 'content', 'chunk_hash', 'created_at', 'run_id'])
+          AS column_name, generate_subscripts(range(9), 1) AS column_index,
+          unnest(['string', 'string', 'int', 'string', 'int', 'string', 'string', 'timestamp', 'string']) AS data_type),
+       (SELECT count(*) FILTER (chunk_id < 0) AS n_rows FROM {V1_D})""")
 def sink_truncate(spark, sf):
-    """Overwrite with zero rows keeps the schema; read back with it."""
+    """Overwrite with zero rows keeps the columns and their types, as the files have them."""
     path = scratch_path(spark, "trunc")
     t = ing.finalize(_v1(spark, sf).withColumn("run_ts", ing.run_ts()), F.lit(CLOCK).cast("timestamp"))
     t.write.mode("overwrite").parquet(path)
     t.limit(0).write.mode("overwrite").parquet(path)
-    back = spark.read.schema(t.schema).parquet(path)
-    return back.agg(F.count("*").alias("n_rows"), F.lit(len(back.columns)).alias("n_columns"))
+    back = spark.read.parquet(path)
+    cols = [F.struct(F.lit(i).cast("long").alias("pos"), F.lit(f.name).alias("name"), F.lit(f.dataType.simpleString()).alias("type"))
+            for i, f in enumerate(back.schema.fields)]
+    return back.agg(F.count("*").alias("n_rows")).select("n_rows", F.explode(F.array(*cols)).alias("c")).select("c.*", "n_rows")
 
 
 @register("proj_curated", oracle=f"""

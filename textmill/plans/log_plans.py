@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textmill.operators import logs as lg
+from textmill.operators import relational as rel
 from textmill.plans.registry import register
 from textmill.session import read_table
 
@@ -251,10 +252,11 @@ def insert_if_absent(spark, sf):
            lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_ts FROM events)""")
 def session_valid(spark, sf):
     ev = _ev(spark, sf)
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
+    # a user with half of all events spans as many slices as the rows fill
+    ev = rel.keyed_lead(ev.select("event_id", "user_id", "ts", "event_type", "value"), ["user_id"], ["ts", "event_id"], "ts", "next_ts")
     s = ev.select("event_id", "user_id",
                   (F.col("ts") + F.make_dt_interval(secs=F.floor(F.col("value") * 60))).alias("expires_at"),
-                  (F.col("event_type") == "error").alias("revoked"), F.lead("ts").over(w).alias("next_ts"))
+                  (F.col("event_type") == "error").alias("revoked"), "next_ts")
     return s.withColumn("valid", ~F.col("revoked") & F.col("next_ts").isNotNull() & (F.col("next_ts") < F.col("expires_at")))
 
 

@@ -11,40 +11,50 @@ from textmill.operators import ingest as ing
 from textmill.plans import ingest_plans as ip
 from textmill.plans.registry import register
 from textmill.session import read_table, scratch_path
+from textmill.sources import documents as docs
 from textmill.sources import files as fs
 from textmill.streaming import staging as st
 
 
+#: Small, so that the files of these queries have many ranges.
+SPLIT_BYTES = 1 << 18
+_SOURCE_RE = "source=([^/]+)"
+
+
+def _text_files(spark, sf):
+    path = scratch_path(spark, "docs")
+    read_table(spark, sf, "documents").select("source", "text").write.partitionBy("source").text(path)
+    return path
+
+
 @register("src_binary_docs", oracle="""
   SELECT source, cast(sum(strlen(text) + 1) AS BIGINT) AS total_bytes,
          cast(sum(length(text) - length(replace(text, chr(10), '')) + 1) AS BIGINT) AS n_newlines
   FROM documents GROUP BY source""")
 def src_binary_docs(spark, sf):
-    """Documents written as text files (one folder per source), read back as binary."""
-    path = scratch_path(spark, "docs")
-    read_table(spark, sf, "documents").select("source", "text").write.partitionBy("source").text(path)
-    b = fs.binary_documents(spark, path, "*.txt")
-    b = b.select(F.regexp_extract("path", "source=([^/]+)", 1).alias("source"), F.col("length"),
-                 (F.size(F.split(F.decode("content", "UTF-8"), "\n", -1)) - 1).alias("nl"))
-    return b.groupBy("source").agg(F.sum("length").alias("total_bytes"), F.sum("nl").alias("n_newlines"))
+    """Documents written as text files (one folder per source), read back by byte ranges."""
+    b = docs.read_splits(spark, _text_files(spark, sf), "*.txt", SPLIT_BYTES)
+    return b.groupBy(F.regexp_extract("path", _SOURCE_RE, 1).alias("source")).agg(F.sum(F.col("end") - F.col("start")).alias("total_bytes"),
+                                                  F.sum("newlines").alias("n_newlines"))
+
+
+@register("src_binary_pieces", oracle="""
+  SELECT source, cast(sum(strlen(text) + 1) AS BIGINT) AS total_bytes, cast(sum(strlen(text) + 1) AS BIGINT) AS file_bytes
+  FROM documents GROUP BY source""")
+def src_binary_pieces(spark, sf):
+    """S01 as bytes: every file in rows of bounded size, which add up to its length."""
+    b = docs.read_pieces(spark, _text_files(spark, sf), "*.txt", 1 << 16, SPLIT_BYTES)
+    per = b.groupBy("path").agg(F.sum(F.length("data")).alias("n"), F.max("length").alias("length"))
+    return per.groupBy(F.regexp_extract("path", _SOURCE_RE, 1).alias("source")).agg(F.sum("n").alias("total_bytes"), F.sum("length").alias("file_bytes"))
 
 
 @register("page_extract_binary", oracle="""
   SELECT source, count(*) AS n_lines FROM (
     SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY source""")
 def page_extract_binary(spark, sf):
-    """S02 on binary files through the extractor plug-in (mapInPandas); lines per source."""
-    path = scratch_path(spark, "docs")
-    read_table(spark, sf, "documents").select("source", "text").write.partitionBy("source").text(path)
-    pages = fs.extract_pages(fs.binary_documents(spark, path, "*.txt"))
-    lines = pages.select(F.regexp_extract("path", "source=([^/]+)", 1).alias("source"),
-                         F.explode(F.split("content", "\n", -1)).alias("line"))
-    # each file ends with a newline: its last (empty) line is not a document line
-    ends = fs.binary_documents(spark, path, "*.txt").select(
-        F.regexp_extract("path", "source=([^/]+)", 1).alias("source"))
-    n = lines.groupBy("source").agg(F.count("*").alias("n_all"))
-    e = ends.groupBy("source").agg(F.count("*").alias("n_files"))
-    return n.join(e, "source").select("source", (F.col("n_all") - F.col("n_files")).alias("n_lines"))
+    """S02 on text files of any size: pages streamed from every byte range; lines per source."""
+    pages = docs.read_pages(spark, _text_files(spark, sf), "*.txt", lines_per_page=4, split_bytes=SPLIT_BYTES)
+    return pages.groupBy(F.regexp_extract("path", _SOURCE_RE, 1).alias("source")).agg(F.sum(F.size(F.split("content", "\n", -1))).cast("long").alias("n_lines"))
 
 
 def _orders_csv(spark, sf):

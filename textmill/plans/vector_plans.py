@@ -15,6 +15,7 @@ from textmill.functions import vectors as vx
 from textmill.functions.sqltext import DUCK, SPARK
 from textmill.operators import embed as em
 from textmill.operators import ingest as ing
+from textmill.operators import ivf
 from textmill.operators import vector as vec
 from textmill.plans import ingest_plans as ip
 from textmill.plans.chunk_plans import duck_explode
@@ -134,9 +135,7 @@ def job_embed(spark, sf):
     path = scratch_path(spark, "embeddings") + "/table"
     for version, clock in ((1, CLOCK_A), (2, CLOCK_B)):
         latest = em.latest_content(_meta(spark, sf, version))
-        # encoded once and materialised: the uniqueness check and the merge both read it
-        batch = em.encode(latest).withColumn("created_at", F.lit(clock).cast("timestamp")).checkpoint()
-        em.upsert_table(spark, path, batch)
+        em.upsert_table(spark, path, em.encode(latest).withColumn("created_at", F.lit(clock).cast("timestamp")))
     t = spark.read.parquet(path)  # S07 read-back
     return t.select("vector_id", "created_at", "model_name",
                     _x("transform(embedding, x -> round(cast(x as double), 4))").alias("embedding"))
@@ -189,43 +188,17 @@ def knn_batch(spark, sf):
     return _knn_out(vec.knn_batch(spark, e, _queries(spark, sf), K, id_col="vec_id"))
 
 
-def _ivf(spark, sf, centroids="sample"):
-    e = read_table(spark, sf, "embeddings")
-    c = (vec.sample_centroids(e, N_CELLS, id_col="vec_id") if centroids == "sample"
-         else vec.kmeans_centroids(e, N_CELLS))
-    return vec.assign_cells(spark, e, c), c
+def _index(spark, sf, rows=None):
+    """A stored index of the embeddings (or of ``rows``), centroids by the seeded sample."""
+    e = read_table(spark, sf, "embeddings").withColumnRenamed("vec_id", "id")
+    c = ivf.sample_centroids(e, N_CELLS)
+    return ivf.IvfIndex.build(spark, scratch_path(spark, "ivf"), e if rows is None else e.filter(rows), c)
 
 
 @register("knn_ivf", oracle=KNN_BATCH_D)
 def knn_ivf(spark, sf):
     """V03 probing every cell: must equal the exact search."""
-    idx, c = _ivf(spark, sf)
-    q = _queries(spark, sf)
-    probes = vec.probe_cells_for(q, c, nprobe=N_CELLS)
-    return _knn_out(vec.knn_batch(spark, idx, q, K, id_col="vec_id", probe_cells=probes))
-
-
-@register("knn_ivf_approx")
-def knn_ivf_approx(spark, sf):
-    """V03 with k-means cells and 2 probes (approximate: rows only)."""
-    idx, c = _ivf(spark, sf, "kmeans")
-    q = _queries(spark, sf)
-    probes = vec.probe_cells_for(q, c, nprobe=2)
-    return _knn_out(vec.knn_batch(spark, idx, q, K, id_col="vec_id", probe_cells=probes))
-
-
-@register("knn_recall")
-def knn_recall(spark, sf):
-    """Per query, share of the exact top-k found by the 2-probe IVF search."""
-    e = read_table(spark, sf, "embeddings")
-    q = _queries(spark, sf)
-    exact = vec.knn_batch(spark, e, q, K, id_col="vec_id").select("query_id", "vec_id")
-    idx, c = _ivf(spark, sf, "kmeans")
-    approx = vec.knn_batch(spark, idx, q, K, id_col="vec_id",
-                           probe_cells=vec.probe_cells_for(q, c, nprobe=2)).select("query_id", "vec_id")
-    hits = exact.join(approx, ["query_id", "vec_id"], "left_semi").groupBy("query_id").count()
-    return exact.select("query_id").distinct().join(hits, "query_id", "left") \
-        .select(F.col("query_id").alias("item_id"), (F.coalesce("count", F.lit(0)) / K).alias("recall"))
+    return _knn_out(_index(spark, sf).search(_queries(spark, sf), K, N_CELLS).withColumnRenamed("id", "vec_id"))
 
 
 SAMPLE_D = """(SELECT vec_id, embedding, cast(row_number() OVER (ORDER BY md5(cast(vec_id AS VARCHAR) || ':42'), vec_id) AS INTEGER) AS sample_rank
@@ -239,22 +212,52 @@ CELLS_D = f"""(SELECT vec_id, cast(cell AS INTEGER) AS cell FROM (
     FROM embeddings e, {SAMPLE_D.format(m=N_CELLS)} c) WHERE rn = 1)"""
 
 
+NPROBE = 2
+#: The cells of each query and the best vectors in them, centroid ranks by squared distance.
+PROBES_D = f"""(SELECT item_id, q, cell FROM (
+    SELECT b.item_id, b.q, c.sample_rank - 1 AS cell, row_number() OVER (PARTITION BY b.item_id ORDER BY
+             list_reduce(list_transform(list_zip(b.q, c.embedding),
+                         lambda p_: (cast(p_[1] AS DOUBLE) - cast(p_[2] AS DOUBLE)) ^ 2), lambda s_, v_: s_ + v_, 0::DOUBLE),
+             c.sample_rank) AS near
+    FROM {Q_D} b, {SAMPLE_D.format(m=N_CELLS)} c) WHERE near <= {NPROBE})"""
+KNN_IVF_D = f"""
+  SELECT item_id, cast(rank AS INTEGER) AS rank, vec_id, round(score, 6) AS score FROM (
+    SELECT item_id, vec_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, vec_id) AS rank
+    FROM (SELECT p.item_id, e.vec_id, {_dot_d('e.embedding', 'p.q')} AS score
+          FROM {PROBES_D} p JOIN {CELLS_D} c ON p.cell = c.cell JOIN embeddings e ON e.vec_id = c.vec_id))
+  WHERE rank <= {K}"""
+
+
+@register("knn_ivf_approx", oracle=KNN_IVF_D)
+def knn_ivf_approx(spark, sf):
+    """V03 with 2 probes: only the folders of probed cells are read."""
+    return _knn_out(_index(spark, sf).search(_queries(spark, sf), K, NPROBE).withColumnRenamed("id", "vec_id"))
+
+
+@register("knn_recall", oracle=f"""
+  SELECT x.item_id, count(a.vec_id) / {K}.0::DOUBLE AS recall
+  FROM ({KNN_BATCH_D}) x LEFT JOIN ({KNN_IVF_D}) a ON a.item_id = x.item_id AND a.vec_id = x.vec_id GROUP BY x.item_id""")
+def knn_recall(spark, sf):
+    """Per query, share of the exact top-k found by the 2-probe IVF search."""
+    q = _queries(spark, sf)
+    exact = vec.knn_batch(spark, read_table(spark, sf, "embeddings").withColumnRenamed("vec_id", "id"), q, K)
+    found = _index(spark, sf).search(q, K, NPROBE)
+    return ivf.recall(exact, found, K).select(F.col("query_id").alias("item_id"), "recall")
+
+
 @register("index_append", oracle=f"SELECT vec_id, cell FROM {CELLS_D}")
 def index_append(spark, sf):
-    """Index the even ids first, then append the whole table (ids present are skipped)."""
-    e = read_table(spark, sf, "embeddings")
-    c = vec.sample_centroids(e, N_CELLS, id_col="vec_id")
-    first = vec.assign_cells(spark, e.filter(F.col("vec_id") % 2 == 0), c)
-    idx = vec.index_append(first, e, spark, c, id_col="vec_id")
-    return idx.select("vec_id", "cell")
+    """A stored index of the even ids, to which the whole table is appended (ids present are skipped)."""
+    idx = _index(spark, sf, F.col("id") % 2 == 0)
+    idx.append(read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding"))
+    return idx.vectors().select(F.col("id").alias("vec_id"), "cell")
 
 
 @register("index_stats", oracle=f"""
   SELECT cell, count(*) AS n_vectors, cast(sum(count(*)) OVER () AS BIGINT) AS total_vectors, 64 AS dimension
   FROM {CELLS_D} GROUP BY cell""")
 def index_stats(spark, sf):
-    idx, _ = _ivf(spark, sf)
-    return vec.index_stats(idx).select("cell", "n_vectors", "total_vectors", F.col("dimension").cast("int"))
+    return _index(spark, sf).stats().select("cell", "n_vectors", "total_vectors", F.col("dimension").cast("int"))
 
 
 # --- retrieval ---------------------------------------------------------------------------------------
@@ -288,16 +291,16 @@ def retrieve_context(spark, sf):
 
 @register("context_prompt", oracle=f"""
   SELECT b.item_id, 'Question: ' || b.text || chr(10) || 'Context:' || chr(10) ||
-         string_agg('[' || r.rank || '] ' || r.content, chr(10) ORDER BY r.rank) AS prompt
-  FROM benchmark b JOIN ({RETR_D}) r ON b.item_id = r.item_id GROUP BY b.item_id, b.text""")
+         coalesce(string_agg('[' || r.rank || '] ' || r.content, chr(10) ORDER BY r.rank), '') AS prompt
+  FROM benchmark b LEFT JOIN ({RETR_D}) r ON b.item_id = r.item_id GROUP BY b.item_id, b.text""")
 def context_prompt(spark, sf):
     r = _retrieve(spark, sf).select(F.col("query_id").alias("item_id"), "rank", "content")
     b = read_table(spark, sf, "benchmark")
     g = r.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("rank", "content"))).alias("ctx"))
     parts = F.transform("ctx", lambda c: F.concat(F.lit("["), c["rank"].cast("string"), F.lit("] "), c["content"]))
-    return b.join(g, "item_id").select(
+    return b.join(g, "item_id", "left").select(  # a question without hits has an empty context
         "item_id", F.concat(F.lit("Question: "), F.col("text"), F.lit("\nContext:\n"),
-                            F.array_join(parts, "\n")).alias("prompt"))
+                            F.coalesce(F.array_join(parts, "\n"), F.lit(""))).alias("prompt"))
 
 
 # --- statistics ---------------------------------------------------------------------------------------
@@ -315,20 +318,49 @@ def vector_mean(spark, sf):
     return m.select((F.col("pos") + 1).cast("int").alias("pos"), F.round("mean", 6).alias("mean"))
 
 
-@register("pca_2d")
+def _squarings(times: int) -> str:
+    """Recursive CTE text: the covariance squared ``times`` times, scaled by its trace each time,
+    of which every column lies along the greatest axis."""
+    steps = ", ".join(
+        f"m{i + 1} AS MATERIALIZED (SELECT a.i, b.j, sum(a.c * b.c) / (SELECT sum(c * c) FROM m{i}) AS c FROM m{i} a JOIN m{i} b ON a.j = b.i GROUP BY 1, 2)"
+        for i in range(times))
+    return steps
+
+
+def _axis_d(cov: str, times: int = 14) -> str:
+    """The unit axis of greatest variance of ``cov`` (i, j, c), signed by its largest entry: (i, a)."""
+    return f"""(WITH m0 AS (SELECT i, j, c FROM {cov}), {_squarings(times)},
+      col AS (SELECT i, c FROM m{times} WHERE j = (SELECT i FROM m{times} WHERE i = j ORDER BY c DESC, i LIMIT 1))
+      SELECT i, c / (SELECT sqrt(sum(c * c)) FROM col) * (SELECT sign(c) FROM col ORDER BY abs(c) DESC LIMIT 1) AS a FROM col)"""
+
+
+_X_D = duck_explode("embeddings", "vec_id", "list_transform(embedding, lambda v_: cast(v_ AS DOUBLE))", "i", "x")
+PCA_D = f"""
+  WITH x AS MATERIALIZED (SELECT vec_id, i, v.x - avg(v.x) OVER (PARTITION BY i) AS x FROM {_X_D} v),
+  cov AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.x * b.x) AS c FROM x a JOIN x b USING (vec_id) GROUP BY 1, 2),
+  p1 AS MATERIALIZED (SELECT * FROM {_axis_d('cov')}),
+  cov2 AS MATERIALIZED (SELECT cov.i, j, c - (SELECT sum(u.a * c * w.a) FROM cov JOIN p1 u USING (i) JOIN p1 w ON w.i = j) * u.a * w.a AS c
+           FROM cov JOIN p1 u USING (i) JOIN p1 w ON w.i = j),
+  p2 AS MATERIALIZED (SELECT * FROM {_axis_d('cov2')})
+  SELECT vec_id, round(sum(x * p1.a), 4) + 0 AS x, round(sum(x * p2.a), 4) + 0 AS y
+  FROM x JOIN p1 USING (i) JOIN p2 USING (i) GROUP BY vec_id"""
+
+
+@register("pca_2d", oracle=PCA_D)
 def pca_2d(spark, sf):
-    """MLlib PCA on centred vectors (sign-fixed); rows only."""
-    return vec.pca_2d(read_table(spark, sf, "embeddings"), id_col="vec_id")
+    """Vectors on the two axes of greatest variance."""
+    p = vec.pca_2d(read_table(spark, sf, "embeddings"), id_col="vec_id")
+    return p.select("vec_id", (F.round("x", 4) + 0.0).alias("x"), (F.round("y", 4) + 0.0).alias("y"))
 
 
 @register("pca_cov", oracle=f"""
-  SELECT a.pos - 1 AS i, b.pos - 1 AS j, round(covar_samp(cast(a.x AS DOUBLE), cast(b.x AS DOUBLE)), 6) AS cov
+  SELECT a.pos - 1 AS i, b.pos - 1 AS j, round(covar_samp(cast(a.x AS DOUBLE), cast(b.x AS DOUBLE)), 6) + 0 AS cov
   FROM {duck_explode('embeddings', 'vec_id', 'embedding', 'pos', 'x')} a
   JOIN {duck_explode('embeddings', 'vec_id', 'embedding', 'pos', 'x')} b ON a.vec_id = b.vec_id
   GROUP BY a.pos, b.pos""")
 def pca_cov(spark, sf):
-    c = vec.covariance(read_table(spark, sf, "embeddings"))
-    return c.select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.round("cov", 6).alias("cov"))
+    c = vec.covariance(spark, read_table(spark, sf, "embeddings"))
+    return c.select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), (F.round("cov", 6) + 0.0).alias("cov"))
 
 
 @register("batch_assign", oracle="""

@@ -1,8 +1,9 @@
 """File sources and the session sandbox.
 
 * ``binary_documents`` — a folder of documents as (path, modificationTime,
-  length, content) with Spark's ``binaryFile`` source; the page extractor is a
-  plug-in run with ``mapInPandas`` (default: UTF-8 text, pages of N lines).
+  length, content) with Spark's ``binaryFile`` source, for files that fit in a row; the page
+  extractor is a plug-in run with ``mapInPandas`` (default: UTF-8 text, pages of N lines).
+  ``sources.documents`` reads files of any size.
 * ``read_csv`` — header + sniffed types, registered as the view ``data``.
 * ``Sandbox`` — one Spark database per session, stored under the shared
   scratch folder; load-if-absent, list, DML as new table versions, drop.
@@ -14,12 +15,14 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textmill.operators.logs import INNER_WRITE_RE, QUOTED_RE, READ_ONLY_KEYWORDS, SANDBOX_SQL_MAX, SOURCE_SQL_MAX
 from textmill.session import scratch_path
@@ -38,12 +41,12 @@ def text_pages(lines_per_page: int = 4) -> Callable[[Iterator[pd.DataFrame]], It
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for path, content in zip(pdf["path"], pdf["content"]):
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 lines = bytes(content).decode("utf-8", errors="replace").split("\n")
-                for i in range(0, len(lines), lines_per_page):
-                    out.append((path, i // lines_per_page + 1, "\n".join(lines[i:i + lines_per_page])))
-            yield pd.DataFrame(out, columns=["path", "page_no", "content"])
+                for at in range(0, len(lines), 1000 * lines_per_page):
+                    some = range(at, min(at + 1000 * lines_per_page, len(lines)), lines_per_page)
+                    yield pd.DataFrame([(path, i // lines_per_page + 1, "\n".join(lines[i:i + lines_per_page])) for i in some],
+                                       columns=["path", "page_no", "content"])
 
     return run
 
@@ -69,11 +72,20 @@ def schema_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 
 def preview(df: DataFrame, order: list, n: int = PREVIEW_ROWS) -> DataFrame:
-    """The first ``n`` rows in a stated order (TakeOrderedAndProject), with the
-    total row count attached as a scalar subquery and a truncated flag."""
-    total = df.agg(F.count(F.lit(1))).scalar()
-    head = df.orderBy(*order).limit(n)
-    return head.withColumn("total_rows", total).withColumn("truncated", F.col("total_rows") > n)
+    """The first ``n`` rows in a stated order, with the total row count and a truncated flag.
+
+    The rows are computed once: every task counts its own and passes on its first ``n`` (as
+    TakeOrderedAndProject would), and the counts meet those in the result.  A query without
+    rows gives one row of nulls with a total of 0, so that it can be told from a failure."""
+    spark = df.sparkSession
+    seen = Observation("preview_" + uuid.uuid4().hex)
+    head = df.observe(seen, F.count(F.lit(1)).alias("n")).orderBy(*order).limit(n)
+    rows = head.collect()  # n rows at most
+    total = seen.get["n"]
+    shape = T.StructType([*[T.StructField(f.name, f.dataType) for f in df.schema.fields],
+                          T.StructField("total_rows", T.LongType()), T.StructField("truncated", T.BooleanType())])
+    out = [(*r, total, total > n) for r in rows] or [(*[None] * len(df.columns), 0, False)]
+    return spark.createDataFrame(out, shape)
 
 
 #: First words refused in a sandbox: they leave its database or its tables.

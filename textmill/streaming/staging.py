@@ -7,16 +7,19 @@ run timestamp), so any split of files into micro-batches gives the same
 table; ``availableNow`` drains what is there and stops, and the stream's
 checkpoint makes a restart resume after the last committed batch.
 
-ST2 drops re-staged duplicates of a chunk hash by an anti-join of each
-micro-batch with the hashes written before.
+ST2 drops re-staged duplicates of a chunk hash by keyed streaming state (RocksDB, spilled to
+disk), so that a micro-batch looks up its own hashes only, however many came before.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.operators import ingest as ing
+from textmill.operators.buckets import path_exists
 
 
 def chunk_stream(spark: SparkSession, staging: str, files_per_batch: int = 1) -> DataFrame:
@@ -35,19 +38,43 @@ def stream_ingest(spark: SparkSession, staging: str, table_path: str, checkpoint
     q.awaitTermination()
 
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _run_of(spark: SparkSession, checkpoint: str) -> str:
+    """The name of the run that a stream checkpoint belongs to, kept inside it and lost with it."""
+    path = f"{checkpoint}/textmill-run"
+    if not path_exists(spark, f"{path}/_SUCCESS"):
+        spark.createDataFrame([(uuid.uuid4().hex,)], "run string").write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path).first().run
+
+
 def stream_dedup(spark: SparkSession, staging: str, out_path: str, checkpoint: str, files_per_batch: int = 1) -> None:
     """ST2: one row per chunk hash, however the files fall into micro-batches and however late
-    they come.  A null hash is filled with the computed one.  Each batch writes only hashes that
-    no earlier batch wrote, into a folder of its own, so that a repeated batch replaces itself."""
-    spark.createDataFrame([], ing.CHUNK_SCHEMA).write.mode("ignore").parquet(f"{out_path}/epoch=-1")
+    they come.  A null hash is filled with the computed one.
+
+    Each batch has a folder of its run and number, so that a repeated batch replaces itself.  If
+    the stream checkpoint is lost while the output stays, the state is gone too: a new run begins, and
+    what earlier runs have written is left out by an anti-join with their hashes."""
+    run = _run_of(spark, checkpoint)
+    if not path_exists(spark, f"{out_path}/run={run}"):
+        spark.createDataFrame([], ing.CHUNK_SCHEMA).write.parquet(f"{out_path}/run={run}/epoch=-1")
+    others = F.col("run") != run
+    lost = not spark.read.parquet(out_path).filter(others).isEmpty()
 
     def batch(df: DataFrame, epoch_id: int) -> None:
-        rows = df.withColumn("chunk_hash", ing.dedup_key(df))
-        cols = rows.columns
-        one = rows.groupBy("chunk_hash").agg(F.min(F.struct(*cols)).alias("_r")).select("_r.*")
-        seen = spark.read.parquet(out_path).filter(F.col("epoch") < epoch_id).select("chunk_hash")
-        one.join(seen, "chunk_hash", "left_anti").select(*cols).write.mode("overwrite").parquet(f"{out_path}/epoch={epoch_id}")
+        if lost:
+            seen = spark.read.parquet(out_path).filter(others).select("chunk_hash")
+            df = df.join(seen, "chunk_hash", "left_anti").select(*df.columns)
+        df.write.mode("overwrite").parquet(f"{out_path}/run={run}/epoch={epoch_id}")
 
-    q = (chunk_stream(spark, staging, files_per_batch).writeStream.foreachBatch(batch)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        rows = chunk_stream(spark, staging, files_per_batch)
+        rows = ing.filled(rows).dropDuplicates(["chunk_hash"])
+        q = rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(STATE_STORE, before)
     q.awaitTermination()
