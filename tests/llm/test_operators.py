@@ -386,13 +386,26 @@ def test_encode_decode_frames(spark):
     assert bpe.encode_digests(spark, docs.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_pieces_hold_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["<|endoftext|>", "a<|endoftext|>b " * 700]
+    ids = [e.ids + [0] for e in Tokenizer.from_file(JSON).encode_batch(texts, add_special_tokens=False)]
+    got = collections.defaultdict(list)
+    for r in packing.pack_documents(spark, frame(spark, texts), JSON, public_tokenizers.PATTERN).orderBy("doc_id", "piece").collect():
+        want = ids[r.doc_id][r.start:r.start + r.length]
+        assert r.ids_crc32 == zlib.crc32(struct.pack(f"<{len(want)}I", *want))
+        got[r.doc_id] += want
+    assert [got[0], got[1]] == ids
+
+
 def test_vocabulary_ids_equal_the_tokenizers_library():
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(JSON)
-    library.encode_special_tokens = True
     own = packing.VocabularyIds(JSON, public_tokenizers.PATTERN)
-    texts = odd_strings()
+    end = "<|endoftext|>"
+    texts = odd_strings() + [end, f"a{end}b", f" {end} {end}{end}\n", f"{end[:-1]} {end.upper()}", f"don{end}'t 12{end}34"]
     for t, e in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
         assert np.frombuffer(own.encode(t), "<u4").tolist() == e.ids, t
 

@@ -154,8 +154,8 @@ def _digest(width: int, percent: int, levels):
             flat = textops.as_long(np.concatenate(marks)) if marks else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [ids.cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int64())), pa.array(bits, pa.binary())],
-                ["doc_id", "n_shingles", "class", "marks", "bits"])
+                 pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int64())), pa.array(bits, pa.binary()),
+                 *b.columns[2:]], ["doc_id", "n_shingles", "class", "marks", "bits", *b.schema.names[2:]])
 
     return run
 
@@ -373,13 +373,16 @@ def _full_sets(width: int):
 
 
 def jaccard_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   width: int = 5, percent: int = 80) -> DataFrame:
+                   width: int = 5, percent: int = 80, row_col: str | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest id reachable by
-    links, itself included; null without id) and class (the id of equal sets; null if empty)."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    links, itself included; null without id), class (the id of equal sets; null if empty) and root
+    (the least class of the component); with ``row_col``, a string column of ``docs``, also row."""
+    row = [F.col(row_col).alias("row")] if row_col else []
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *row)
     levels = spark.sparkContext.broadcast(frequency_levels(texts, width))
-    digests = stored(spark, texts.mapInArrow(_digest(width, percent, levels),
-                                             "doc_id long, n_shingles long, class long, marks array<long>, bits binary"), "digests")
+    digests = stored(spark, texts.mapInArrow(
+        _digest(width, percent, levels), "doc_id long, n_shingles long, class long, marks array<long>, bits binary"
+        + (", row string" if row else "")), "digests")
     classes = stored(spark, digests.filter("class is not null").groupBy("class")
                      .agg(F.min("doc_id").alias("rep")), "classes")
     reps = digests.join(classes.select("class", F.col("rep").alias("doc_id")), ["doc_id", "class"], "left_semi")
@@ -449,6 +452,7 @@ def _labelled(digests: DataFrame, classes: DataFrame, roots: DataFrame) -> DataF
     known = classes.join(roots.withColumnRenamed("node", "class"), "class", "left") \
         .withColumn("root", F.coalesce("root", "class"))
     least = known.groupBy("root").agg(F.min("rep").alias("component_id"))
-    labels = known.join(least, "root").select("class", "component_id")
+    labels = known.join(least, "root").select("class", "component_id", "root")
+    row = [c for c in ("row",) if c in digests.columns]
     return digests.drop("marks", "bits").join(labels, "class", "left") \
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "class")
+        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "class", "root", *row)

@@ -34,7 +34,7 @@ UND = "und"
 
 
 def is_letter_table() -> np.ndarray:
-    """Per code point of the basic plane, whether it is a letter; planes above count as letters."""
+    """Per code point of the basic plane, whether it is a letter."""
     return np.array([chr(c).isalpha() if not 0xD800 <= c < 0xE000 else False for c in range(0x10000)])
 
 
@@ -62,7 +62,10 @@ def code_points(text: str) -> np.ndarray:
     letter, lower = _tables()
     c = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
     flat = np.minimum(c, 0xFFFF)
-    ok = letter[flat] | (c > 0xFFFF)
+    ok = letter[flat]
+    if (c > 0xFFFF).any():
+        wide, where = np.unique(c[c > 0xFFFF], return_inverse=True)
+        ok[c > 0xFFFF] = np.array([chr(x).isalpha() for x in wide])[where]
     out = np.where(ok, np.where(c > 0xFFFF, 0xFFFF, lower[flat]), 0)
     keep = np.ones(len(out), bool)
     keep[1:] = (out[1:] != 0) | (out[:-1] != 0)

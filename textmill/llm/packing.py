@@ -42,7 +42,8 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, copy
 class VocabularyIds:
     """Packed ids of a byte-level BPE vocabulary in the ``tokenizers`` format.  Its merges are
     in the order of the ids they make (checked on reading), so its ids are those of the same
-    vocabulary as ranks, which ``tiktoken`` encodes several times faster."""
+    vocabulary as ranks, which ``tiktoken`` encodes several times faster.  The strings of the file's
+    added tokens get their ids wherever they stand in a text, as in that library."""
 
     def __init__(self, path: str, pattern: str):
         import json
@@ -50,7 +51,10 @@ class VocabularyIds:
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            file = json.load(f)
+        model, added = file["model"], file.get("added_tokens") or []
+        if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError(f"{path}: added tokens that take in what is around them")
         back = byte_letters()
         ranks = {bytes(back[c] for c in t): i for t, i in model["vocab"].items() if all(c in back for c in t)}
         made = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
@@ -58,10 +62,11 @@ class VocabularyIds:
             raise ValueError(f"{path}: not a byte-level BPE vocabulary with merges in the order of ids")
         made_ids = set(made)
         ranks = {t: i for t, i in ranks.items() if len(t) == 1 or i in made_ids}
-        self.encoding = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.encoding = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks,
+                                          special_tokens={t["content"]: t["id"] for t in added})
 
     def encode(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
+        return np.array(self.encoding.encode(text, allowed_special="all"), "<u4").tobytes()
 
 
 def byte_letters() -> dict[str, int]:

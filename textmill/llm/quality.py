@@ -129,13 +129,15 @@ def _stats(batches):
         rows = [counts_of(t) for t in textops.slices(b.column(1))]
         table = np.concatenate(rows) if rows else np.zeros((0, len(COUNTS)), np.int64)
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), *(pa.array(table[:, i].astype(np.int64)) for i in range(len(COUNTS)))], ["doc_id", *COUNTS])
+            [b.column(0), *(pa.array(table[:, i].astype(np.int64)) for i in range(len(COUNTS))), *b.columns[2:]],
+            ["doc_id", *COUNTS, *b.schema.names[2:]])
 
 
-def rule_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of COUNTS per row of ``docs``."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")) \
-        .mapInArrow(_stats, STATS_SCHEMA)
+def rule_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep=()) -> DataFrame:
+    """One row of COUNTS per row of ``docs``, with its columns ``keep``."""
+    kept = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *keep) \
+        .mapInArrow(_stats, STATS_SCHEMA + kept)
 
 
 def rates(c: np.ndarray) -> np.ndarray:
@@ -244,13 +246,13 @@ def calibrated_cut(good: np.ndarray, bad: np.ndarray) -> float:
 
 
 def quality_verdicts(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
-                     text_col: str = "text") -> DataFrame:
-    """doc_id, COUNTS, anomaly (0 to 1), base_failed and kept of every row of ``docs``.
-    ``labels`` (doc_id, quality) may hold rows for part of them."""
-    counts = stored(spark, rule_counts(docs, id_col, text_col).withColumn("base_failed", _base_failed()), "rules")
+                     text_col: str = "text", keep=()) -> DataFrame:
+    """doc_id, COUNTS, anomaly (0 to 1), base_failed and kept of every row of ``docs``, and its columns
+    ``keep`` (under names that are none of these).  ``labels`` (doc_id, quality) may hold rows for part of them."""
+    counts = stored(spark, rule_counts(docs, id_col, text_col, keep).withColumn("base_failed", _base_failed()), "rules")
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")) \
         .filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    known = stored(spark, counts.join(marked, "doc_id"), "known")
+    known = stored(spark, counts.select("doc_id", *COUNTS, "base_failed").join(marked, "doc_id"), "known")
     good = known.filter("quality = 1 and not base_failed").orderBy(F.xxhash64("doc_id"), "doc_id").limit(FOREST_ROWS)
     rows = np.array([list(r) for r in good.select(*COUNTS).collect()], float)
     forest = spark.sparkContext.broadcast(IsolationForest(rates(rows)) if len(rows) >= 2 else None)
@@ -263,5 +265,7 @@ def quality_verdicts(spark: SparkSession, docs: DataFrame, labels: DataFrame, id
     for r in bins:
         hist[1 if r.quality else 0][int(r.bin)] += r["count"]
     cut = calibrated_cut(hist[1], hist[0])
-    return counts.select("doc_id", *COUNTS, "base_failed").mapInArrow(_score(forest), schema) \
+    kept = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    schema = schema.replace("anomaly double", kept + "anomaly double")
+    return counts.select("doc_id", *COUNTS, "base_failed", *keep).mapInArrow(_score(forest), schema) \
         .withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") < F.lit(cut)))

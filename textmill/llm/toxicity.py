@@ -219,13 +219,15 @@ def _scores(model):
     def run(batches):
         if model.value is None:
             for b in batches:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([0.0] * b.num_rows)], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([0.0] * b.num_rows), *b.columns[2:]],
+                                                 ["doc_id", "score", *b.schema.names[2:]])
             return
         dictionaries, fit = model.value
         differ = Differ(dictionaries)
         for b in batches:
             counts = np.array([differ.counts(t.as_py()) for t in b.column(1)]).reshape(-1, 2 * SPAN + 1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fit.score(counts))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fit.score(counts)), *b.columns[2:]],
+                                             ["doc_id", "score", *b.schema.names[2:]])
 
     return run
 
@@ -276,7 +278,10 @@ def trained(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str
     return dictionaries, Calibration(np.array([r.counts for r in fit]), flags, rate)
 
 
-def toxicity_scores(spark: SparkSession, docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score) of every row of ``docs`` by the result of ``trained``."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")) \
-        .mapInArrow(_scores(spark.sparkContext.broadcast(model)), "doc_id long, score double")
+def toxicity_scores(spark: SparkSession, docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text",
+                    keep=()) -> DataFrame:
+    """(doc_id, score) of every row of ``docs`` by the result of ``trained``, and its columns ``keep``
+    (under names other than these two)."""
+    kept = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *keep) \
+        .mapInArrow(_scores(spark.sparkContext.broadcast(model)), "doc_id long, score double" + kept)
