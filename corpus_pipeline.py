@@ -27,46 +27,69 @@ from textmill.session import configure, read_table  # noqa: E402
 TOXIC_SCORE = 0.3
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is among ``ids``, which may repeat and be null."""
-    ids = ids.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+def _plain(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """``docs`` with columns c0, c1, ... in place of its own names, which may be any, and the
+    names of its doc_id and text among these."""
+    at = {n: f"c{i}" for i, n in enumerate(docs.columns)}
+    return docs.toDF(*at.values()), at["doc_id"], at["text"]
+
+
+def _named(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` from rows of ``_plain``, under their own names."""
+    return rows.select(*[f"c{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules and the isolation forest keep."""
+    """Documents that the rules and the isolation forest keep.  The verdict is each row's own,
+    whatever other rows share its id.  Null and empty texts go."""
     configure(spark)
-    return _only(docs, quality_verdicts(spark, docs, read_table(spark, sf_dir, "labels")).filter("kept"))
+    rows, doc_id, text = _plain(docs)
+    labels = read_table(spark, sf_dir, "labels")
+    return _named(quality_verdicts(spark, rows, labels, doc_id, text, keep=rows.columns).filter("kept"), docs)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored below the toxic threshold."""
+    """Documents scored below the toxic threshold; each row is scored for itself.  Without
+    labelled rows of both classes nothing goes."""
     configure(spark)
-    model = trained(spark, docs, read_table(spark, sf_dir, "labels"))
-    return _only(docs, toxicity_scores(spark, docs, model).filter(F.col("score") < TOXIC_SCORE))
+    rows, doc_id, text = _plain(docs)
+    model = trained(spark, rows, read_table(spark, sf_dir, "labels"), doc_id, text)
+    scored = toxicity_scores(spark, rows, model, doc_id, text, keep=rows.columns)
+    return _named(scored.filter(F.col("score") < TOXIC_SCORE), docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that repeat an earlier one; n_chars follows the text, and a
-    document of which no word is left goes."""
+    document of which no word is left goes.  Null and empty texts and rows without id stay."""
     configure(spark)
-    out = without_duplicate_lines(spark, docs, percent=80)
-    emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    rows, doc_id, text = _plain(docs)
+    out = without_duplicate_lines(spark, rows, 80, doc_id, text)
+    emptied = (F.col("n_removed") > 0) & ~F.col(text).rlike(r"[^\x20\x09-\x0D]")
     out = out.filter(~F.coalesce(emptied, F.lit(False)))
-    changed = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", changed.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    size = f"c{docs.columns.index('n_chars')}"
+    changed = F.when(F.col("n_removed") > 0, F.length(text)).otherwise(F.col(size))
+    return _named(out.withColumn(size, changed.cast(rows.schema[size].dataType)), docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked documents, the one of least id: five-word
-    shingles, a Jaccard similarity of 0.8."""
+    shingles, a Jaccard similarity of 0.8.  Of rows with equal id and text one stays; texts
+    without words and rows without id are linked with nothing."""
     configure(spark)
-    groups = jaccard_groups(spark, docs, width=5, percent=80)
-    return _only(docs, groups.filter(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
+    rows, doc_id, text = _plain(docs)
+    # 128 bits of the id and the text name a row; only these meet the verdicts
+    known = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (doc_id, text)]
+    marks = [F.col(c).isNull().cast("string") for c in (doc_id, text)]
+    rows = rows.withColumn("row", F.md5(F.concat_ws("|", *marks, *known)))
+    groups = jaccard_groups(spark, rows, doc_id, text, width=5, percent=80, row_col="row")
+    first = groups.filter("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    kept = first.select("first.row").unionByName(groups.filter("root is null").select("row")).distinct()
+    return _named(rows.join(kept, "row", "left_semi").dropDuplicates(["row"]), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of at most 2048 ids: the pieces of every document and their places."""
+    """Token sequences of at most 2048 ids: the pieces of every document and their places; null
+    and empty texts are one piece, the end id."""
     configure(spark)
     return pack_documents(spark, docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
