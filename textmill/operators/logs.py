@@ -25,24 +25,15 @@ DEFAULT_INTENT = "CONTINUATION"
 SOURCE_SQL_MAX, SANDBOX_SQL_MAX = 3000, 5000
 READ_ONLY_KEYWORDS = ("select", "with", "explain")
 
-# JSON lexical tokens: a string, a bracket, or any other run of non-space characters.
-# Possessive, so that Java loops over a long string instead of recursing per character.
-_JSON_TOKENS = r'"(?:[^"\\]++|\\.)*+"|[{}\[\]]|[^\s"{}\[\]]+'
-
-
-def single_json_value(s: str) -> str:
-    """SQL: true when ``s`` holds exactly one top-level JSON value (no trailing text).
-    Spark's JSON readers stop after the first value, Python's do not."""
-    toks = f"regexp_extract_all({s}, {SPARK.lit(_JSON_TOKENS)}, 0)"
-    step = ("named_struct('d', a_.d + case when t_ in ('{', '[') then 1 when t_ in ('}', ']') then -1 else 0 end, "
-            "'early', a_.early or (a_.n > 0 and a_.d = 0), 'n', a_.n + 1)")
-    fold = f"aggregate({toks}, named_struct('d', 0, 'early', false, 'n', 0), (a_, t_) -> {step})"
-    return f"element_at(transform(array({fold}), f_ -> f_.n > 0 and f_.d = 0 and not f_.early), 1)"
-
-
 def _parse_obj(s: str) -> str:
-    v = f"try_parse_json({s})"
-    return f"if({single_json_value(s)} and startswith(schema_of_variant({v}), 'OBJECT'), {v}, null)"
+    """SQL: the JSON object that ``s`` is as a whole, else null; ``s`` is parsed once.
+
+    Spark's JSON readers stop after the first value, so it is read as the first of two elements:
+    the second, the text's own digest, is only there if nothing else follows the first."""
+    mark = f"md5({s})"
+    whole = f"try_parse_json(concat('[', {s}, ',\"', {mark}, '\"]'))"
+    first = f"if(variant_get(w_, '$[1]', 'string') = {mark}, variant_get(w_, '$[0]', 'variant'), null)"
+    return f"if(startswith(btrim({s}, ' \\t\\r\\n'), '{{'), {SPARK.let(whole, 'w_', first)}, null)"
 
 
 def parse_decision(raw: Column | str) -> Column:

@@ -90,6 +90,8 @@ def _scorer(k: int, l2: bool):
             starts = np.flatnonzero(np.append(True, (side[:, 1:] != side[:, :-1]).any(axis=0))) if b.num_rows else []
             for s, e in zip(starts, [*starts[1:], b.num_rows], strict=True):
                 rows, now = b.slice(s, e - s), tuple(side[:3, s])
+                if rows.column(6).null_count:
+                    rows = rows.filter(rows.column(6).is_valid())
                 if now != key:
                     key, held, vectors = now, [], None
                 if side[3, s] == 0:
@@ -101,7 +103,7 @@ def _scorer(k: int, l2: bool):
                     order = np.empty(len(ids), np.int64)
                     order[np.argsort(np.array(ids.to_pylist()), kind="stable")] = np.arange(len(ids))
                     held = []
-                if vectors is not None:
+                if vectors is not None and len(vectors):
                     yield from _scored(rows, ids, vectors, order, k, l2)
 
     return run
@@ -131,8 +133,9 @@ def blocked_topk(vectors: DataFrame, queries: DataFrame, k: int, parts: Column,
     def every(n: Column) -> Column:
         return F.explode(F.sequence(F.lit(0), n.cast("int") - 1))
 
-    v = vectors.filter(F.col("vec").isNotNull()).withColumn("part", dealt("id", parts)).withColumn("block", every(blocks))
-    q = queries.filter(F.col("vec").isNotNull()).withColumn("block", dealt("query_id", blocks)).withColumn("part", every(parts))
+    # null vectors are left out by the scorer: a filter here would compute an expensive vector twice
+    v = vectors.withColumn("part", dealt("id", parts)).withColumn("block", every(blocks))
+    q = queries.withColumn("block", dealt("query_id", blocks)).withColumn("part", every(parts))
     keys = [F.col("grp").cast("long").alias("grp"), F.col("part").cast("long").alias("part"), F.col("block").cast("long").alias("block")]
     v = v.select(*keys, F.lit(0).cast("long").alias("side"), "id", F.lit(None).cast(q_type).alias("query_id"), vec.alias("vec"))
     q = q.select(*keys, F.lit(1).cast("long").alias("side"), F.lit(None).cast(id_type).alias("id"), "query_id", vec.alias("vec"))
@@ -151,8 +154,10 @@ def knn_batch(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: in
               id_col: str = "id", vec_col: str = "embedding", qid_col: str = "query_id",
               qvec_col: str = "embedding") -> DataFrame:
     """The ``k`` best vectors of each query by inner product, with score and rank (ties by id)."""
-    parts = deals(vectors.count(), PART_ROWS, spark.sparkContext.defaultParallelism)
-    blocks = deals(queries.count(), QUERY_ROWS)
+    sides = vectors.select(F.lit(0).alias("side")).unionAll(queries.select(F.lit(1).alias("side")))
+    n = {r.side: r["count"] for r in sides.groupBy("side").count().toLocalIterator()}
+    parts = deals(n.get(0, 0), PART_ROWS, spark.sparkContext.defaultParallelism)
+    blocks = deals(n.get(1, 0), QUERY_ROWS)
     v = vectors.select(F.lit(0).alias("grp"), F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
     q = queries.select(F.lit(0).alias("grp"), F.col(qid_col).alias("query_id"), F.col(qvec_col).alias("vec"))
     return blocked_topk(v, q, k, F.lit(parts), F.lit(blocks)) \
