@@ -29,7 +29,8 @@ from textmill.llm import (
 from textmill.session import configure
 
 WORD = r"[^\x20\x09-\x0D]+"
-ODD = [None, "", " ", "\n\n", "one", "one two", "\x1c a \x85 b", "é 日本 🎉", "a  b\t\tc   d", "x" * 5000, "tail \n", "\nhead"]
+ODD = [None, "", " ", "\n\n", "one", "one two", "\x1c a \x85 b", "é 日本 🎉", "a  b\t\tc   d", "x" * 5000, "tail \n", "\nhead",
+       "🎉🎉", "🎉 12 🚀", "𐐀𐐁 𐐂"]
 
 
 @pytest.fixture(scope="module")
@@ -590,16 +591,26 @@ def test_jaccard_candidates_do_not_depend_on_batches():
 
 # ---- 10 --------------------------------------------------------------------------------
 
-def plain_lines(texts, percent=80):
+def plain_similar(a, b, percent):
+    """Edit similarity of two lists of words by the whole table."""
+    longer = max(len(a), len(b))
+    if 100 * abs(len(a) - len(b)) > (100 - percent) * longer:
+        return False
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = _next_row(row, i, x, b)
+    return 100 * row[-1] <= (100 - percent) * longer
+
+
+def plain_lines(texts, percent=95):
+    """The texts without later lines of each group that edit similarity links, by comparing all pairs."""
     occ = []
     for i, t in enumerate(texts):
         for k, line in enumerate((t or "").split("\n")):
             w = re.findall(WORD, lowered(line))
-            if len(w) >= line_dedup.MIN_WORDS:
+            if w:
                 occ.append((i, k, " ".join(w)))
     bodies = sorted({o[2] for o in occ})
-    long = [b for b in bodies if len(b.split()) >= line_dedup.FUZZY_WORDS]
-    sims = np.concatenate([line_dedup.Lines(t).sim for t in textops.slices(pa.array(long))]) if long else []
     up = {b: b for b in bodies}
 
     def root(x):
@@ -607,10 +618,11 @@ def plain_lines(texts, percent=80):
             x = up[x]
         return x
 
-    for i, a in enumerate(long):
-        for j in range(i):
-            if int(np.bitwise_count(sims[i] ^ sims[j])) <= line_dedup.RADIUS and line_dedup.similar(a.split(), long[j].split(), percent):
-                x, y = root(a), root(long[j])
+    words = {b: b.split() for b in bodies}
+    for i, a in enumerate(bodies):
+        for b in bodies[:i]:
+            if len(set(words[a]) & set(words[b])) * 2 >= len(set(words[a])) and plain_similar(words[a], words[b], percent):
+                x, y = root(a), root(b)
                 up[max(x, y)] = min(x, y)
     stays = {}
     for i, k, b in occ:
@@ -619,6 +631,33 @@ def plain_lines(texts, percent=80):
     return [None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in enumerate(texts)]
 
 
+def edited(rng, words, n):
+    """``n`` word edits, each a replacement, an insertion or a deletion."""
+    out = list(words)
+    for _ in range(n):
+        at, kind = rng.randrange(len(out)), rng.choice("rid")
+        out[at:at + (kind != "i")] = [] if kind == "d" else [f"new{rng.randrange(10**6)}"]
+    return out
+
+
+@pytest.mark.parametrize("n", [19, 20, 21, 38, 39, 40, 60, 79, 100, 199, 400, 1000])
+def test_lines_at_the_threshold_share_a_block(n):
+    """Of lines that are 0.95 similar by edit distance alone, those that meet."""
+    rng = random.Random(n)
+    met = total = 0
+    for _ in range(60 if n > 300 else 200):
+        a = [f"w{rng.randrange(5000)}" for _ in range(n)]
+        b = edited(rng, a, max(1, rng.choice([n // 20, (n * 100 // 95) // 20])))
+        if a == b or not plain_similar(a, b, 95):
+            continue
+        lines = [line_dedup.Lines(t) for x in (a, b) for t in textops.slices(pa.array([" ".join(x)]))]
+        keys = [set(x.blocks(95)[0].tolist()) for x in lines]
+        near = int(np.bitwise_count(lines[0].sim[0] ^ lines[1].sim[0])) <= line_dedup.RADIUS
+        met += bool(keys[0] & keys[1]) and near
+        total += 1
+    assert total >= 15 and met >= 0.99 * total
+
+
 @pytest.mark.parametrize(("short", "block"), [(32, 512), (3, 6)])
 def test_lines_against_all_pairs(spark, monkeypatch, short, block):
     monkeypatch.setattr(line_dedup, "SHORT", short)
@@ -629,9 +668,7 @@ def test_lines_against_all_pairs(spark, monkeypatch, short, block):
     for _ in range(60):
         lines = []
         for _ in range(4):
-            w = rng.choice(base).split()
-            for _ in range(rng.randint(0, 2)):
-                w[rng.randrange(len(w))] = f"v{rng.randrange(30)}"
+            w = edited(rng, rng.choice(base).split(), rng.randint(0, 2))
             lines.append((" ".join(w)).upper() if rng.random() < 0.2 else "  ".join(w))
         texts.append("\n".join([*lines, "", "tiny line"]))
     docs = frame(spark, texts, extra=True)
@@ -658,7 +695,7 @@ def test_short_lines_go_too(spark):
         want.append("\n".join(kept))
     # of 5 to 7 words, one edit apart: the same words, one of them twice
     fuzzy = [w + "\n" + w + " " + w.split()[-1] for w in (" ".join(f"f{k}x{i}" for i in range(k)) for k in (5, 6))]
-    got = {r.doc_id: r.text for r in line_dedup.without_duplicate_lines(spark, frame(spark, texts + fuzzy)).collect()}
+    got = {r.doc_id: r.text for r in line_dedup.without_duplicate_lines(spark, frame(spark, texts + fuzzy), 80).collect()}
     assert [got[i] for i in range(len(texts))] == want
     assert [got[len(texts) + i] for i in range(2)] == [t.split("\n")[0] for t in fuzzy]
 

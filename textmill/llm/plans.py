@@ -93,7 +93,7 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text without the lines that repeat an earlier one, exactly or nearly."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return without_duplicate_lines(spark, docs, percent=80)
+    return without_duplicate_lines(spark, docs, percent=95)
 
 
 def op11_dictionary_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
