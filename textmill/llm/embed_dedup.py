@@ -1,6 +1,7 @@
 """Embedding near-duplicates: random-hyperplane signs in several tables, exact verification.
 
-Vectors of one label meet where all ``BITS`` signs of a table agree.  Two vectors at the
+Vectors of one label meet where all signs of a table agree: ``BITS`` of them, and one more each time
+the largest label doubles, so that a bucket holds no more vectors by chance as labels grow.  Two vectors at the
 threshold cosine agree on a sign with probability 1 - angle / pi, so the number of tables
 follows from the share of links that may be missed (``MISS``).  Inside a bucket the cosine
 is taken in double precision by matrix products over blocks of rows; a pair is counted only
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 from textmill.llm import textops
 from textmill.llm.graph import cells, components, stored
 
+#: Signs of a table for labels of up to ``LABEL_ROWS`` vectors.
 BITS = 12
+LABEL_ROWS = 1 << 17
 MISS = 1e-3
 BLOCK = 1024
 SEED = 11
@@ -127,11 +130,13 @@ def _block_pairs(cosine: float):
 
 
 def near_duplicates(spark: SparkSession, vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec_id",
-                    vector_col: str = "embedding", label_col: str = "label", bits: int = BITS) -> DataFrame:
+                    vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per row of ``vectors``."""
-    tables = table_count(cosine, bits)
     rows = stored(spark, vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"),
                                         F.col(label_col).alias("label"), F.monotonically_increasing_id().alias("row")), "vectors")
+    largest = rows.groupBy("label").count().agg(F.max("count")).first()[0] or 1
+    bits = BITS + max(0, math.ceil(math.log2(largest / LABEL_ROWS)))
+    tables = table_count(cosine, bits)
     signed = stored(spark, rows.select("vec_id", "embedding", "label", "row").mapInArrow(
         _signed(tables, bits), "vec_id long, label string, dim int, row long, unit binary, signs array<long>"), "signed")
     dealt = signed.select("row", "label", "dim", F.posexplode("signs").alias("table", "sign"))

@@ -43,15 +43,61 @@ def components(spark: SparkSession, links: DataFrame, rounds: int = 60) -> DataF
         .unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
 
 
-def cells(df: DataFrame, keys: list[str], member: str, block: int) -> DataFrame:
+def cells(df: DataFrame, keys: list[str], member: str, block: int, root: str | None = None) -> DataFrame:
     """Deals the members of each group into blocks of about ``block`` rows and every pair of
     blocks into a cell of its own, so that any two members meet in some cell and no task
     needs more than two blocks.  Adds ``cell`` and ``home`` (the member's block); groups of
-    one member vanish.  A group of n rows makes n * n / block rows, never n * n."""
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1") \
-        .withColumn("_blocks", F.ceil(F.col("_n") / block).cast("int"))
-    df = df.join(sizes.drop("_n"), keys)
-    df = df.withColumn("home", F.pmod(F.xxhash64(member), F.col("_blocks")).cast("int"))
-    df = df.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    one member vanish.  A group of n rows makes n * n / block rows, never n * n.
+
+    With ``root``, only members of different roots need to meet: those of a group's largest
+    root have blocks of their own, which meet the others but not each other, so m others
+    among n make m * n / block rows, and a group of one root vanishes."""
+    if root is None:
+        sizes = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1")
+        sizes = sizes.select(*keys, F.lit(0).alias("_main"), F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
+        df = df.join(sizes, keys)
+        first, count = F.lit(0), F.col("_blocks")
+        others = F.sequence(F.lit(0), F.col("_blocks") - 1)
+    else:
+        per = df.groupBy(*keys, root).agg(F.count("*").alias("_n"))
+        sizes = per.groupBy(*keys).agg(F.max(F.struct("_n", root)).alias("_m"), F.sum("_n").alias("_n"))
+        rest = F.col("_n") - F.col("_m._n")
+        sizes = sizes.filter(rest > 0).select(
+            *keys, F.col(f"_m.{root}").alias("_top"), F.ceil(F.col("_m._n") / block).cast("int").alias("_main"),
+            (F.ceil(F.col("_m._n") / block) + F.ceil(rest / block)).cast("int").alias("_blocks"))
+        df = df.join(sizes, keys)
+        top = F.col(root) == F.col("_top")
+        first = F.when(top, 0).otherwise(F.col("_main"))
+        count = F.when(top, F.col("_main")).otherwise(F.col("_blocks") - F.col("_main"))
+        others = F.when(top, F.sequence(F.col("_main"), F.col("_blocks") - 1)).otherwise(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    df = df.withColumn("home", (first + F.pmod(F.xxhash64(member), count)).cast("int"))
+    df = df.withColumn("_other", F.explode(others))
     return df.withColumn("cell", F.least("home", "_other").cast("long") * F.col("_blocks")
-                         + F.greatest("home", "_other")).drop("_blocks", "_other")
+                         + F.greatest("home", "_other")).drop("_blocks", "_other", "_main", "_top")
+
+
+def join_counted(left: DataFrame, right: DataFrame, key: str, count: str) -> DataFrame:
+    """``left`` joined with ``right``, which has one row for each key and in ``count`` how many rows of ``left``
+    it has.  Keys that a thousandth of all rows or more share are at most a thousand and
+    joined by broadcast, so that the rest meets in a shuffle without a hot key."""
+    total = right.agg(F.sum(count)).first()[0] or 0
+    rows = right.select(key, F.struct(*[c for c in right.columns if c != key]).alias("_r"))
+    common = F.col(f"_r.{count}") * 1000 >= total
+    held = left.join(F.broadcast(rows.filter(common).withColumnRenamed("_r", "_hot")), key, "left")
+    # rows that are served look under a key that is not there, each row of its own
+    held = held.withColumn("_at", F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*left.columns), F.lit(1 << 30))))
+    held = held.join(rows.filter(~common).withColumn("_at", F.lit(0).cast("long")), [key, "_at"], "left")
+    found = held.withColumn("_r", F.coalesce("_hot", "_r")).filter("_r is not null")
+    return found.select(*left.columns, *[F.col(f"_r.{c}").alias(c) for c in right.columns if c != key])
+
+
+def least_hashes(rows: DataFrame, limit: int, hash_col: str) -> DataFrame:
+    """The rows that can be among the ``limit`` of least ``hash_col`` (uniform over all longs), and few
+    others: those below a bound that follows from the number of rows, so that no task passes on
+    more than its share.  Where equal hashes leave too few below it, all rows."""
+    n = rows.count()
+    if n <= 2 * limit:
+        return rows
+    bound = int((limit + 8 * limit**0.5 + 64) / n * 2**64) - 2**63
+    some = rows.filter(F.col(hash_col) < F.lit(min(bound, 2**63 - 1)))
+    return some if some.count() >= limit else rows

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.llm import textops
-from textmill.llm.graph import cells, components, stored
+from textmill.llm.graph import cells, components, join_counted, stored
 
 CELLS = 1 << 22
 _PART = 1 << 12
@@ -403,7 +403,7 @@ def jaccard_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     open_lists = members.groupBy("mark").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")) \
         .filter("_lo < _hi").select("mark")
     members = stored(spark, members.join(open_lists, "mark", "left_semi"), "openlists")
-    groups = cells(_cheapest_groups(spark, members), ["by_list", "group"], "class", BLOCK)
+    groups = cells(_cheapest_groups(spark, members), ["by_list", "group"], "class", BLOCK, root="root")
     # the number is given, as cells of few bytes may be long work
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     more = stored(spark, groups.join(sets, "class")
@@ -430,9 +430,11 @@ def _cheapest_groups(spark: SparkSession, members: DataFrame) -> DataFrame:
     families = families.withColumnRenamed("root", "family").withColumnRenamed("node", "class")
     lists = first.join(families.withColumnRenamed("class", "a"), "a").select("mark", "n", "family")
     by_list = lists.groupBy("family").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("cost"))
+    placed = members.join(families, "class")
     chosen = families.groupBy("family").count().join(by_list, "family") \
-        .select("family", (F.col("cost") < F.col("count").cast("double") * F.col("count")).alias("by_list"))
-    return members.join(families, "class").join(chosen, "family") \
+        .join(placed.groupBy("family").agg(F.count("*").alias("rows")), "family") \
+        .select("family", (F.col("cost") < F.col("count").cast("double") * F.col("count")).alias("by_list"), "rows")
+    return join_counted(placed, chosen, "family", "rows") \
         .select("by_list", F.when(F.col("by_list"), F.col("mark")).otherwise(F.col("family")).alias("group"),
                 "class", "root").distinct()
 

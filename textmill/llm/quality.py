@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.llm import textops
-from textmill.llm.graph import stored
+from textmill.llm.graph import least_hashes, stored
 
 #: Labelled good documents that the forest is grown on, at most (those of least id hash).
 FOREST_ROWS = 8192
@@ -253,7 +253,8 @@ def quality_verdicts(spark: SparkSession, docs: DataFrame, labels: DataFrame, id
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")) \
         .filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = stored(spark, counts.select("doc_id", *COUNTS, "base_failed").join(marked, "doc_id"), "known")
-    good = known.filter("quality = 1 and not base_failed").orderBy(F.xxhash64("doc_id"), "doc_id").limit(FOREST_ROWS)
+    good = known.filter("quality = 1 and not base_failed").withColumn("h", F.xxhash64("doc_id"))
+    good = least_hashes(good, FOREST_ROWS, "h").orderBy("h", "doc_id").limit(FOREST_ROWS)
     rows = np.array([list(r) for r in good.select(*COUNTS).collect()], float)
     forest = spark.sparkContext.broadcast(IsolationForest(rates(rows)) if len(rows) >= 2 else None)
     schema = STATS_SCHEMA + ", base_failed boolean, anomaly double"

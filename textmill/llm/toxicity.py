@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm.graph import stored
+from textmill.llm.graph import least_hashes, stored
 
 TRAIN_DOCS = 1500
 #: Documents of each class that calibrate the scores.
@@ -243,8 +243,8 @@ def _counts(dictionaries):
 
 
 def _least(rows: DataFrame, limit: int) -> DataFrame:
-    """Up to ``limit`` rows of each class, those of least text hash; a task sends on no more than that."""
-    one, other = (rows.filter(F.col("toxic") == k).orderBy("h", "doc_id").limit(limit) for k in (1, 0))
+    """Up to ``limit`` rows of each class, those of least text hash; a task sends on no more than its share."""
+    one, other = (least_hashes(rows.filter(F.col("toxic") == k), limit, "h").orderBy("h", "doc_id").limit(limit) for k in (1, 0))
     return one.unionByName(other)
 
 
