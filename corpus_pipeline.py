@@ -63,7 +63,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     document of which no word is left goes.  Null and empty texts and rows without id stay."""
     configure(spark)
     rows, doc_id, text = _plain(docs)
-    out = without_duplicate_lines(spark, rows, 80, doc_id, text)
+    out = without_duplicate_lines(spark, rows, 95, doc_id, text)
     emptied = (F.col("n_removed") > 0) & ~F.col(text).rlike(r"[^\x20\x09-\x0D]")
     out = out.filter(~F.coalesce(emptied, F.lit(False)))
     size = f"c{docs.columns.index('n_chars')}"
