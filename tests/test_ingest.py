@@ -38,6 +38,69 @@ def test_staged_files_hash_and_counts(spark):
     assert (every.count(), d2.count(), ing.latest_per_position(d2).count()) == (45, 43, 35)
 
 
+def test_two_runs_of_a_document(spark):
+    """The facts of the staged files as hand-made rows: two runs of one document of 11 and 10 chunks on four
+    pages, 21 rows with 19 hashes at 11 positions, of which the last of page 3 is left from the older run."""
+    pages = {1: 3, 2: 4, 3: 3, 4: 1}
+    old = [(p, c, f"page {p} chunk {c}") for p, n in pages.items() for c in range(1, n + 1)]
+    new = [(p, c, t if (p, c) in ((1, 1), (4, 1)) else t + " again") for p, c, t in old if (p, c) != (3, 3)]
+    rows = [("doc_a", c, "/a.pdf", p, t, None, run) for run, part in (("20260205T093021Z", old), ("20260205T093325Z", new))
+            for p, c, t in part]
+    df = spark.createDataFrame(rows, ing.CHUNK_SCHEMA.simpleString().replace("struct<", "").rstrip(">"))
+    combined = ing.combine(spark, df, None)
+    latest = ing.newest(ing.staged(spark, combined)).collect()
+    assert (combined.count(), ing.dedup_hash_latest(combined).count(), len(latest)) == (21, 19, 11)
+    assert [(r.page_no, r.chunk_id) for r in latest if r.run_id == "20260205T093021Z"] == [(3, 3)]
+    assert all(r.chunk_hash for r in latest)
+
+
+def test_ids_do_not_depend_on_a_missing_hash(spark):
+    rows = [_row("doc_a", 1, 1, "one", "20260101T000000Z", None)]
+    df = spark.createDataFrame(rows, ing.CHUNK_SCHEMA.simpleString().replace("struct<", "").rstrip(">"))
+    filled = df.withColumn("chunk_hash", ing.dedup_key(df))
+    ids = [ing.finalize(ing.newest(ing.staged(spark, ing.combine(spark, x, None)))).first() for x in (df, filled)]
+    assert ids[0].vector_id == ids[1].vector_id and ids[0].chunk_hash == ids[1].chunk_hash
+
+
+def test_buckets_grow_with_the_table(spark, monkeypatch):
+    from textmill.operators import buckets as bk
+    from textmill.session import scratch_path
+
+    schema = ing.CHUNK_SCHEMA.simpleString().replace("struct<", "").rstrip(">")
+
+    def batch(docs, text):
+        return spark.createDataFrame([_row(f"doc_{i}", 1, 1, f"{text} {i}", "20260101T000000Z" if text == "old" else "20260201T000000Z",
+                                           f"{text}{i}") for i in docs], schema)
+
+    def table():
+        return spark.read.parquet(path)
+
+    path = scratch_path(spark, "t") + "/table"
+    monkeypatch.setattr(bk, "LEAST_BUCKETS", 2)
+    ing.ingest(spark, batch(range(40), "old"), path)
+    assert bk.counts(spark, path) == [2]
+    placed = {r.doc_id: r.doc_bucket for r in table().collect()}
+    monkeypatch.setattr(bk, "BUCKET_BYTES", max(1, bk.path_bytes(spark, path) // 4))
+    ing.ingest(spark, batch(range(30, 50), "new"), path)
+    (count,) = bk.counts(spark, path)
+    assert count >= 4
+    rows = table().collect()
+    # a bucket is split in place: a row stays or goes up by multiples of the old count
+    assert sorted(r.doc_id for r in rows) == sorted(f"doc_{i}" for i in range(50))
+    assert all((r.doc_bucket - placed[r.doc_id]) % 2 == 0 for r in rows if r.doc_id in placed)
+    assert {r.doc_id: r.content for r in rows} == {f"doc_{i}": f"{'new' if i >= 30 else 'old'} {i}" for i in range(50)}
+    right = table().filter(F.col("doc_bucket") == bk.bucket_of("doc_id", count))
+    assert right.count() == 50
+    # a growth that was broken off after its announcement is done again
+    monkeypatch.setattr(bk, "BUCKET_BYTES", 1 << 30)
+    bk._record(spark, path, [count, 2 * count])
+    table().drop("doc_bucket").filter("doc_id = 'doc_3'").withColumn("doc_bucket", F.lit(2 * count - 1)) \
+        .write.mode("append").partitionBy("doc_bucket").parquet(path)
+    ing.ingest(spark, batch(range(45, 55), "new"), path)
+    assert bk.counts(spark, path) == [2 * count]
+    assert sorted(r.doc_id for r in table().collect()) == sorted(f"doc_{i}" for i in range(55))
+
+
 def _row(doc, page, chunk, content, run, h="auto"):
     hh = None if h is None else h
     return (doc, chunk, f"/p/{doc}.pdf", page, content, hh, run)

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from textmill.session import written
+
 
 def _micros(ts: str) -> Column:
     """Microseconds since the epoch for TIMESTAMP or TIMESTAMP_NTZ (read as UTC)."""
@@ -94,11 +96,11 @@ def global_row_number(spark, df: DataFrame, order_col: str, n_parts: int | None
 
     Range-partition and sort, read each row's in-partition position from
     ``monotonically_increasing_id`` (partition id in the upper bits), cut the
-    lineage with a reliable ``checkpoint`` so positions are fixed, then add the
+    lineage with a written table so positions are fixed, then add the
     per-partition offsets (one small row per partition, broadcast)."""
     n = n_parts or spark.sparkContext.defaultParallelism
-    ranged = (df.repartitionByRange(n, order_col).sortWithinPartitions(order_col)
-              .withColumn("_m", F.monotonically_increasing_id())).checkpoint()
+    ranged = written(df.repartitionByRange(n, order_col).sortWithinPartitions(order_col)
+                     .withColumn("_m", F.monotonically_increasing_id()))
     ranged = ranged.withColumn("_pid", F.shiftright("_m", 33)) \
         .withColumn("_ln", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
     counts = ranged.groupBy("_pid").agg(F.count("*").alias("_n"))
@@ -115,13 +117,13 @@ def keyed_row_number(spark, df: DataFrame, keys: list[str], order: list[str],
 
     Rows are range-partitioned on (keys, order), so a key holding a third of the
     data spans many partitions; each row's position inside its (key, partition)
-    slice comes from ``monotonically_increasing_id`` (lineage cut with a reliable
-    checkpoint so ids are stable), and the slice offsets come from a small table of
+    slice comes from ``monotonically_increasing_id`` (lineage cut with a written
+    table so ids are stable), and the slice offsets come from a small table of
     one row per (key, partition).  Ties in ``order`` are numbered arbitrarily, as
     with ``row_number``."""
     n = n_parts or spark.sparkContext.defaultParallelism
-    ranged = (df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order)
-              .withColumn("_m", F.monotonically_increasing_id())).checkpoint()
+    ranged = written(df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order)
+                     .withColumn("_m", F.monotonically_increasing_id()))
     ranged = ranged.withColumn("_pid", F.shiftright("_m", 33))
     slices = ranged.groupBy(*keys, "_pid").agg(F.min("_m").alias("_m0"), F.count(F.lit(1)).alias("_n"))
     w = W.partitionBy(*keys).orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
@@ -139,7 +141,7 @@ def keyed_lead(df: DataFrame, keys: list[str], order: list[str], value: str, nam
     fill.  Inside a slice the next row is near; the last row of a slice takes the first value of
     the key's next slice, from a table of one row a slice."""
     n = n_parts or df.sparkSession.sparkContext.defaultParallelism
-    ranged = df.repartitionByRange(n, *keys, *order).withColumn("_slice", F.spark_partition_id()).checkpoint()
+    ranged = written(df.repartitionByRange(n, *keys, *order).withColumn("_slice", F.spark_partition_id()))
     place = W.partitionBy(*keys, "_slice").orderBy(*order)
     inside = ranged.withColumn(name, F.lead(value).over(place)).withColumn("_left", F.lead(F.lit(1)).over(place))
     first = ranged.groupBy(*keys, "_slice").agg(F.min_by(value, F.struct(*order)).alias("_first"))
@@ -159,7 +161,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     n = n_parts or df.sparkSession.sparkContext.defaultParallelism
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")) \
         .agg(F.count("*").alias("_n"))
-    ranged = counted.repartitionByRange(n, *keys, "_v").withColumn("_slice", F.spark_partition_id()).checkpoint()
+    ranged = written(counted.repartitionByRange(n, *keys, "_v").withColumn("_slice", F.spark_partition_id()))
     # one row a key and slice
     per_key = W.partitionBy(*keys)
     slices = ranged.groupBy(*keys, "_slice").agg(F.sum("_n").alias("_n"))

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from textmill.functions import vectors as vx
 from textmill.functions.sqltext import SPARK
+from textmill.session import written
 
 #: Vectors one task holds as a matrix, and queries that pass by it.
 PART_ROWS = 1 << 16
@@ -173,11 +174,15 @@ def seeded_sample(df: DataFrame, m: int, seed: int = 42, id_col: str = "id") ->
 
 
 def vector_mean(df: DataFrame, vec_col: str = "embedding", by: list[str] | None = None) -> DataFrame:
-    """Element-wise mean (partial aggregation per position; D groups)."""
+    """Element-wise mean as (by..., pos, mean); vectors are summed as they are (MLlib's
+    summarizer, partial in every task), never a row per component."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
     by = by or []
-    ex = df.select(*by, F.posexplode(vec_col).alias("pos", "x"))
-    per = ex.groupBy(*by, "pos").agg(F.avg(F.col("x").cast("double")).alias("mean"))
-    return per
+    rows = df.filter(F.col(vec_col).isNotNull()).select(*by, array_to_vector(F.col(vec_col).cast("array<double>")).alias("_v"))
+    mean = rows.groupBy(*by).agg(Summarizer.mean(F.col("_v")).alias("_m"))
+    return mean.select(*by, F.posexplode(vector_to_array("_m")).alias("pos", "mean"))
 
 
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +218,7 @@ def moments(df: DataFrame, vec_col: str = "embedding", fan_in: int = 16) -> tupl
         return pd.DataFrame({"n": [found[0]], "mean": [found[1].tolist()], "cross": [found[2].ravel().tolist()]})
 
     level = df.select(vec_col).filter(F.col(vec_col).isNotNull()).mapInArrow(_moments, schema)
-    level = level.withColumn("at", F.spark_partition_id().cast("long")).checkpoint()
+    level = written(level.withColumn("at", F.spark_partition_id().cast("long")), "moments")
     left = 1 + (level.agg(F.max("at")).first()[0] or 0)
     while left > 1:
         left = -(-left // fan_in)

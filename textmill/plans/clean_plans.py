@@ -84,39 +84,44 @@ def block_explode(spark, sf):
                     F.length("block").alias("n_chars"), F.md5("block").alias("md5_block"))
 
 
-# --- line probes: each document line plus variants that trigger each rule ------------------
+# --- line probes: every document line, and all its text again in short lines that trigger each rule ---
+#: The whole line in consecutive parts of at most 60 characters.
+PARTS_RE = "(?s).{1,60}"
+
+
 def _variants(d):
-    sub = (lambda s, a, n: f"substr({s}, {a}, {n})")
     cast = (lambda s: f"cast({s} as string)") if d.spark else (lambda s: f"cast({s} as varchar)")
     return {
-        "plain": "line",
-        "bullet": f"concat('- ', {sub('line', 1, 60)})",
-        "lone_bullet": "'-'",
-        "enum": f"concat(substr('abcIVX', cast(line_no % 6 AS INT) + 1, 1), ') ', {sub('line', 1, 40)})",
+        "part": "part",
+        "bullet": "concat('- ', part)",
+        "enum": "concat(substr('abcIVX', cast(part_no % 6 AS INT) + 1, 1), ') ', part)",
         # ASCII only: Spark upper-cases 'ß' to 'SS', DuckDB to 'ẞ'.
-        "caps": f"upper({d.rx_replace(sub('line', 1, 30), '[^A-Za-z ]', '')})",
-        "numbered": f"concat({cast('line_no')}, '.', {cast('doc_id % 7')}, ' ', {sub('line', 1, '70 + cast(doc_id % 20 AS INT)')})",
-        "short": f"{sub('line', 1, '20 + cast(doc_id % 40 AS INT)')}",
-        "table": f"replace({sub('line', 1, 50)}, ' ', '    ')",
-        "code": f"concat('    ', {sub('line', 1, 30)})",
-        "colon": f"concat({sub('line', 1, 30)}, ':')",
-        "label": f"concat('Note: ', {sub('line', 1, 30)})",
+        "caps": f"upper({d.rx_replace('part', '[^A-Za-z ]', '')})",
+        "numbered": f"concat({cast('line_no')}, '.', {cast('doc_id % 7')}, ' ', part, if(part_no % 3 = 0, ' and then some more', ''))",
+        "table": "replace(part, ' ', '    ')",
+        "code": "concat('    ', part)",
+        "colon": "concat(part, ':')",
+        "label": "concat('Note: ', part)",
+        "lone_bullet": "if(part_no % 2 = 0, '-', concat(part_no, '.'))",
     }
 
 
 def _probe_spark(spark, sf):
     lines = cl.explode_lines(_docs(spark, sf), "text")
+    whole = lines.select("doc_id", "line_no", F.lit(0).alias("part_no"), F.lit("plain").alias("variant"), "line")
+    parts = posexplode_keep(lines, ["doc_id", "line_no"], _x(SPARK.rx_all("line", PARTS_RE)), "pos", "part") \
+        .select("doc_id", "line_no", (F.col("pos") + 1).alias("part_no"), "part")
     v = _variants(SPARK)
     stack = ", ".join(f"'{k}', {e}" for k, e in v.items())
-    return lines.select("doc_id", "line_no", F.expr(f"stack({len(v)}, {stack}) AS (variant, line)"))
+    return whole.unionByName(parts.select("doc_id", "line_no", "part_no", F.expr(f"stack({len(v)}, {stack}) AS (variant, line)")))
 
 
 def _probe_duck():
-    v = _variants(DUCK)
     lines = duck_explode("documents", "doc_id", tx.lines(DUCK, "text"), "line_no", "line")
-    parts = " UNION ALL ".join(f"SELECT doc_id, line_no, '{k}' AS variant, {e} AS line FROM {lines}"
-                               for k, e in v.items())
-    return f"({parts})"
+    parts = duck_explode(lines, "doc_id, line_no", DUCK.rx_all("line", PARTS_RE), "part_no", "part")
+    short = " UNION ALL ".join(f"SELECT doc_id, line_no, part_no, '{k}' AS variant, {e} AS line FROM {parts}"
+                               for k, e in _variants(DUCK).items())
+    return f"(SELECT doc_id, line_no, 0 AS part_no, 'plain' AS variant, line FROM {lines} UNION ALL {short})"
 
 
 PROBE_D = _probe_duck()
@@ -125,10 +130,10 @@ PROBE_D = _probe_duck()
 def _probe_query(name, spark_sql, duck_expr):
     col = name.split("line_")[1]
 
-    @register(name, oracle=f"SELECT doc_id, line_no, variant, {duck_expr} AS {col} FROM {PROBE_D}")
+    @register(name, oracle=f"SELECT doc_id, line_no, part_no, variant, {duck_expr} AS {col} FROM {PROBE_D}")
     def q(spark, sf):
         p = _probe_spark(spark, sf)
-        return p.select("doc_id", "line_no", "variant", F.expr(spark_sql).alias(col))
+        return p.select("doc_id", "line_no", "part_no", "variant", F.expr(spark_sql).alias(col))
     q.__name__ = name
     return q
 

@@ -20,7 +20,7 @@ from textmill.operators import vector as vec
 from textmill.plans import ingest_plans as ip
 from textmill.plans.chunk_plans import duck_explode
 from textmill.plans.registry import register
-from textmill.session import read_table, scratch_path
+from textmill.session import read_table, scratch_path, written
 
 CLOCK_A = "2026-01-01 00:00:00"
 CLOCK_B = "2026-02-01 00:00:00"
@@ -272,9 +272,9 @@ RETR_D = f"""
 
 def _retrieve(spark, sf):
     m = _meta(spark, sf, 1)
-    # the chunk store is encoded once through the encoder plug-in and materialised
-    # (reliable checkpoint): the search and the content lookup both read it
-    store = em.encode(m, keep=("content",)).checkpoint()
+    # the chunk store is encoded once through the encoder plug-in and written: the search and
+    # the content lookup both read it
+    store = written(em.encode(m, keep=("content",)), "store")
     q = em.encode(read_table(spark, sf, "benchmark"), text_col="text", key="item_id") \
         .select(F.col("item_id").alias("query_id"), "embedding")
     top = vec.knn_batch(spark, store.select("vector_id", "embedding"), q, 2, id_col="vector_id")

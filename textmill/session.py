@@ -84,13 +84,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts and scratch tables.
 
     On a cluster this is ``spark.checkpoint.dir`` from the session (a shared
-    file system).  Only when it is unset — local runs and tests — a fresh
-    temporary folder is created and registered.
+    file system).  Only when it is unset and the session is local, as in
+    tests, a fresh temporary folder is created and registered.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext.getCheckpointDir()
     if not current:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="textmill-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
         spark.sparkContext.setCheckpointDir(current)
@@ -112,6 +114,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(tempfile.mkdtemp(prefix=f"{name}-", dir=base), "d")
 
 
+def written(df, name: str = "written"):
+    """``df`` written once as Parquet under the shared folder and read back.  It cuts lineage as
+    ``checkpoint()`` does, which computes the rows a second time to write them."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
