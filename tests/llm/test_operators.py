@@ -125,7 +125,6 @@ def test_urls(spark):
     assert url_markov.judge(spark, df.limit(0), RULES).count() == 0
 
 
-@pytest.mark.xfail(reason="open: a url like the accepted ones under an unseen top domain is blocked; cause not found yet")
 def test_models_judge_unseen_domains(spark):
     urls = [f"https://good{i}.org/fr/{i}" for i in range(80)] + [f"https://bad{i}.net/zz/{i}" for i in range(80)]
     urls += ["https://good7.info/fr/3", "https://bad3.info/zz/9"]
