@@ -231,33 +231,46 @@ def _candidates(batches):
 
 
 def edit_distance(a: list, b: list, most: int) -> int:
-    """Word edits between two lines, or more than ``most`` if it takes more: Ukkonen's band."""
-    if abs(len(a) - len(b)) > most:
+    """Word edits between two lines, or more than ``most`` if it takes more: for each number of
+    edits, the furthest word of ``a`` that every diagonal reaches."""
+    n, m = len(a), len(b)
+    if abs(n - m) > most:
         return most + 1
-    lo = 0
-    while lo < min(len(a), len(b)) and a[lo] == b[lo]:
-        lo += 1
-    hi = 0
-    while hi < min(len(a), len(b)) - lo and a[-1 - hi] == b[-1 - hi]:
-        hi += 1
-    a, b = a[lo:len(a) - hi], b[lo:len(b) - hi]
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        first, last = max(1, i - most), min(len(b), i + most)
-        new = [most + 1] * (len(b) + 1)
-        new[0] = i
-        for j in range(first, last + 1):
-            new[j] = min(row[j - 1] + (x != b[j - 1]), row[j] + 1, new[j - 1] + 1)
-        if min(new[first - 1:last + 1]) > most:
-            return most + 1
-        row = new
-    return min(row[len(b)], most + 1)
-
-
-def similar(a: list, b: list, percent: int) -> bool:
-    longer = max(len(a), len(b))
-    most = (100 - percent) * longer // 100
-    return edit_distance(a, b, most) <= most
+
+    def run(i: int, k: int) -> int:
+        while i < n and i + k < m and a[i] == b[i + k]:
+            i += 1
+        return i
+
+    reach = {0: run(0, 0)}
+    for e in range(most + 1):
+        if reach.get(m - n, -1) >= n:
+            return e
+        if e < most:
+            last = reach
+            reach = {}
+            # diagonals from which the end is within the edits left
+            for k in range(max(-e - 1, m - n - (most - e - 1)), min(e + 1, m - n + (most - e - 1)) + 1):
+                i = max(last.get(k, -2) + 1, last.get(k - 1, -2), last.get(k + 1, -2) + 1)
+                if i >= 0:
+                    reach[k] = run(min(i, n, m - k), k)
+    return most + 1
+
+
+class Line:
+    """A normalised line to be compared: its words, and the set of them."""
+
+    def __init__(self, body: bytes):
+        self.words = body.split()
+        self.kinds = set(self.words)
+
+    def similar(self, other: "Line", percent: int) -> bool:
+        longer = max(len(self.words), len(other.words))
+        most = (100 - percent) * longer // 100
+        # an edit takes one kind of word away at most, and brings one
+        if len(self.kinds & other.kinds) < max(len(self.kinds), len(other.kinds)) - most:
+            return False
+        return edit_distance(self.words, other.words, most) <= most
 
 
 def _links(rows: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -271,8 +284,8 @@ def _verify(percent: int):
     def run(batches):
         out = []
         for t in textops.sorted_runs(batches, ["a", "chunk"]):
-            ids, lines = t.column("line").to_pylist(), [x.split() for x in t.column("body").to_pylist()]
-            out += [(ids[0], ids[i]) for i in range(1, len(ids)) if similar(lines[0], lines[i], percent)]
+            ids, lines = t.column("line").to_pylist(), [Line(x) for x in t.column("body").to_pylist()]
+            out += [(ids[0], ids[i]) for i in range(1, len(ids)) if lines[0].similar(lines[i], percent)]
             if len(out) > 10_000:
                 yield _links(out)
                 out = []
@@ -293,10 +306,10 @@ def _block_links(percent: int):
             if len(place) < 2:
                 continue
             sims = t.column("sim").to_numpy().view(np.uint64)
-            bodies, out = t.column("body").to_pylist(), []
+            lines, out = [Line(x) for x in t.column("body").to_pylist()], []
             for i in range(len(ids) - 1):
                 for j in (np.flatnonzero(_near(int(sims[i]), sims[i + 1:])) + i + 1).tolist():
-                    if forest.root(i) != forest.root(j) and similar(bodies[i].split(), bodies[j].split(), percent):
+                    if forest.root(i) != forest.root(j) and lines[i].similar(lines[j], percent):
                         forest.join(i, j)
                         out.append((ids[i], ids[j]))
             if out:
