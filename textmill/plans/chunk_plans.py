@@ -115,9 +115,64 @@ def _duck_pack(sents: str) -> str:
     return packer.pack(d, packer.sentence_structs(d, clean))
 
 
+# --- the packer once more, for the oracle: one sentence of every page per round of a recursive CTE ---
+def _flushed(src: str, when: str) -> str:
+    """``src`` (..., cur, tok, emitted) with the buffer emitted and reseeded where ``when``: the overlap is
+    the longest run of last sentences within the budget, by prefix sums, with some tokens of the last
+    sentence where that run is short."""
+    sums = "list_transform(range(1, len(cur) + 1), lambda j: list_sum(list_transform(list_reverse(cur)[1:j], lambda c: len(c.k))))"
+    src = f"SELECT *, {when} AS go, {sums} AS sums FROM ({src})"
+    src = f"SELECT *, len(list_filter(sums, lambda v: v <= {tx.OVERLAP_TOKENS})) AS m FROM ({src})"
+    src = f"SELECT *, coalesce(sums[m], 0) AS s, cur[len(cur) - m + 1:] AS kept FROM ({src})"
+    src = f"""SELECT *, array_to_string(list_transform(kept, lambda c: c.t), ' ') AS kt, flatten(list_transform(kept, lambda c: c.k)) AS kk,
+        CASE WHEN s >= {tx.MIN_OVERLAP_TOKENS} THEN []
+             ELSE list_reverse(list_reverse(cur[-1].k)[1:least({tx.MIN_OVERLAP_TOKENS} - s, {tx.OVERLAP_TOKENS})::BIGINT]) END AS tail FROM ({src})"""
+    src = f"SELECT *, trim(kt || ' ' || array_to_string(tail, ' ')) AS st, list_concat(kk, tail) AS sk FROM ({src})"
+    none = f"(tok < {tx.MIN_OVERLAP_TOKENS} OR st = '' OR len(sk) >= tok)"
+    src = f"""SELECT * REPLACE (
+        CASE WHEN NOT go THEN cur WHEN {none} THEN [] ELSE [{{'t': st, 'k': sk}}] END AS cur,
+        CASE WHEN NOT go THEN tok WHEN {none} THEN 0 ELSE len(sk) END AS tok,
+        CASE WHEN go THEN list_append(emitted, trim(array_to_string(list_transform(cur, lambda c: c.t), ' '))) ELSE emitted END AS emitted)
+      FROM ({src})"""
+    return f"SELECT * EXCLUDE (go, sums, m, s, kept, kt, kk, tail, st, sk) FROM ({src})"
+
+
+def _duck_packed_rows(src: str) -> str:
+    """``src`` (pid, s: list of sentences) -> (pid, chunk_no, content), without the packer's fold."""
+    most, tail, least = tx.MAX_TOKENS, tx.OVERLAP_TOKENS, tx.MIN_OVERLAP_TOKENS
+    step = """SELECT st.pid, x.i, cur, tok, []::VARCHAR[] AS emitted, x.t AS xt, x.k AS xk, len(x.k) AS n
+      FROM st JOIN sent x ON x.pid = st.pid AND x.i = st.i + 1"""
+    step = _flushed(step, f"(n > {most} OR tok + n > {most}) AND len(cur) > 0")
+    step = _flushed(step, f"n <= {most} AND tok + n > {most} AND len(cur) > 0")
+    parts = f"list_transform(range(0, (n - 1) // {most} + 1), lambda p: xk[p * {most} + 1:p * {most} + {most}])"
+    step = f"SELECT *, {parts} AS parts FROM ({step})"
+    step = f"SELECT *, list_reverse(list_reverse(parts[-1])[1:{tail}]) AS rest FROM ({step})"
+    step = f"""SELECT * EXCLUDE (parts, rest) REPLACE (
+        CASE WHEN n > {most} THEN list_concat(emitted, list_transform(parts, lambda p: array_to_string(p, ' '))) ELSE emitted END AS emitted,
+        CASE WHEN n <= {most} THEN list_append(cur, {{'t': xt, 'k': xk}})
+             WHEN len(rest) >= {least} THEN [{{'t': array_to_string(rest, ' '), 'k': rest}}] ELSE [] END AS cur,
+        CASE WHEN n <= {most} THEN tok + n WHEN len(rest) >= {least} THEN len(rest) ELSE 0 END AS tok) FROM ({step})"""
+    step = _flushed(step, f"n <= {most} AND tok >= {tx.TARGET_TOKENS}")
+    return f"""(WITH RECURSIVE src AS MATERIALIZED (SELECT pid, s FROM {src}),
+    sent AS MATERIALIZED (SELECT pid, i, t, {tx.tokens(DUCK, 't')} AS k FROM {duck_explode('src', 'pid', 's', 'i', 't')}),
+    st AS (SELECT pid, 0 AS i, []::STRUCT(t VARCHAR, k VARCHAR[])[] AS cur, 0::BIGINT AS tok, []::VARCHAR[] AS emitted FROM src
+      UNION ALL SELECT pid, i, cur, tok, emitted FROM ({step})),
+    ends AS (SELECT pid, max(i) AS i FROM st GROUP BY pid),
+    chunks AS (SELECT pid, i, generate_subscripts(emitted, 1) AS j, unnest(emitted) AS content FROM st
+      UNION ALL SELECT st.pid, st.i + 1, 1, trim(array_to_string(list_transform(cur, lambda c: c.t), ' '))
+      FROM st JOIN ends USING (pid, i) WHERE len(cur) > 0)
+    SELECT pid, cast(row_number() OVER (PARTITION BY pid ORDER BY i, j) AS INTEGER) AS chunk_no, content FROM chunks)"""
+
+
+def _duck_sentence_list(text: str) -> str:
+    return f"list_filter(list_transform({tx.sentences(DUCK, text)}, lambda u_: {tx.strip(DUCK, 'u_')}), lambda u_: u_ <> '')"
+
+
+_DOC_SENTENCES_D = f"(SELECT doc_id AS pid, {_duck_sentence_list('text')} AS s FROM documents)"
+
+
 @register("chunk_pack", oracle=f"""
-  SELECT doc_id, chunk_no, content, len({tx.tokens(DUCK, 'content')}) AS n_tokens
-  FROM {duck_explode("documents", "doc_id", _duck_pack(tx.sentences(DUCK, 'text')), "chunk_no", "content")}""")
+  SELECT pid AS doc_id, chunk_no, content, len({tx.tokens(DUCK, 'content')}) AS n_tokens FROM {_duck_packed_rows(_DOC_SENTENCES_D)}""")
 def chunk_pack(spark, sf):
     d = _docs(spark, sf).select("doc_id", ch.sentences("text").alias("s"))
     return ch.posexplode_keep(d, ["doc_id"], ch.pack_sentences("s"), "pos", "content") \
@@ -142,6 +197,16 @@ def _duck_chunk_rows(chunks_sql: str, run_id: str = FIXED_RUN_ID) -> str:
   FROM {duck_explode(f"({chunks_sql})", "doc_id, pdf_path, page_no", "c", "chunk_id", "content")}"""
 
 
+def _duck_page_chunk_rows(text: str, run_id: str = FIXED_RUN_ID) -> str:
+    """Chunk rows of every page, its sentences taken from ``text`` and packed by the recursive CTE."""
+    sents = f"(SELECT doc_id || '#' || page_no AS pid, {_duck_sentence_list(text)} AS s FROM ({DUCK_PAGES}))"
+    return f"""
+  SELECT p.doc_id, chunk_no AS chunk_id, pdf_path, page_no, c.content,
+         sha256(p.doc_id || '::' || coalesce(cast(page_no AS VARCHAR), 'None') || '::' || cast(chunk_no AS VARCHAR) || '::' || c.content)
+           AS chunk_hash, '{run_id}' AS run_id
+  FROM {_duck_packed_rows(sents)} c JOIN ({DUCK_PAGES}) p ON c.pid = p.doc_id || '#' || p.page_no"""
+
+
 # C08/C09 on the plain (uncleaned) pages: sentences packed per page.
 _DUCK_PAGE_CHUNKS = _duck_chunk_rows(
     f"SELECT doc_id, pdf_path, page_no, {_duck_pack(tx.sentences(DUCK, 'content'))} AS c FROM ({DUCK_PAGES})")
@@ -158,14 +223,12 @@ def chunk_hash_q(spark, sf):
     return _page_chunks(spark, sf).select("doc_id", "page_no", "chunk_id", "chunk_hash")
 
 
-@register("chunk_rows", oracle=_DUCK_PAGE_CHUNKS)
+@register("chunk_rows", oracle=_duck_page_chunk_rows("content"))
 def chunk_rows_q(spark, sf):
     return _page_chunks(spark, sf)
 
 
-JOB_FLAT_DUCK = _duck_chunk_rows(
-    f"SELECT doc_id, pdf_path, page_no, "
-    f"{_duck_pack(tx.sentences(DUCK, tx.clean_text(DUCK, 'content')))} AS c FROM ({DUCK_PAGES})")
+JOB_FLAT_DUCK = _duck_page_chunk_rows(tx.clean_text(DUCK, "content"))
 
 
 @register("job_flat_chunks", oracle=JOB_FLAT_DUCK)

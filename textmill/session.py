@@ -9,7 +9,9 @@ it is unset (local tests).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -91,7 +93,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not current:
         current = spark.sparkContext.getCheckpointDir()
     if not current:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="textmill-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
@@ -102,14 +104,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, not yet existing path under the shared checkpoint folder for a written table."""
-    base = checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    if "://" in base:
-        import uuid
-
+    """A fresh, not yet existing path under the shared checkpoint folder for a written table.
+    Which file system a folder without a scheme lies on is the cluster's to say."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(checkpoint_dir(spark))
+    base = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    if not base.startswith("file:"):
         return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    base = "/" + base[len("file:"):].lstrip("/")
     os.makedirs(base, exist_ok=True)
     return os.path.join(tempfile.mkdtemp(prefix=f"{name}-", dir=base), "d")
 
