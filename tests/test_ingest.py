@@ -6,6 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from textmill.operators import buckets as bk
 from textmill.operators import chunk as ch
 from textmill.operators import ingest as ing
 
@@ -165,6 +166,35 @@ def test_stream_reads_run_ids_of_the_sink(spark):
     assert [(r.content, r.run_id) for r in spark.read.parquet(table).collect()] == [("two", "20260201T000000Z")]
 
 
+def test_stream_merges_once_whatever_the_batches(spark, monkeypatch):
+    from textmill.session import scratch_path
+    from textmill.streaming import staging
+
+    schema = ing.CHUNK_SCHEMA.simpleString().replace("struct<", "").rstrip(">")
+    stage, table, ckpt = scratch_path(spark, "stage"), scratch_path(spark, "t") + "/table", scratch_path(spark, "ckpt")
+    merges, write_buckets = [], bk.write_buckets
+    monkeypatch.setattr(bk, "write_buckets", lambda rows, path, *a: merges.append(path) or write_buckets(rows, path, *a))
+
+    def drained(runs):
+        for run in runs:
+            ing.write_chunks_json(spark.createDataFrame(
+                [_row("doc_a", 1, 1, "of " + run, run, "a" + run), _row("doc_" + run, 1, 1, "own", run, run),
+                 ("doc_a", 9, None, 1, "no path", "x" + run, run)], schema).coalesce(1), stage)
+        staging.stream_ingest(spark, stage, table, ckpt)
+        return {r.doc_id: r.content for r in spark.read.parquet(table).collect()}
+
+    first = drained(["20260101T000000Z", "20250101T000000Z", "20260301T000000Z"])
+    assert merges == [table]  # three micro-batches, one merge
+    assert first["doc_a"] == "of 20260301T000000Z" and len(first) == 4
+    second = drained(["20240101T000000Z"])
+    assert merges == [table] * 2 and second["doc_a"] == first["doc_a"] and len(second) == 5
+    assert spark.read.parquet(ing.rejects_path(table)).count() == 4
+    # a journal that a broken run left is merged by the next, with no new files
+    ing.taken_in(spark, spark.createDataFrame([_row("doc_z", 1, 1, "left", "20260101T000000Z", "z")], schema),
+                 ing.journal_path(table) + "/epoch=7", ing.rejects_path(table) + "/batch=7")
+    assert len(drained([])) == 6 and not bk.path_exists(spark, ing.journal_path(table))
+
+
 def test_stream_dedup_whatever_the_batches(spark):
     from textmill.session import scratch_path
     from textmill.streaming import staging
