@@ -133,3 +133,22 @@ def test_time_grows_with_the_lines_of_a_block(spark):
 
     seconds(2000)
     assert seconds(16000) <= 2.3 * seconds(8000)
+
+
+def test_line_rules_on_odd_lines_are_those_of_words(spark):
+    """Title ratio and heading label by counting matches, against words cut by Python."""
+    lines = ["", " ", "Title Here Now", "title here Now", "  Ünter Den linden\t", "1234 5678", "x" * 90, "A " * 30, "A B.", "A:", "- a",
+             "a) b", "IV. c", "ABC DEF", "3.1 Scope of it", "3 " + "y" * 90, "\u3000Ärger Über\u2003alles", "\U00010400bc Def", "aB cD", "\"Quoted Word\"", "É é"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)] + [(len(lines), None)], "i int, line string")
+    got = {r.i: r for r in df.select("i", F.expr(tx.title_ratio(SPARK, "line")).alias("ratio"), cl.heading_rule("line").alias("rule"),
+                                     F.expr(tx.n_words(SPARK, "line")).alias("n")).collect()}
+    import unicodedata
+    letter = lambda c: unicodedata.category(c).startswith("L")
+    for i, x in enumerate(lines):
+        words = [w for w in x.split() if any(map(letter, w))]
+        want = sum(unicodedata.category(w[0]) == "Lu" for w in words) / len(words) if words else None
+        assert (got[i].ratio, got[i].n) == (want, len(x.split())), x
+    assert got[len(lines)].ratio is None and got[len(lines)].rule is None
+    rules = {lines[i]: got[i].rule for i in range(len(lines))}
+    assert [rules[x] for x in ("", " ", "Title Here Now", "title here Now", "A B.", "A:", "- a", "ABC DEF", "3.1 Scope of it", "aB cD")] == \
+        [None, None, "title", None, None, "colon", "bullet", "caps", "numbered", None]

@@ -71,3 +71,16 @@ def test_ingest_prunes_existing_partitions_at_run_time(spark):
     ing.ingest(spark, ip._v1(spark, SF001), path, clock)
     plan = _plan(ing.plan_ingest(spark, ip._v2(spark, SF001), ing.read_existing(spark, path), clock, buckets=64))
     assert "dynamicpruningexpression(doc_bucket" in plan
+
+
+def test_sketches_are_one_a_flag_not_one_an_order(spark, qs):
+    plan = _plan(qs["sql_agg_approx_distinct"](spark, SF001))
+    aggregates = [x for x in plan.split("\n") if "HashAggregate(" in x]
+    assert any("approx_count_distinct" in x for x in aggregates)
+    assert not any("approx_count_distinct" in x and "l_orderkey" in x.split("functions=")[0] for x in aggregates)
+
+
+def test_line_probes_read_documents_once_and_run_no_lambda_a_word(spark, qs):
+    for name in ("line_is_heading", "line_title_ratio", "line_is_table"):
+        plan = _plan(qs[name](spark, SF001))
+        assert plan.split("== Initial Plan ==")[-1].count("FileScan parquet") == 1 and "lambda" not in plan, name
