@@ -191,10 +191,11 @@ def sql_agg_distinct(spark, sf):
 @register("sql_agg_approx_distinct", oracle="""
   SELECT l_returnflag, count(DISTINCT l_orderkey) AS n_orders, true AS near FROM lineitem GROUP BY l_returnflag""")
 def sql_agg_approx_distinct(spark, sf):
-    """HyperLogLog++ (rsd 1%) beside the exact count: within 3 %."""
-    li = T(spark, sf, "lineitem")
-    near = li.groupBy("l_returnflag").agg(F.approx_count_distinct("l_orderkey", 0.01).alias("approx"),
-                                          F.count_distinct("l_orderkey").alias("n_orders"))
+    """HyperLogLog++ (rsd 1%) beside the exact count: within 3 %.  Both are over the distinct orders, which
+    leave a sketch as it is: beside a distinct count, Spark would carry a sketch of 13 KB an order."""
+    orders = T(spark, sf, "lineitem").select("l_returnflag", "l_orderkey").distinct()
+    near = orders.groupBy("l_returnflag").agg(F.approx_count_distinct("l_orderkey", 0.01).alias("approx"),
+                                              F.count("l_orderkey").alias("n_orders"))
     return near.select("l_returnflag", "n_orders", (F.abs(F.col("approx") - F.col("n_orders")) <= 0.03 * F.col("n_orders")).alias("near"))
 
 
