@@ -84,3 +84,9 @@ def test_line_probes_read_documents_once_and_run_no_lambda_a_word(spark, qs):
     for name in ("line_is_heading", "line_title_ratio", "line_is_table"):
         plan = _plan(qs[name](spark, SF001))
         assert plan.split("== Initial Plan ==")[-1].count("FileScan parquet") == 1 and "lambda" not in plan, name
+
+
+def test_soft_wraps_are_judged_once_a_line(spark, qs):
+    plan = _plan(qs["merge_soft_wraps"](spark, SF001)).split("== Initial Plan ==")[-1]
+    above, below = plan.split("Window [lag", 1)
+    assert "RLIKE" in below and "RLIKE" not in above  # the window carries results, not rules
