@@ -147,6 +147,17 @@ def test_ingest_twice_is_a_noop_except_clock(spark):
     assert first == second and len(first) == 2
 
 
+def test_content_is_picked_where_it_lies(spark, monkeypatch):
+    rows = ing.staged(spark, spark.range(70_000).coalesce(1).select("id", F.lit("text").alias("content")))
+    winners = rows.filter("id % 3 = 0 or id between 32760 and 32775").select(F.struct("_file", "_at").alias("_rank"))
+    for most in (1 << 28, 0):
+        monkeypatch.setattr(ing, "MOST_BITMAP_BYTES", most)
+        got = ing.picked(rows, winners)
+        assert sorted(r.id for r in got.collect()) == [i for i in range(70_000) if i % 3 == 0 or 32760 <= i <= 32775]
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert ("BroadcastHashJoin" in plan and "hashpartitioning" not in plan) or most == 0
+
+
 def test_validation_rejects_required_nulls(spark):
     df = spark.createDataFrame([("d", 1, None, 1, "c", "h", "r"), ("d", 1, "p", 1, None, "h", "r")],
                                "doc_id string, chunk_id int, pdf_path string, page_no int, content string, "
