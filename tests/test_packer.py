@@ -100,3 +100,40 @@ def test_fixed_windows(spark, size, overlap):
             break
         i += step
     assert got == exp
+
+
+@pytest.mark.parametrize("kw", [SMALL, dict(target=6, mx=6, ov=4, mn=0), dict(target=9, mx=12, ov=0, mn=0), dict(target=12, mx=8, ov=7, mn=5)])
+def test_fold_over_numbers_is_the_rule_over_buffers(spark, kw):
+    from textmill.functions import packer
+    from textmill.functions.sqltext import SPARK
+
+    rnd = random.Random(5)
+    cases = [[" ".join(rnd.choice(["a", "b c", "d-e", "ü.", "x1_y", "!?"]) for _ in range(rnd.choice([1, 2, 3, 5, 9, 20])))
+              for _ in range(rnd.randint(0, 14))] for _ in range(150)]
+    df = spark.createDataFrame([(c,) for c in cases] + [(None,)], "s array<string>")
+    whole = F.expr(packer.pack(SPARK, packer.sentence_structs(SPARK, "s"), **kw)).alias("whole")
+    for r in df.select("s", whole, F.expr(packer.pack_spark("s", **kw)).alias("numbers")).collect():
+        assert r.numbers == r.whole, r.s
+
+
+def test_packing_takes_well_under_the_time_of_the_rule_over_buffers(spark):
+    import time
+
+    from textmill.functions import packer
+    from textmill.functions.sqltext import SPARK
+
+    rows = [(i, [f"sentence {j} of some words in text {i}, as they come" for j in range(400)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "i int, s array<string>").coalesce(1).cache()
+    df.count()
+
+    def seconds(column):
+        best = []
+        for _ in range(4):
+            begun = time.perf_counter()
+            df.select(column).write.format("noop").mode("overwrite").save()
+            best.append(time.perf_counter() - begun)
+        return min(best)
+
+    whole = F.expr(packer.pack(SPARK, packer.sentence_structs(SPARK, "s")))
+    assert seconds(ch.pack_sentences("s")) < 0.8 * seconds(whole)
+    df.unpersist()
