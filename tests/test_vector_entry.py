@@ -162,3 +162,28 @@ def test_entry_contract(spark):
     assert set(os_) <= set(qs) and len(qs) >= 140
     df = e.entry(spark)
     assert df.count() > 0 and "chunk_hash" in df.columns
+
+
+def test_hashing_column_counts_buckets_in_one_pass(spark):
+    """Every width against md5 by Python; the column hashes each token once and scans no text once a bucket."""
+    import hashlib
+
+    import regex
+
+    from textmill.functions import vectors as vx
+    from textmill.functions.sqltext import SPARK
+    from textmill.functions.text import TOKEN_RE
+
+    texts = ["", "a", "a a b", "Ünï-cödé_a,b x1 x2!", " ".join(f"w{i}" for i in range(300)), "q q q . . ,", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for dim in (1, 7, 8, 32, 60, 64):
+        sql = vx.hashing_counts(SPARK, "t", dim)
+        assert sql.count("md5(") == 1 and ("replace(" not in sql)
+        for r in df.select("t", F.expr(sql).alias("v")).collect():
+            if r.t is not None:
+                want = [0.0] * dim
+                for k in regex.findall(TOKEN_RE, r.t):
+                    want[int(hashlib.md5(k.encode()).hexdigest()[:8], 16) % dim] += 1
+                assert list(r.v) == want, (dim, r.t)
+            else:
+                assert r.v is None
