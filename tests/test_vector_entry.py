@@ -187,3 +187,24 @@ def test_hashing_column_counts_buckets_in_one_pass(spark):
                 assert list(r.v) == want, (dim, r.t)
             else:
                 assert r.v is None
+
+
+def test_encoder_keeps_buckets_of_words_within_its_bounds():
+    enc = em.HashingEncoder(16)
+    enc._buckets.size = 3
+    long = "x-" * 100
+    texts = ["a b\x1cc　d-e a", "", None, long, "e d"]
+    got = enc.encode(texts)
+    assert len(enc._buckets) == 3 and long not in enc._buckets
+    fresh = em.HashingEncoder(16)
+    assert (got == np.vstack([fresh.encode([t]) for t in texts])).all() and not got[1:3].any()
+    assert enc.encode([]).shape == (0, 16)
+
+
+def test_encoded_rows_cross_as_arrow_batches(spark, capsys):
+    df = spark.createDataFrame([(1, "a b", 5), (2, None, None)], "vector_id int, content string, extra int")
+    e = em.encode(df, keep=("extra",))
+    e.explain()
+    assert "MapInArrow" in capsys.readouterr().out
+    assert {r.vector_id: (r.extra, any(r.embedding), r.model_name) for r in e.collect()} == {
+        1: (5, True, "hashing-md5-64"), 2: (None, False, "hashing-md5-64")}
