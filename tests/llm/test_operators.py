@@ -679,6 +679,39 @@ def test_lines_against_all_pairs(spark, monkeypatch, short, block):
     assert line_dedup.without_duplicate_lines(spark, docs.limit(0)).count() == 0
 
 
+def test_only_texts_with_wanted_lines_are_shuffled(spark, monkeypatch):
+    """Of texts none of whose lines is like another's, next to none meet the joins."""
+    rng = random.Random(16)
+    texts = [" ".join(f"u{i}x{j}" for j in range(25)) for i in range(1500)]
+    for i in (3, 700):
+        texts[i + 1] = f"own {i}\n" + " ".join(edited(rng, texts[i].split(), 1)) + f"\nrest {i}"
+    marks = []
+
+    def seen(rows, keys, key, mark):
+        marks.append((graph.marked(rows, keys, key, mark), keys, key, mark))
+        return marks[-1][0]
+
+    monkeypatch.setattr(line_dedup, "marked", seen)
+    out = line_dedup.without_duplicate_lines(spark, frame(spark, texts)).select("doc_id", "text").collect()
+    assert [r.text for r in sorted(out)] == [f"own {i - 1}\nrest {i - 1}" if i in (4, 701) else t for i, t in enumerate(texts)]
+    texts_marked = [m for m in marks if m[2] == "row"]
+    assert len(texts_marked) == 2
+    for rows, keys, key, mark in texts_marked:
+        assert keys.count() <= rows.filter(mark).count() <= 20
+        assert rows.filter(f"not {mark}").join(keys, key, "left_semi").count() == 0
+
+
+def test_marks_lose_no_key(spark, monkeypatch):
+    rows = spark.range(3000).select(F.xxhash64("id").alias("h"), "id")
+    for keys, most in ((rows.filter("id % 7 = 0"), 700), (rows.limit(0), 0)):
+        got = {r.id: r.m for r in graph.marked(rows, keys.select("h"), "h", "m").collect()}
+        assert len(got) == 3000 and all(got[r.id] for r in keys.collect()) and sum(got.values()) <= most
+    # bitmaps that are too small make more marks, and lose none
+    monkeypatch.setattr(graph, "MOST_BITS", 1 << 11)
+    got = {r.id: r.m for r in graph.marked(rows, rows.filter("id % 2 = 0").select("h"), "h", "m").collect()}
+    assert all(got[i] for i in range(0, 3000, 2)) and len(got) == 3000
+
+
 def test_short_lines_go_too(spark):
     rng = random.Random(15)
     # exact repeats of lines of one to four words, by plain splitting

@@ -91,6 +91,28 @@ def join_counted(left: DataFrame, right: DataFrame, key: str, count: str) -> Dat
     return found.select(*left.columns, *[F.col(f"_r.{c}").alias(c) for c in right.columns if c != key])
 
 
+#: Bits of a key in the bitmaps that are broadcast, and of all of them at most: 64 MB at 32 bits a long.
+KEY_BITS, MOST_BITS = 16, 1 << 28
+
+
+def marked(rows: DataFrame, keys: DataFrame, key: str, mark: str) -> DataFrame:
+    """``rows`` and ``mark``: true where ``key``, a hash, is one of ``keys`` (each once), and at few others, so that a join
+    with ``keys`` need not shuffle the rows where it is false.  The bits of the keys lie in bitmaps of 32,768;
+    more keys than these have room for make more marks, and lose none."""
+    size = 1 << min(max(keys.count() * KEY_BITS - 1, (1 << 15) - 1).bit_length(), MOST_BITS.bit_length() - 1)
+    at = F.pmod(F.col(key), F.lit(size)) + 1
+    bits = keys.select(F.bitmap_bucket_number(at).alias("_block"), F.bitmap_bit_position(at).alias("_place")) \
+        .repartition("_block").groupBy("_block").agg(F.bitmap_construct_agg("_place").alias("_bits"))
+    # four bytes to a number, of which a row's is read in its place; binaries are copied whole to be read
+    bits = bits.select("_block", F.expr("transform(sequence(0, 1023), i -> cast(conv(hex(substring(_bits, 4 * i + 1, 4)), 16, 10) as long))")
+                       .alias("_bits"))
+    place = F.bitmap_bit_position(at)
+    shift = 24 - 8 * (F.floor(place / 8) % 4) + place % 8
+    found = F.getbit(F.get("_bits", F.floor(place / 32).cast("int")), shift.cast("int")) == 1
+    return rows.withColumn("_block", F.bitmap_bucket_number(at)).join(F.broadcast(bits), "_block", "left") \
+        .select(*rows.columns, F.coalesce(found, F.lit(False)).alias(mark))
+
+
 def least_hashes(rows: DataFrame, limit: int, hash_col: str) -> DataFrame:
     """The rows that can be among the ``limit`` of least ``hash_col`` (uniform over all longs), and few
     others: those below a bound that follows from the number of rows, so that no task passes on

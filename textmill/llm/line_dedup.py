@@ -22,11 +22,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.llm import textops
-from textmill.llm.graph import cells, components, stored
+from textmill.llm.graph import cells, components, marked, stored
 
 #: Bits of 64 in which similar lines may differ; those of 0.95 similarity differ in 6.5 on average,
 #: with a deviation of 2.4.
@@ -78,10 +79,15 @@ def simhash(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     owner = np.cumsum(n_parts) - n_parts
     octets = np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8)
     out = np.zeros((len(starts), 8), np.uint8)
+    short = len(part) == len(starts)
+    half = (sizes >> 1)[:, None].astype(np.uint8 if short else np.int64)
     for k in range(8):
         packed = np.add.reduceat(_SPREAD[octets[:, k]], part)
+        if short:
+            out[:, k] = np.packbits(packed.view(np.uint8).reshape(-1, 8) > half, axis=1, bitorder="little")[:, 0]
+            continue
         ones = np.add.reduceat(packed.view(np.uint8).reshape(-1, 8).astype(np.int64), owner, axis=0)
-        out[:, k] = np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little")[:, 0]
+        out[:, k] = np.packbits(ones > half, axis=1, bitorder="little")[:, 0]
     return out.view(np.uint64).reshape(-1)
 
 
@@ -125,7 +131,8 @@ class Lines:
                 continue
             n = 2 * level + 1
             block = (np.cumsum(n) - n)[line] + (kind >> np.uint64(20)).astype(np.int64) % n[line]
-            order = np.argsort(block, kind="stable")
+            # a block's hash does not depend on the order of its words
+            order = np.argsort(block)
             starts = np.flatnonzero(np.diff(block[order], prepend=-1))
             first = order[starts]
             place = (block[first] - (np.cumsum(n) - n)[line[first]]).astype(np.uint64)
@@ -134,6 +141,8 @@ class Lines:
             lines.append(line[first])
         if not keys:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        if len(keys) == 1:
+            return keys[0], lines[0]
         keys, lines = np.concatenate(keys), np.concatenate(lines)
         order = np.argsort(lines, kind="stable")
         return keys[order], lines[order]
@@ -344,9 +353,13 @@ def duplicate_lines(spark: SparkSession, docs: DataFrame, percent: int = 95) ->
     pairs = found.filter("b is not null").select("a", "b").distinct()
     wanted = pairs.select(F.col("a").alias("line")).unionByName(pairs.select(F.col("b").alias("line"))) \
         .unionByName(found.filter("b is null").select(F.col("a").alias("line"))).distinct()
-    where = distinct.join(wanted, "line", "left_semi").select("first.row", F.struct("line", F.col("first.place").alias("place")).alias("w")) \
-        .groupBy("row").agg(F.collect_list("w").alias("wanted"))
-    bodies = stored(spark, docs.join(where, "row").select("text", "wanted").mapInArrow(_bodies, "line long, body binary")
+    wanted = stored(spark, wanted, "wantedlines")
+    where = marked(distinct, wanted, "line", "_some").filter("_some").join(wanted, "line", "left_semi") \
+        .select("first.row", F.struct("line", F.col("first.place").alias("place")).alias("w")).groupBy("row").agg(F.collect_list("w").alias("wanted"))
+    where = stored(spark, where, "linerows")
+    # only texts that hold such a line, or look so by the bitmaps, are shuffled; their side is not sorted
+    asked = marked(docs, where, "row", "_some").filter("_some").join(where.hint("shuffle_hash"), "row")
+    bodies = stored(spark, asked.select("text", "wanted").mapInArrow(_bodies, "line long, body binary")
                     .dropDuplicates(["line"]), "bodies")
 
     fan = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("_chunks"))
@@ -367,31 +380,31 @@ def duplicate_lines(spark: SparkSession, docs: DataFrame, percent: int = 95) ->
     if not more.isEmpty():
         roots = components(spark, links.unionByName(more))
 
-    grouped = distinct.join(roots.withColumnRenamed("node", "line"), "line", "left") \
+    # lines that occur once and have no similar one are settled before any join
+    roots = stored(spark, roots.withColumnRenamed("node", "line"), "lineroots")
+    grouped = marked(distinct, roots, "line", "_some").filter("_some or copies > 1").join(roots, "line", "left") \
         .withColumn("root", F.coalesce("root", "line")).select("line", "root", "first", "copies")
     stays = grouped.groupBy("root").agg(F.min("first").alias("stays"), F.sum("copies").alias("all"))
-    # lines that occur once and have no similar one are settled before any join with the occurrences
-    repeated = grouped.join(stays.filter(F.col("all") > 1), "root").select("line", "stays")
-    return lines.select("line", "doc_id", "place", "row").join(repeated, "line") \
+    repeated = stored(spark, grouped.join(stays.filter(F.col("all") > 1), "root").select("line", "stays"), "repeatedlines")
+    return marked(lines, repeated, "line", "_some").filter("_some").select("line", "doc_id", "place", "row").join(repeated, "line") \
         .filter(~F.struct("doc_id", "place", "row").eqNullSafe(F.col("stays"))).select("row", "place")
 
 
 def _without(names: list[str], text_at: int):
     def run(batches):
         for b in batches:
-            texts = b.column(text_at).to_pylist()
-            removed = b.column(b.schema.get_field_index("_gone")).to_pylist()
-            lines, gone_n = [], []
-            for i, gone in enumerate(removed):
-                parts = texts[i].split("\n") if texts[i] is not None else []
-                lines.append(len(parts))
-                gone_n.append(len(gone or ()))
-                if gone:
-                    out = set(gone)
-                    texts[i] = "\n".join(p for k, p in enumerate(parts) if k not in out)
-            cols = [pa.array(texts, pa.string()) if k == text_at else b.column(k) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(lines, pa.int32()), pa.array(gone_n, pa.int32())],
-                                             [*names, "n_lines", "n_removed"])
+            texts, removed = b.column(text_at), b.column(b.schema.get_field_index("_gone"))
+            lines = pc.fill_null(pc.add(pc.count_substring(texts, "\n"), 1), 0).cast(pa.int32())
+            gone_n = pc.fill_null(pc.list_value_length(removed), 0).cast(pa.int32())
+            if removed.null_count < len(removed):
+                texts = texts.to_pylist()
+                for i, gone in enumerate(removed.to_pylist()):
+                    if gone and texts[i] is not None:
+                        out = set(gone)
+                        texts[i] = "\n".join(p for k, p in enumerate(texts[i].split("\n")) if k not in out)
+                texts = pa.array(texts, pa.string())
+            cols = [texts if k == text_at else b.column(k) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*cols, lines, gone_n], [*names, "n_lines", "n_removed"])
 
     return run
 
@@ -407,8 +420,12 @@ def without_duplicate_lines(spark: SparkSession, docs: DataFrame, percent: int =
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     gone = duplicate_lines(spark, plain.withColumn("row", F.xxhash64("doc_id", "text")), percent) \
         .distinct().groupBy("row").agg(F.collect_list("place").alias("_gone"))
+    gone = stored(spark, gone, "gonelines")
     rows = renamed.withColumn("row", F.xxhash64(F.col(fields[names.index(id_col)]).cast("long"), F.col(fields[text_at])))
-    joined = rows.join(gone, "row", "left").drop("row")
+    rows = marked(rows, gone, "row", "_some")
+    # a text that loses no line stays where it is
+    joined = rows.filter("_some").join(gone.hint("shuffle_hash"), "row", "left").select(*fields, "_gone") \
+        .unionAll(rows.filter("not _some").select(*fields, F.lit(None).cast("array<int>").alias("_gone")))
     schema = ", ".join(f"`{f}` {kind}" for f, kind in renamed.dtypes) + ", n_lines int, n_removed int"
     out = joined.mapInArrow(_without(fields, text_at), schema)
     extra = [n if n not in names else f"{n}_" for n in ("n_lines", "n_removed")]
