@@ -1,6 +1,7 @@
 """Operators on small tables against plain statements of their contracts, and odd inputs."""
 
 import collections
+import itertools
 import random
 import re
 import struct
@@ -588,6 +589,51 @@ def test_jaccard_candidates_do_not_depend_on_batches():
         assert found(sizes) == [(20, 21), (30, 31)], sizes
 
 
+def test_jaccard_near_pairs_are_all_that_may_link():
+    rng = np.random.default_rng(8)
+    sets = []
+    for _ in range(8):
+        base = rng.integers(0, 2**63, int(rng.integers(200, 1200)), dtype=np.uint64)
+        for _ in range(12):
+            kept = base[rng.random(len(base)) < rng.choice([0.85, 0.95, 0.99])]
+            sets.append(np.unique(np.concatenate([kept, rng.integers(0, 2**63, int(rng.integers(1, 40)), dtype=np.uint64)])))
+    rows = sorted(((len(x), i, int(rng.integers(0, 40)), int(rng.integers(0, 2)), jaccard.parities(x)) for i, x in enumerate(sets)))
+    lists = [sorted(rng.choice(50, jaccard.FIRST, replace=False).tolist()) for _ in rows]
+    n, ids, roots, homes, bits = zip(*rows, strict=True)
+    batch = pa.RecordBatch.from_pydict(
+        {"mark": [25] * len(rows), "cell": [1] * len(rows), "n": [99] * len(rows), "class": ids, "root": roots,
+         "home": pa.array(homes, pa.int32()), **{f"first_{k}": [x[k] for x in lists] for k in range(jaccard.FIRST)},
+         "n_shingles": n, "bits": pa.array(bits, pa.binary())})
+    got = [(r["a"], r["b"], r["mark"], r["n"]) for b in jaccard._near(80)(iter([batch[:50], batch[50:]])) for r in b.to_pylist()]
+    want = [(ids[i], ids[j], 25, 99) for i in range(len(rows)) for j in range(i + 1, len(rows))
+            if 100 * n[i] >= 80 * n[j] and roots[i] != roots[j] and homes[i] != homes[j]
+            and not any(x < 25 for x in set(lists[i]) & set(lists[j])) and jaccard.may_link(80, n[i], bits[i], n[j], bits[j])]
+    assert len(want) > 20
+    assert sorted(got) == sorted(want)
+    assert len({len(x) for x in bits}) > 2
+
+
+def test_jaccard_lists_in_several_blocks(spark, monkeypatch):
+    for name, value in (("SHORT", 3), ("BLOCK", 4), ("WIDE", 2)):
+        monkeypatch.setattr(jaccard, name, value)
+    texts = variants(random.Random(14), 25)
+    rows = jaccard.jaccard_groups(spark, frame(spark, texts, extra=True), width=3, percent=80).collect()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in rows}
+    assert [got[i] for i in range(len(texts))] == plain_groups(texts, 3, 80)
+
+
+def test_jaccard_long_lists_of_unlike_texts_bring_no_sets(spark, monkeypatch):
+    # passages that twenty texts share chain all texts together, and no two of them are alike
+    rng, written = random.Random(15), collections.defaultdict(list)
+    monkeypatch.setattr(jaccard, "stored", lambda s, df, name, f=jaccard.stored: written[name].append(f(s, df, name)) or written[name][-1])
+    passages = sentences(rng, 24, 30, 10**6)
+    texts = [" ".join(passages[k] for k in x) for x in rng.sample(list(itertools.combinations(range(24), 4)), 120)]
+    rows = jaccard.jaccard_groups(spark, frame(spark, texts), width=3, percent=80).collect()
+    assert sorted((r.doc_id, r.component_id) for r in rows) == [(i, i) for i in range(len(texts))]
+    assert sum(x.count() for x in written["openlists"]) >= len(texts)
+    assert sum(x.count() for x in written["sets"]) == 0
+
+
 # ---- 10 --------------------------------------------------------------------------------
 
 def plain_similar(a, b, percent):

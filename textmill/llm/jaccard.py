@@ -13,10 +13,10 @@ Two documents link when the Jaccard similarity of their sets of word shingles is
 3. Candidates meet as full sets.  Each query merges its short inverted lists on a heap and
    probes the long ones by bisection; members that reach the required overlap are kept and
    their Jaccard similarity is taken in whole numbers.
-4. Long lists that the links so far leave in several components go on to blocks of members,
-   every pair of blocks a cell of its own: no cap, and no list in one task.  Lists that
-   share members form a family; where comparing its members once costs less than comparing
-   them list by list, the family takes the place of its lists.
+4. Long lists that the links so far leave in several components are compared by sizes and
+   parities alone, each pair of members in one of the first lists that it shares: in blocks of
+   members, every pair of blocks a cell of its own, so no cap, and no list in one task.  Only
+   the members of pairs that may link go on as full sets, dealt into smaller cells of a list.
 
 Class identities are 64-bit content hashes.  Null or wordless texts have an empty set and
 link with nothing; a row without id takes no part.  Repeated rows are one document.
@@ -34,12 +34,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.llm import textops
-from textmill.llm.graph import cells, components, join_counted, stored
+from textmill.llm.graph import cells, components, join_counted, marked, stored
 
 CELLS = 1 << 22
 _PART = 1 << 12
 SHORT = 8
 BLOCK = 256
+#: Blocks of parities, which are small, hold so many blocks of sets.
+WIDE = 8
+#: Of the lists that hold a member, so many go with it to say where else a pair meets.
+FIRST = 4
 CHUNK = 256
 
 
@@ -83,6 +87,15 @@ def may_link(percent: int, a: int, bits_a: bytes, b: int, bits_b: bytes) -> bool
     return (x ^ y).bit_count() <= a + b - 2 * need(percent, a, b)
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    return pa.compress(counts.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data, kind) -> np.ndarray:
+    size = _PART * np.dtype(kind).itemsize
+    return np.frombuffer(pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True), kind)
+
+
 def _count(width: int):
     def run(batches):
         total = np.zeros(CELLS, np.int64)
@@ -92,7 +105,7 @@ def _count(width: int):
                 marks, _ = textops.shingles(hashes, before, width)
                 total += np.bincount((marks & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
         total = np.minimum(total, 2**32 - 1).astype(np.uint32)
-        parts = [total[i:i + _PART].tobytes() for i in range(0, CELLS, _PART)]
+        parts = [_packed(total[i:i + _PART]) for i in range(0, CELLS, _PART)]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())],
                                          ["part", "counts"])
 
@@ -104,16 +117,16 @@ def _total(batches):
     part, acc = None, None
     for b in batches:
         for p, c in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            counts = np.frombuffer(c.as_buffer(), np.uint32).astype(np.int64)
+            counts = _unpacked(c.as_buffer(), np.uint32).astype(np.int64)
             if p == part:
                 acc += counts
                 continue
             if part is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([acc.tobytes()], pa.binary())],
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([_packed(acc)], pa.binary())],
                                                  ["part", "counts"])
             part, acc = p, counts
     if part is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([acc.tobytes()], pa.binary())],
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([_packed(acc)], pa.binary())],
                                          ["part", "counts"])
 
 
@@ -123,7 +136,7 @@ def frequency_levels(docs: DataFrame, width: int) -> np.ndarray:
         .repartition("part").sortWithinPartitions("part").mapInArrow(_total, "part int, counts binary").collect()
     total = np.zeros(CELLS, np.int64)
     for r in rows:
-        total[r.part * _PART:(r.part + 1) * _PART] = np.frombuffer(bytes(r.counts), np.int64)
+        total[r.part * _PART:(r.part + 1) * _PART] = _unpacked(bytes(r.counts), np.int64)
     scaled = 64 + 24 * np.log2((total + 1) / (np.median(total) + 1))
     return np.clip(scaled, 0, 255).astype(np.uint8)
 
@@ -240,6 +253,76 @@ def _possible(percent: int):
     return run
 
 
+def _folded(bits: list[bytes]) -> dict[int, tuple[int, np.ndarray]]:
+    """For each width of these parities, which come with rising widths: the first that has it,
+    and from there on all, folded to that width."""
+    widths = np.array([len(x) for x in bits])
+    out, rest = {}, None
+    for w in np.unique(widths)[::-1].tolist():
+        first, last = np.searchsorted(widths, w, "left"), np.searchsorted(widths, w, "right")
+        own = np.frombuffer(b"".join(bits[first:last]), np.uint64).reshape(last - first, w // 8)
+        while rest is not None and rest.shape[1] > w // 8:
+            half = rest.shape[1] // 2
+            rest = rest[:, :half] ^ rest[:, half:]
+        rest = own if rest is None else np.concatenate([own, rest])
+        out[w] = int(first), rest
+    return out
+
+
+def _near(percent: int):
+    """Runs of one cell of a list, sorted by (n_shingles, class): the pairs whose roots differ
+    and whose sizes and parities allow a link, but for those that one of the first lists
+    of both, before this one, holds too."""
+
+    def run(batches):
+        out: list[tuple[np.ndarray, ...]] = []
+        held = 0
+
+        def flush():
+            cols = [np.concatenate(c) for c in zip(*out, strict=True)]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b", "mark", "n"])
+
+        for t in textops.sorted_runs(batches, ["mark", "cell"]):
+            roots = t.column("root").to_numpy()
+            if (roots == roots[0]).all():
+                continue
+            mark, n = t.column("mark")[0].as_py(), t.column("n")[0].as_py()
+            ids, sizes, homes = (t.column(c).to_numpy() for c in ("class", "n_shingles", "home"))
+            apart = (homes != homes[0]).any()
+            firsts = np.stack([t.column(f"first_{k}").to_numpy() for k in range(FIRST)])
+            bits = t.column("bits").to_pylist()
+            folded = _folded(bits)
+            ends = np.searchsorted(sizes, 100 * sizes // percent, "right").tolist()
+            for i, end in enumerate(ends):
+                if end <= i + 1:
+                    continue
+                window = slice(i + 1, end)
+                keep = roots[window] != roots[i]
+                if apart:
+                    keep &= homes[window] != homes[i]
+                for first in firsts[:, i]:
+                    if first < mark:
+                        keep &= (firsts[:, window] != first).all(axis=0)
+                at = np.flatnonzero(keep) + i + 1
+                if not len(at):
+                    continue
+                begin, rows = folded[len(bits[i])]
+                differ = np.bitwise_count(rows[at - begin] ^ rows[i - begin]).sum(axis=1, dtype=np.int64)
+                both = sizes[at] + sizes[i]
+                at = at[differ <= both - 2 * -(-percent * both // (100 + percent))]
+                if len(at):
+                    out.append((np.full(len(at), ids[i]), ids[at], np.full(len(at), mark), np.full(len(at), n)))
+                    held += len(at)
+            if held > 50_000:
+                yield flush()
+                held = 0
+        if out:
+            yield flush()
+
+    return run
+
+
 class InvertedIndex:
     """Sorted posting lists over the sets of one task's members."""
 
@@ -337,20 +420,23 @@ def _verify(percent: int):
 
 
 def _block_links(percent: int):
-    """Runs of one cell: links that join two components of what the run has linked so far."""
+    """Runs of one cell, each member with those that it may link with: links that join two
+    components of what the run has linked so far."""
 
     def run(batches):
-        for t in textops.sorted_runs(batches, ["by_list", "group", "cell"]):
+        for t in textops.sorted_runs(batches, ["mark", "cell"]):
             ids, roots, sets = t.column("class").to_pylist(), t.column("root").to_pylist(), _sets(t)
-            place = {}
+            place, at = {}, {}
             forest = textops.Forest(len(ids))
-            for i, r in enumerate(roots):
+            for i, (c, r) in enumerate(zip(ids, roots, strict=True)):
                 forest.join(place.setdefault(r, i), i)
-            if len(place) < 2:
-                continue
-            index, out = InvertedIndex(sets), []
-            for i, s in enumerate(sets):
-                out += [(ids[i], ids[m]) for m in linked(s, index, percent) if forest.join(i, m)]
+                forest.join(at.setdefault(c, i), i)
+            out = []
+            for i, others in enumerate(t.column("others").to_pylist()):
+                left = [at[c] for c in others if forest.root(at[c]) != forest.root(i)]
+                if left:
+                    found = linked(sets[i], InvertedIndex([sets[j] for j in left]), percent)
+                    out += [(ids[i], ids[left[m]]) for m in found if forest.join(i, left[m])]
             if out:
                 yield _links(out)
 
@@ -384,36 +470,92 @@ def jaccard_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
         _digest(width, percent, levels), "doc_id long, n_shingles long, class long, marks array<long>, bits binary"
         + (", row string" if row else "")), "digests")
     classes = stored(spark, digests.filter("class is not null").groupBy("class")
-                     .agg(F.min("doc_id").alias("rep")), "classes")
-    reps = digests.join(classes.select("class", F.col("rep").alias("doc_id")), ["doc_id", "class"], "left_semi")
+                     .agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    reps = _representatives(digests, classes)
     postings = reps.select(F.explode("marks").alias("mark"), F.col("n_shingles").alias("n"), "class")
     found = stored(spark, postings.repartition("mark").sortWithinPartitions("mark", "n", "class")
                    .mapInArrow(_candidates(percent), "mark long, a long, b long"), "candidates")
     pairs = _possible_pairs(spark, found.filter("b is not null").select("a", "b").distinct(), reps, percent)
-    wanted = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))) \
-        .unionByName(found.filter("b is null").select("a")).distinct()
-    wanted = classes.join(wanted.withColumnRenamed("a", "class"), "class", "left_semi")
-    sets = stored(spark, texts.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id")
-                  .select("class", "text").mapInArrow(_full_sets(width), "class long, marks binary"), "sets")
+    wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+    sets = _fetched(spark, texts, classes.join(wanted, "class", "left_semi"), width)
     links = _linked_pairs(spark, pairs, sets, percent)
     roots = components(spark, links)
-    members = found.filter("b is null").select("mark", F.col("a").alias("class")).distinct() \
-        .join(roots.withColumnRenamed("node", "class"), "class", "left") \
-        .withColumn("root", F.coalesce("root", "class"))
-    open_lists = members.groupBy("mark").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")) \
-        .filter("_lo < _hi").select("mark")
-    members = stored(spark, members.join(open_lists, "mark", "left_semi"), "openlists")
-    groups = cells(_cheapest_groups(spark, members), ["by_list", "group"], "class", BLOCK, root="root")
-    # the number is given, as cells of few bytes may be long work
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    more = stored(spark, groups.join(sets, "class")
-                  .repartition(tasks, "by_list", "group", "cell").sortWithinPartitions("by_list", "group", "cell")
-                  .mapInArrow(_block_links(percent), "a long, b long"), "blocklinks")
+    members = _open_lists(spark, found, roots)
+    near = _near_pairs(spark, members, reps, percent)
+    if near.isEmpty():
+        return _labelled(digests, classes, roots)
+    wanted = near.select(F.col("a").alias("class")).unionByName(near.select(F.col("b").alias("class"))).distinct() \
+        .join(sets.select("class"), "class", "left_anti")
+    sets = sets.unionByName(_fetched(spark, texts, classes.join(wanted, "class", "left_semi"), width))
+    more = _cell_links(spark, near, roots, sets, percent)
     if not more.isEmpty():
         roots = components(spark, links.unionByName(more))
     return _labelled(digests, classes, roots)
 
 
+def _representatives(digests: DataFrame, classes: DataFrame) -> DataFrame:
+    """The digests of least id of each class; only those whose class may repeat are shuffled."""
+    repeated = classes.filter("copies > 1").select("class", F.col("rep").alias("doc_id"))
+    some = marked(digests.filter("class is not null"), repeated.select("class"), "class", "_some")
+    return some.filter("not _some").unionByName(
+        some.filter("_some").join(classes.select("class", F.col("rep").alias("doc_id")), ["doc_id", "class"], "left_semi")
+        .select(*some.columns)).drop("_some")
+
+
+def _fetched(spark: SparkSession, texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(class, marks): the full sets of the classes ``wanted``; only texts whose id can be one of theirs are shuffled."""
+    wanted = stored(spark, wanted.select("class", F.col("rep").alias("doc_id")), "wanted")
+    some = marked(texts.select("doc_id", "text", F.xxhash64("doc_id").alias("_key")),
+                  wanted.select(F.xxhash64("doc_id").alias("_key")).distinct(), "_key", "_some").filter("_some")
+    return stored(spark, some.join(wanted, "doc_id").select("class", "text")
+                  .mapInArrow(_full_sets(width), "class long, marks binary"), "sets")
+
+
+def _open_lists(spark: SparkSession, found: DataFrame, roots: DataFrame) -> DataFrame:
+    """(mark, class, root, n): the members of the long lists that hold several roots; n is the list's length."""
+    members = stored(spark, found.filter("b is null").select("mark", F.col("a").alias("class")).distinct()
+                     .join(roots.withColumnRenamed("node", "class"), "class", "left")
+                     .withColumn("root", F.coalesce("root", "class")), "longlists")
+    lists = members.groupBy("mark").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("n")) \
+        .filter("_lo < _hi").select("mark", "n")
+    return stored(spark, join_counted(members, stored(spark, lists, "lists"), "mark", "n")
+                  .select("mark", "class", "root", "n"), "openlists")
+
+
+def _near_pairs(spark: SparkSession, members: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """(a, b, mark, n): the pairs of members of a list that may link and do not share a root,
+    each once, with one of their lists and its length."""
+    wide = WIDE * BLOCK
+    dealt = cells(members.filter(F.col("n") > wide), ["mark"], "class", wide, root="root")
+    whole = members.filter(F.col("n") <= wide).withColumn("home", F.lit(0)).withColumn("cell", F.lit(0).cast("long"))
+    lists = members.groupBy("class").agg(F.array_sort(F.collect_set("mark")).alias("_lists"))
+    firsts = lists.select("class", *[F.coalesce(F.get("_lists", F.lit(k)), F.lit(2**63 - 1)).alias(f"first_{k}")
+                                     for k in range(FIRST)])
+    bits = reps.select("class", "n_shingles", "bits").dropDuplicates(["class"])
+    # the number is given, as cells of few bytes may be long work
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    near = whole.unionByName(dealt).join(firsts, "class").join(bits, "class") \
+        .repartition(tasks, "mark", "cell").sortWithinPartitions("mark", "cell", "n_shingles", "class") \
+        .mapInArrow(_near(percent), "a long, b long, mark long, n long")
+    return stored(spark, near.groupBy("a", "b").agg(F.min(F.struct("mark", "n")).alias("_at"))
+                  .select("a", "b", "_at.mark", "_at.n"), "near")
+
+
+def _cell_links(spark: SparkSession, near: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links among the pairs ``near``, whose members meet as full sets in cells of two blocks of a list."""
+    blocks = F.ceil(F.col("n") / BLOCK)
+    homes = [F.pmod(F.xxhash64(c), blocks) for c in ("a", "b")]
+    near = near.withColumn("cell", F.least(*homes) * blocks + F.greatest(*homes))
+    rows = near.select("mark", "cell", F.col("a").alias("class"), F.col("b").alias("other")) \
+        .unionByName(near.select("mark", "cell", F.col("b").alias("class"), F.lit(None).cast("long").alias("other"))) \
+        .groupBy("mark", "cell", "class").agg(F.collect_list("other").alias("others"))
+    rows = rows.join(roots.withColumnRenamed("node", "class"), "class", "left") \
+        .withColumn("root", F.coalesce("root", "class")).join(sets, "class")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return stored(spark, rows.repartition(tasks, "mark", "cell").sortWithinPartitions("mark", "cell")
+                  .mapInArrow(_block_links(percent), "a long, b long"), "blocklinks")
+
+
 def _possible_pairs(spark: SparkSession, pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     marked = reps.select("class", "n_shingles", "bits").dropDuplicates(["class"])
     for side in ("a", "b"):
@@ -422,23 +564,6 @@ def _possible_pairs(spark: SparkSession, pairs: DataFrame, reps: DataFrame, perc
                   .mapInArrow(_possible(percent), "a long, b long"), "pairs")
 
 
-def _cheapest_groups(spark: SparkSession, members: DataFrame) -> DataFrame:
-    """(by_list, group, class, root): per family of lists that share members, either the
-    family once or each of its lists, whichever has the smaller sum of squared sizes."""
-    first = members.groupBy("mark").agg(F.min("class").alias("a"), F.count("*").alias("n"))
-    families = components(spark, members.join(first, "mark").select("a", F.col("class").alias("b")))
-    families = families.withColumnRenamed("root", "family").withColumnRenamed("node", "class")
-    lists = first.join(families.withColumnRenamed("class", "a"), "a").select("mark", "n", "family")
-    by_list = lists.groupBy("family").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("cost"))
-    placed = members.join(families, "class")
-    chosen = families.groupBy("family").count().join(by_list, "family") \
-        .join(placed.groupBy("family").agg(F.count("*").alias("rows")), "family") \
-        .select("family", (F.col("cost") < F.col("count").cast("double") * F.col("count")).alias("by_list"), "rows")
-    return join_counted(placed, chosen, "family", "rows") \
-        .select("by_list", F.when(F.col("by_list"), F.col("mark")).otherwise(F.col("family")).alias("group"),
-                "class", "root").distinct()
-
-
 def _linked_pairs(spark: SparkSession, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     pairs = pairs.withColumn("chunk", F.pmod(F.xxhash64("b"), F.lit(2**40)))
     fan = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("_chunks"))
