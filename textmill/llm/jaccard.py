@@ -475,13 +475,15 @@ def jaccard_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     postings = reps.select(F.explode("marks").alias("mark"), F.col("n_shingles").alias("n"), "class")
     found = stored(spark, postings.repartition("mark").sortWithinPartitions("mark", "n", "class")
                    .mapInArrow(_candidates(percent), "mark long, a long, b long"), "candidates")
-    pairs = _possible_pairs(spark, found.filter("b is not null").select("a", "b").distinct(), reps, percent)
+    # written, as a join with it can then deal out a class that many pairs share
+    bits = stored(spark, reps.select("class", "n_shingles", "bits").dropDuplicates(["class"]), "bits")
+    pairs = _possible_pairs(spark, found.filter("b is not null").select("a", "b").distinct(), bits, percent)
     wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
     sets = _fetched(spark, texts, classes.join(wanted, "class", "left_semi"), width)
     links = _linked_pairs(spark, pairs, sets, percent)
     roots = components(spark, links)
     members = _open_lists(spark, found, roots)
-    near = _near_pairs(spark, members, reps, percent)
+    near = _near_pairs(spark, members, bits, percent)
     if near.isEmpty():
         return _labelled(digests, classes, roots)
     wanted = near.select(F.col("a").alias("class")).unionByName(near.select(F.col("b").alias("class"))).distinct() \
@@ -522,7 +524,7 @@ def _open_lists(spark: SparkSession, found: DataFrame, roots: DataFrame) -> Data
                   .select("mark", "class", "root", "n"), "openlists")
 
 
-def _near_pairs(spark: SparkSession, members: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+def _near_pairs(spark: SparkSession, members: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     """(a, b, mark, n): the pairs of members of a list that may link and do not share a root,
     each once, with one of their lists and its length."""
     wide = WIDE * BLOCK
@@ -531,7 +533,6 @@ def _near_pairs(spark: SparkSession, members: DataFrame, reps: DataFrame, percen
     lists = members.groupBy("class").agg(F.array_sort(F.collect_set("mark")).alias("_lists"))
     firsts = lists.select("class", *[F.coalesce(F.get("_lists", F.lit(k)), F.lit(2**63 - 1)).alias(f"first_{k}")
                                      for k in range(FIRST)])
-    bits = reps.select("class", "n_shingles", "bits").dropDuplicates(["class"])
     # the number is given, as cells of few bytes may be long work
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     near = whole.unionByName(dealt).join(firsts, "class").join(bits, "class") \
@@ -556,10 +557,9 @@ def _cell_links(spark: SparkSession, near: DataFrame, roots: DataFrame, sets: Da
                   .mapInArrow(_block_links(percent), "a long, b long"), "blocklinks")
 
 
-def _possible_pairs(spark: SparkSession, pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    marked = reps.select("class", "n_shingles", "bits").dropDuplicates(["class"])
+def _possible_pairs(spark: SparkSession, pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     for side in ("a", "b"):
-        pairs = pairs.join(marked.toDF(side, f"n_{side}", f"bits_{side}"), side)
+        pairs = pairs.join(bits.toDF(side, f"n_{side}", f"bits_{side}"), side)
     return stored(spark, pairs.select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
                   .mapInArrow(_possible(percent), "a long, b long"), "pairs")
 
